@@ -1,0 +1,31 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one, set on the session, only where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="strandloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors.
+
+    The files are removed when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
