@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import Texts, slices
+from .text import Texts, slices, spans_hash
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
-CACHE_SLICES, CACHE_BYTES = 300_000, 48
+CACHE_SLICES, CACHE_BYTES, SHORT = 300_000, 48, 64
 
 
 @lru_cache(1)
@@ -103,16 +103,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Merges the adjacent pair of lowest rank (the first of equals) until none is left; a heap keeps long slices fast."""
+    """Merges the adjacent pair of lowest rank (the first of equals) until none is left."""
     if piece in ranks:
         return (ranks[piece],)
+    cuts = _cuts(piece, ranks) if len(piece) <= SHORT else _cuts_heap(piece, ranks)
+    return tuple([ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])])  # noqa: B905
+
+
+def _cuts(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Bounds of the tokens of a short slice: the lowest pair is looked for anew after each merge."""
+    get, none = ranks.get, len(ranks)
+    cuts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (low := min(pairs)) < none:
+        i = pairs.index(low)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return cuts
+
+
+def _cuts_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a long slice, in n log n steps."""
     n = len(piece)
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; 0 once merged away
     prev = list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        if (r := ranks.get(piece[i : i + 2])) is not None:
-            heap.append((r, i, i + 1, i + 2))
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
         _, i, m, e = heapq.heappop(heap)
@@ -125,11 +143,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
                 heapq.heappush(heap, (r, i, e, end[e]))
         if (p := prev[i]) >= 0 and (r := ranks.get(piece[p:e])) is not None:
             heapq.heappush(heap, (r, p, i, e))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return tuple(out)
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(end[cuts[-1]])
+    return cuts
 
 
 class _Cache(dict):
@@ -158,16 +175,36 @@ def _coder(path: str) -> tuple[_Cache, np.ndarray, np.ndarray, np.ndarray]:
     return _Cache(ranks), np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... for size[0] values, then the same for the next."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal slices, and each slice's group. Grouped by hash, then compared byte by byte."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, kind = np.unique(spans_hash(data, start, stop), return_index=True, return_inverse=True)
+    size = stop - start
+    head = first[kind]
+    if (size == size[head]).all() and (data[_ranges(start, size)] == data[_ranges(start[head], size)]).all():
+        return first, kind
+    return np.arange(len(start)), np.arange(len(start))  # two slices share a hash: each stands for itself
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, ids, ends): ids of a text's tokens, and where each ends in the text's bytes."""
     cache, _, _, size = _coder(path)
     for batch in batches:
         for a, b, texts in slices(batch.column(1)):
             start, stop, doc = boundaries(texts)
+            first, kind = distinct(texts.data, start, stop)
             data = texts.data.tobytes()
-            found = [cache[data[i:j]] for i, j in zip(start.tolist(), stop.tolist(), strict=True)]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+            found = [cache[data[i:j]] for i, j in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+            own = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(own.sum()))
+            count = own[kind]
+            ids = flat[_ranges((np.cumsum(own) - own)[kind], count)]
             per_doc = np.bincount(doc, weights=count, minlength=texts.n).astype(np.int64) if len(doc) else np.zeros(texts.n, np.int64)
             offsets = np.concatenate([[0], np.cumsum(per_doc)])
             ends = np.cumsum(size[ids]) - np.repeat(texts.offsets[:-1], per_doc)
