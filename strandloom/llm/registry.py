@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, language_id, quality_gam, quality_rules
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op7_ngram_language": language_id.op7_ngram_language,
+    "op3_additive_quality": quality_gam.op3_additive_quality,
     "op6_divergence_rules": quality_rules.op6_divergence_rules,
 }
 

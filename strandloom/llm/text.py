@@ -154,12 +154,13 @@ def lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(texts.offsets, start, side="right") - 1
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """(first row, end row, texts) of slices of about ``limit`` bytes."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, Texts]]:
+    """(first row, end row, texts) of slices of about ``limit`` bytes and at most ``rows`` rows."""
     whole = Texts.of(column)
     at = 0
     while at < whole.n:
         end = max(at + 1, int(np.searchsorted(whole.offsets, whole.offsets[at] + limit, side="right")) - 1)
+        end = min(end, at + rows)
         off = whole.offsets[at : end + 1]
         yield at, end, Texts(whole.data[off[0] : off[-1]], off - off[0])
         at = end
