@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_gam, quality_rules
+from . import bpe, language_id, quality_gam, quality_rules, toxicity
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op7_ngram_language": language_id.op7_ngram_language,
     "op3_additive_quality": quality_gam.op3_additive_quality,
+    "op4_boosted_toxicity": toxicity.op4_boosted_toxicity,
     "op6_divergence_rules": quality_rules.op6_divergence_rules,
 }
 
