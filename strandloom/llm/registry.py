@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_gam, quality_rules, toxicity
+from . import bpe, language_id, quality_gam, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_additive_quality": quality_gam.op3_additive_quality,
     "op4_boosted_toxicity": toxicity.op4_boosted_toxicity,
     "op6_divergence_rules": quality_rules.op6_divergence_rules,
+    "op8_hash_tree_shards": sharding.op8_hash_tree_shards,
 }
 
 ORACLES: dict[str, str] = {}
