@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language_id, quality_gam, quality_rules, sharding, toxicity
+from . import bpe, chat, decontamination, language_id, quality_gam, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_divergence_rules": quality_rules.op6_divergence_rules,
     "op8_hash_tree_shards": sharding.op8_hash_tree_shards,
     "op9_incremental_chat": chat.op9_incremental_chat,
+    "op10_string_tiling": decontamination.op10_string_tiling,
 }
 
 ORACLES: dict[str, str] = {}
