@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, language_id, quality_gam, quality_rules, sharding, toxicity
+from . import bpe, chat, decontamination, language_id, quality_gam, quality_rules, sharding, toxicity, url_rules
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op7_ngram_language": language_id.op7_ngram_language,
     "op3_additive_quality": quality_gam.op3_additive_quality,
     "op4_boosted_toxicity": toxicity.op4_boosted_toxicity,
+    "op5_association_urls": url_rules.op5_association_urls,
     "op6_divergence_rules": quality_rules.op6_divergence_rules,
     "op8_hash_tree_shards": sharding.op8_hash_tree_shards,
     "op9_incremental_chat": chat.op9_incremental_chat,
