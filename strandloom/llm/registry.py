@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, language_id, quality_gam, quality_rules, sharding, toxicity, url_rules
+from . import bpe, chat, decontamination, jaccard_join, language_id, quality_gam, quality_rules, sharding, toxicity, url_rules
 
 QUERIES = {
+    "op1_bayes_jaccard": jaccard_join.op1_bayes_jaccard,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op7_ngram_language": language_id.op7_ngram_language,
     "op3_additive_quality": quality_gam.op3_additive_quality,
