@@ -180,14 +180,32 @@ def fit_additive(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     return out
 
 
-def fit(feats: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", fit_rows: int = 20_000, seed: int = 5) -> Additive:
-    """Fits on about ``fit_rows`` rows of feats that have a label; the driver gets their features only."""
+def _drawn(labels: DataFrame, label: str, doc_id: str, fit_rows: int, seed: int) -> DataFrame:
+    """(doc_id, y) of about ``fit_rows`` labelled rows."""
     known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y"))
     share = min(1.0, fit_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = feats.join(drawn, "doc_id").select("doc_id", "y", "x").toArrow().sort_by([("doc_id", "ascending")])
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float) if rows.num_rows else np.zeros((0, len(FEATURES)))
-    return fit_additive(x, rows.column("y").to_numpy())
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def _fit(rows: DataFrame) -> Additive:
+    """Fits on the rows (doc_id, y, x), in an order of their own."""
+    table = rows.select("doc_id", "y", "x").toArrow()
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float) if table.num_rows else np.zeros((0, len(FEATURES)))
+    y = table.column("y").to_numpy()
+    order = np.lexsort((*x.T, y, table.column("doc_id").to_numpy()))
+    return fit_additive(x[order], y[order])
+
+
+def fit(feats: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", fit_rows: int = 20_000, seed: int = 5) -> Additive:
+    """Fits on about ``fit_rows`` rows of feats that have a label; the driver gets their features only."""
+    return _fit(feats.join(_drawn(labels, label, doc_id, fit_rows, seed), "doc_id"))
+
+
+def fit_on_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fit_rows: int = 20_000, seed: int = 5) -> Additive:
+    """The same from texts, of which only the drawn ones are turned into features; ``fit_rows`` bounds what is broadcast."""
+    drawn = F.broadcast(_drawn(labels, label, doc_id, fit_rows, seed))
+    chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(drawn.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _fit(features(chosen).join(drawn, "doc_id"))
 
 
 def score(feats: DataFrame, model: Additive) -> DataFrame:
