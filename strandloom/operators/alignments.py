@@ -139,7 +139,7 @@ def canonical_regions(aln: DataFrame, key: str = "rname", start: str = "rstart",
     # A row that is shorter than what it shares cannot be: sharing is min(ends) - start, positive iff both ends lie beyond start.
     shares = F.least(reach, F.col(end)) - F.col(start) > 0
     marked = aln.select(key, start, end, F.when(shares, 0).otherwise(1).alias("_new"))
-    numbered = marked.withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = marked.withColumn("_chain", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(key, "_chain").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_chain")
 
 

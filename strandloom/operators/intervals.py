@@ -13,7 +13,7 @@ def merged_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.select(key, start, end, F.when(reach >= F.col(start), 0).otherwise(1).alias("_new"))
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # equal rows: one island
     return marked.withColumn("_island", island).groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
@@ -37,8 +37,8 @@ def value_clusters(df: DataFrame, keys: list[str], value: str, reach: int) -> Da
     order = Window.partitionBy(*keys).orderBy(value)
     gap = F.col(value) - F.lag(value).over(order)
     marked = df.select(*keys, value, F.when(gap <= reach, 0).otherwise(1).alias("_new"))
-    numbered = marked.withColumn("_cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # Equal values have a gap of 0, so the order among them does not matter.
+    # By range: equal values are in one cluster, whichever of them opened it.
+    numbered = marked.withColumn("_cluster", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy(*keys, "_cluster")
     mean = F.sum(F.col(value).cast("bigint")).over(whole) / F.count("*").over(whole)
     return numbered.select(*keys, value, mean.cast("int").alias("canonical")).distinct()

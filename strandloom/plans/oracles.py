@@ -43,7 +43,7 @@ VIEWS = {
     "proj": "SELECT a.*, g.id AS g_id, g.gstart AS g_start, g.gend AS g_end, g.ori AS g_ori FROM kept a JOIN genes g ON g.ref = a.rname AND g.gstart < a.rend + 1 AND g.gend > a.rstart",
     "ranked": """SELECT *, (least(rend + 1, g_end) - greatest(rstart, g_start)) / (g_end - g_start + 1)::DOUBLE AS cov,
  row_number() OVER (PARTITION BY line_no ORDER BY g_start, g_end, g_id) AS up, row_number() OVER (PARTITION BY line_no ORDER BY g_start DESC, g_end DESC, g_id DESC) AS down FROM proj""",
-    "isl": """SELECT qname, min(qstart) AS qstart, max(qend) AS qend FROM (SELECT *, sum(fresh) OVER (PARTITION BY qname ORDER BY qstart, qend ROWS UNBOUNDED PRECEDING) AS g FROM
+    "isl": """SELECT qname, min(qstart) AS qstart, max(qend) AS qend FROM (SELECT *, sum(fresh) OVER (PARTITION BY qname ORDER BY qstart, qend) AS g FROM
  (SELECT *, CASE WHEN max(qend) OVER (PARTITION BY qname ORDER BY qstart, qend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= qstart THEN 0 ELSE 1 END AS fresh FROM kept)) GROUP BY qname, g""",
     "o": "SELECT *, row_number() OVER (PARTITION BY qname ORDER BY qstart, qend, line_no DESC) AS rn FROM kept",
     "w": """SELECT qname, rn, line_no, 0 AS cid, qend AS mx FROM o WHERE rn = 1 UNION ALL
@@ -51,7 +51,7 @@ VIEWS = {
  CASE WHEN least(o.qend, w.mx) - o.qstart >= 100 THEN greatest(w.mx, o.qend) ELSE o.qend END FROM w JOIN o ON o.qname = w.qname AND o.rn = w.rn + 1""",
     "cl": "SELECT k.*, w.cid AS cluster, count(*) OVER (PARTITION BY k.qname, w.cid) AS nc FROM kept k JOIN w ON w.qname = k.qname AND w.line_no = k.line_no",
     "ev": "SELECT qname, cluster, qstart AS v FROM cl WHERE nc > 1 UNION ALL SELECT qname, cluster, qend FROM cl WHERE nc > 1",
-    "eg": "SELECT *, sum(f) OVER (PARTITION BY qname, cluster ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY qname, cluster ORDER BY v) <= 100 THEN 0 ELSE 1 END AS f FROM ev)",
+    "eg": "SELECT *, sum(f) OVER (PARTITION BY qname, cluster ORDER BY v) AS g FROM (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY qname, cluster ORDER BY v) <= 100 THEN 0 ELSE 1 END AS f FROM ev)",
     "ec": "SELECT DISTINCT qname, cluster, v, CAST(trunc(sum(v) OVER (PARTITION BY qname, cluster, g) / count(*) OVER (PARTITION BY qname, cluster, g)) AS INT) AS c FROM eg",
     "cells": "SELECT * FROM (SELECT qname, cluster, c AS istart, lead(c) OVER (PARTITION BY qname, cluster ORDER BY c) AS iend FROM (SELECT DISTINCT qname, cluster, c FROM ec)) WHERE iend IS NOT NULL",
     "grid": """SELECT qname, cluster, qstart AS istart, qend AS iend, line_no, ori, rname, rstart, rend FROM cl WHERE nc = 1 UNION ALL
@@ -171,7 +171,7 @@ ORACLES = {
     "path_edges": _sql("SELECT * FROM pe", "pe"),
     "merged_intervals": _sql("SELECT * FROM isl", "isl"),
     "breakpoint_clusters": _sql("""SELECT DISTINCT qname, v AS value, CAST(trunc(sum(v) OVER (PARTITION BY qname, g) / count(*) OVER (PARTITION BY qname, g)) AS INT) AS canonical FROM
- (SELECT *, sum(f) OVER (PARTITION BY qname ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY qname ORDER BY v) <= 20 THEN 0 ELSE 1 END AS f FROM (SELECT qname, qstart AS v FROM kept UNION ALL SELECT qname, qend FROM kept)))""", "kept"),
+ (SELECT *, sum(f) OVER (PARTITION BY qname ORDER BY v) AS g FROM (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY qname ORDER BY v) <= 20 THEN 0 ELSE 1 END AS f FROM (SELECT qname, qstart AS v FROM kept UNION ALL SELECT qname, qend FROM kept)))""", "kept"),
     "multimap_clusters": _sql("SELECT qname, line_no, cid AS cluster FROM w", "w"),
     "paf_read_groups": _sql("SELECT qname, row_number() OVER (PARTITION BY qname ORDER BY first_line) - 1 AS run, n_aln, first_line FROM (SELECT qname, g, count(*) AS n_aln, min(line_no) AS first_line FROM (SELECT *, sum(f) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(qname) OVER (ORDER BY line_no) = qname THEN 0 ELSE 1 END AS f FROM kept)) GROUP BY qname, g)", "kept"),
     "unaligned_regions": _sql("""SELECT qname, qstart, qend, qend - qstart + 1 AS size FROM (SELECT qname, 1 AS qstart, min(qstart) AS qend FROM isl GROUP BY qname HAVING min(qstart) <> 0
@@ -185,7 +185,7 @@ ORACLES = {
     "multimap_fraction": _sql("""SELECT qname, run, line_no FROM (SELECT *, count(*) OVER (PARTITION BY qname, run) AS n FROM (SELECT qname, line_no, CAST(sum(f) OVER (PARTITION BY qname ORDER BY qstart, qend, line_no ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM
  (SELECT *, CASE WHEN least(qend, e) - greatest(qstart, s) >= 0 AND (least(qend, e) - greatest(qstart, s)) / greatest(qend - qstart + 1, e - s + 1)::DOUBLE >= 0.3 THEN 0 ELSE 1 END AS f FROM
  (SELECT *, lag(qstart) OVER w AS s, lag(qend) OVER w AS e FROM kept WINDOW w AS (PARTITION BY qname ORDER BY qstart, qend, line_no))))) WHERE n > 1""", "kept"),
-    "canonical_regions": _sql("""SELECT rname, min(rstart) AS rstart, max(rend) AS rend FROM (SELECT *, sum(f) OVER (PARTITION BY rname ORDER BY rstart, rend ROWS UNBOUNDED PRECEDING) AS g FROM
+    "canonical_regions": _sql("""SELECT rname, min(rstart) AS rstart, max(rend) AS rend FROM (SELECT *, sum(f) OVER (PARTITION BY rname ORDER BY rstart, rend) AS g FROM
  (SELECT *, CASE WHEN max(rend) OVER (PARTITION BY rname ORDER BY rstart, rend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > rstart THEN 0 ELSE 1 END AS f FROM kept)) GROUP BY rname, g""", "kept"),
     "assign_gene_ids": _sql("SELECT ref, gstart, gend, gene_id, row_number() OVER (ORDER BY ref, gstart, gend, gene_id) - 1 AS number FROM genes", "genes"),
     "alignment_sizes": _sql("SELECT line_no, qname, rname, rstart, rend, rend - rstart + 1 AS size, mapq, round((qend - qstart + 1) / query_length::DOUBLE, 2) AS align_cov FROM kept", "kept"),
