@@ -214,4 +214,5 @@ def judge(docs: DataFrame, refs: dict[str, dict], *, max_char: float = 0.28, max
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs, references(docs))
+    judged = judge(docs, references(docs))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})

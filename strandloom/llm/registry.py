@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import bpe, chat, decontamination, jaccard_join, language_id, quality_gam, quality_rules, sharding, toxicity, url_rules
+from .oracles import ORACLES
 
 QUERIES = {
     "op1_bayes_jaccard": jaccard_join.op1_bayes_jaccard,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_string_tiling": decontamination.op10_string_tiling,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
