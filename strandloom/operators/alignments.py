@@ -123,7 +123,7 @@ def multimap_runs(aln: DataFrame, min_fraction: float = 0.5) -> DataFrame:
     s, e = F.lag("qstart").over(order), F.lag("qend").over(order)
     shared = overlap(F.col("qstart"), F.col("qend"), s, e)
     larger = F.greatest(size(F.col("qstart"), F.col("qend")), size(s, e))
-    joins = (shared >= 0) & (shared / larger.cast("double") >= min_fraction)
+    joins = s.isNotNull() & (shared >= 0) & (shared / larger.cast("double") >= min_fraction)
     marked = aln.select("qname", "qstart", "qend", "line_no", F.when(joins, 0).otherwise(1).alias("_new"))
     numbered = marked.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return numbered.withColumn("_n", F.count("*").over(Window.partitionBy("qname", "run"))).where("_n > 1").select("qname", "run", "line_no")
@@ -137,7 +137,7 @@ def canonical_regions(aln: DataFrame, key: str = "rname", start: str = "rstart",
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     # A row that is shorter than what it shares cannot be: sharing is min(ends) - start, positive iff both ends lie beyond start.
-    shares = F.least(reach, F.col(end)) - F.col(start) > 0
+    shares = reach.isNotNull() & (F.least(reach, F.col(end)) - F.col(start) > 0)
     marked = aln.select(key, start, end, F.when(shares, 0).otherwise(1).alias("_new"))
     numbered = marked.withColumn("_chain", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(key, "_chain").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_chain")

@@ -183,7 +183,7 @@ ORACLES = {
  UNION ALL SELECT qname, rname, {_TURN.format('rstart', 'rend')} FROM o WHERE rn = 1 AND qstart >= 300
  UNION ALL SELECT qname, rname, {_TURN.format('rend', 'rstart')} FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY qend DESC, qstart, line_no DESC) AS k FROM kept) WHERE k = 1 AND query_length - qend + 1 >= 300)""", "o"),
     "multimap_fraction": _sql("""SELECT qname, run, line_no FROM (SELECT *, count(*) OVER (PARTITION BY qname, run) AS n FROM (SELECT qname, line_no, CAST(sum(f) OVER (PARTITION BY qname ORDER BY qstart, qend, line_no ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM
- (SELECT *, CASE WHEN least(qend, e) - greatest(qstart, s) >= 0 AND (least(qend, e) - greatest(qstart, s)) / greatest(qend - qstart + 1, e - s + 1)::DOUBLE >= 0.3 THEN 0 ELSE 1 END AS f FROM
+ (SELECT *, CASE WHEN s IS NOT NULL AND least(qend, e) - greatest(qstart, s) >= 0 AND (least(qend, e) - greatest(qstart, s)) / greatest(qend - qstart + 1, e - s + 1)::DOUBLE >= 0.3 THEN 0 ELSE 1 END AS f FROM
  (SELECT *, lag(qstart) OVER w AS s, lag(qend) OVER w AS e FROM kept WINDOW w AS (PARTITION BY qname ORDER BY qstart, qend, line_no))))) WHERE n > 1""", "kept"),
     "canonical_regions": _sql("""SELECT rname, min(rstart) AS rstart, max(rend) AS rend FROM (SELECT *, sum(f) OVER (PARTITION BY rname ORDER BY rstart, rend) AS g FROM
  (SELECT *, CASE WHEN max(rend) OVER (PARTITION BY rname ORDER BY rstart, rend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > rstart THEN 0 ELSE 1 END AS f FROM kept)) GROUP BY rname, g""", "kept"),
