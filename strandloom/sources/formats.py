@@ -148,17 +148,15 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, seq: a row per four lines; each file is read whole by one task."""
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows = text.splitlines()
-                heads, seqs = rows[0::4], rows[1::4]
-                names = [(h.split() or ["@"])[0][1:] for h in heads[: len(seqs)]]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string())], ["name", "seq"])
+    """name, seq: a row per four lines. Lines are numbered within their file, whatever splits they were read in."""
+    from ..operators.numbering import number_rows
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(records, "name string, seq string")
+    numbered = number_rows(read_lines(spark, path), ["file", "at"], "n")
+    first = numbered.groupBy("file").agg(F.min("n").alias("_first"))
+    placed = numbered.join(first, "file").withColumn("_k", F.col("n") - F.col("_first"))
+    pairs = placed.where("_k % 4 < 2").groupBy("file", F.floor(F.col("_k") / 4).alias("_r"))
+    cells = pairs.agg(F.max(F.when(F.col("_k") % 4 == 0, F.col("value"))).alias("head"), F.max(F.when(F.col("_k") % 4 == 1, F.col("value"))).alias("seq"))
+    return cells.where("seq is not null").select(F.regexp_extract("head", r"^.(\S*)", 1).alias("name"), "seq")
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -202,4 +200,4 @@ def read_genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(records, GENBANK)
+    return spark.read.text(path, wholetext=True).mapInArrow(records, GENBANK)
