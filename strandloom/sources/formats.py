@@ -24,6 +24,23 @@ def _columns(value: str = "value") -> Column:
     return F.split(value, "\t")
 
 
+def _kept(lines: DataFrame) -> list[str]:
+    """Columns of read_lines and number_lines that stay beside what is parsed."""
+    return [c for c in ("line_no", "file", "at") if c in lines.columns]
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Lines of read_lines with ``line_no``, from 1 over all files."""
+    from ..operators.numbering import number_rows
+
+    return number_rows(lines, ["file", "at"], "line_no", first=1).drop("file", "at")
+
+
+def read_file_list(spark: SparkSession, path: str) -> list[str]:
+    """The paths listed in a small text file, one per line."""
+    return [r.value.strip() for r in read_lines(spark, path).orderBy("file", "at").collect() if r.value.strip()]
+
+
 def _int(cells: Column, i: int) -> Column:
     return F.get(cells, F.lit(i)).cast("int")
 
@@ -35,14 +52,14 @@ def _text(cells: Column, i: int) -> Column:
 def parse_paf(lines: DataFrame) -> DataFrame:
     """Alignments of PAF lines; a query's name ends at its first white space."""
     c = _columns()
-    return lines.select(F.regexp_extract(_text(c, 0), r"^(\S*)", 1).alias("qname"), _int(c, 1).alias("query_length"), _int(c, 2).alias("qstart"), _int(c, 3).alias("qend"), _text(c, 4).alias("ori"), _text(c, 5).alias("rname"), _int(c, 6).alias("ref_length"), _int(c, 7).alias("rstart"), _int(c, 8).alias("rend"), _int(c, 10).alias("align_length"), _int(c, 11).alias("mapq"))
+    return lines.select(*_kept(lines), F.regexp_extract(_text(c, 0), r"^(\S*)", 1).alias("qname"), _int(c, 1).alias("query_length"), _int(c, 2).alias("qstart"), _int(c, 3).alias("qend"), _text(c, 4).alias("ori"), _text(c, 5).alias("rname"), _int(c, 6).alias("ref_length"), _int(c, 7).alias("rstart"), _int(c, 8).alias("rend"), _int(c, 10).alias("align_length"), _int(c, 11).alias("mapq"))
 
 
 def parse_blast(lines: DataFrame) -> DataFrame:
     """Pairs of ten-column BLAST table lines; '+' iff the subject's start lies before its end."""
     c = _columns()
     ori = F.when(_int(c, 4) < _int(c, 5), "+").otherwise("-")
-    return lines.select(_int(c, 0).alias("q"), _int(c, 1).alias("qlength"), _int(c, 2).alias("r"), _int(c, 3).alias("rlength"), ori.alias("ori"), _int(c, 6).alias("alength"), *(_text(c, i).cast("double").alias(n) for i, n in ((7, "identity"), (8, "eval"), (9, "bitscore"))))
+    return lines.select(*_kept(lines), _int(c, 0).alias("q"), _int(c, 1).alias("qlength"), _int(c, 2).alias("r"), _int(c, 3).alias("rlength"), ori.alias("ori"), _int(c, 6).alias("alength"), *(_text(c, i).cast("double").alias(n) for i, n in ((7, "identity"), (8, "eval"), (9, "bitscore"))))
 
 
 def attribute(attributes: Column, tag: str) -> Column:
@@ -60,8 +77,7 @@ def parse_gff(lines: DataFrame, features: list[str] | None = None, name_tag: str
     rows = lines.where(~F.col("value").startswith("#") & (F.size(c) >= 9) & _text(c, 2).isin(features or ["CDS"]))
     start, end, ori = _int(c, 3) - 1, _int(c, 4), _text(c, 6)
     checked = F.when(ori.isin("+", "-") & (start < end), start).otherwise(F.raise_error(F.concat(F.lit("not a proper gene: "), "value")).cast("int"))
-    keep = [x for x in ("file", "at") if x in lines.columns]
-    return rows.select(*keep, _text(c, 0).alias("ref"), checked.alias("gstart"), end.alias("gend"), ori.alias("ori"), attribute(_text(c, 8), name_tag).alias("description"), attribute(_text(c, 8), id_tag).alias("gene_id"))
+    return rows.select(*_kept(lines), _text(c, 0).alias("ref"), checked.alias("gstart"), end.alias("gend"), ori.alias("ori"), attribute(_text(c, 8), name_tag).alias("description"), attribute(_text(c, 8), id_tag).alias("gene_id"))
 
 
 def read_gff(spark: SparkSession, paths: list[str], **tags) -> DataFrame:
@@ -83,8 +99,7 @@ def parse_pairs(lines: DataFrame, a: str, b: str) -> DataFrame:
     """Two columns of ids or labels; a row of another width is an error."""
     c = _columns()
     first = F.when(F.size(c) == 2, _text(c, 0)).otherwise(F.raise_error(F.concat(F.lit("expected two columns: "), "value")))
-    keep = [x for x in ("file", "at") if x in lines.columns]
-    return lines.select(first.alias(a), _text(c, 1).alias(b), *keep)
+    return lines.select(first.alias(a), _text(c, 1).alias(b), *_kept(lines))
 
 
 def last_wins(pairs: DataFrame, key: str, value: str) -> DataFrame:
