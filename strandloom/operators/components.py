@@ -12,14 +12,18 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _star(pairs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
-    """Links the neighbours that ``keep`` allows, and the node itself, to the least of node and neighbours.
+def _least(pairs: DataFrame) -> DataFrame:
+    """src, low: the least of each node and its neighbours.
 
-    Only the minimum per node is aggregated; a node with very many neighbours is one skewed join key.
+    Written before it is joined, so that the join's two sides are shuffled on their own and the rows of a
+    node with very many neighbours can be split, or the small side be broadcast.
     """
-    least = pairs.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-    linked = pairs.join(least, "src").where(keep).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    return linked, least
+    return materialize(pairs.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and checksum of the edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
@@ -31,17 +35,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     ends = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
     loops = ends.where("src = dst").select(F.col("src").alias("id")).distinct()
     now = materialize(ends.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    mark = _mark(now)
     for _ in range(most_rounds):
-        linked, _ = _star(_both(now), F.col("dst") > F.col("src"))
-        large = linked.where("src <> dst").distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        linked, least = _star(down, F.lit(True))
-        small = linked.unionByName(least.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
-        after = materialize(small)
-        mark = [F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")]
-        if after.agg(*mark).first() == now.agg(*mark).first():
+        pairs = _both(now)
+        linked = pairs.join(_least(pairs), "src").where("dst > src")
+        down = materialize(linked.select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct())
+        least = _least(down)
+        linked = down.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        now = materialize(linked.unionByName(least.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct())
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
-        now = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     found = now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")))
