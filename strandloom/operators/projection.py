@@ -18,11 +18,11 @@ def project_genes(aln: DataFrame, genes: DataFrame) -> DataFrame:
 
 def boundary_filter(projected: DataFrame, by: list[str], start: str, end: str, min_coverage: float = 0.5) -> DataFrame:
     """Drops the first and the last gene of each alignment if it is covered too little; inner genes stay."""
-    up = F.row_number().over(Window.partitionBy(*by).orderBy("g_start", "g_end", "g_id"))
-    down = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("g_start"), F.desc("g_end"), F.desc("g_id")))
+    order = Window.partitionBy(*by).orderBy("g_start", "g_end", "g_id")
     share = coverage(F.col("g_start"), F.col("g_end"), F.col(start), F.col(end))
-    ranked = projected.withColumns({"_up": up, "_down": down, "_share": share})
-    return ranked.where(~(((F.col("_up") == 1) | (F.col("_down") == 1)) & (F.col("_share") < min_coverage))).drop("_up", "_down", "_share")
+    ranked = projected.withColumns({"_before": F.lag("g_id").over(order), "_after": F.lead("g_id").over(order), "_share": share})
+    at_end = F.col("_before").isNull() | F.col("_after").isNull()
+    return ranked.where(~(at_end & (F.col("_share") < min_coverage))).drop("_before", "_after", "_share")
 
 
 def project_genes_filtered(aln: DataFrame, genes: DataFrame, min_coverage: float = 0.5, by: str = "line_no") -> DataFrame:

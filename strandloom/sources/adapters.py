@@ -69,10 +69,12 @@ def homology(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_steps(spark: SparkSession, folder: str) -> DataFrame:
     """name, pos, id, ori: the steps of one path per order."""
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER[1:])) - 1
+    at = F.row_number().over(Window.partitionBy("name").orderBy(*LINE_ORDER[1:])) - 1
     part = _table(spark, folder, "part").select("p_partkey", (F.length("p_type") + F.ascii("p_type") % 7).cast("int").alias("id"))
-    return _table(spark, folder, "lineitem").select(*LINE_ORDER, "l_linestatus").join(part, F.col("p_partkey") == F.col("l_partkey")).select(
-        F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("name"),
+    lines = _table(spark, folder, "lineitem").select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("name"), *LINE_ORDER[1:], "l_linestatus")
+    # Numbered by name, so that windows over the path share this shuffle.
+    return lines.join(part, F.col("p_partkey") == F.col("l_partkey")).select(
+        "name",
         at.cast("int").alias("pos"),
         "id",
         F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("ori"),
