@@ -38,39 +38,29 @@ def tree_of(shards: int, base: int = 16, per_rack: int = 4, racks: int = 2) -> T
     return out + [(f"region-of-{s}", f"rack-of-{s}", s, 1.0) for s in range(base, shards)]
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
+def _draw(key: Column, name: Column, weight: Column) -> Column:
     """The exponential draw of a child: the first 48 bits of an MD5, as a fraction inside (0, 1)."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{name}")).cast("binary")), 1, 12), 16, 10).cast("bigint")
-    return -F.log((bits.cast("double") + 0.5) / float(1 << 48)) / F.lit(float(weight))
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), name).cast("binary")), 1, 12), 16, 10).cast("bigint")
+    return -F.log((bits.cast("double") + 0.5) / float(1 << 48)) / weight
 
 
-def _least(key: Column, children: dict[str, float], then) -> Column:
-    """then(name) of the child with the least draw; a single child needs no draw."""
-    names = [n for n, w in children.items() if w > 0]
-    if len(names) == 1:
-        return then(names[0])
-    draws = F.array_min(F.array(*[F.struct(_draw(key, n, children[n]).alias("d"), F.lit(k).alias("k")) for k, n in enumerate(names)]))
-    out = F.when(draws["k"] == 0, then(names[0]))
-    for k, n in list(enumerate(names))[1:]:
-        out = out.when(draws["k"] == k, then(n))
-    return out
+def _descend(key: Column, node: Column, children: list[list[tuple[str, float, int]]]) -> Column:
+    """The number of the child of ``node`` with the least draw; children: (name, weight, number) of each node."""
+    table = F.array(*[F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight"), F.lit(k).alias("node")) for n, w, k in own if w > 0]) for own in children])
+    draws = F.transform(F.get(table, node), lambda c: F.struct(_draw(key, c["name"], c["weight"]).alias("draw"), c["node"].alias("node")))
+    return F.array_min(draws)["node"]
 
 
 def place(key: Column, tree: Tree) -> Column:
     """The shard of a string key. Weights of inner nodes are sums over their leaves."""
-    weights: dict[str, dict[str, dict[str, float]]] = {}
-    number = {}
+    weights: dict[str, dict[str, dict[int, float]]] = {}
     for region, rack, shard, weight in tree:
-        weights.setdefault(region, {}).setdefault(rack, {})[f"shard{shard}"] = weight
-        number[f"shard{shard}"] = shard
-
-    def shard_of(region: str, rack: str) -> Column:
-        return _least(key, weights[region][rack], lambda s: F.lit(number[s]))
-
-    def rack_of(region: str) -> Column:
-        return _least(key, {r: sum(s.values()) for r, s in weights[region].items()}, lambda r: shard_of(region, r))
-
-    return _least(key, {g: sum(sum(s.values()) for s in r.values()) for g, r in weights.items()}, rack_of)
+        weights.setdefault(region, {}).setdefault(rack, {})[shard] = weight
+    racks = [(g, r) for g, own in weights.items() for r in own]
+    top = [[(g, sum(sum(s.values()) for s in own.values()), k) for k, (g, own) in enumerate(weights.items())]]
+    middle = [[(r, sum(own[r].values()), racks.index((g, r))) for r in own] for g, own in weights.items()]
+    leaves = [[(f"shard{s}", w, s) for s, w in weights[g][r].items()] for g, r in racks]
+    return _descend(key, _descend(key, _descend(key, F.lit(0), top), middle), leaves)
 
 
 def slots(placed: DataFrame, order: list[str], blocks: int = 256, shard: str = "shard") -> DataFrame:
@@ -78,7 +68,8 @@ def slots(placed: DataFrame, order: list[str], blocks: int = 256, shard: str = "
 
     Block sizes are a table of at most shards x ``blocks`` rows.
     """
-    blocked = placed.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    spread = F.conv(F.substring(F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in order]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    blocked = placed.withColumn("_block", (spread % blocks).cast("int"))
     sizes = blocked.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
     first = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(shard, "_block", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_first"))
