@@ -130,6 +130,16 @@ def test_base_counts_against_brute_force(spark, corpus):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
 
 
+def test_summaries_keep_heavy_words():
+    rng = np.random.default_rng(3)
+    stream = rng.permutation(np.concatenate([np.full(300, 1), np.full(250, 2), np.arange(100, 5000)]))
+    known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in np.array_split(stream, 40):
+        known, counts = quality_rules._heavy(np.concatenate([known, part]), np.concatenate([counts, np.ones(len(part), np.int64)]), 30)
+        assert len(known) <= 30
+    assert {1, 2} <= set(known.tolist())
+
+
 def test_references_and_distances(spark, corpus):
     path, docs, _ = corpus
     df = spark.read.parquet(path + "/documents.parquet")
