@@ -182,7 +182,7 @@ def _blocked(members: DataFrame, group: list[str], most: int) -> DataFrame:
     return cut.withColumn("_o", other).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).drop("_m", "_o")
 
 
-def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = 1e-5, most: int = 800) -> DataFrame:
+def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = 1e-5, most: int = 256) -> DataFrame:
     """(src, dst): spanning forests of the pairs of classes that survive pruning. classes: rep, sig."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
