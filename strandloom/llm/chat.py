@@ -24,12 +24,14 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
+BATCH_CHARS = 1 << 22  # of formatted text in one Arrow batch
 START, END = "<|im_start|>", "<|im_end|>"
 # Control strings that no text may carry unescaped (fixed values).
 CONTROL = [START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>"]
@@ -38,6 +40,7 @@ _SPECIAL = re.compile("|".join([r"\\", *(re.escape(c[0]) + "(?=" + re.escape(c[1
 _ROLE = re.compile(r"(?:[^\\\n]|\\[\s\S])*")
 
 
+@lru_cache(4096)
 def escape(text: str) -> str:
     """Doubles backslashes and puts one behind the first character of every control string."""
     return _SPECIAL.sub(lambda m: m[0] + "\\", text)
@@ -112,14 +115,22 @@ def format_chats(rows: DataFrame, template: Callable[[Turns], str] = marked, lea
     gathered = rows.select("conv_id", turns.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     gathered = gathered.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.bool_()), pa.bool_()]
+    names = [c.split()[0] for c in FORMATTED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cells: list[tuple] = []
+            size = 0
             for i in range(batch.num_rows):
                 roles, texts = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 out = render(template, list(zip(roles, texts, strict=True)))
-                cells = [len(roles), out.output, [a for a, _ in out.spans], [b for _, b in out.spans], [a for a, _ in out.text_spans], [b for _, b in out.text_spans], [r in learn_from for r in roles[: len(out.spans)]], out.rewrites]
-                kinds = [pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.bool_()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([c], k) for c, k in zip(cells, kinds, strict=True))], [c.split()[0] for c in FORMATTED.split(", ")])
+                starts, ends = [a for a, _ in out.spans], [b for _, b in out.spans]
+                cells.append((batch.column(0)[i].as_py(), len(roles), out.output, starts, ends, [a for a, _ in out.text_spans], [b for _, b in out.text_spans], [r in learn_from for r in roles[: len(out.spans)]], out.rewrites))
+                size += len(out.output)
+                if size >= BATCH_CHARS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), kinds, strict=True)], names)
+                    cells, size = [], 0
 
     return gathered.mapInArrow(run, FORMATTED)
 
