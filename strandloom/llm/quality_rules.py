@@ -3,10 +3,9 @@
 A document's histogram over character classes and its histogram over the common words of its
 language are compared with the language's own, by Jensen-Shannon distance (base 2, so 0 to 1).
 References are counts over all documents of a language; nothing is sampled. The common words of
-a language are those whose share of its words is at least ``common_share``: a word with that
-share overall has it in at least one slice of the table, so slices propose the words
-(``common_words``) and a second pass counts the proposals everywhere (``references``). The
-number of proposals that stay is at most 1 / common_share per language.
+a language are those whose share of its words is at least ``common_share``. Mergeable summaries of bounded
+size propose them (``common_words``), and a second pass counts the proposals everywhere (``references``), so
+the shares are exact and what reaches the driver does not grow with the table.
 
 Defined results: a null text counts as empty; an empty text has no words and fails the base
 rules; a null or unknown language is judged against the nearest reference; texts shorter than the
@@ -18,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import Words, code_points, lines, repeated, slices, spans_hash, sums
@@ -88,26 +87,42 @@ def _word_hashes(texts) -> tuple[Words, np.ndarray]:
     return words, words.hashes().view(np.int64)
 
 
+def _heavy(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """One Misra-Gries step: equal keys summed; beyond ``most`` keys, the next largest count is taken from all and what is left stays."""
+    u, inverse = np.unique(keys, return_inverse=True)
+    n = np.bincount(inverse, counts, len(u)).astype(np.int64)
+    if len(u) > most:
+        n -= np.partition(n, -most - 1)[-most - 1]
+        u, n = u[n > 0], n[n > 0]
+    return u, n
+
+
 def common_words(docs: DataFrame, common_share: float, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, word): hashes of words that reach ``common_share`` of a language's words in any slice."""
+    """(lang, word): hashes of at most 2 / common_share words per language, among them all with that share of its words.
+
+    Each task keeps a Misra-Gries summary per language. Summaries are merged by summing them and keeping
+    the largest; a word with a share above 1 / (size + 1) is never lost on the way.
+    """
+    most = int(np.ceil(2 / common_share))
 
     def propose(batches):
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            found: dict[str, set] = {}
             for a, b, texts in slices(batch.column(0)):
                 words, h = _word_hashes(texts)
                 codes, names = _codes(langs[a:b])
                 for k, name in enumerate(names):
-                    mine = h[codes[words.doc] == k]
-                    if len(mine):
-                        u, n = np.unique(mine, return_counts=True)
-                        found.setdefault(name, set()).update(u[n >= common_share * len(mine)].tolist())
-            rows = [(k, w) for k, v in found.items() for w in v]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["lang", "word"])
+                    u, n = np.unique(h[codes[words.doc] == k], return_counts=True)
+                    known, counts = found.get(name, (u[:0], n[:0]))
+                    found[name] = _heavy(np.concatenate([known, u]), np.concatenate([counts, n]), most)
+        names = [k for k, (u, _) in found.items() for _ in u]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *(u for u, _ in found.values())])), pa.array(np.concatenate([np.zeros(0, np.int64), *(n for _, n in found.values())]).astype(np.int64))], ["lang", "word", "n"])
 
     spoken = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
-    return spoken.mapInArrow(propose, "lang string, word bigint").distinct()
+    summed = spoken.mapInArrow(propose, "lang string, word bigint, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return summed.withColumn("_rank", rank).where(F.col("_rank") <= most).select("lang", "word")
 
 
 def _codes(values: np.ndarray) -> tuple[np.ndarray, list]:
