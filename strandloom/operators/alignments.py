@@ -9,34 +9,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap, rescale, size
+from ..storage import materialize
 from .intervals import value_clusters
 
 
-def multimap_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
-    """qname, line_no, cluster: alignments in query order join the current cluster as long as one of its members overlaps them enough.
+def with_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
+    """aln with ``cluster``: alignments in query order join the current cluster as long as one of its members overlaps them enough.
 
     A closed cluster is forgotten, so this is a fold and not a running maximum: what matters of the current
     cluster is only its largest end. Rows are sorted by read and folded as they stream by, with the state of
     one read carried from batch to batch; a read of any size takes constant memory.
     """
-    schema = "qname string, line_no bigint, cluster int"
+    names = aln.columns
+    q, s, e = (names.index(c) for c in ("qname", "qstart", "qend"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, cluster, reach, fresh = None, 0, 0, True
         for batch in batches:
             out = []
-            for q, s, e in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
-                if fresh or q != read:
-                    read, cluster, reach, fresh = q, 0, e, False
-                elif min(e, reach) - s >= min_overlap:
-                    reach = max(reach, e)
+            for name, start, end in zip(*(batch.column(c).to_pylist() for c in (q, s, e)), strict=True):
+                if fresh or name != read:
+                    read, cluster, reach, fresh = name, 0, end, False
+                elif min(end, reach) - start >= min_overlap:
+                    reach = max(reach, end)
                 else:
-                    cluster, reach = cluster + 1, e
+                    cluster, reach = cluster + 1, end
                 out.append(cluster)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.int32())], ["qname", "line_no", "cluster"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*names, "cluster"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in aln.schema)
+    rows = aln.repartition("qname").sortWithinPartitions("qname", "qstart", "qend", F.desc("line_no"))
+    return rows.mapInArrow(fold, f"{kinds}, cluster int")
 
-    rows = aln.select("qname", "qstart", "qend", "line_no").repartition("qname")
-    return rows.sortWithinPartitions("qname", "qstart", "qend", F.desc("line_no")).mapInArrow(fold, schema)
+
+def multimap_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
+    """qname, line_no, cluster"""
+    return with_clusters(aln.select("qname", "qstart", "qend", "line_no"), min_overlap).select("qname", "line_no", "cluster")
 
 
 def multimap_intervals(aln: DataFrame, min_overlap: int = 100, max_dist: int = 100) -> DataFrame:
@@ -45,8 +53,9 @@ def multimap_intervals(aln: DataFrame, min_overlap: int = 100, max_dist: int = 1
     a cluster of one alignment is its own cell.
     """
     keys = ["qname", "cluster"]
-    placed = aln.join(multimap_clusters(aln, min_overlap), ["qname", "line_no"])
-    sized = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    placed = with_clusters(aln.select("qname", "line_no", "qstart", "qend", "ori", "rname", "rstart", "rend"), min_overlap)
+    # Used several times below: written once.
+    sized = materialize(placed.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))))
     alone = sized.where("_n = 1").select(*keys, F.col("qstart").alias("istart"), F.col("qend").alias("iend"), "line_no", "ori", "rname", "rstart", "rend")
     shared = sized.where("_n > 1")
     ends = shared.select(*keys, F.explode(F.array("qstart", "qend")).alias("value"))

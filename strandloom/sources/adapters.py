@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
+from ..storage import spread
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 
@@ -84,7 +85,7 @@ def read_steps(spark: SparkSession, folder: str) -> DataFrame:
 def dna(spark: SparkSession, folder: str) -> DataFrame:
     """id, family, seq: the letters of a document read as bases."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return _table(spark, folder, "documents").select(F.col("doc_id").cast("int").alias("id"), F.col("source").alias("family"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+    return spread(_table(spark, folder, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").cast("int").alias("id"), F.col("source").alias("family"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
 
 
 def msa(spark: SparkSession, folder: str) -> DataFrame:
