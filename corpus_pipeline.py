@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontamination, jaccard_join, language_id, quality_gam
 from strandloom.llm.text import slices
-from strandloom.storage import materialize
+from strandloom.storage import materialize, spread
 
 
 def _filter(docs: DataFrame, keep, limit: int, rows: int) -> DataFrame:
@@ -77,7 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

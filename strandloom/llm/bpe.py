@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .text import Texts, slices, spans_hash
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
@@ -266,4 +267,4 @@ def ranks_path() -> str:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
-    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks_path())
+    return round_trip(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), ranks_path())

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .text import Texts, slices, spans_hash, windows
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -215,4 +216,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, c
 
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contaminated documents, with the items they hold."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize
+from ..storage import materialize, spread
 from .text import Texts, Words, mix, repeated, slices
 
 K, THRESHOLD = 5, 0.8
@@ -204,10 +204,10 @@ def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, toleran
             band, i, j, block, rep = (table.column(c).to_numpy() for c in ("band", "i", "j", "block", "rep"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
             a, b = surviving_pairs(group, block, i != j, band, sig, threshold, tolerance)
-            low = _forest(len(group), a, b)
-            hit = np.flatnonzero(low != np.arange(len(group)))
-            edges = np.unique(np.stack([rep[hit], rep[low[hit]]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["src", "dst"])
+            nodes, at = np.unique(rep, return_inverse=True)  # groups that share a node are joined here already
+            low = _forest(len(nodes), at[a], at[b])
+            hit = np.flatnonzero(low != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[low[hit]])], ["src", "dst"])
 
     return dealt.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(prune, "src bigint, dst bigint")
 
@@ -297,4 +297,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def op1_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class and number of links."""
-    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_classes(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .text import code_points, slices, sums
 
 BLANK = 0x20
@@ -242,6 +243,6 @@ def held_out(doc_id: str = "doc_id"):
 
 def op7_ngram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit(docs.where(~held_out()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

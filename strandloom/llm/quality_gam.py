@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import base_counts, char_histograms
-from ..storage import materialize
+from ..storage import materialize, spread
 from .text import Words, lines, repeated, slices, sums
 
 FEATURES = ["log_chars", "log_words", "word_length", "upper", "digits", "symbols", "marks", "punctuation", "pipes", "dup_lines", "repeat_words", "same_next", "distinct_words", "line_length", "beyond_ascii", "spaces", "ends_bare"]
@@ -234,5 +234,5 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    scored = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+    scored = classify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), labels)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

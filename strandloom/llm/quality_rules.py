@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .text import Words, code_points, lines, repeated, slices, spans_hash, sums
 
 N_CLASSES = 12
@@ -228,6 +229,6 @@ def judge(docs: DataFrame, refs: dict[str, dict], *, max_char: float = 0.28, max
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     judged = judge(docs, references(docs))
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import char_histograms
-from ..storage import materialize
+from ..storage import materialize, spread
 from .text import Texts, Words, mix, powers, slices
 
 FEATURES = ["hit_density", "strength_density", "hits", "strongest", "near_second_person", "capitals", "marks", "punctuation", "obfuscated", "obfuscated_hits", "log_words"]
@@ -210,5 +210,5 @@ def held_out(doc_id: str = "doc_id"):
 def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    scored = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+    scored = classify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), labels)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
