@@ -206,7 +206,10 @@ def fit(docs: DataFrame, *, dims: int = 1 << 14, per_class: int = 400, doc_id: s
     number = {name: k for k, name in enumerate(langs)}
     labels = np.array([number[x] for x in drawn.column("lang").to_pylist()], np.int64)
     part = drawn.column("part").to_numpy()
-    rows = [(np.asarray(a, np.int64), np.asarray(v) * idf[np.asarray(a, np.int64)] * SCALE) for a, v in zip(drawn.column("at").to_pylist(), drawn.column("value").to_pylist(), strict=True)]
+    lists = drawn.column("at").combine_chunks()
+    bounds = lists.offsets.to_numpy()
+    at, value = lists.values.to_numpy().astype(np.int64), drawn.column("value").combine_chunks().values.to_numpy()
+    rows = [(at[a:b], value[a:b] * idf[at[a:b]] * SCALE) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     # One order whatever the partitions were.
     order = sorted(range(len(rows)), key=lambda i: (labels[i], len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes()))
     rows, labels, part = [rows[i] for i in order], labels[order], part[order]
