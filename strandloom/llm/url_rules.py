@@ -1,18 +1,19 @@
 """URL filter: listed rules first, then association rules mined from labelled URLs.
 
 A URL is a set of tokens: its top-level domain, its domain, labels before it, path segments that are not
-numbers, extension, query keys, and whether it has a fragment. Spark's FP-growth mines token sets that
-come with the label ``block``. Of the rules ``tokens -> block``, those below the support, confidence or lift
-asked for are pruned, and those that a rule on fewer of the tokens makes redundant. Rules are matched by an
-inverted index: each is filed under its rarest token, so that a URL meets only rules it shares that
-token with.
+numbers, extension and query keys. All of a URL's tokens are mined and matched. Token sets that come with
+the label ``block`` are mined level by level: frequent tokens, then pairs, up to ``longest``. Of the rules
+``tokens -> block``, those below the support, confidence or lift asked for are pruned, and those that a rule on
+fewer of the tokens makes redundant. Rules are matched by an inverted index: each is filed under its rarest
+token, so that a URL meets only rules it shares that token with.
 
 Labels may come from any table; the query takes the verdicts of the listed rules, with URLs that none
 fits as background, so that what is mined generalises the list.
 
-Bounds: a URL has at most ``MOST_TOKENS`` tokens, and a mined set at least ``min_support`` of all rows, so
-that at most 2^MOST_TOKENS / min_support sets exist whatever the input's size; after pruning to
-``longest`` tokens, far fewer rules reach the driver.
+Bounds: tokens below the support are dropped by counts over all rows, and equal baskets of what is left are
+one row. A set is extended only if it fits fewer rows than each set of one token less, and if no kept rule within
+it makes every extension redundant; neither loses a rule, and tokens that always come together, as in a long
+URL, add no sets. What reaches the driver are such sets with their counts, of at most ``longest`` tokens each.
 
 Defined results: a null URL, or one without ``://``, has empty host, path and token set, fits no rule, and
 is allowed; equal URLs get equal verdicts; a tie between rules of equal length goes to the one that sorts
@@ -21,17 +22,18 @@ first; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-BLOCK = "verdict=block"
-MOST_TOKENS = 14
+# Counts that a task holds before it sends them on.
+HELD = 100_000
 # (verdict, host, path) of the listed rules.
 LISTED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +64,7 @@ def listed_rule(host: Column, path: Column, rules=None) -> tuple[Column, Column]
 
 
 def tokens_of(url: Column) -> Column:
-    """The distinct tokens of a URL, at most MOST_TOKENS."""
+    """The distinct tokens of a URL."""
     host, path = host_of(url), path_of(url)
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
@@ -78,27 +80,95 @@ def tokens_of(url: Column) -> Column:
         return F.transform(values, lambda x: F.concat(F.lit(kind + "="), x))
 
     parts = F.concat(named("tld", top), named("domain", domain), named("segment", segments), named("label", below), named("query", keys), F.when(extension != "", F.array(F.concat(F.lit("extension="), extension))).otherwise(F.array().cast("array<string>")))
-    return F.slice(F.array_distinct(F.coalesce(F.when(host != "", parts), F.array().cast("array<string>"))), 1, MOST_TOKENS)
+    return F.array_distinct(F.coalesce(F.when(host != "", parts), F.array().cast("array<string>")))
+
+
+def _within(basket: list[int], levels: list[set[tuple]]) -> list[tuple]:
+    """The sets within a sorted basket that have one token more than the last level's and all of whose parts are in the levels."""
+    found = [(t,) for t in basket]
+    for level in levels:
+        heads: dict[tuple, list[int]] = {}
+        for s in found:
+            if s in level:
+                heads.setdefault(s[:-1], []).append(s[-1])
+        longer = ((*head, *two) for head, last in heads.items() for two in combinations(last, 2))
+        found = [s for s in longer if all(s[:i] + s[i + 1 :] in level for i in range(len(s) - 2))]
+    return found
+
+
+def _counted(baskets: DataFrame, levels: list[set[tuple]]) -> DataFrame:
+    """own, n, blocked: in how many rows and blocked rows the next level's sets are; baskets: own, n, blocked."""
+
+    def batch_of(held: dict[tuple, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(s) for s in held], pa.list_(pa.int32())), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64())], ["own", "n", "blocked"])
+
+    def run(batches):
+        held: dict[tuple, list[int]] = {}
+        for batch in batches:
+            for own, n, blocked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s in _within(own, levels):
+                    x = held.setdefault(s, [0, 0])
+                    x[0] += n
+                    x[1] += blocked
+                if len(held) >= HELD:
+                    yield batch_of(held)
+                    held = {}
+        yield batch_of(held)
+
+    parts = baskets.select("own", "n", "blocked").mapInArrow(run, "own array<int>, n bigint, blocked bigint")
+    return parts.groupBy("own").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+
+
+def _reduced(baskets: DataFrame, number: dict[str, int]) -> DataFrame:
+    """own, n, blocked: the distinct baskets of numbered tokens, sorted, with their rows and blocked rows."""
+
+    def run(batches):
+        for batch in batches:
+            own = [sorted({number[t] for t in tokens if t in number}) for tokens in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["own", "b"])
+
+    kept = baskets.select("tokens", F.col("b").cast("bigint").alias("b")).mapInArrow(run, "own array<int>, b bigint").where(F.size("own") > 0)
+    return kept.groupBy("own").agg(F.count("*").alias("n"), F.sum("b").alias("blocked"))
 
 
 def mine(labelled: DataFrame, *, min_support: float = 0.004, min_rows: int = 20, min_confidence: float = 0.8, min_lift: float = 1.5, longest: int = 4, gain: float = 0.02) -> list[tuple[frozenset, float, float]]:
     """(tokens, confidence, support) of the rules; labelled: tokens, blocked.
 
     A rule rests on at least ``min_support`` of the rows and on ``min_rows`` of them, so that a small table does not
-    turn single URLs into rules.
+    turn single URLs into rules. It has blocked rows ``min_lift`` times as often as all rows have, or other rows
+    ``min_lift`` times as seldom: the first is out of reach where most rows are blocked.
     """
-    baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    n = baskets.count()
-    if n < min_rows:
+    baskets = labelled.select("tokens", F.coalesce("blocked", F.lit(False)).alias("b")).where((F.size("tokens") > 0) | (F.col("b") & F.col("tokens").isNotNull()))
+    n, total = baskets.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("bigint")), F.lit(0))).first()
+    if n < min_rows or total == 0:
+        return []
+    least = max(1, min_rows, math.ceil(min_support * n - 1e-9))
+    often = baskets.where("b").select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") >= least)
+    names = sorted(r.t for r in often.select("t").collect())
+    if not names:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets)
-    chosen = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= longest) & (F.col("lift") >= min_lift))
-    rows = sorted(((frozenset(r.antecedent), r.confidence, r.support) for r in chosen.select("antecedent", "confidence", "support").collect()), key=lambda r: (len(r[0]), sorted(r[0])))
-    kept: list[tuple[frozenset, float, float]] = []
-    for tokens, confidence, support in rows:
-        if not any(k < tokens and c + gain >= confidence for k, c, _ in kept):
-            kept.append((tokens, confidence, support))
-    return kept
+    reduced = materialize(_reduced(baskets, {t: i for i, t in enumerate(names)}))
+    kept: dict[tuple, tuple[float, float]] = {}
+    rows_of: dict[tuple, int] = {}
+    levels: list[set[tuple]] = []
+    for size in range(1, longest + 1):
+        level = set()
+        for r in sorted(_counted(reduced, levels).where(F.col("blocked") >= least).collect(), key=lambda r: r.own):
+            own, confidence = tuple(r.own), r.blocked / r.n
+            if any(rows_of.get(own[:i] + own[i + 1 :]) == r.n for i in range(size)):
+                continue  # fits the rows of a smaller set
+            within = [kept[s][0] for k in range(1, size) for s in combinations(own, k) if s in kept]
+            lifted = confidence / (total / n) >= min_lift or (n - total) * r.n >= min_lift * (r.n - r.blocked) * n
+            if confidence >= min_confidence and lifted and not any(c + gain >= confidence for c in within):
+                kept[own] = confidence, r.blocked / n
+                within.append(confidence)
+            rows_of[own] = r.n
+            if not any(c + gain >= 1 for c in within):
+                level.add(own)
+        if not level:
+            break
+        levels.append(level)
+    return sorted(((frozenset(names[i] for i in s), c, support) for s, (c, support) in kept.items()), key=lambda r: (len(r[0]), sorted(r[0])))
 
 
 def match(urls: DataFrame, rules: list[tuple[frozenset, float, float]], tokens: str = "tokens") -> DataFrame:

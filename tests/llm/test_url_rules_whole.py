@@ -1,0 +1,40 @@
+"""URL rules over all tokens of a URL, and over tables of which most rows are blocked."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from strandloom.llm import url_rules as u
+
+from .test_url_rules import mined_by_hand
+
+DEEP = "https://a.b.c.example.com/" + "/".join(f"s{i}" for i in range(25)) + "/{}/x?" + "&".join(f"k{i}=1" for i in range(12))
+
+
+def test_tokens_far_along_a_url_count(spark):
+    urls = [DEEP.format("bad" if i % 2 else "good") for i in range(80)]
+    df = spark.createDataFrame([(x, "/bad/" in x) for x in urls], "url string, blocked boolean").withColumn("tokens", u.tokens_of(F.col("url")))
+    assert all(f"segment={x}" in r.tokens and "query=k11" in r.tokens for r, x in zip(df.collect(), ["good", "bad"] * 40, strict=True))
+    rules = u.mine(df)
+    assert [(sorted(t), c, s) for t, c, s in rules] == [(["segment=bad"], 1.0, 0.5)]
+    assert [r.mined for r in u.match(df, rules).collect()] == [None, "segment=bad"] * 40
+
+
+def test_rules_where_most_rows_are_blocked(spark):
+    rows = [(["tld=com", f"segment=s{i % 3}"], True) for i in range(240)] + [(["tld=org", "segment=ok"], False)] * 60
+    rules = u.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    assert {"tld=com"} in [t for t, _, _ in rules] and not any("tld=org" in t for t, _, _ in rules)
+
+
+def test_long_baskets_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        # a and a' always come together; the label needs three tokens, with noise.
+        own = [t for t in "abcdefghijklmnopqr" if rng.random() < 0.6]
+        own += ["a'"] * ("a" in own)
+        rows.append((own, {"a", "b", "c"} <= set(own) and rng.random() < 0.93 or {"d", "e", "f", "g"} <= set(own)))
+    got = u.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.0)
+    want = mined_by_hand(rows, 20)
+    assert want and {len(t) for t, _ in want} >= {3, 4}
+    assert {(t, round(c, 9)) for t, c, _ in got} == {(t, round(c, 9)) for t, c in want}
