@@ -26,6 +26,16 @@ def seq_edge_coverage(nodes: DataFrame) -> DataFrame:
     return after.where("dst is not null").groupBy("gene_id", "src", "src_aa", "dst", "dst_aa").agg(F.count("*").alias("coverage"))
 
 
+def msa_edge_coverage(msa: DataFrame) -> DataFrame:
+    """seq_edge_coverage(msa_nodes(msa)), with the neighbours paired within each row: residues are not shuffled, only counts."""
+    cells = F.transform(F.split("aligned", ""), lambda x, i: F.struct(i.alias("seq_id"), x.alias("aa")))
+    rows = msa.select("gene_id", F.filter(cells, lambda c: (c["aa"] != "-") & (c["aa"] != "")).alias("c"))
+    pairs = F.arrays_zip(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))).alias("x"), F.slice("c", 2, F.size("c")).alias("y"))
+    each = rows.where(F.size("c") > 1).select("gene_id", F.explode(pairs).alias("p"))
+    ends = each.select("gene_id", F.col("p.x.seq_id").alias("src"), F.col("p.x.aa").alias("src_aa"), F.col("p.y.seq_id").alias("dst"), F.col("p.y.aa").alias("dst_aa"))
+    return ends.groupBy("gene_id", "src", "src_aa", "dst", "dst_aa").agg(F.count("*").alias("coverage"))
+
+
 def extract_genes(genes: DataFrame, sequences: DataFrame) -> DataFrame:
     """id, fna, faa of genes that fit their sequence: forward DNA in upper case, and the protein read on the gene's strand.
 

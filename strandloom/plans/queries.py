@@ -296,7 +296,7 @@ def seq_node_coverage(s, d):
 
 @query
 def seq_edge_coverage(s, d):
-    return Q.seq_edge_coverage(Q.msa_nodes(D.msa(s, d)))
+    return Q.msa_edge_coverage(D.msa(s, d))
 
 
 @query

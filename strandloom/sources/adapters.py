@@ -89,11 +89,13 @@ def dna(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def msa(spark: SparkSession, folder: str) -> DataFrame:
-    """gene_id, seqname, aligned: sequences of 60 columns with gaps; families are numbered by name."""
-    long = dna(spark, folder).where(F.length("seq") >= 60)
-    families = number_rows(long.select("family").distinct(), ["family"], "gene_id", first=1)
-    gaps = F.rpad(F.translate(F.substring("seq", 1, 60), "T", "-"), 60, "-")
-    return long.join(families, "family").select("gene_id", F.col("id").alias("seqname"), gaps.alias("aligned"))
+    """gene_id, seqname, aligned: whole sequences with gaps; families are numbered by name.
+
+    Rows are not padded to the longest of their family: residues are counted by column, and gaps leave none.
+    """
+    all_ = dna(spark, folder)
+    families = number_rows(all_.select("family").distinct(), ["family"], "gene_id", first=1)
+    return all_.join(families, "family").select("gene_id", F.col("id").alias("seqname"), F.translate("seq", "T", "-").alias("aligned"))
 
 
 def fetch_windows(spark: SparkSession, folder: str) -> DataFrame:
