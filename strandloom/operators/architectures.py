@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .numbering import number_rows
 
+# Rows of a block of path_distances, and numbers a task holds at once.
+BLOCK, CELLS = 256, 1 << 21
+
 
 def gathered(steps: DataFrame) -> DataFrame:
     """name, path: the steps of each path in order."""
@@ -36,13 +41,87 @@ def all_pairwise(ids: DataFrame, column: str) -> DataFrame:
     return one.join(one.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
 
 
+def _edits(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levenshtein distances of all rows of a with all of b, and whether they share a value; padding of a and b differs."""
+    n, m = len(a), len(b)
+    before = np.broadcast_to(np.arange(b.shape[1] + 1, dtype=np.int32)[:, None, None], (b.shape[1] + 1, n, m)).copy()
+    now, out, shared = np.empty_like(before), np.broadcast_to(b_size.astype(np.int32), (n, m)).copy(), np.zeros((n, m), bool)
+    for i in range(1, a.shape[1] + 1):
+        now[0] = i
+        for j in range(1, b.shape[1] + 1):
+            same = a[:, i - 1, None] == b[None, :, j - 1]
+            shared |= same
+            np.minimum(np.minimum(before[j], now[j - 1]) + 1, before[j - 1] + ~same, out=now[j])
+        ended = np.flatnonzero(a_size == i)
+        out[ended] = now[b_size[None, :], ended[:, None], np.arange(m)[None, :]]
+        before, now = now, before
+    return out, shared
+
+
+def _padded(ids: list[list[int]], fill: int, back: bool = False) -> np.ndarray:
+    out = np.full((len(ids), max(map(len, ids), default=0)), fill, np.int64)
+    for k, x in enumerate(ids):
+        out[k, : len(x)] = x[::-1] if back else x
+    return out
+
+
+def _block_distances(a: list, b: list, same: bool):
+    """Index arrays and distances of the pairs of two blocks of (id, ids); for a block with itself, of each pair in one order."""
+    names = {x: k for k, x in enumerate(sorted({x for x, _ in a + b}))}
+    code: dict = {}
+    b_ids = [[code.setdefault(x, len(code)) for x in ids] for _, ids in b]
+    a_ids = [[code.setdefault(x, len(code)) for x in ids] for _, ids in a]
+    b_rank, b_size = np.array([names[x] for x, _ in b]), np.array([len(x) for x in b_ids])
+    forward, backward = _padded(b_ids, -2), _padded(b_ids, -2, True)
+    step = max(1, CELLS // ((forward.shape[1] + 1) * len(b)))
+    for at in range(0, len(a), step):
+        part = a_ids[at : at + step]
+        size, padded = np.array([len(x) for x in part]), _padded(part, -1)
+        rank = np.array([names[x] for x, _ in a[at : at + step]])
+        # Reading both ids backwards changes nothing, so two of the four forms are enough.
+        edits, shared = _edits(padded, size, forward, b_size)
+        turned, _ = _edits(padded, size, backward, b_size)
+        distance = np.where(shared, np.minimum(edits, turned) / np.maximum(np.minimum(size[:, None], b_size[None, :]), 1), 1.0)
+        i, j = np.nonzero(rank[:, None] < b_rank[None, :] if same else rank[:, None] != b_rank[None, :])
+        yield i + at, j, rank[i] > b_rank[j], edits[i, j], distance[i, j]
+
+
 def path_distances(named: DataFrame) -> DataFrame:
-    """a, b, distance over pairs of rows (id, ids: array) with a < b."""
-    a, b = named.select(F.col("id").alias("a"), F.col("ids").alias("a_ids")), named.select(F.col("id").alias("b"), F.col("ids").alias("b_ids"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", P.edit_distance(F.col("a_ids"), F.col("b_ids")).alias("edits"), P.normalised_distance(F.col("a_ids"), F.col("b_ids")).alias("distance"))
+    """a, b, edits, distance over all pairs of rows (id, ids: array) with a < b.
+
+    As all_pairwise, quadratic in what it returns. Rows are numbered by length and cut into blocks; each pair of blocks is
+    one group of an equi-join on the two blocks' numbers, so every row is sent once per block.
+    """
+    kind = named.schema["id"].dataType.simpleString()
+    rows = number_rows(named.select("id", "ids").withColumn("_n", F.size("ids")), ["_n", "id"], "_at")
+    blocks = -(-rows.count() // BLOCK)
+    own = F.floor(F.col("_at") / BLOCK).cast("int")
+    each = rows.select("id", "ids", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("other"))
+    sent = each.select("id", "ids", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, own = list(zip(table.column("id").to_pylist(), table.column("ids").to_pylist(), strict=True)), table.column("own").to_pylist()
+        left, right = ([x for x, o in zip(ids, own, strict=True) if o == k] for k in (i, j))
+        a, b, edits, distance = [], [], [], []
+        typ = table.schema.field("id").type
+        names = [pa.array([x for x, _ in side], typ) for side in (left, right)]
+        both = pa.concat_arrays(names)
+        for x, y, swap, e, d in _block_distances(left, right, i == j):
+            y = y + len(left)
+            a.append(both.take(pa.array(np.where(swap, y, x))))
+            b.append(both.take(pa.array(np.where(swap, x, y))))
+            edits.append(pa.array(e, pa.int32()))
+            distance.append(pa.array(d, pa.float64()))
+        return pa.table({"a": pa.chunked_array(a, typ), "b": pa.chunked_array(b, typ), "edits": pa.chunked_array(edits, pa.int32()), "distance": pa.chunked_array(distance, pa.float64())})
+
+    cores = named.sparkSession.sparkContext.defaultParallelism
+    dealt = sent.repartition(max(cores, blocks * (blocks + 1) // 16), "i", "j")
+    return dealt.groupBy("i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, edits int, distance double")
 
 
 def distance_matrix(distances: DataFrame, ids: DataFrame) -> DataFrame:
     """a, b, distance in long form: symmetric, 0 on the diagonal."""
-    one = distances.select("a", "b", "distance")
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")))
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = distances.select(ways.alias("w"), "distance").select("w.a", "w.b", "distance")
+    return both.unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")))

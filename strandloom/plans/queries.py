@@ -402,25 +402,25 @@ def canonical_path(s, d):
     return R.canonical_paths(R.gathered(D.read_steps(s, d))).select("name", P.rendered(F.col("path")).alias("path"))
 
 
-def _short_paths(s: SparkSession, d: str) -> DataFrame:
-    """Distinct id sequences of three or four steps, named by their rendering."""
-    ids = R.gathered(D.read_steps(s, d)).select(P.ids(F.col("path")).alias("ids")).where("size(ids) between 3 and 4").distinct()
+def _id_paths(s: SparkSession, d: str) -> DataFrame:
+    """Distinct id sequences, named by their rendering."""
+    ids = R.gathered(D.read_steps(s, d)).select(P.ids(F.col("path")).alias("ids")).distinct()
     return ids.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("id"), "ids")
 
 
 @query
 def path_edit_distance(s, d):
-    return R.path_distances(_short_paths(s, d)).select("a", "b", "edits")
+    return R.path_distances(_id_paths(s, d)).select("a", "b", "edits")
 
 
 @query
 def path_norm_distance(s, d):
-    return R.path_distances(_short_paths(s, d)).select("a", "b", F.round("distance", 6).alias("distance"))
+    return R.path_distances(_id_paths(s, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query
 def path_distance_matrix(s, d):
-    named = _short_paths(s, d).where("size(ids) = 3")
+    named = _id_paths(s, d)
     return R.distance_matrix(R.path_distances(named), named).withColumn("distance", F.round("distance", 6))
 
 

@@ -1,7 +1,10 @@
 """Queries over small tables, against plain Python: no row, step or letter may be left out."""
 
+import random
 from collections import Counter
+from datetime import date
 
+from strandloom.operators import architectures as R
 from strandloom.plans.queries import QUERIES
 
 
@@ -29,3 +32,59 @@ def test_residues_of_whole_and_short_sequences(spark, tmp_path):
     assert rows(QUERIES["seq_node_coverage"](spark, d)) == Counter((*c, 1, n) for c, n in counts.items())
     pairs = Counter((a[0], a[2], a[3], b[2], b[3]) for a, b in zip(nodes, nodes[1:]) if a[1] == b[1])
     assert rows(QUERIES["seq_edge_coverage"](spark, d)) == Counter((*c, n) for c, n in pairs.items())
+
+
+PARTS = [(i, f"Brand#{i % 3}", f"part {i}", "x" * (10 + i % 5), 1 + i * 7 % 50) for i in range(1, 120)]
+LINES = [(o, k, (o * o + 5 * k * o + k) % 119 + 1, "OF"[(o + k) % 2]) for o in range(1, 25) for k in range(1, 1 + o % 8)]
+
+
+def orders(spark, folder):
+    spark.createDataFrame(PARTS, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    lines = [(o, k, p, 1, 1.0, date(2020, 1, 1), 1.0, 0.0, 0.0, s) for o, k, p, s in LINES]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate date, l_quantity double, l_discount double, l_tax double, l_linestatus string").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(o,) for o in range(1, 25)], "o_orderkey long").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def steps_of():
+    """name -> [(id, ori)]"""
+    out = {}
+    for o, _, p, s in sorted(LINES):
+        kind = PARTS[p - 1][3]
+        out.setdefault(f"r{o}", []).append((len(kind) + ord("x") % 7, "+" if s == "O" else "-"))
+    return out
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def norm(a, b):
+    return min(edits(a, b), edits(a, b[::-1]), edits(a[::-1], b), edits(a[::-1], b[::-1])) / min(len(a), len(b)) if set(a) & set(b) else 1.0
+
+
+def test_distances_of_paths_of_any_length(spark, tmp_path):
+    d = orders(spark, tmp_path)
+    named = {",".join(map(str, x)): x for x in ([i for i, _ in p] for p in steps_of().values())}
+    assert {1, 2, 5, 7} <= {len(x) for x in named.values()}
+    pairs = [(a, b) for a in named for b in named if a < b]
+    assert rows(QUERIES["path_edit_distance"](spark, d)) == Counter((a, b, edits(named[a], named[b])) for a, b in pairs)
+    far = {(a, b): round(norm(named[a], named[b]), 6) for a, b in pairs}
+    assert rows(QUERIES["path_norm_distance"](spark, d)) == Counter((*p, x) for p, x in far.items())
+    whole = far | {(b, a): x for (a, b), x in far.items()} | {(a, a): 0.0 for a in named}
+    assert rows(QUERIES["path_distance_matrix"](spark, d)) == Counter((*p, x) for p, x in whole.items())
+
+
+def test_distances_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    named = {k: [rng.randrange(30) for _ in range(rng.randrange(1, 12))] for k in range(60)}
+    monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(R, "CELLS", 100)
+    got = R.path_distances(spark.createDataFrame(list(named.items()), "id long, ids array<int>"))
+    want = {(a, b): (edits(named[a], named[b]), round(norm(named[a], named[b]), 9)) for a in named for b in named if a < b}
+    assert {(r.a, r.b): (r.edits, round(r.distance, 9)) for r in got.collect()} == want and got.count() == len(want)
