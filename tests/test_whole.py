@@ -88,3 +88,12 @@ def test_distances_in_many_blocks(spark, monkeypatch):
     got = R.path_distances(spark.createDataFrame(list(named.items()), "id long, ids array<int>"))
     want = {(a, b): (edits(named[a], named[b]), round(norm(named[a], named[b]), 9)) for a in named for b in named if a < b}
     assert {(r.a, r.b): (r.edits, round(r.distance, 9)) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_labels_of_every_path(spark, tmp_path):
+    want = Counter()
+    for name, path in steps_of().items():
+        for k in range(1, len(path)):
+            want[name, str(path[k - 1][0]), str(path[k][0]) + (path[k][1] if k == len(path) - 1 else "")] += 1
+    got = QUERIES["generate_labels"](spark, orders(spark, tmp_path))
+    assert rows(got.select("name", "source", "target")) == want and len({n for n, _, _ in want}) > 3
