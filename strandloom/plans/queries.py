@@ -160,9 +160,9 @@ def syntenic_anchors_same_ori(s, d):
 
 
 def _between_references(s: SparkSession, d: str) -> DataFrame:
-    """Alignments of a brand's sequence to another brand's, at the read's place."""
-    own = D.genes(s, d).where("id % 25 = 0").select(F.col("id").alias("k"), F.col("ref").alias("qref"), F.col("gstart").alias("qstart"), (F.col("gstart") + 200).alias("qend"))
-    there = D.genes(s, d).where("id % 25 = 0").select((F.col("id") - 25).alias("k"), F.col("ref").alias("rname"), F.col("gstart").alias("rstart"), (F.col("gstart") + 210).alias("rend"))
+    """Alignments of a brand's sequence to another brand's, at the read's place: one from every gene."""
+    own = D.genes(s, d).select(F.col("id").alias("k"), F.col("ref").alias("qref"), F.col("gstart").alias("qstart"), (F.col("gstart") + 200).alias("qend"))
+    there = D.genes(s, d).select((F.col("id") - 25).alias("k"), F.col("ref").alias("rname"), F.col("gstart").alias("rstart"), (F.col("gstart") + 210).alias("rend"))
     return own.join(there, "k").where("qref <> rname").withColumnRenamed("k", "line_no")
 
 

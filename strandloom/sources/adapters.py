@@ -99,5 +99,5 @@ def msa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fetch_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """ref, wstart, wend: a window of 300 at every tenth gene."""
-    return genes(spark, folder).where(F.col("gstart") % 600 == 0).select("ref", F.col("gstart").alias("wstart"), (F.col("gstart") + 300).cast("int").alias("wend"))
+    """ref, wstart, wend: a window of 300 at every gene."""
+    return genes(spark, folder).select("ref", F.col("gstart").alias("wstart"), (F.col("gstart") + 300).cast("int").alias("wend"))

@@ -97,3 +97,40 @@ def test_labels_of_every_path(spark, tmp_path):
             want[name, str(path[k - 1][0]), str(path[k][0]) + (path[k][1] if k == len(path) - 1 else "")] += 1
     got = QUERIES["generate_labels"](spark, orders(spark, tmp_path))
     assert rows(got.select("name", "source", "target")) == want and len({n for n, _, _ in want}) > 3
+
+
+def genes_of():
+    """id -> (ref, gstart, gend, ori)"""
+    slot, out = Counter(), {}
+    for i, ref, _, _, size in PARTS:
+        at = slot[ref] * 60
+        out[i], slot[ref] = (ref, at, at + 20 + size, "-+"[i % 2 == 0]), slot[ref] + 1
+    return out
+
+
+def inside(genes, ref, start, end):
+    """Genes that reach into a span, without those at its ends that are covered by less than half."""
+    found = sorted((a, b, i) for i, (r, a, b, _) in genes.items() if r == ref and a < end and b > start)
+    poor = {(a, b, i) for a, b, i in {found[0], found[-1]} if (min(end, b) - max(start, a)) / (b - a + 1) < 0.5} if found else set()
+    return [i for a, b, i in found if (a, b, i) not in poor]
+
+
+def test_anchors_and_windows_of_every_gene(spark, tmp_path):
+    d, genes = orders(spark, tmp_path), genes_of()
+    want, same = Counter(), Counter()
+    for i, (ref, a, _, _) in genes.items():
+        if i + 25 not in genes or genes[i + 25][0] == ref:
+            continue
+        other, b = genes[i + 25][:2]
+        for q in inside(genes, ref, a, a + 200):
+            ps, pe = (int(210 * (x - a) / 200 + b) for x in genes[q][1:3])
+            hits = inside(genes, other, ps, pe)
+            want.update((i, q, g) for g in hits)
+            same.update((i, q, g) for g in hits if all(genes[x][3] == genes[q][3] for x in hits))
+    assert len({i for i, _, _ in want}) > 50
+    assert rows(QUERIES["syntenic_anchors"](spark, d)) == want
+    assert rows(QUERIES["syntenic_anchors_same_ori"](spark, d)) == same
+    windows = {(r, a, a + 300) for r, a, _, _ in genes.values()}
+    held = [(i, r, a, b, w, e) for i, (r, a, b, _) in genes.items() for x, w, e in windows if x == r and w <= a and e + 1 >= b]
+    assert rows(QUERIES["gff_contained"](spark, d)) == Counter((i, r, w, e) for i, r, _, _, w, e in held)
+    assert rows(QUERIES["gff_contained_normalized"](spark, d)) == Counter((i, f"{r}_{w}_{e}", a - w, b - w) for i, r, a, b, w, e in held)
