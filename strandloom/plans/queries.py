@@ -201,7 +201,7 @@ def multimap_intervals(s, d):
 @query
 def family_sequences(s, d):
     families = s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").cast("int").alias("id"), (F.col("doc_id") % 7).cast("int").alias("family_no"))
-    return families.join(D.dna(s, d).select("id", "seq"), "id").select("family_no", "id", F.length("seq").alias("n"), F.substring("seq", 1, 20).alias("head"))
+    return families.join(D.dna(s, d).select("id", "seq"), "id").select("family_no", "id", F.length("seq").alias("n"), "seq")
 
 
 # Aggregations
@@ -435,15 +435,21 @@ def dna2protein(s, d):
 
 @query
 def fetch_subsequences(s, d):
-    """The last 10 and the first 15 bases of sequences of 30 or more, read round the end."""
+    """Windows of 25 bases over the whole of every sequence, the last one read round the end; a shorter sequence is one window."""
     n = F.length("seq")
-    return D.dna(s, d).where(n >= 30).select("id", S.subsequence(F.col("seq"), n - 10, n + 15).alias("seq"), S.subsequence(F.col("seq"), F.lit(3), F.lit(20)).alias("inner"))
+    starts = D.dna(s, d).where(n > 0).select("id", "seq", F.explode(F.sequence(F.lit(0), n - 1, F.lit(25))).alias("start"))
+    return starts.select("id", "start", S.subsequence(F.col("seq"), F.col("start"), F.col("start") + F.least(F.lit(25), n)).alias("seq"))
 
 
 @query
 def extract_genes(s, d):
+    """Genes of 90 bases, end to end over the whole of every sequence, with shorter ones before the first and at the end."""
     spans = D.dna(s, d).select(F.col("id").alias("seq_key"), "seq")
-    wanted = spans.select(F.col("seq_key").alias("id"), "seq_key", (F.col("seq_key") % 40).cast("int").alias("gstart"), (F.col("seq_key") % 40 + 90).cast("int").alias("gend"), F.when(F.col("seq_key") % 2 == 0, "+").otherwise("-").alias("ori"))
+    n, first = F.length("seq"), (F.col("seq_key") % 40).cast("int")
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.sequence(first, F.greatest(first, n - 1), F.lit(90))))
+    placed = spans.where(n > 0).select("seq_key", n.alias("n"), first.alias("first"), F.explode(starts).alias("gstart")).where("gstart < n")
+    gend = F.least(F.when(F.col("gstart") < F.col("first"), F.col("first")).otherwise(F.col("gstart") + 90), F.col("n"))
+    wanted = placed.select(F.concat_ws("_", F.col("seq_key").cast("string"), F.col("gstart").cast("string")).alias("id"), "seq_key", "gstart", gend.alias("gend"), F.when(F.col("seq_key") % 2 == 0, "+").otherwise("-").alias("ori"))
     return Q.extract_genes(wanted, spans)
 
 

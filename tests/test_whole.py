@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import date
 
+from strandloom.functions.sequences import CODONS
 from strandloom.operators import architectures as R
 from strandloom.plans.queries import QUERIES
 
@@ -134,3 +135,20 @@ def test_anchors_and_windows_of_every_gene(spark, tmp_path):
     held = [(i, r, a, b, w, e) for i, (r, a, b, _) in genes.items() for x, w, e in windows if x == r and w <= a and e + 1 >= b]
     assert rows(QUERIES["gff_contained"](spark, d)) == Counter((i, r, w, e) for i, r, _, _, w, e in held)
     assert rows(QUERIES["gff_contained_normalized"](spark, d)) == Counter((i, f"{r}_{w}_{e}", a - w, b - w) for i, r, a, b, w, e in held)
+
+
+def test_whole_sequences_genes_and_windows(spark, tmp_path):
+    d, seqs = documents(spark, tmp_path), {i: letters(t) for i, _, t in TEXTS}
+    spark.createDataFrame([(i,) for i in seqs], "doc_id long").write.parquet(f"{d}/labels.parquet")
+    assert rows(QUERIES["family_sequences"](spark, d)) == Counter((i % 7, i, len(x), x) for i, x in seqs.items())
+    windows = [(i, k, (x + x)[k : k + min(25, len(x))]) for i, x in seqs.items() for k in range(0, len(x), 25)]
+    assert rows(QUERIES["fetch_subsequences"](spark, d)) == Counter(windows)
+    genes = Counter()
+    for i, x in seqs.items():
+        cuts = sorted({0, *range(i % 40, max(len(x), i % 40), 90)} - {len(x)})
+        for a, b in zip(cuts, [*cuts[1:], len(x)]):
+            fna = x[a:b]
+            read = fna if i % 2 == 0 else fna[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            genes[f"{i}_{a}", fna, "".join(CODONS[read[k : k + 3]] for k in range(0, len(read) - 2, 3)).replace("_", "")] += 1
+    assert rows(QUERIES["extract_genes"](spark, d)) == genes
+    assert sum(len(x) for _, x, _ in genes) == sum(map(len, seqs.values()))
