@@ -35,6 +35,12 @@ def architectures(canonical: DataFrame) -> DataFrame:
     return number_rows(shown, [F.desc("n"), "path"], "id")
 
 
+def architecture_names(canonical: DataFrame, numbered: DataFrame) -> DataFrame:
+    """id, name: every path of every architecture, one row each; canonical: name, path; numbered: what architectures gave."""
+    named = canonical.select("name", P.rendered(F.col("path")).alias("path"))
+    return named.join(numbered.select("id", "path"), "path").select("id", "name")
+
+
 def all_pairwise(ids: DataFrame, column: str) -> DataFrame:
     """a, b: every pair of distinct ids with a < b. The result is quadratic; meant for summaries such as architectures."""
     one = ids.select(F.col(column).alias("a")).distinct()

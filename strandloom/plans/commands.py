@@ -66,6 +66,11 @@ def path_metrics(paths: DataFrame, *, min_length: int = 1) -> DataFrame:
     return R.architectures(R.canonical_paths(paths, min_length))
 
 
+def path_names(paths: DataFrame, metrics: DataFrame, *, min_length: int = 1) -> DataFrame:
+    """id, name: all paths of each architecture that path_metrics gave with the same min_length."""
+    return R.architecture_names(R.canonical_paths(paths, min_length), metrics)
+
+
 def alignment_metrics(aln: DataFrame, reads: DataFrame, *, min_mapq: int = 10, min_clipping: int = 300) -> dict[str, DataFrame]:
     """The six reports. reads: qname, length."""
     kept = aln.where(F.col("mapq") >= min_mapq).drop("query_length").join(reads.withColumnRenamed("length", "query_length"), "qname")

@@ -12,6 +12,7 @@ from ..operators import projection as J
 from ..operators import residues as Q
 from ..operators import text as T
 from ..sources import formats, writers
+from ..storage import materialize
 from . import commands
 
 
@@ -82,14 +83,20 @@ def sequence_graph(spark: SparkSession, msas: dict[int, str], out: str) -> None:
 
 
 def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1, directed: bool = False) -> None:
-    """out/architectures: ID, Path, SingleOri, Count, and a name; an undirected graph must have every edge both ways."""
+    """out/architectures: ID, Path, SingleOri, Count, and the first name; out/architecture_names: ID and Name of all paths.
+
+    An undirected graph must have every edge both ways.
+    """
     lines = formats.read_lines(spark, gfa)
     faults = formats.graph_faults(formats.gfa_node_table(lines), formats.gfa_edge_table(lines), directed)
     if not faults.isEmpty():
         raise ValueError(f"not a proper graph: {faults.limit(3).collect()}")
-    found = commands.path_metrics(formats.parse_gfa_paths(lines), min_length=min_length)
+    paths = formats.parse_gfa_paths(lines)
+    found = materialize(commands.path_metrics(paths, min_length=min_length))
     table = found.select(F.col("id").alias("ID"), F.col("path").alias("Path"), F.col("single_ori").alias("SingleOri"), F.col("n").alias("Count"), F.col("first_name").alias("Name")).orderBy("ID")
     writers.write_table(table, f"{out}/architectures", header=True)
+    names = commands.path_names(paths, found, min_length=min_length).select(F.col("id").alias("ID"), F.col("name").alias("Name"))
+    writers.write_table(names.orderBy("ID", "Name"), f"{out}/architecture_names", header=True)
 
 
 def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, **options) -> None:

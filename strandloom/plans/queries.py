@@ -283,6 +283,13 @@ def path_architectures(s, d):
     return R.architectures(R.canonical_paths(R.gathered(D.read_steps(s, d))))
 
 
+@query
+def path_architecture_names(s, d):
+    """All paths of the architectures of path_architectures."""
+    canonical = R.canonical_paths(R.gathered(D.read_steps(s, d)))
+    return R.architecture_names(canonical, R.architectures(canonical))
+
+
 @query
 def edge_labels(s, d):
     return G.edge_labels(D.read_steps(s, d))

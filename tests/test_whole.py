@@ -1,11 +1,13 @@
 """Queries over small tables, against plain Python: no row, step or letter may be left out."""
 
+import glob
 import random
 from collections import Counter
 from datetime import date
 
 from strandloom.functions.sequences import CODONS
 from strandloom.operators import architectures as R
+from strandloom.plans import files
 from strandloom.plans.queries import QUERIES
 
 
@@ -152,3 +154,17 @@ def test_whole_sequences_genes_and_windows(spark, tmp_path):
             genes[f"{i}_{a}", fna, "".join(CODONS[read[k : k + 3]] for k in range(0, len(read) - 2, 3)).replace("_", "")] += 1
     assert rows(QUERIES["extract_genes"](spark, d)) == genes
     assert sum(len(x) for _, x, _ in genes) == sum(map(len, seqs.values()))
+
+
+def test_all_names_of_an_architecture(spark, tmp_path):
+    d = orders(spark, tmp_path)
+    shown = {r.id: (r.n, r.first_name) for r in QUERIES["path_architectures"](spark, d).collect()}
+    named = {}
+    for r in QUERIES["path_architecture_names"](spark, d).collect():
+        named.setdefault(r.id, []).append(r.name)
+    assert {k: (len(x), min(x)) for k, x in named.items()} == shown
+    assert sorted(x for names in named.values() for x in names) == sorted(steps_of())
+    (tmp_path / "x.gfa").write_text("H\tx\nS\t1\t\tFC:i:4\nS\t2\t\tFC:i:3\nL\t1\t+\t2\t+\t\tFC:i:2\nL\t2\t+\t1\t+\t\tFC:i:1\nP\tb\t1+,2+\t9\nP\ta\t2-,1-\t9\nP\tc\t1+\t9\nP\td\t1+,2+\t3\n")
+    files.path_metrics(spark, f"{tmp_path}/x.gfa", f"{tmp_path}/out", min_length=5)
+    got = [x for f in sorted(glob.glob(f"{tmp_path}/out/architecture_names/part-*")) for x in open(f).read().splitlines() if x != "ID\tName"]
+    assert got == ["0\ta", "0\tb", "1\tc"]
