@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(id, component) of every node of an edge; component is the least id reachable.
 
     Rows with a null end and self-loops link nothing (a node with a self-loop alone is its own component).
-    Every round's edges are written to the shared folder, so lost executors cost one round at most.
+    Every round's edges are written to the shared folder, so lost executors cost one round at most; the tables of the round
+    before are removed.
     """
     ends = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
     loops = ends.where("src = dst").select(F.col("src").alias("id")).distinct()
@@ -38,12 +39,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     mark = _mark(now)
     for _ in range(most_rounds):
         pairs = _both(now)
-        linked = pairs.join(_least(pairs), "src").where("dst > src")
+        least = _least(pairs)
+        linked = pairs.join(least, "src").where("dst > src")
         down = materialize(linked.select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct())
-        least = _least(down)
-        linked = down.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        now = materialize(linked.unionByName(least.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct())
+        least_down = _least(down)
+        linked = down.join(least_down, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        last, now = now, materialize(linked.unionByName(least_down.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct())
         before, mark = mark, _mark(now)
+        release(last, least, down, least_down)
         if mark == before:
             break
     else:

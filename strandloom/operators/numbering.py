@@ -1,4 +1,4 @@
-"""Consecutive numbers over a whole table, without one task that sorts it all."""
+"""Consecutive numbers over a whole table or within its groups, without one task that sorts them all."""
 
 from __future__ import annotations
 
@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
-def number_rows(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
-    """Adds ``name``: first, first + 1, ... in the given order.
+def number_rows(df: DataFrame, order: list, name: str, first: int = 0, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``name``: first, first + 1, ... in the given order; anew in every group of the columns ``within``.
 
-    Rows are sorted into ranges; the sizes of the ranges (one row per partition) give each its first number.
-    Ranges are written before they are counted, so that counting and numbering see the same ones.
+    Rows are sorted into ranges; the sizes of the ranges give each its first number (one row per range, and one more per
+    group). Ranges are written before they are counted, so that counting and numbering see the same ones.
+    Rows that are equal in every column of the order are told apart by a running id, so that many of them do not
+    meet in one range; which of them comes first is left open.
     """
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    numbered = ranged.withColumn("_k", inside).join(F.broadcast(starts), "_range")
-    return numbered.withColumn(name, F.col("_before") + F.col("_k") - 1 + first).drop("_range", "_k", "_before")
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = materialize(tied.repartitionByRange(*within, *order, "_tie").withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*within, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*order, "_tie"))
+    numbered = ranged.withColumn("_k", inside)
+    if within:  # null-safe, as groups may be null
+        there = starts.select(*(F.col(c).alias(f"_{c}") for c in within), F.col("_range").alias("_at"), "_before")
+        same = F.col("_range") == F.col("_at")
+        for c in within:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        numbered = numbered.join(there, same).drop("_at", *(f"_{c}" for c in within))
+    else:
+        numbered = numbered.join(F.broadcast(starts), "_range")
+    return numbered.withColumn(name, F.col("_before") + F.col("_k") - 1 + first).drop("_range", "_k", "_before", "_tie")

@@ -7,34 +7,55 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Bytes of a Parquet row group of an intermediate table: what a writing task holds in memory.
+ROW_GROUP = 32 << 20
+# Bytes per core up to which a table counts as small (see spread).
+SMALL = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one, set on the session, only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset: a temporary one under a local master, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors.
 
-    The files are removed when the driver's JVM ends.
+    The files are removed by ``release``, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``materialize`` gave and that nothing reads any more."""
+    for df in tables:
+        place, files = _place(df.sparkSession, df.table_path)
+        files.delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a few large row groups of a small table would keep most idle.
+    """A small df over at least as many partitions as there are cores: a few large row groups would keep most of them idle.
 
-    A table of many splits, as any large one, is left as it is.
+    A table of more than SMALL bytes a core, or of many splits, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size > cores * SMALL or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
