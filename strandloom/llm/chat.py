@@ -3,19 +3,20 @@
 A template is any function from a list of (role, text) turns to a string. Turns are located without
 knowing how it works: prefixes of the conversation are rendered turn by turn and consecutive outputs
 compared. As long as each output continues the one before, turn k owns what output k adds. Inside its
-span, the text is what stands where one unused character shows up when the turn is rendered with that as its
-text; what is around it is the template's. A template that changes what it wrote for earlier turns (``rewrites``) breaks
+span, the text is what stands where an unused string (private-use characters, more in a row than the output has) shows
+up when the turn is rendered with that as its text; what is around it is the template's. A template that changes what it wrote for earlier turns (``rewrites``) breaks
 the first condition; then no span is trusted from there on and the row says so.
 
 ``marked`` is the template used by default: ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings of this
 and other common templates are escaped inside roles and texts by a backslash after their first character
 (a backslash itself is doubled), so that none is left to a tokenizer, and escaping can be undone.
 
-A conversation becomes one string, so its turns meet in one row; different conversations never do.
+A conversation becomes one string, so its turns meet in one row; different conversations never do. A row
+holds less than 2 GB; rendering its prefixes takes time by the square of its turns.
 
-Defined results: null texts and roles count as empty; rows are ordered by turn, null first, equal ones by
-role and text; a repeated row is a turn of its own; null conversation ids form one conversation; an empty
-table gives no conversation; other columns are ignored.
+Defined results: null texts and roles count as empty; very long texts are formatted whole; rows are ordered by
+turn, null first, equal ones by role and text; a repeated row is a turn of its own; null conversation
+ids form one conversation; an empty table gives no conversation; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = [START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>"]
 _SPECIAL = re.compile("|".join([r"\\", *(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROL)]))
 
+PRIVATE = "\ue000"
 _ROLE = re.compile(r"(?:[^\\\n]|\\[\s\S])*")
 
 
@@ -72,6 +74,11 @@ class Rendered:
     rewrites: bool
 
 
+def _absent(text: str) -> str:
+    """A string of private-use characters that is not in text: one more of them than its longest run."""
+    return PRIVATE * (1 + max((len(m[0]) for m in re.finditer(f"{PRIVATE}+", text)), default=0))
+
+
 def render(template: Callable[[Turns], str], turns: Turns) -> Rendered:
     """Renders successive prefixes and compares consecutive outputs."""
     before = template([])
@@ -81,7 +88,7 @@ def render(template: Callable[[Turns], str], turns: Turns) -> Rendered:
         now = template(turns[:k])
         if not now.startswith(before):
             return Rendered(template(turns), spans, inner, True)
-        probe = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in now)
+        probe = _absent(now)
         other = template([*turns[: k - 1], (turns[k - 1][0], probe)])
         own, shown = now[len(before) :], other[len(before) :]
         head, found, tail = shown.partition(probe)

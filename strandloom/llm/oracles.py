@@ -107,8 +107,8 @@ SHARDS = f"""WITH t AS (SELECT {_STEPS} AS crc_table),
 b AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
 x AS (SELECT doc_id, key, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, v: xor(crc_table[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM b, t),
-s AS (SELECT *, CAST({_place(tree_of(16))} AS INT) AS shard, CAST({_place(tree_of(17))} AS INT) AS grown_shard, ('0x' || substr(md5(concat_ws('/', doc_id::VARCHAR, text_crc32::VARCHAR, size::VARCHAR)), 1, 8))::BIGINT % 256 AS block FROM x)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+s AS (SELECT *, CAST({_place(tree_of(16))} AS INT) AS shard, CAST({_place(tree_of(17))} AS INT) AS grown_shard, ('0x' || substr(md5(concat_ws('/', doc_id::VARCHAR, text_crc32::VARCHAR, size::VARCHAR)), 1, 8))::BIGINT AS draw FROM x)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
 
 _escaped = "(length({0}) + (length({0}) - length(replace({0}, '\\', ''))) + " + " + ".join("(length({0}) - length(replace({0}, '" + c + "', ''))) // " + str(len(c)) for c in CONTROL) + ")"
 CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

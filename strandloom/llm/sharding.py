@@ -9,20 +9,23 @@ weights change: a child whose weight grows only gains rows, the order of all oth
 shard opens a region of its own, so that no older subtree changes its weight and rows move only into the
 new shard (the law ``key``).
 
-Slots number the rows of a shard from 0 without gaps, without one task per shard: rows of a shard fall
-into ``blocks`` hash blocks; block sizes, counted first, give each block its first slot, and rows are
-numbered inside their block.
+Slots number the rows of a shard from 0 without gaps, without one task per shard: keys, sizes and checksums
+are written once, sorted into ranges, and the sizes of the ranges give each its first slot.
 
-Defined results: a null key is the key "" of its own shard draw; a null text has size 1 and checksum 0;
-repeated rows share a shard and get slots of their own; an empty table gives no rows; other columns
-are ignored.
+Defined results: a null key is the key "" of its own shard draw; a null text has size 1 and checksum 0; a very
+long text is one row like any other, of which only size and checksum are kept; repeated rows share a
+shard and get slots of their own, next to each other in any order; equal draws of two children go to the child with the
+smaller number; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
+from ..storage import materialize
+
 # (region, rack, shard, weight)
 Tree = list[tuple[str, str, int, float]]
 
@@ -63,19 +66,15 @@ def place(key: Column, tree: Tree) -> Column:
     return _descend(key, _descend(key, _descend(key, F.lit(0), top), middle), leaves)
 
 
-def slots(placed: DataFrame, order: list[str], blocks: int = 256, shard: str = "shard") -> DataFrame:
-    """Adds ``slot``: 0, 1, ... within each shard. ``order`` names columns that decide the block and the order in it.
+def slots(placed: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
+    """Adds ``slot``: 0, 1, ... within each shard, by a 32-bit hash of the columns ``order`` and then by these.
 
-    Block sizes are a table of at most shards x ``blocks`` rows.
+    A shard is numbered in ranges of that order, as many as the session's shuffles have partitions. Rows that are equal in
+    all of ``order`` may lie in several ranges.
     """
-    spread = F.conv(F.substring(F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in order]).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    blocked = placed.withColumn("_block", (spread % blocks).cast("int"))
-    sizes = blocked.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
-    first = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(shard, "_block", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy(shard, "_block").orderBy(*order))
-    numbered = blocked.withColumn("_k", inside).join(F.broadcast(starts), [shard, "_block"])
-    return numbered.withColumn("slot", F.col("_first") + F.col("_k") - 1).drop("_block", "_k", "_first")
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in order]).cast("binary")
+    drawn = placed.withColumn("_draw", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"))
+    return number_rows(drawn, ["_draw", *order], "slot", within=(shard,)).drop("_draw")
 
 
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
@@ -91,4 +90,4 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str, shards: int = 16) ->
         place(key, tree_of(shards)).cast("int").alias("shard"),
         place(key, tree_of(shards + 1)).cast("int").alias("grown_shard"),
     )
-    return slots(placed, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return slots(materialize(placed), ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -50,6 +50,16 @@ def test_query(spark, tmp_path):
     assert (got[-1].n_turns, got[-1].turns_sha256, got[-1].loss_sha256) == (2, sha(f"user\n{chat.PROBE}\nassistant\n{chat.PROBE}\n"), sha(chat.PROBE))
 
 
+def test_private_use_characters_and_long_texts(spark):
+    every = "".join(map(chr, range(0xE000, 0xF900)))
+    long = every + chat.PRIVATE * 7 + "[INST] " * 40_000
+    out = chat.render(chat.marked, [("user", every), ("assistant", long)])
+    assert not out.rewrites and [chat.unescape(out.output[a:b]) for a, b in out.text_spans] == [every, long]
+    rows = spark.createDataFrame([(1, 0, "user", every), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_chats(rows)).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r.conv_id for r in chat.op9_incremental_chat(spark, str(tmp_path)).collect()] == [-1]

@@ -59,6 +59,18 @@ def test_query(spark, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_one_row_many_times_and_a_long_text(spark, tmp_path):
+    rows = [(7, "again")] * 3000 + [(i, "x" * (200_000 if i == 3 else 5)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    placed = sharding.op8_hash_tree_shards(spark, str(tmp_path))
+    got = placed.collect()
+    assert len(got) == len(rows) and max(r.size for r in got) == 200_001
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    mine = sorted(r.slot for r in got if (r.doc_id, r.size) == (7, 6))
+    assert [b - a for a, b in zip(mine, mine[1:], strict=False)].count(1) >= len(mine) - 2
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sharding.op8_hash_tree_shards(spark, str(tmp_path)).count() == 0
