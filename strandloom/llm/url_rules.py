@@ -1,39 +1,38 @@
 """URL filter: listed rules first, then association rules mined from labelled URLs.
 
 A URL is a set of tokens: its top-level domain, its domain, labels before it, path segments that are not
-numbers, extension and query keys. All of a URL's tokens are mined and matched. Token sets that come with
-the label ``block`` are mined level by level: frequent tokens, then pairs, up to ``longest``. Of the rules
-``tokens -> block``, those below the support, confidence or lift asked for are pruned, and those that a rule on
-fewer of the tokens makes redundant. Rules are matched by an inverted index: each is filed under its rarest
-token, so that a URL meets only rules it shares that token with.
+numbers, extension and query keys. All of a URL's tokens are mined and matched. Spark's FP-growth finds the token
+sets that often come with the label ``block`` or with ``allow``; of the rules ``tokens -> label``, those below the
+support, confidence or lift asked for are pruned, and those that a rule on fewer of the tokens makes redundant.
+Rules are matched by an inverted index: each is filed under its rarest item, so that a URL meets only rules it
+shares that item with. Of the rules that fit a URL, the surest decides.
 
-Labels may come from any table; the query takes the verdicts of the listed rules, with URLs that none
-fits as background, so that what is mined generalises the list.
+Labels may come from any table; the query takes the verdicts of the listed rules. URLs that no listed rule
+fits are not learned from: the mined rules judge them.
 
-Bounds: tokens below the support are dropped by counts over all rows, and equal baskets of what is left are
-one row. A set is extended only if it fits fewer rows than each set of one token less, and if no kept rule within
-it makes every extension redundant; neither loses a rule, and tokens that always come together, as in a long
-URL, add no sets. What reaches the driver are such sets with their counts, of at most ``longest`` tokens each.
+Two steps that lose no rule keep FP-growth small. Tokens that are in the same rows (as those of one long URL) are one
+item; a URL has the item if it has any of them. A token that comes with one label only is a rule as it
+stands, which makes every longer one redundant, and is not mined further. FP-growth has no bound on the length of a set;
+rules of more than ``longest`` items are dropped after it. Nothing of this reaches the driver but two counts.
 
 Defined results: a null URL, or one without ``://``, has empty host, path and token set, fits no rule, and
-is allowed; equal URLs get equal verdicts; a tie between rules of equal length goes to the one that sorts
-first; an empty table gives no rows; other columns are ignored.
+is allowed, as is any URL that no rule fits; a very long URL is matched by all of its tokens; equal URLs get equal
+verdicts; a tie between listed rules of equal length goes to the one that sorts first, between mined ones to the greater
+support, then to ``block``, then to the one that sorts first; without rows of both labels nothing is mined; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import combinations
+from dataclasses import dataclass
 
-import pyarrow as pa
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-# Counts that a task holds before it sends them on.
-HELD = 100_000
 # (verdict, host, path) of the listed rules.
 LISTED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,114 +82,80 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.coalesce(F.when(host != "", parts), F.array().cast("array<string>")))
 
 
-def _within(basket: list[int], levels: list[set[tuple]]) -> list[tuple]:
-    """The sets within a sorted basket that have one token more than the last level's and all of whose parts are in the levels."""
-    found = [(t,) for t in basket]
-    for level in levels:
-        heads: dict[tuple, list[int]] = {}
-        for s in found:
-            if s in level:
-                heads.setdefault(s[:-1], []).append(s[-1])
-        longer = ((*head, *two) for head, last in heads.items() for two in combinations(last, 2))
-        found = [s for s in longer if all(s[:i] + s[i + 1 :] in level for i in range(len(s) - 2))]
-    return found
+@dataclass
+class Rules:
+    """items: token, item. rules: items (sorted), filed (the rarest of them), blocked, confidence, support."""
 
+    items: DataFrame
+    rules: DataFrame
 
-def _counted(baskets: DataFrame, levels: list[set[tuple]]) -> DataFrame:
-    """own, n, blocked: in how many rows and blocked rows the next level's sets are; baskets: own, n, blocked."""
 
-    def batch_of(held: dict[tuple, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([list(s) for s in held], pa.list_(pa.int32())), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64())], ["own", "n", "blocked"])
+_BLOCK, _ALLOW = "block", "allow"  # no tokens: these have a kind
 
-    def run(batches):
-        held: dict[tuple, list[int]] = {}
-        for batch in batches:
-            for own, n, blocked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for s in _within(own, levels):
-                    x = held.setdefault(s, [0, 0])
-                    x[0] += n
-                    x[1] += blocked
-                if len(held) >= HELD:
-                    yield batch_of(held)
-                    held = {}
-        yield batch_of(held)
 
-    parts = baskets.select("own", "n", "blocked").mapInArrow(run, "own array<int>, n bigint, blocked bigint")
-    return parts.groupBy("own").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+def _parts(items: Column, longest: int) -> Column:
+    """All subsets of an array of at most ``longest`` items that are neither empty nor whole."""
+    n = F.size(items)
+    masks = F.filter(F.array(*[F.lit(m) for m in range(1, 1 << longest)]), lambda m: m < F.shiftleft(F.lit(1), longest) - 1)
+    masks = F.filter(masks, lambda m: m < F.pow(F.lit(2), n).cast("int") - 1)
+    return F.transform(masks, lambda m: F.filter(items, lambda _, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
 
 
-def _reduced(baskets: DataFrame, number: dict[str, int]) -> DataFrame:
-    """own, n, blocked: the distinct baskets of numbered tokens, sorted, with their rows and blocked rows."""
+def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: float = 0.8, min_lift: float = 1.5, longest: int = 4, gain: float = 0.02) -> Rules:
+    """labelled: tokens, blocked (null: not learned from).
 
-    def run(batches):
-        for batch in batches:
-            own = [sorted({number[t] for t in tokens if t in number}) for tokens in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["own", "b"])
-
-    kept = baskets.select("tokens", F.col("b").cast("bigint").alias("b")).mapInArrow(run, "own array<int>, b bigint").where(F.size("own") > 0)
-    return kept.groupBy("own").agg(F.count("*").alias("n"), F.sum("b").alias("blocked"))
-
-
-def mine(labelled: DataFrame, *, min_support: float = 0.004, min_rows: int = 20, min_confidence: float = 0.8, min_lift: float = 1.5, longest: int = 4, gain: float = 0.02) -> list[tuple[frozenset, float, float]]:
-    """(tokens, confidence, support) of the rules; labelled: tokens, blocked.
-
-    A rule rests on at least ``min_support`` of the rows and on ``min_rows`` of them, so that a small table does not
-    turn single URLs into rules. It has blocked rows ``min_lift`` times as often as all rows have, or other rows
-    ``min_lift`` times as seldom: the first is out of reach where most rows are blocked.
+    A rule holds for at least ``min_support`` of the rows. Its label is ``min_lift`` times as frequent among its rows as
+    among all, or the other label ``min_lift`` times as seldom: the first is out of reach where most rows have one label.
+    It is redundant if such a rule for the same label on fewer of its items is at most ``gain`` less sure.
+    """
+    spark = labelled.sparkSession
+    known = labelled.where("blocked is not null").select(F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"), F.col("blocked").cast("int").alias("b"))
+    baskets = materialize(known.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("b").alias("b")))
+    n, total = baskets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    if total in (0, n):
+        return Rules(spark.createDataFrame([], "token string, item string"), spark.createDataFrame([], "items array<string>, filed string, blocked boolean, confidence double, support double"))
+    least = max(1, math.ceil(min_support * n - 1e-9))
+
+    # Tokens in the same baskets: equal counts and equal fingerprints of these.
+    marks = [F.bit_xor(F.xxhash64("tokens", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    often = baskets.select("tokens", "n", "b", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), *marks)
+    often = often.where(F.greatest(F.col("b"), F.col("n") - F.col("b")) >= least)
+    named = often.groupBy("n", "b", "m1", "m2").agg(F.min("token").alias("item"))
+    items = materialize(often.join(named, ["n", "b", "m1", "m2"]).select("token", "item", "n", "b"))
+    mixed = items.where("b > 0 and b < n").select("token", "item")
+
+    held = baskets.select("tokens", F.explode("tokens").alias("token")).join(mixed, "token").groupBy("tokens").agg(F.collect_set("item").alias("own"))
+    rows = known.join(held, "tokens", "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(F.when(F.col("b") == 1, _BLOCK).otherwise(_ALLOW))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets
+    marked = sets.select(F.array_sort(F.array_except("items", F.array(F.lit(_BLOCK), F.lit(_ALLOW)))).alias("items"), F.array_contains("items", _BLOCK).alias("blocks"), F.array_contains("items", _ALLOW).alias("allows"), "freq")
+    marked = materialize(marked.where(F.size("items").between(1, longest)))
+    with_label = marked.where("blocks or allows").select("items", F.col("blocks").alias("blocked"), F.col("freq").alias("hits"))
+    found = with_label.join(marked.where("not blocks and not allows").select("items", F.col("freq").alias("rows")), "items")
+    pure = items.where("b = 0 or b = n").select(F.array("item").alias("items"), (F.col("b") > 0).alias("blocked"), F.col("n").alias("hits"), F.col("n").alias("rows")).distinct()
+
+    confidence, prior = F.col("hits") / F.col("rows"), F.when(F.col("blocked"), total / n).otherwise(1 - total / n)
+    lifted = (confidence >= min_lift * prior) | (1 - prior >= min_lift * (1 - confidence))
+    sure = materialize(found.unionByName(pure).withColumn("confidence", confidence).where((F.col("hits") >= least) & (F.col("confidence") >= min_confidence) & lifted))
+    shorter = sure.select(F.col("items").alias("part"), "blocked", F.col("confidence").alias("there"))
+    parts = sure.where(F.size("items") > 1).select("items", "blocked", "confidence", F.explode(_parts(F.col("items"), longest)).alias("part"))
+    needless = parts.join(shorter, ["part", "blocked"]).where(F.col("there") + gain >= F.col("confidence")).select("items", "blocked").distinct()
+    rarest = sure.select("items", F.explode("items").alias("item")).distinct().join(items.select("item", "n").distinct(), "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("filed"))
+    kept = sure.join(needless, ["items", "blocked"], "left_anti").join(rarest, "items")
+    rules = materialize(kept.select("items", "filed", "blocked", "confidence", (F.col("hits") / n).alias("support")))
+    return Rules(items.select("token", "item"), rules)
+
+
+def match(urls: DataFrame, mined: Rules, tokens: str = "tokens") -> DataFrame:
+    """Adds ``mined`` (the items of the surest rule that fits; null without one), ``mined_blocks`` and ``confidence``.
+
+    Token sets are matched once, however many rows have them.
     """
-    baskets = labelled.select("tokens", F.coalesce("blocked", F.lit(False)).alias("b")).where((F.size("tokens") > 0) | (F.col("b") & F.col("tokens").isNotNull()))
-    n, total = baskets.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("bigint")), F.lit(0))).first()
-    if n < min_rows or total == 0:
-        return []
-    least = max(1, min_rows, math.ceil(min_support * n - 1e-9))
-    often = baskets.where("b").select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") >= least)
-    names = sorted(r.t for r in often.select("t").collect())
-    if not names:
-        return []
-    reduced = materialize(_reduced(baskets, {t: i for i, t in enumerate(names)}))
-    kept: dict[tuple, tuple[float, float]] = {}
-    rows_of: dict[tuple, int] = {}
-    levels: list[set[tuple]] = []
-    for size in range(1, longest + 1):
-        level = set()
-        for r in sorted(_counted(reduced, levels).where(F.col("blocked") >= least).collect(), key=lambda r: r.own):
-            own, confidence = tuple(r.own), r.blocked / r.n
-            if any(rows_of.get(own[:i] + own[i + 1 :]) == r.n for i in range(size)):
-                continue  # fits the rows of a smaller set
-            within = [kept[s][0] for k in range(1, size) for s in combinations(own, k) if s in kept]
-            lifted = confidence / (total / n) >= min_lift or (n - total) * r.n >= min_lift * (r.n - r.blocked) * n
-            if confidence >= min_confidence and lifted and not any(c + gain >= confidence for c in within):
-                kept[own] = confidence, r.blocked / n
-                within.append(confidence)
-            rows_of[own] = r.n
-            if not any(c + gain >= 1 for c in within):
-                level.add(own)
-        if not level:
-            break
-        levels.append(level)
-    return sorted(((frozenset(names[i] for i in s), c, support) for s, (c, support) in kept.items()), key=lambda r: (len(r[0]), sorted(r[0])))
-
-
-def match(urls: DataFrame, rules: list[tuple[frozenset, float, float]], tokens: str = "tokens") -> DataFrame:
-    """Adds ``mined`` (the tokens of the most confident rule that fits, sorted; null without one) and ``confidence``."""
-    often = Counter(t for r, *_ in rules for t in r)
-    index: dict[str, list[tuple[frozenset, float]]] = {}
-    for r, confidence, _ in sorted(rules, key=lambda r: (-r[1], sorted(r[0]))):
-        index.setdefault(min(r, key=lambda t: (often[t], t)), []).append((r, confidence))
-    at = urls.columns.index(tokens)
-
-    def run(batches):
-        for batch in batches:
-            names, sure = [], []
-            for own in batch.column(at).to_pylist():
-                have = frozenset(own or ())
-                best = min(((-c, sorted(r)) for t in have for r, c in index.get(t, ()) if r <= have), default=None)
-                names.append(" ".join(best[1]) if best else None)
-                sure.append(-best[0] if best else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "mined", "confidence"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
-    return urls.mapInArrow(run, f"{fields}, mined string, confidence double")
+    sets = urls.select(F.col(tokens).alias("_own")).where(F.size("_own") > 0).distinct()
+    have = sets.select("_own", F.explode("_own").alias("token")).join(mined.items, "token").groupBy("_own").agg(F.collect_set("item").alias("_have"))
+    met = have.select("_own", "_have", F.explode("_have").alias("filed")).join(mined.rules, "filed").where(F.size(F.array_except("items", "_have")) == 0)
+    order = F.struct(F.negate("confidence"), F.negate("support"), ~F.col("blocked"), "items")
+    best = met.groupBy("_own").agg(F.min_by(F.struct(F.array_join("items", " ").alias("mined"), F.col("blocked").alias("mined_blocks"), "confidence"), order).alias("_best"))
+    return urls.join(best, urls[tokens] == best["_own"], "left").select(*(urls[c] for c in urls.columns), "_best.mined", "_best.mined_blocks", "_best.confidence")
 
 
 def op5_association_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +164,6 @@ def op5_association_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"))
     seen = materialize(pages.withColumns({"rule": rule, "listed": verdict}))
-    rules = mine(seen.select("tokens", F.coalesce(F.col("listed") == "block", F.lit(False)).alias("blocked")))
-    judged = match(seen, rules)
-    mined = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    judged = match(seen, mine(seen.select("tokens", (F.col("listed") == "block").alias("blocked"))))
+    mined = F.when(F.col("mined_blocks"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"), "mined", "confidence")
