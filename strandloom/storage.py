@@ -57,5 +57,5 @@ def spread(df: DataFrame) -> DataFrame:
     A table of more than SMALL bytes a core, or of many splits, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size > cores * SMALL or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
