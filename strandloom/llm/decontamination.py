@@ -1,80 +1,112 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters, digits and bytes above ASCII, case folded. Documents and benchmark items that
-share a seed (``shortest`` consecutive words) are joined by the seeds' hashes; then the longest match of
-words that are not marked yet is found by running Karp-Rabin hashes, marked on both sides, and again,
-until no match of ``shortest`` words is left. Tiles may lie in any order, so passages with their
-sentences moved about are caught. A document is contaminated by an item when the tiles cover at least
-``coverage`` of the item's words.
-
-The benchmark is a query set: it goes to all documents in blocks of at most ``block_bytes`` of text, so that
-what is sent out stays bounded however large it is. Documents are not shuffled; each is judged where it
-is, so one passage in a third of all documents costs no more than many passages.
-
-Defined results: null texts count as empty; empty documents and items without a word never match; an item
-shorter than ``shortest`` words must occur whole; items with equal words match alike, each with a row of its own;
-repeated document rows give repeated result rows; other columns are ignored (``decontaminate`` keeps them).
+Words are runs of letters, marks and digits (by Unicode classes) after full case folding; whatever else stands between
+them does not count. Documents and benchmark items that share a seed (``shortest`` consecutive words) are
+joined by the seeds; then the longest match of words that are not marked yet is found by running Karp-Rabin hashes,
+compared word by word, marked on both sides, and again, until no match of ``shortest`` words is left. Tiles may lie in
+any order, so passages with their sentences moved about are caught. A document is contaminated by an item when the
+tiles cover at least ``coverage`` of the item's words.
+
+1. The items' seeds are written, and set in a Bloom filter of at most ``MOST_BITS`` bits, the only thing sent to all tasks.
+2. One pass over the documents leaves of each the words of runs that the filter lets through, its fragment.
+   Tiles lie within fragments. Most documents have none; equal fragments, as of one passage in very many
+   documents, are one row from here on.
+3. Fragments meet items by an equi-join on seeds. To cover its share, an item must have some number of seeds in the document,
+   so the most frequent ones, one less than that, are left out of the join without losing a pair.
+4. Every pair is tiled, on the words themselves.
+
+Neither the benchmark nor the documents pass through the driver. Defined results: null texts count as
+empty; empty documents and items without a word never match; very long texts are searched whole; an item shorter than
+``shortest`` words must occur whole; items with equal words match alike, each with a row of its own; of matches of equal
+length, the first in the item and then in the document is marked first; repeated document rows give repeated result
+rows; empty tables give no match; other columns are ignored (``decontaminate`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..storage import spread
-from .text import Texts, slices, spans_hash, windows
+from ..storage import materialize, spread
+from .text import mix, powers, slices, windows
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_LETTER = np.zeros(256, bool)
-_LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
+LEAST_BITS, MOST_BITS, BITS_PER_SEED, PROBES = 1 << 10, 1 << 28, 32, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def folded_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word."""
-    data = _FOLD[texts.data]
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    capital = np.zeros(len(data), bool)  # the second byte of À to Þ
-    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    data[capital] += 0x20
-    inside, first = _LETTER[data], texts.first()
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1] | first[1:]
-    ends[:-1] &= ~inside[1:] | first[1:]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return spans_hash(data, start, end), np.searchsorted(texts.offsets, start, side="right") - 1
-
-
-def _running(words: np.ndarray) -> np.ndarray:
-    """Prefix hashes modulo 2^64: out[i + 1] = out[i] * base + words[i]."""
-    out = np.zeros(len(words) + 1, np.uint64)
-    h, power = 0, int(_BASE)
-    for i, w in enumerate(words.tolist()):
-        h = (h * power + w) & 0xFFFFFFFFFFFFFFFF
-        out[i + 1] = h
-    return out
-
-
-def _grams(running: np.ndarray, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+@lru_cache(1)
+def _points() -> tuple[np.ndarray, np.ndarray]:
+    """Of code points: are they part of a word, and a hash value of each."""
+    word = np.zeros(0x110000, bool)
+    for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))):
+        word[ord(m[0][0]) : ord(m[0][-1]) + 1] = True
+    word[0xD800:0xE000] = False
+    return word, mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+class Words:
+    """The folded words of texts: start and end in ``text``, text number, 64-bit hash."""
+
+    def __init__(self, texts: list[str | None]):
+        folded = [(t or "").casefold() for t in texts]
+        self.text = "".join(folded)
+        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        bounds = np.cumsum([0, *map(len, folded)])
+        word, value = _points()
+        inside, first = word[points], np.zeros(len(points), bool)
+        first[bounds[:-1][bounds[:-1] < len(points)]] = True
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | first[1:]
+        ends[:-1] &= ~inside[1:] | first[1:]
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.doc = np.searchsorted(bounds, self.start, side="right") - 1
+        self.hashes = np.zeros(0, np.uint64)
+        if len(self.start):
+            size = self.end - self.start
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            self.hashes = mix(np.add.reduceat(value[points[inside]] * powers(int(size.max()))[at], np.cumsum(size) - size) + size.astype(np.uint64))
+
+    def seeds(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words of a text, and the number of each one's first word."""
+        h, at = windows(self.hashes, self.doc, k)
+        return mix(h + np.uint64(k)), at
+
+    def joined(self, a: int, b: int) -> str:
+        """Words a to b - 1, with blanks between them."""
+        return " ".join([self.text[i:j] for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)])
+
+
+def _running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of words[i] * base^i modulo 2^64, and base^-i: a run's hash is the difference of two sums, moved to place 0."""
+    n = len(words)
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
+    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+    return np.concatenate([[np.uint64(0)], np.cumsum(mix(words) * up[:n], dtype=np.uint64)]), down
+
+
+def _grams(running: tuple[np.ndarray, np.ndarray], marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the runs of ``size`` words without a mark."""
-    if len(running) <= size:
+    sums, down = running
+    if len(sums) <= size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power = np.uint64(pow(int(_BASE), size, 1 << 64))
     taken = np.concatenate([[0], np.cumsum(marks)])
     at = np.flatnonzero(taken[size:] == taken[:-size])
-    return running[at + size] - running[at] * power, at
+    return (sums[at + size] - sums[at]) * down[at], at
 
 
 def tiles(pattern: np.ndarray, text: np.ndarray, shortest: int, broken: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(place in pattern, place in text, words) of the tiles, longest first; ``broken`` marks words of text that none may hold."""
+    """(place in pattern, place in text, words) of the tiles, longest first; ``broken`` marks words of text that none may hold.
+
+    Words are numbers; runs of equal hash are compared before they are marked.
+    """
     in_pattern = np.zeros(len(pattern), bool)
     in_text = np.zeros(len(text), bool) if broken is None else broken.copy()
     run_p, run_t = _running(pattern), _running(text)
@@ -99,119 +131,210 @@ def tiles(pattern: np.ndarray, text: np.ndarray, shortest: int, broken: np.ndarr
         if best is None:
             break
         size, (hp, ap, ht, at) = best
-        places: dict[int, list[int]] = {}
-        for h, a in zip(ht.tolist(), at.tolist(), strict=True):
-            places.setdefault(h, []).append(a)
-        for h, p in zip(hp.tolist(), ap.tolist(), strict=True):
+        order = np.argsort(ht, kind="stable")
+        ht, at = ht[order], at[order]
+        low, stop = np.searchsorted(ht, hp, "left"), np.searchsorted(ht, hp, "right")
+        before = len(out)
+        for p, a, b in zip(ap.tolist(), low.tolist(), stop.tolist(), strict=True):
             if in_pattern[p : p + size].any():
                 continue
-            for a in places[h]:
-                if not in_text[a : a + size].any():
-                    in_pattern[p : p + size] = in_text[a : a + size] = True
-                    out.append((p, a, size))
+            for t in at[a:b].tolist():
+                if not in_text[t : t + size].any() and (pattern[p : p + size] == text[t : t + size]).all():
+                    in_pattern[p : p + size] = in_text[t : t + size] = True
+                    out.append((p, t, size))
                     break
-        high = size
+        high = size if len(out) > before else size - 1
     return out
 
 
-class Block:
-    """Items of a query block: their words, and the items of each seed."""
-
-    def __init__(self, items: list[tuple[int, str | None]], shortest: int):
-        self.ids = [i for i, _ in items]
-        words, item = folded_words(Texts.of(pa.array([t or "" for _, t in items], pa.string())))
-        bounds = np.searchsorted(item, np.arange(len(items) + 1))
-        self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.shortest = shortest
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # length -> (sorted hashes, their items)
-        for k in sorted({min(shortest, len(w)) for w in self.words if len(w)}):
-            h, at = windows(words, item, k)
-            mine = np.array([min(shortest, len(self.words[i])) == k for i in item[at]], bool)
-            pairs = np.unique(np.stack([h[mine], item[at][mine].astype(np.uint64)]), axis=1)
-            self.seeds[k] = pairs[0], pairs[1].astype(np.int64)
-
-    def matches(self, texts: Texts, coverage: float) -> list[tuple[int, int, float, int, int]]:
-        """(text, item number, coverage, tiles, words in tiles) of the contaminated texts."""
-        words, doc = folded_words(texts)
-        out = []
-        for k, (known, items) in self.seeds.items():
-            h, at = windows(words, doc, k)
-            low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            hit = np.flatnonzero(high > low)
-            n = (high - low)[hit]
-            item = items[np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            place = np.repeat(at[hit], n)
-            seed = np.repeat(h[hit], n)
-            order = np.lexsort((place, item, doc[place])) if len(place) else np.zeros(0, np.int64)
-            item, place, seed = item[order], place[order], seed[order]
-            pair = doc[place] * len(self.ids) + item if len(place) else place
-            bounds = np.flatnonzero(np.diff(pair, prepend=-1, append=-1))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                pattern = self.words[item[a]]
-                seen = np.flatnonzero(np.isin(windows(pattern, np.zeros(len(pattern), np.int64), k)[0], seed[a:b]))
-                if len(np.unique((seen[:, None] + np.arange(k)).ravel())) < coverage * len(pattern):
-                    continue  # tiles consist of seeds
-                covered = np.unique((place[a:b, None] + np.arange(k)).ravel())
-                gap = np.flatnonzero(np.diff(covered) > 1) + 1
-                text, broken = np.insert(words[covered], gap, np.uint64(0)), np.insert(np.zeros(len(covered), bool), gap, True)
-                found = tiles(pattern, text, k, broken)
-                total = sum(s for *_, s in found)
-                if total >= coverage * len(pattern):
-                    out.append((int(doc[place[a]]), int(item[a]), total / len(pattern), len(found), total))
-        return out
-
-
-def blocks(benchmark: DataFrame, shortest: int, block_bytes: int, item_id: str = "item_id", text: str = "text") -> Iterator[Block]:
-    """The items in blocks of bounded size; the driver holds one partition and one block at a time."""
-    rows, size = [], 0
-    for r in benchmark.select(F.col(item_id).cast("bigint"), F.col(text)).toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += len(r[1] or "") + 16
-        if size >= block_bytes:
-            yield Block(rows, shortest)
-            rows, size = [], 0
-    if rows:
-        yield Block(rows, shortest)
-
-
-MATCHES = "doc_id bigint, item_id bigint, coverage double, n_tiles int, matched_words int"
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document and item that contaminates it."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    out = None
+def tile_pair(item: str, fragment: str, shortest: int, coverage: float) -> tuple[float, int, int] | None:
+    """Coverage, tiles and words in tiles of a contaminating item, from blank-separated words; a line break parts runs."""
+    number: dict[str, int] = {}
+    pattern = np.array([number.setdefault(w, len(number) + 1) for w in item.split(" ")], np.uint64)
+    text = np.array([number.get(w, 0) for w in fragment.replace("\n", " \n ").split(" ")], np.uint64)
+    found = tiles(pattern, text, min(shortest, len(pattern)), text == 0)
+    total = sum(s for *_, s in found)
+    return (total / len(pattern), len(found), total) if total >= coverage * len(pattern) else None
 
-    def of(block: Block) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for a, _, texts in slices(batch.column(1)):
-                    found = block.matches(texts, coverage)
-                    ids = batch.column(0).take(pa.array([a + f[0] for f in found], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([block.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.int32())], [c.split()[0] for c in MATCHES.split(", ")])
 
-        return rows.mapInArrow(run, MATCHES)
+def _probes(seeds: np.ndarray, bits: int) -> np.ndarray:
+    """PROBES x seeds: the bits of each seed."""
+    step = (seeds >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(seeds + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)])
 
-    for block in blocks(benchmark, shortest, block_bytes):
-        out = of(block) if out is None else out.unionByName(of(block))
-    return docs.sparkSession.createDataFrame([], MATCHES) if out is None else out
 
+def _inside(seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which seeds the filter lets through."""
+    bits, left = len(table) * 64, np.arange(len(seeds))
+    for i in range(PROBES):
+        s = seeds[left]
+        at = (s + np.uint64(i) * ((s >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+        left = left[(table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    out = np.zeros(len(seeds), bool)
+    out[left] = True
+    return out
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 4 << 20, text: str = "text") -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns; without a shuffle."""
-    at = docs.columns.index(text)
-    out = docs
-    for block in blocks(benchmark, shortest, block_bytes):
 
-        def run(batches, block=block):
+def _contents(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """item_id, words, n (words of it), content (a digest of them) of items with a word."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, _ in slices(batch.column(1)):
+                words = Words(batch.column(1).slice(a, b - a).to_pylist())
+                bounds = np.searchsorted(words.doc, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([words.joined(i, j) for i, j in pairwise(bounds.tolist())], pa.string()), pa.array(np.diff(bounds), pa.int32())], ["item_id", "words", "n"])
+
+    rows = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "item_id bigint, words string, n int")
+    return materialize(rows.where("n > 0").withColumn("content", F.md5("words")))
+
+
+def _item_seeds(contents: DataFrame, shortest: int) -> DataFrame:
+    """content, n, k, pos, seed of all seeds of every content."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, _ in slices(batch.column(1)):
+                words = Words(batch.column(1).slice(a, b - a).to_pylist())
+                k_of = np.minimum(shortest, np.bincount(words.doc, minlength=b - a))
+                for k in np.unique(k_of).tolist():
+                    h, at = words.seeds(k)
+                    h, at = h[k_of[words.doc[at]] == k], at[k_of[words.doc[at]] == k]
+                    owner, first = words.doc[at], np.searchsorted(words.doc, words.doc[at])
+                    own = batch.column(0).slice(a, b - a).take(pa.array(owner))
+                    n = batch.column(2).slice(a, b - a).take(pa.array(owner))
+                    yield pa.RecordBatch.from_arrays([own, n, pa.array(np.full(len(h), k), pa.int32()), pa.array(at - first, pa.int32()), pa.array(h.view(np.int64))], ["content", "n", "k", "pos", "seed"])
+
+    one = contents.groupBy("content").agg(F.first("words").alias("words"), F.first("n").alias("n"))
+    return materialize(one.mapInArrow(run, "content string, n int, k int, pos int, seed bigint"))
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of the seeds as words of 64 bits, at most MOST_BITS bits in all."""
+    wanted = BITS_PER_SEED * seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(wanted - 1, 1).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(_probes(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["at", "mask"])
+
+    found = seeds.select("seed").mapInArrow(run, "at int, mask bigint").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return table
+
+
+def _fragments(texts: list[str | None], lengths: list[int], table: np.ndarray) -> list[str | None]:
+    """Of each text, the words of the runs that the filter lets through: blanks between words, line breaks between runs; null without one."""
+    words = Words(texts)
+    edge = np.zeros(len(words.start) + 1, np.int64)
+    for k in lengths:
+        h, at = words.seeds(k)
+        hit = at[_inside(h, table)]
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + k, -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    out: list[str | None] = [None] * len(texts)
+    if covered.any():
+        head, tail = covered.copy(), covered.copy()
+        same = words.doc[1:] == words.doc[:-1]
+        head[1:] &= ~(covered[:-1] & same)
+        tail[:-1] &= ~(covered[1:] & same)
+        runs: dict[int, list[str]] = {}
+        for a, b in zip(np.flatnonzero(head).tolist(), (np.flatnonzero(tail) + 1).tolist(), strict=True):
+            runs.setdefault(int(words.doc[a]), []).append(words.joined(a, b))
+        for d, found in runs.items():
+            out[d] = "\n".join(found)
+    return out
+
+
+class Index:
+    """The benchmark, ready to be joined: contents and their items, seeds, the filter and the seeds' lengths."""
+
+    def __init__(self, benchmark: DataFrame, shortest: int, coverage: float, item_id: str = "item_id", text: str = "text"):
+        self.shortest, self.coverage = shortest, coverage
+        self.contents = _contents(benchmark, item_id, text)
+        self.seeds = _item_seeds(self.contents, shortest)
+        self.lengths = sorted(r.k for r in self.seeds.select("k").distinct().collect())  # at most ``shortest``
+        self.table = benchmark.sparkSession.sparkContext.broadcast(_filter(self.seeds))
+
+    def marked(self, docs: DataFrame, text: str, hit: bool) -> tuple[DataFrame, str]:
+        """The rows of docs that have a fragment, with it in a further column; or, without that, the others. And the column's name."""
+        at, lengths, table = docs.columns.index(text), self.lengths, self.table
+        name = "_fragment"
+        while name in docs.columns:
+            name += "_"
+
+        def run(batches):
+            for batch in batches:
+                for a, b, _ in slices(batch.column(at)):
+                    part = batch.slice(a, b - a)
+                    found = pa.array(_fragments(part.column(at).to_pylist(), lengths, table.value), pa.string())
+                    if hit:
+                        part = pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
+                    keep = found.is_valid() if hit else found.is_null()
+                    yield part.filter(keep)
+
+        schema = StructType([*docs.schema.fields, *([StructField(name, StringType())] if hit else [])])
+        return docs.mapInArrow(run, schema), name
+
+    def matched(self, fragments: DataFrame) -> DataFrame:
+        """key, content, coverage, n_tiles, matched_words of the contaminated ones of fragments (key, fragment), which are distinct."""
+        shortest, coverage, lengths, table = self.shortest, self.coverage, self.lengths, self.table
+
+        def seeds_of(batches):
             for batch in batches:
-                bad = np.zeros(batch.num_rows, bool)
-                for a, _, texts in slices(batch.column(at)):
-                    bad[[a + f[0] for f in block.matches(texts, coverage)]] = True
-                yield batch.filter(pa.array(~bad))
+                for a, b, _ in slices(batch.column(1)):
+                    # A line break must part runs: each run is a text of its own here.
+                    runs = [(i, r) for i, f in enumerate(batch.column(1).slice(a, b - a).to_pylist()) for r in f.split("\n")]
+                    words, owner = Words([r for _, r in runs]), np.array([i for i, _ in runs], np.int64)
+                    for k in lengths:
+                        h, at = words.seeds(k)
+                        ok = _inside(h, table.value)
+                        pair = np.unique(np.stack([owner[words.doc[at[ok]]].astype(np.uint64), h[ok]]), axis=1)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64))], ["key", "seed"])
+
+        often = self.seeds.groupBy("seed").agg(F.count("*").alias("often"))
+        rank = F.row_number().over(Window.partitionBy("content").orderBy(F.desc("often"), "pos"))
+        needed = F.ceil(F.col("n") * coverage / F.col("k"))  # a tile of k words or more has a seed for every k of them
+        index = self.seeds.join(often, "seed").withColumn("rank", rank).where(F.col("rank") >= needed).select("content", "seed").distinct()
+        pairs = fragments.mapInArrow(seeds_of, "key string, seed bigint").join(index, "seed").select("key", "content").distinct()
+        one = self.contents.groupBy("content").agg(F.first("words").alias("words"))
+        both = pairs.join(fragments, "key").join(one, "content").select("key", "content", "fragment", "words")
+
+        def tile(batches):
+            for batch in batches:
+                rows = [tile_pair(w, f, shortest, coverage) for f, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                keep = pa.array([i for i, r in enumerate(rows) if r], pa.int64())
+                share, n, total = zip(*[r for r in rows if r], strict=True) if len(keep) else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(total, pa.int32())], ["key", "content", "coverage", "n_tiles", "matched_words"])
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return materialize(both.mapInArrow(tile, "key string, content string, coverage double, n_tiles int, matched_words int"))
+
+
+def _distinct(suspects: DataFrame, fragment: Column) -> DataFrame:
+    return materialize(suspects.select(F.md5(fragment).alias("key"), fragment.alias("fragment")).groupBy("key").agg(F.first("fragment").alias("fragment")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles, matched_words: a row for each document and item that contaminates it."""
+    index = Index(benchmark, shortest, coverage)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    marked, name = index.marked(rows, "text", True)
+    suspects = materialize(marked.select("doc_id", F.col(name).alias("fragment"), F.md5(name).alias("key")))
+    found = index.matched(_distinct(suspects, F.col("fragment"))).join(index.contents.select("content", "item_id"), "content")
+    return suspects.select("doc_id", "key").join(found, "key").select("doc_id", "item_id", "coverage", "n_tiles", "matched_words")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, coverage: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns; only rows with a fragment are shuffled."""
+    index = Index(benchmark, shortest, coverage)
+    marked, name = index.marked(docs, text, True)
+    suspects = materialize(marked)
+    bad = index.matched(_distinct(suspects, F.col(name))).select("key").distinct()
+    kept = suspects.join(bad, F.md5(suspects[name]) == bad["key"], "left_anti").drop(name)
+    return index.marked(docs, text, False)[0].unionByName(kept)
 
 
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
