@@ -3,16 +3,16 @@
 Features are n-grams of one to three lower-cased code points (anything that is not a letter counts as
 one blank, runs of blanks as one), hashed into ``dims`` bins, as term frequency (share of the text's
 n-grams) times inverse document frequency. Document frequencies are counted over all documents that
-may be learned from. The weights are fitted by FTRL-proximal with L1 and L2 penalties on a bounded
-sample, ``per_class`` documents a language in expectation; a further sample of the same bound sets the
-temperature that calibrates the probabilities.
+may be learned from. The weights are fitted by FTRL-proximal with L1 and L2 penalties on one half of a bounded
+sample of different texts; its other half sets the temperature that calibrates the probabilities.
 
 Because the features of a text are a weighted sum over its n-grams, a text's class scores are the mean
 of its n-grams' rows of (idf x weights): scoring is one pass of table look-ups over whole texts.
 
-Defined results: a null text or one without a letter gives ``und`` with score 0; an empty table gives no
-rows; repeated rows are scored each on its own; other columns are ignored; a tie goes to the language
-that sorts first. Without any labelled row, everything is ``und``.
+Defined results: a null text or one without a letter gives ``und`` with score 0; very long texts are read
+whole; an empty table gives no rows; repeated rows are scored each on its own, and learned from once in the fit; other
+columns are ignored; a tie goes to the language that sorts first. Without any labelled row, everything is ``und``; where no
+language has a second text, the temperature is 1.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import spread
@@ -161,7 +161,9 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: in
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
+    """The temperature of least log loss, by golden-section search on its logarithm; 1 without rows."""
+    if not len(labels):
+        return 1.0
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
@@ -175,10 +177,11 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, *, dims: int = 1 << 14, per_class: int = 400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, *, dims: int = 1 << 14, per_class: int = 800, fit_rows: int = 16_000, text: str = "text", lang: str = "lang", seed: int = 11) -> Model | None:
     """Learns from the rows of docs whose lang is not null.
 
-    ``per_class`` bounds the expected sample of each language (twice: one to fit on, one to calibrate).
+    Of each language at most ``per_class`` different texts are drawn, and no more than its share of ``fit_rows`` (one, if there
+    are more languages than that): half of them to fit on, half to calibrate.
     """
     known = docs.where(F.col(lang).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
@@ -188,10 +191,11 @@ def fit(docs: DataFrame, *, dims: int = 1 << 14, per_class: int = 400, doc_id: s
     seen, df = document_frequencies(known, dims, text)
     idf = np.log((1 + seen) / (1 + df)) + 1
 
+    most = max(1, min(per_class, fit_rows // len(langs)))
     share = F.lit(0.0)
     for name in langs:
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, 2 * per_class / sizes[name]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        share = F.when(F.col(lang) == name, F.lit(min(1.0, (2 * most + 100) / sizes[name]))).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
     def featurise(batches):
         for batch in batches:
@@ -199,24 +203,25 @@ def fit(docs: DataFrame, *, dims: int = 1 << 14, per_class: int = 400, doc_id: s
                 counts, _ = bin_counts(texts, dims)
                 at = [np.flatnonzero(c).astype(np.int32) for c in counts]
                 value = [(c[i] / max(1, c.sum())).astype(np.float32) for c, i in zip(counts, at, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), batch.column(2).slice(a, b - a)], ["lang", "at", "value", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "at", "value"])
 
-    sample = known.where(draw < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), F.lit(2)).cast("int").alias("part"))
-    drawn = sample.mapInArrow(featurise, "lang string, at array<int>, value array<float>, part int").toArrow()
+    near = known.select(F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"), draw.alias("draw")).where(F.col("draw") < share).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
+    drawn = sample.mapInArrow(featurise, "lang string, at array<int>, value array<float>").toArrow()
     number = {name: k for k, name in enumerate(langs)}
     labels = np.array([number[x] for x in drawn.column("lang").to_pylist()], np.int64)
-    part = drawn.column("part").to_numpy()
     lists = drawn.column("at").combine_chunks()
     bounds = lists.offsets.to_numpy()
     at, value = lists.values.to_numpy().astype(np.int64), drawn.column("value").combine_chunks().values.to_numpy()
     rows = [(at[a:b], value[a:b] * idf[at[a:b]] * SCALE) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     # One order whatever the partitions were.
     order = sorted(range(len(rows)), key=lambda i: (labels[i], len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes()))
-    rows, labels, part = [rows[i] for i in order], labels[order], part[order]
-    here = np.flatnonzero(part == 0) if len(set(part.tolist())) > 1 else np.arange(len(rows))
-    there = np.flatnonzero(part == 1) if len(set(part.tolist())) > 1 else here
+    rows, labels = [rows[i] for i in order], labels[order]
+    turn = np.arange(len(rows)) - np.searchsorted(labels, labels)  # of each language, every other text
+    here, there = np.flatnonzero(turn % 2 == 0), np.flatnonzero(turn % 2 == 1)
     weights, bias = ftrl([rows[i] for i in here], labels[here], dims, len(langs), seed=seed)
-    logits = np.array([v @ weights[a] + bias for a, v in (rows[i] for i in there)])
+    logits = np.array([v @ weights[a] + bias for a, v in (rows[i] for i in there)]).reshape(-1, len(langs))
     return Model(langs, (weights * idf[:, None] * SCALE).astype(np.float32), bias, calibrate(logits, labels[there]), dims)
 
 

@@ -1,15 +1,16 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-One pass turns each whole text into a few dense features. On a bounded sample of labelled rows
-(``fit_rows`` in expectation), cyclic boosting visits the features in turn and fits a shallow tree over
+One pass turns each whole text into a few dense features. On a bounded sample of labelled documents
+(at most ``fit_rows``, drawn by a hash of doc_id), cyclic boosting visits the features in turn and fits a shallow tree over
 one feature's bins to the gradient of the log loss each time; the trees of a feature add up to one look-up
 table. Then the feature pairs with the largest remaining interaction get two-dimensional tables in
 the same way. A score is the logistic function of the sum of the looked-up values, for all rows at once.
 
-Defined results: null counts as empty; empty texts get a score like any other (their features are 0);
-rows without a label, or with a null one, are scored but not learned from; repeated rows are scored each on
-its own; other columns are ignored; an empty table gives no rows. Without labels of both kinds the score
-is the share of label 1 among them (0.5 without any).
+Defined results: null counts as empty; empty texts get a score like any other (their features are 0); very long texts
+are read whole; rows without a label, or with a null one, are scored but not learned from; repeated rows are scored
+each on its own, but a document is learned from once, with each label it has; a score on a cut between two bins belongs to
+the upper one, and of splits of equal gain the first is taken; other columns are ignored; an empty table gives no rows.
+Without labels of both kinds the score is the share of label 1 among them (0.5 without any).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import base_counts, char_histograms
 from ..storage import materialize, spread
+from .samples import labelled, least_drawn, texts_of
 from .text import Words, lines, repeated, slices, sums
 
 FEATURES = ["log_chars", "log_words", "word_length", "upper", "digits", "symbols", "marks", "punctuation", "pipes", "dup_lines", "repeat_words", "same_next", "distinct_words", "line_length", "beyond_ascii", "spaces", "ends_bare"]
@@ -181,31 +183,30 @@ def fit_additive(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
 
 
 def _drawn(labels: DataFrame, label: str, doc_id: str, fit_rows: int, seed: int) -> DataFrame:
-    """(doc_id, y) of about ``fit_rows`` labelled rows."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y"))
-    share = min(1.0, fit_rows / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = labelled(labels, label, doc_id)
+    return least_drawn(known, known.count(), fit_rows, seed).select("doc_id", "y")
 
 
 def _fit(rows: DataFrame) -> Additive:
     """Fits on the rows (doc_id, y, x), in an order of their own."""
     table = rows.select("doc_id", "y", "x").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float) if table.num_rows else np.zeros((0, len(FEATURES)))
-    y = table.column("y").to_numpy()
+    y = table.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y, table.column("doc_id").to_numpy()))
     return fit_additive(x[order], y[order])
 
 
 def fit(feats: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", fit_rows: int = 20_000, seed: int = 5) -> Additive:
-    """Fits on about ``fit_rows`` rows of feats that have a label; the driver gets their features only."""
-    return _fit(feats.join(_drawn(labels, label, doc_id, fit_rows, seed), "doc_id"))
+    """Fits on at most ``fit_rows`` documents of feats that have a label, each once; the driver gets their features only."""
+    drawn = F.broadcast(_drawn(labels, label, doc_id, fit_rows, seed))
+    return _fit(feats.join(drawn, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")))
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fit_rows: int = 20_000, seed: int = 5) -> Additive:
-    """The same from texts, of which only the drawn ones are turned into features; ``fit_rows`` bounds what is broadcast."""
-    drawn = F.broadcast(_drawn(labels, label, doc_id, fit_rows, seed))
-    chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(drawn.select("doc_id").distinct(), "doc_id", "left_semi")
-    return _fit(features(chosen).join(drawn, "doc_id"))
+    """The same from texts, of which only the drawn ones are turned into features; of rows that share a doc_id, the least text counts."""
+    drawn = materialize(_drawn(labels, label, doc_id, fit_rows, seed))
+    chosen = features(texts_of(docs, drawn.select("doc_id").distinct(), doc_id, text))
+    return _fit(chosen.join(F.broadcast(drawn), "doc_id"))
 
 
 def score(feats: DataFrame, model: Additive) -> DataFrame:

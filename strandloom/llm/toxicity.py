@@ -6,14 +6,16 @@ characters are read as the letters they stand for and separators inside words ar
 disguised word still hits; that it was disguised counts as a feature of its own. Dense features are
 densities of hits, hits near a second-person word, capitals, punctuation and obfuscation rates.
 
-The lexicon, the trees and the calibration are each fitted on a part of their own of one bounded sample
-(``per_class`` toxic and ``per_class`` other rows in expectation), weighted back to the shares of all labelled
-rows.
-
-Defined results: null counts as empty; empty texts are scored as texts without a hit; rows without a
-label, or with a null one, are scored but not learned from; repeated rows are scored each on its own; other
-columns are ignored; an empty table gives no rows. Without labels of both kinds, the score is the share
-of label 1 among them (0 without any).
+The lexicon, the trees and the calibration are each fitted on a part of their own (two fifths, two fifths, one
+fifth) of one bounded sample, at most ``per_class`` toxic and ``per_class`` other documents, weighted back to the shares of
+all labelled ones.
+
+Defined results: null counts as empty; empty texts are scored as texts without a hit; very long texts are read
+whole; rows without a label, or with a null one, are scored but not learned from; repeated rows are scored each on
+its own, but a document is learned from once, with each label it has; of terms that hit one word, the strongest counts;
+texts of equal features get equal scores; other columns are ignored; an empty table gives no rows. Unless every part
+has a document of both labels (five of each are enough), the score is the share of label 1 among the labelled
+documents (0 without any).
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import char_histograms
 from ..storage import materialize, spread
+from .samples import labelled, least_drawn, texts_of
 from .text import Texts, Words, mix, powers, slices
 
 FEATURES = ["hit_density", "strength_density", "hits", "strongest", "near_second_person", "capitals", "marks", "punctuation", "obfuscated", "obfuscated_hits", "log_words"]
-SHORTEST, LONGEST = 3, 6
+SHORTEST, LONGEST, PARTS = 3, 6, 5
 # Second-person words of the languages at hand (fixed values).
 SECOND_PERSON = ["you", "your", "yours", "you're", "yourself", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "tus", "usted", "ustedes", "vosotros"]
 # Characters read as the letters they stand for (fixed values).
@@ -87,10 +90,11 @@ def keys(words: Words, table: np.ndarray = _READ) -> np.ndarray:
     return out
 
 
-def learn_lexicon(sample: DataFrame, *, min_share: float = 0.004, min_rows: int = 4, ratio: float = 15.0, terms: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(sample: DataFrame, *, min_share: float = 0.004, ratio: float = 15.0, sure: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and strengths of the terms; sample: text, y.
 
-    A term is in at least ``min_share`` of the toxic rows; at most ``terms``, the most frequent, are taken.
+    A term is in at least ``min_share`` of the toxic rows, its odds are ``ratio`` times as high as in the others, and the
+    logarithm of that lies ``sure`` standard errors above 0. The sample bounds how many terms there are.
     """
 
     def count(batches):
@@ -116,7 +120,8 @@ def learn_lexicon(sample: DataFrame, *, min_share: float = 0.004, min_rows: int
     n1, n0 = rows.get(1, 0), rows.get(0, 0)
     counted = sample.select("text", "y").mapInArrow(count, "key bigint, toxic bigint, clean bigint").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
-    top = counted.where(F.col("toxic") >= max(min_rows, int(min_share * n1))).withColumn("odds", odds).where(F.col("odds") >= ratio).orderBy(F.desc("toxic"), "key").limit(terms).collect()
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    top = counted.where(F.col("toxic") >= min_share * n1).withColumn("odds", odds).where((F.col("odds") >= ratio) & (F.log("odds") >= sure * error)).collect()
     top.sort(key=lambda r: r.key)
     return np.array([r.key for r in top], np.int64), np.array([np.log(r.odds) for r in top])
 
@@ -175,29 +180,31 @@ def _margin(model, feats: DataFrame) -> DataFrame:
     return raw.withColumn("margin", vector_to_array("rawPrediction")[1])
 
 
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = 6_000, trees: int = 20, depth: int = 3, seed: int = 3) -> DataFrame:
     """doc_id, score, predicted of every row of docs."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    known = labelled(labels, label, doc_id)
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        share = 1.0 if n1 else 0.0
-        return docs.select("doc_id", F.lit(share).alias("score"), F.lit(int(share)).alias("predicted"))
-    share = {y: min(1.0, per_class / n) for y, n in ((0, n0), (1, n1))}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)).cast("int"))
-    # Of a size that per_class bounds, whatever the tables hold.
-    sample = materialize(docs.join(F.broadcast(drawn), "doc_id").withColumn("weight", F.when(F.col("y") == 1, 1 / share[1]).otherwise(1 / share[0])))
-    lexicon = learn_lexicon(sample.where("part < 2"))
-    rows = materialize(features(sample, lexicon, ["y int", "part int", "weight double"]))
-
-    def of(wanted: str) -> DataFrame:
-        chosen = rows.where(wanted)
-        return chosen if chosen.select("y").distinct().count() == 2 else rows  # a tiny sample serves for all
-
-    boosted = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(of("part between 2 and 3").withColumn("features", array_to_vector("x")))
-    calibrated = IsotonicRegression(labelCol="y", weightCol="weight", featuresCol="margin", predictionCol="score").fit(_margin(boosted, of("part = 4")).select("y", "weight", "margin"))
+    # Of each label, at most per_class documents; by rank of the draw, so that every part gets its share of both labels.
+    drawn = None
+    for y, n in ((1, n1), (0, n0)):
+        rank = F.row_number().over(Window.partitionBy("y").orderBy("draw", "doc_id"))
+        one = least_drawn(known.where(F.col("y") == y), n, per_class, seed).select("doc_id", "y", ((rank - 1) % PARTS).alias("part"), F.lit(n / max(1, min(n, per_class))).alias("weight"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    sample = materialize(texts_of(docs, materialize(drawn), "doc_id", "text"))
+    if sample.select("y", "part").distinct().count() < 2 * PARTS:
+        share = n1 / (n1 + n0) if n1 + n0 else 0.0
+        return docs.select("doc_id", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+    lexicon = learn_lexicon(sample.where("part < 2").coalesce(cores(sample)))
+    rows = materialize(features(sample.coalesce(cores(sample)), lexicon, ["y int", "part int", "weight double"])).coalesce(cores(sample)).withColumn("features", array_to_vector("x")).persist()
+    boosted = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(rows.where("part between 2 and 3"))
+    calibrated = IsotonicRegression(labelCol="y", weightCol="weight", featuresCol="margin", predictionCol="score").fit(_margin(boosted, rows.where("part = 4").drop("features")).select("y", "weight", "margin"))
+    rows.unpersist()
     scored = _margin(boosted, features(docs, lexicon, ["doc_id bigint"])).select("doc_id", "margin")
     return calibrated.transform(scored).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
