@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
+HOT = 1000
 # (verdict, host, path) of the listed rules.
 LISTED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,14 +149,21 @@ def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: floa
 def match(urls: DataFrame, mined: Rules, tokens: str = "tokens") -> DataFrame:
     """Adds ``mined`` (the items of the surest rule that fits; null without one), ``mined_blocks`` and ``confidence``.
 
-    Token sets are matched once, however many rows have them.
+    Token sets are matched once, however many rows have them. Sets that more than one row in HOT has, at most HOT of them, go
+    to their rows by broadcast, the others by a shuffle.
     """
-    sets = urls.select(F.col(tokens).alias("_own")).where(F.size("_own") > 0).distinct()
+    rows = urls.select(F.struct(*(urls[c] for c in urls.columns)).alias("_row"), F.coalesce(urls[tokens], F.array().cast("array<string>")).alias("_own"))
+    sets = materialize(rows.groupBy("_own").agg(F.count("*").alias("_n")))
+    total = sets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     have = sets.select("_own", F.explode("_own").alias("token")).join(mined.items, "token").groupBy("_own").agg(F.collect_set("item").alias("_have"))
     met = have.select("_own", "_have", F.explode("_have").alias("filed")).join(mined.rules, "filed").where(F.size(F.array_except("items", "_have")) == 0)
     order = F.struct(F.negate("confidence"), F.negate("support"), ~F.col("blocked"), "items")
     best = met.groupBy("_own").agg(F.min_by(F.struct(F.array_join("items", " ").alias("mined"), F.col("blocked").alias("mined_blocks"), "confidence"), order).alias("_best"))
-    return urls.join(best, urls[tokens] == best["_own"], "left").select(*(urls[c] for c in urls.columns), "_best.mined", "_best.mined_blocks", "_best.confidence")
+    judged = materialize(sets.join(best, "_own", "left"))
+    hot = F.broadcast(judged.where(F.col("_n") * HOT > total).drop("_n"))
+    cold = judged.where(F.col("_n") * HOT <= total).drop("_n")
+    found = rows.join(hot, "_own").unionByName(rows.join(hot.select("_own"), "_own", "left_anti").join(cold, "_own", "left"))
+    return found.select("_row.*", "_best.mined", "_best.mined_blocks", "_best.confidence")
 
 
 def op5_association_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
