@@ -6,30 +6,33 @@
    pair of blocks is one group, so that no task holds a bucket.
 4. Inside a group, candidates are pruned in the Bayesian way: MinHash values are compared ``STEP`` at a time, and a
    pair goes as soon as the posterior probability (uniform prior) that its similarity reaches the threshold
-   falls below ``tolerance``. A pair is looked at in the first band it shares only. What leaves a group is a
-   spanning forest of its surviving pairs, never the pairs.
-5. Components of the forests hold all pairs left to verify. Their texts meet in blocks again, and every pair of
-   a component is verified exactly, on the sets themselves, by a blocked product of incidence matrices. What
+   falls below ``tolerance``. What leaves a group is a spanning forest of its surviving pairs, never the pairs; in a
+   large group, a node is compared with nodes that no pair has joined yet, so that n near copies cost about n comparisons.
+5. Components of the forests hold all pairs left to verify. The set of each class, made once, meets the others of its
+   component in blocks; pairs are pruned as before, and those that survive are verified exactly, on the sets themselves. What
    leaves is each node's number of linked documents and the least node it is linked to.
 
-So no list of pairs is ever made; a group of n near copies costs n rows of output (and n^2 / 2 comparisons
-in blocks of bounded size). A pair at the threshold shares no band with probability
-(1 - 0.8^4)^20 = 3e-5, and is pruned wrongly with a probability of the order of ``tolerance``.
+So no list of pairs is ever made. A group of n near copies costs n rows of output, n^2 / 2 comparisons of MinHash values
+(``keep_one``, which needs no numbers of links, about n) and as many verifications as there are links. Its sets
+are sent once for each of its blocks: about the root of twice the number of tasks, and n / WIDEST for more rows than that.
+A pair at the threshold shares no band with probability (1 - 0.8^4)^20 = 3e-5, and is pruned wrongly with a probability of the order of
+``tolerance``.
 
 Defined results: words are runs of anything but ASCII white space, compared as they are; a text of one to
-four words is one shingle; a null or empty text has no shingle and links to nothing (class_id is its doc_id);
-a null doc_id is not compared (class_id null, n_links 0); rows that share a doc_id count as one node; repeated
-rows are links of each other; other columns are ignored; an empty table gives no rows.
+four words is one shingle; a null or empty text has no shingle and links to nothing (class_id is its doc_id); very long
+texts are compared whole; a null doc_id is not compared (class_id null, n_links 0); rows that share a doc_id count as one
+node; repeated rows are links of each other; ties in similarity do not arise, as every link counts; the
+class is named by its least doc_id; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -39,6 +42,10 @@ from .text import Texts, Words, mix, repeated, slices
 K, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP = 4, 20, 16
 HASHES = ROWS * BANDS
+# Rows of a block: at most, and at least where a group has more; bytes of sets in a block, about.
+WIDEST, NARROWEST, BLOCK_BYTES = 2048, 128, 16 << 20
+# Rows up to which groups are compared side by side.
+SIDE = 32
 _MULTIPLY = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
 
@@ -66,15 +73,15 @@ def _reduce(ufunc: np.ufunc, values: np.ndarray, offsets: np.ndarray) -> np.ndar
     return ufunc.reduceat(values, offsets[:-1])
 
 
-SKETCH = "doc_id bigint, n int, key binary, sig binary"
+SKETCH = "doc_id bigint, tkey bigint, n int, key binary, sig binary"
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every row: size and 128-bit fingerprint of its set, and its MinHash values (null for an empty set)."""
+    """Of every row: a hash of its text, and size and 128-bit fingerprint of its set and its MinHash values (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in slices(batch.column(1), 1 << 20):
+            for a, b, texts in slices(batch.column(2), 1 << 20):
                 grams, offsets = shingle_sets(texts)
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
@@ -88,9 +95,9 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                         sig[:, i] = mix(_reduce(np.minimum, grams * _MULTIPLY[i] + _ADD[i], bounds)).astype(np.uint16)
                     for j, r in enumerate(some):
                         keys[r], sigs[r] = one[j].tobytes() + two[j].tobytes(), sig[j].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(keys.tolist(), pa.binary()), pa.array(sigs.tolist(), pa.binary())], [c.split()[0] for c in SKETCH.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(keys.tolist(), pa.binary()), pa.array(sigs.tolist(), pa.binary())], [c.split()[0] for c in SKETCH.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
 
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -147,43 +154,75 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def surviving_pairs(group: np.ndarray, block: np.ndarray, mixed: np.ndarray, band: np.ndarray, sig: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a group (a < b) that stay after pruning; rows of mixed groups pair across blocks only."""
+def _steps(threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    """(MinHash values compared, the fewest equal ones to stay)"""
+    return [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, HASHES + 1, STEP)]
+
+
+def _pruned(sig: np.ndarray, a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) that stay after pruning."""
+    matches = np.zeros(len(a), np.int64)
+    for n, least in steps:
+        matches += (sig[a, n - STEP : n] == sig[b, n - STEP : n]).sum(1)
+        stay = matches >= least
+        a, b, matches = a[stay], b[stay], matches[stay]
+    return a, b
+
+
+def surviving_pairs(group: np.ndarray, block: np.ndarray, mixed: np.ndarray, sig: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group (a < b) that stay after pruning; rows of mixed groups pair across blocks only. Groups are consecutive."""
     out_a, out_b = [], []
     size = np.bincount(group)
-    offset = np.cumsum(size) - size
-    place = np.arange(len(group)) - offset[group]
-    steps = [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, HASHES + 1, STEP)]
-    bands = sig.reshape(len(sig), BANDS, ROWS).view(np.uint64)[:, :, 0]
+    place = np.arange(len(group)) - (np.cumsum(size) - size)[group]
     left = np.arange(len(group))
     for d in range(1, int(size.max(initial=0))):
         left = left[place[left] + d < size[group[left]]]
         a = left[~mixed[left] | (block[left] != block[left + d])]
-        b = a + d
-        matches = np.zeros(len(a), np.int64)
-        for n, least in steps:
-            matches += (sig[a, n - STEP : n] == sig[b, n - STEP : n]).sum(1)
-            stay = matches >= least
-            a, b, matches = a[stay], b[stay], matches[stay]
-        own = (bands[a] == bands[b]).argmax(1) == band[a]
-        out_a.append(a[own])
-        out_b.append(b[own])
+        a, b = _pruned(sig, a, a + d, steps)
+        out_a.append(a)
+        out_b.append(b)
     return np.concatenate(out_a or [left[:0]]), np.concatenate(out_b or [left[:0]])
 
 
-def _blocked(members: DataFrame, group: list[str], most: int) -> DataFrame:
-    """Cuts groups of ``n`` rows into blocks by hash of ``rep``; each row goes to every pair of blocks that has its own.
+def joined(n: int, linked) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of n rows; ``linked(x, rows)`` are those of the rows that x has a pair with.
+
+    Each row is held once against the rows that nothing has joined so far.
+    """
+    open_, out_a, out_b = np.arange(n), [], []
+    while len(open_):
+        todo, open_ = [int(open_[0])], open_[1:]
+        while todo and len(open_):
+            x = todo.pop()
+            new = linked(x, open_)
+            out_a.append(np.full(len(new), x))
+            out_b.append(new)
+            open_ = np.setdiff1d(open_, new, assume_unique=True)
+            todo += new.tolist()
+    return np.concatenate([*out_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*out_b, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _n_blocks(spark: SparkSession, rows: Column, size: Column | None = None, widest: int = WIDEST, narrowest: int = NARROWEST) -> Column:
+    """Into how many blocks a group goes: enough for all tasks to share its pairs of blocks, and none too large."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = F.least(F.ceil(rows / narrowest), F.lit(ceil(sqrt(2 * tasks))))
+    bounds = [F.ceil(rows / widest), shared] + ([] if size is None else [F.ceil(size / BLOCK_BYTES)])
+    return F.greatest(*bounds).cast("int")
+
+
+def _blocked(members: DataFrame, blocks: str = "m") -> DataFrame:
+    """Cuts groups into as many blocks as the column ``blocks`` says, by hash of ``rep``; each row goes to every pair of blocks that has its own.
 
     Adds i, j (i <= j: the pair of blocks) and block (the row's own).
     """
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    cut = members.withColumns({"_m": blocks, "block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
-    return cut.withColumn("_o", other).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).drop("_m", "_o")
+    cut = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    return cut.withColumn("_o", other).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).drop("_o")
 
 
-def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = 1e-5, most: int = 256) -> DataFrame:
+def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = 1e-5, widest: int = WIDEST, narrowest: int = 256) -> DataFrame:
     """(src, dst): spanning forests of the pairs of classes that survive pruning. classes: rep, sig."""
+    steps = _steps(threshold, tolerance)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,107 +231,181 @@ def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, toleran
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), pa.array(sig.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "bucket", "rep"])
 
     bands = classes.select("rep", "sig").mapInArrow(split, "band int, bucket bigint, rep bigint")
-    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = _n_blocks(classes.sparkSession, F.col("n"), widest=widest, narrowest=narrowest)
+    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", blocks).drop("n")
     members = bands.join(shared, ["band", "bucket"]).join(classes.select("rep", "sig"), "rep")
-    dealt = _blocked(members, ["band", "bucket"], most).select("band", "bucket", "i", "j", "block", "rep", "sig")
+    dealt = _blocked(members).select("band", "bucket", "i", "j", "block", "rep", "sig")
     sort = ["band", "bucket", "i", "j"]
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 4):
             bounds = _groups(table, 4)
-            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            band, i, j, block, rep = (table.column(c).to_numpy() for c in ("band", "i", "j", "block", "rep"))
+            size = np.diff(bounds)
+            i, j, block, rep = (table.column(c).to_numpy() for c in ("i", "j", "block", "rep"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            a, b = surviving_pairs(group, block, i != j, band, sig, threshold, tolerance)
+            small = np.flatnonzero(np.repeat(size <= SIDE, size))
+            group = np.repeat(np.arange(int((size <= SIDE).sum())), size[size <= SIDE])
+            a, b = surviving_pairs(group, block[small], (i != j)[small], sig[small], steps)
+            a, b = [small[a]], [small[b]]
+            for k in np.flatnonzero(size > SIDE):
+                own = sig[bounds[k] : bounds[k + 1]]
+                x, y = joined(int(size[k]), lambda x, rows, own=own: _pruned(own, np.full(len(rows), x), rows, steps)[1])
+                a.append(x + bounds[k])
+                b.append(y + bounds[k])
             nodes, at = np.unique(rep, return_inverse=True)  # groups that share a node are joined here already
-            low = _forest(len(nodes), at[a], at[b])
+            low = _forest(len(nodes), at[np.concatenate(a)], at[np.concatenate(b)])
             hit = np.flatnonzero(low != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[low[hit]])], ["src", "dst"])
 
     return dealt.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(prune, "src bigint, dst bigint")
 
 
-def _common(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
-    """Sizes of all pairwise intersections, as products of blocks of the incidence matrix."""
+def shared_sizes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[k] and b[k]; pairs sorted by a.
+
+    One by one where pairs are few, else by products of parts of the incidence matrix, less what only one set has.
+    """
     size = np.array([len(s) for s in sets])
-    distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), size)
+    out = np.zeros(len(a), np.int64)
+    if not len(a):
+        return out
+    flat = np.concatenate(sets)
+    distinct, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    columns = int((n > 1).sum())
+    if len(a) * (15e-6 + 2e-8 * size.mean()) < len(sets) ** 2 * columns / 15e9:
+        ids = np.split(at, np.cumsum(size)[:-1])
+        has = np.zeros(len(distinct), bool)
+        heads = np.flatnonzero(np.diff(a, prepend=-1))
+        for low, high in zip(heads, np.append(heads[1:], len(a)), strict=True):
+            has[ids[a[low]]] = True
+            out[low:high] = [np.count_nonzero(has[ids[y]]) for y in b[low:high].tolist()]
+            has[ids[a[low]]] = False
+        return out
+    row = np.repeat(np.arange(len(sets)), size)[n[at] > 1]
+    at = number[at[n[at] > 1]]
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, len(distinct), chunk):
-        a, b = np.searchsorted(at, [low, low + chunk])
-        m = np.zeros((len(sets), min(chunk, len(distinct) - low)), np.float32)
-        m[row[a:b], at[a:b] - low] = 1
-        out += m @ m.T
+    chunk, stripe = max(256, (1 << 23) // len(sets)), 512
+    for low in range(0, columns, chunk):
+        x, y = np.searchsorted(at, [low, low + chunk])
+        m = np.zeros((len(sets), min(chunk, columns - low)), np.float32)
+        m[row[x:y], at[x:y] - low] = 1
+        for top in range(0, len(sets), stripe):
+            p, q = np.searchsorted(a, [top, top + stripe])
+            if p < q:
+                out[p:q] += (m[top : top + stripe] @ m.T)[a[p:q] - top, b[p:q]].astype(np.int64)
     return out
 
 
-def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(component, rep, links, least) per member and pair of blocks. members: component, i, j, block, rep, weight, text."""
-    sort = ["component", "i", "j"]
-    kinds = "component bigint, rep bigint, links bigint, least bigint"
+def _similar(both: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """both / (n + m - both) >= threshold, with room for a threshold that is not exact in binary."""
+    return both * (1 + threshold) >= threshold * (n + m) - 1e-9
+
+
+def verified(members: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = 1e-5, count: bool = True) -> DataFrame:
+    """(component, rep, links, least) per member and pair of blocks. members: component, m, i, j, block, rep, weight, sig, grams.
+
+    Without ``count``, links are left out and a spanning forest of the links is enough.
+    """
+    steps, kinds = _steps(threshold, tolerance), "component bigint, rep bigint, links bigint, least bigint"
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 3):
             bounds = _groups(table, 3)
             component, i, j, block, rep, weight = (table.column(c).to_numpy() for c in ("component", "i", "j", "block", "rep", "weight"))
-            texts = table.column("text").combine_chunks() if isinstance(table.column("text"), pa.ChunkedArray) else table.column("text")
             links, least = np.zeros(len(rep), np.int64), rep.copy()
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                sets = []
-                for _, _, part in slices(texts.slice(a, b - a), 1 << 20):
-                    grams, offsets = shingle_sets(part)
-                    sets += np.split(grams, offsets[1:-1])
-                size = np.array([len(s) for s in sets], float)
-                both = _common(sets).astype(float)
-                # J >= t, with room for t not being exact in binary
-                similar = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
-                np.fill_diagonal(similar, False)
-                if i[a] != j[a]:
-                    similar &= block[a:b, None] != block[None, a:b]
-                links[a:b] = similar @ weight[a:b]
-                order = np.argsort(rep[a:b], kind="stable")
-                x, y = np.nonzero(np.triu(similar[np.ix_(order, order)]))
-                least[a:b][order] = rep[a:b][order][_forest(b - a, x, y)]
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").slice(lo, hi - lo).to_pylist()]
+                sig = np.frombuffer(b"".join(table.column("sig").slice(lo, hi - lo).to_pylist()), np.uint16).reshape(-1, HASHES)
+                size = np.array([len(s) for s in sets])
+                if count:
+                    a, b = surviving_pairs(np.zeros(hi - lo, np.int64), block[lo:hi], (i != j)[lo:hi], sig, steps)
+                    order = np.argsort(a, kind="stable")
+                    a, b = a[order], b[order]
+                    ok = _similar(shared_sizes(sets, a, b), size[a], size[b], threshold)
+                    a, b = a[ok], b[ok]
+                    links[lo:hi] = np.bincount(a, weight[lo:hi][b], hi - lo) + np.bincount(b, weight[lo:hi][a], hi - lo)
+                else:
+
+                    def linked(x, rows, sets=sets, sig=sig, size=size):
+                        rows = _pruned(sig, np.full(len(rows), x), rows, steps)[1]
+                        both = np.array([np.isin(sets[x], sets[y], assume_unique=True).sum() for y in rows.tolist()], np.int64)
+                        return rows[_similar(both, size[x], size[rows], threshold)]
+
+                    a, b = joined(hi - lo, linked)
+                order = np.argsort(rep[lo:hi], kind="stable")
+                at = np.argsort(order)
+                least[lo:hi][order] = rep[lo:hi][order][_forest(hi - lo, at[a], at[b])]
             yield pa.RecordBatch.from_arrays([pa.array(component), pa.array(rep), pa.array(links), pa.array(least)], [c.split()[0] for c in kinds.split(", ")])
 
-    return members.select(*sort, "block", "rep", "weight", "text").repartition(*sort).sortWithinPartitions(*sort).mapInArrow(check, kinds)
+    # The pairs of blocks of a component go to tasks next to each other, so that none gets many of them.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.pmod(F.xxhash64("component") + (F.col("j") * (F.col("j") + 1) / 2).cast("bigint") + F.col("i"), F.lit(tasks)).cast("int")
+    sort = ["component", "i", "j"]
+    return members.select(*sort, "block", "rep", "weight", "sig", "grams").repartitionById(tasks, task).sortWithinPartitions(*sort).mapInArrow(check, kinds)
 
 
-def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5, most: int = 128) -> DataFrame:
-    """doc_id, class_id (the least doc_id that links lead to), n_links (documents at or above the threshold), copies (with an equal set, itself included)."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, which is the last column, turned into its set of shingle hashes."""
+    for batch in batches:
+        for a, b, texts in slices(batch.column(batch.num_columns - 1), 1 << 20):
+            grams, offsets = shingle_sets(texts)
+            part = [c.slice(a, b - a) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*part, pa.array([grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], [*batch.schema.names[:-1], "grams"])
+
+
+def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5, widest: int = WIDEST, narrowest: int = NARROWEST, count: bool = True) -> DataFrame:
+    """doc_id, tkey (a hash of the text), class_id, n_links, copies of every row of docs; without ``count``, n_links lacks links to other sets."""
     drawn = materialize(sketches(docs, doc_id, text))
     some = drawn.where("doc_id is not null and key is not null")
-    classes = materialize(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("sig").alias("sig")))
-    edges = materialize(candidate_edges(classes, threshold=threshold, tolerance=tolerance))
-    near = connected_components(edges).withColumnRenamed("id", "rep")
-    sized = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = materialize(_blocked(sized.join(classes.select("rep", "weight"), "rep"), ["component"], most))
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text"))
-    found = materialize(verified(members.join(texts, "rep"), threshold))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
-    split = found.where("least <> rep").join(members.where("i <> j").select("component").distinct(), "component", "left_semi")
-    if not split.isEmpty():  # components over several blocks: join what their blocks found
-        whole = connected_components(found.where("least <> rep").select(F.col("rep").alias("src"), F.col("least").alias("dst")))
+    heads = some.groupBy("key").agg(F.min(F.struct("doc_id", "tkey")).alias("h"), F.count("*").alias("weight"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = materialize(heads.select("key", F.col("h.doc_id").alias("rep"), F.col("h.tkey").alias("tkey"), "weight", "sig", "n"))
+    edges = materialize(candidate_edges(classes, threshold=threshold, tolerance=tolerance, widest=widest, narrowest=2 * narrowest))
+    near = materialize(connected_components(edges).withColumnRenamed("id", "rep"))
+    found = near.join(classes.drop("key"), "rep")
+    blocks = _n_blocks(docs.sparkSession, F.col("rows"), F.col("bytes"), widest, narrowest)
+    sized = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("bigint") * 8).alias("bytes")).select("component", blocks.alias("m"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
+    with_text = found.join(sized, "component").select("component", "m", "rep", "tkey", "weight", "sig").join(texts, ["rep", "tkey"])
+    sets = with_text.select("component", "m", "rep", "tkey", "weight", "sig", "text").mapInArrow(_sets, "component bigint, m int, rep bigint, tkey bigint, weight bigint, sig binary, grams binary")
+    members = materialize(sets.dropDuplicates(["rep", "tkey"]))  # rows of docs may be repeated
+    checked = materialize(verified(_blocked(members), threshold=threshold, tolerance=tolerance, count=count))
+    linked = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+    if not members.where("m > 1").isEmpty():  # components over several blocks: join what their blocks found
+        whole = connected_components(checked.where("least <> rep").select(F.col("rep").alias("src"), F.col("least").alias("dst")))
         linked = linked.join(whole.withColumnRenamed("id", "rep"), "rep", "left").withColumn("least", F.coalesce("component", "least")).drop("component")
     named = classes.select("key", "rep", "weight").join(linked, "rep", "left")
-    out = drawn.select("doc_id", "key").join(named, "key", "left")
+    out = drawn.select("doc_id", "tkey", "key").join(named, "key", "left")
     mine = F.col("doc_id").isNotNull() & F.col("rep").isNotNull()
     return out.select(
         "doc_id",
+        "tkey",
         F.when(mine, F.coalesce("least", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(mine, F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         F.when(mine, F.col("weight")).otherwise(F.lit(1)).cast("bigint").alias("copies"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, one of each class: the one with the class's doc_id (of repeated rows, one)."""
-    gone = join_classes(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+def join_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id that links lead to), n_links (documents at or above the threshold), copies (with an equal set, itself included)."""
+    return classified(docs, **options).drop("tkey")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, one of each class: the one with the class's doc_id (of repeated rows, one). Rows without a doc_id all stay.
+
+    Only ids and hashes decide, and only rows that are repeated and stay are grouped as wholes.
+    """
+    rows = classified(docs, doc_id=doc_id, text=text, count=False, **options).where("doc_id is not null")
+    each = materialize(rows.groupBy("doc_id", "tkey", "class_id").agg(F.count("*").alias("n")))
+    first = each.groupBy("class_id").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
+    flags = each.join(first, "class_id").select("doc_id", "tkey", (F.struct("doc_id", "tkey") == F.col("first")).alias("stays"), (F.col("n") > 1).alias("again"))
+    touched = materialize(flags.where("not stays or again"))
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("tkey"))
+    alone = named.join(touched, ["doc_id", "tkey"], "left_anti").select("row.*")
+    again = named.join(touched.where("stays"), ["doc_id", "tkey"], "left_semi").groupBy("doc_id", "tkey").agg(F.first("row").alias("row")).select("row.*")
+    return alone.unionByName(again)
 
 
 def op1_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
