@@ -9,10 +9,11 @@ goes on); such functions compose associatively, "the last constant wins", so one
 suffix scan each white space the end of its run. Boundaries follow from runs and their neighbours.
 
 The slices between boundaries go through pair merging, cached by slice. Offsets of tokens in the
-text's bytes are kept, so that tokens can be traced back and decoding checked.
+text's bytes are kept, so that tokens can be traced back; decoding compares them with the tokens' sizes.
 
-Defined results: null counts as empty; an empty text has no tokens and decodes to no bytes; repeated
-rows are encoded each on its own; other columns are ignored; an empty table gives no rows.
+Defined results: null counts as empty; an empty text has no tokens and decodes to no bytes; a very long text is
+encoded whole, as is a very long slice of it; of equally low pairs the first is merged first; repeated rows are
+encoded each on its own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from ..storage import spread
 from .text import Texts, slices, spans_hash
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
-CACHE_SLICES, CACHE_BYTES, SHORT = 200_000, 48, 64
+CACHE_SLICES, CACHE_BYTES, SHORT = 300_000, 48, 64
 
 
 @lru_cache(1)
@@ -197,7 +198,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     """(doc_id, text) to (doc_id, ids, ends): ids of a text's tokens, and where each ends in the text's bytes."""
     cache, _, _, size = _coder(path)
     for batch in batches:
-        for a, b, texts in slices(batch.column(1), 1 << 20):
+        for a, b, texts in slices(batch.column(1)):
             start, stop, doc = boundaries(texts)
             first, kind = distinct(texts.data, start, stop)
             data = texts.data.tobytes()
@@ -214,7 +215,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ids, ...) to (doc_id, ids, bytes)."""
+    """(doc_id, ids, ends) to (doc_id, ids, bytes). Offsets that do not fit the tokens are an error; without the column ends, none are compared."""
     _, body, at, size = _coder(path)
     for batch in batches:
         lists = batch.column(1)
@@ -222,9 +223,14 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
         ids = lists.values.to_numpy()[offsets[0] : offsets[-1]]
         n = size[ids]
         cum = np.concatenate([[0], np.cumsum(n)])
+        bounds = cum[offsets - offsets[0]]
+        if batch.num_columns > 2:
+            ends = batch.column(2)
+            held = ends.values.to_numpy()[ends.offsets[0].as_py() : ends.offsets[-1].as_py()]
+            if not np.array_equal(held, cum[1:] - np.repeat(bounds[:-1], np.diff(offsets))):
+                raise ValueError("offsets do not fit the tokens")
         data = body[np.repeat(at[ids] - cum[:-1], n) + np.arange(cum[-1])]
-        bounds = cum[offsets - offsets[0]].astype(np.int32)
-        text = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        text = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
         yield pa.RecordBatch.from_arrays([batch.column(0), lists, text], ["doc_id", "ids", "bytes"])
 
 
@@ -234,17 +240,31 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id, bytes of every row of tokens (doc_id, ids)."""
+    """doc_id, bytes of every row of tokens (doc_id, ids and, if its offsets are to be compared with the tokens, ends)."""
 
     def run(batches):
         for batch in decode_batches(batches, path):
             yield batch.select(["doc_id", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, bytes binary")
+    return tokens.select("doc_id", "ids", *(["ends"] if "ends" in tokens.columns else [])).mapInArrow(run, "doc_id bigint, bytes binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, ends of every row of docs, and decoded_sha256, the digest of what they decode to, by their offsets too."""
+
+    def run(batches):
+        for batch in encode_batches(batches, path):
+            (decoded,) = decode_batches(iter([batch]), path)
+            data = Texts.of(decoded.column(2))
+            digest = [hashlib.sha256(data.data[i:j]).hexdigest() for i, j in pairwise(data.offsets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.string())], [*batch.schema.names, "decoded_sha256"])
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, ends array<int>, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes every row in one pass: digests of ids and of the decoded bytes, and whether all offsets fit."""
+    """Encodes every row and decodes it again, by its offsets too, in one pass: digests of ids and of the decoded bytes."""
 
     def digest(batches):
         for batch in decode_batches(encode_batches(batches, path), path):

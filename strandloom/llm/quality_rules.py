@@ -8,9 +8,10 @@ size propose them (``common_words``), and a second pass counts the proposals eve
 the shares are exact and what reaches the driver does not grow with the table.
 
 Defined results: a null text counts as empty; an empty text has no words and fails the base
-rules; a null or unknown language is judged against the nearest reference; texts shorter than the
-minimum lengths are not judged by divergence; repeated rows are judged each on its own; an
-empty table gives no rows; other columns are ignored.
+rules; a very long text is counted whole; a null or unknown language is judged against the nearest reference, of
+equally near ones the one that sorts first; texts shorter than the minimum lengths are not judged by divergence; a
+distance at its limit passes; repeated rows are judged each on its own; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

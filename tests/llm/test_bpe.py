@@ -62,5 +62,24 @@ def test_offsets_and_decoding(spark, coder):
     assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode(tokens, bpe.ranks_path()).collect()} == dict(enumerate(CASES))
 
 
+def test_offsets_that_do_not_fit_are_found(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+    tokens = bpe.encode(docs, bpe.ranks_path())
+    broken = tokens.selectExpr("doc_id", "ids", "transform(ends, (x, i) -> if(i = 1, x + 1, x)) as ends")
+    assert bpe.decode(broken.drop("ends"), bpe.ranks_path()).count() == 2
+    with pytest.raises(Exception, match="offsets do not fit"):
+        bpe.decode(broken, bpe.ranks_path()).collect()
+    whole = {r.doc_id: r.decoded_sha256 for r in bpe.encode_and_decode(docs, bpe.ranks_path()).collect()}
+    assert whole == {1: hashlib.sha256(b"one two three").hexdigest(), 2: hashlib.sha256(b"four").hexdigest()}
+
+
+def test_a_very_long_text(spark, coder):
+    text = "lorem " * 60_000 + "x" * 30_000 + " \n" * 20_000
+    r = bpe.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), bpe.ranks_path()).first()
+    ids = coder.encode_ordinary(text)
+    assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+    assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), bpe.ranks_path()).count() == 0

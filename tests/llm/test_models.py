@@ -130,6 +130,14 @@ def test_base_counts_against_brute_force(spark, corpus):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
 
 
+def test_rules_ignore_columns_of_any_name(spark, corpus):
+    path, docs, _ = corpus
+    df = spark.read.parquet(path + "/documents.parquet").where("lang is not null")
+    plain = quality_rules.judge(df, quality_rules.references(df))
+    odd = df.selectExpr("*", "1 as n_words", "'x' as kept", "2 as n", "3 as bin", "'w' as kind", "4 as word")
+    assert sorted(map(tuple, quality_rules.judge(odd, quality_rules.references(odd)).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_summaries_keep_heavy_words():
     rng = np.random.default_rng(3)
     stream = rng.permutation(np.concatenate([np.full(300, 1), np.full(250, 2), np.arange(100, 5000)]))
