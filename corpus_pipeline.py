@@ -6,7 +6,16 @@ operators may learn from, of the tables in sf_dir and of docs.
 
 A stage keeps: language ID, documents with a letter whose best language is likelier than not; the
 quality classifier, those with a score of at least 0.5; the Jaccard join, one of each class of near
-duplicates; decontamination, those that no benchmark item contaminates.
+duplicates; decontamination, those that no benchmark item contaminates. The last stage decodes its token ids again, by their
+offsets too, and returns the digest of what they give beside them.
+
+Defined results: a null, empty or letterless text goes at the first stage; a very long text is judged whole; repeated rows
+go on as they are up to the Jaccard join, which leaves one of them; a null doc_id is kept there, as it is not
+compared; of a class of near duplicates, the row with the least doc_id stays, and of rows with that doc_id the one
+with the least text hash; a score or share at its limit passes in the first two stages and contaminates in the fourth; an
+empty table of documents, or one without any lang, gives no rows, and an empty benchmark removes none; without labels of both
+kinds, quality keeps all if half or more of the labels (or none at all) are 1, else none; further columns are kept by
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,7 +69,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.ranks_path())
+    return bpe.encode_and_decode(docs, bpe.ranks_path())
 
 
 STAGES = [
