@@ -2,44 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap, rescale, size
-from ..storage import materialize
-from .intervals import value_clusters
 
 
 def with_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
     """aln with ``cluster``: alignments in query order join the current cluster as long as one of its members overlaps them enough.
 
-    A closed cluster is forgotten, so this is a fold and not a running maximum: what matters of the current
-    cluster is only its largest end. Rows are sorted by read and folded as they stream by, with the state of
-    one read carried from batch to batch; a read of any size takes constant memory.
+    A closed cluster is forgotten, so what matters of the current one is its largest end. An alignment shorter than
+    min_overlap always opens a cluster, whatever was before. From there to the next such one, an alignment that opens a
+    cluster ends beyond all before it, so that the running maximum of ends is the current cluster's: two windows will do.
     """
-    names = aln.columns
-    q, s, e = (names.index(c) for c in ("qname", "qstart", "qend"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, cluster, reach, fresh = None, 0, 0, True
-        for batch in batches:
-            out = []
-            for name, start, end in zip(*(batch.column(c).to_pylist() for c in (q, s, e)), strict=True):
-                if fresh or name != read:
-                    read, cluster, reach, fresh = name, 0, end, False
-                elif min(end, reach) - start >= min_overlap:
-                    reach = max(reach, end)
-                else:
-                    cluster, reach = cluster + 1, end
-                out.append(cluster)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*names, "cluster"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in aln.schema)
-    rows = aln.repartition("qname").sortWithinPartitions("qname", "qstart", "qend", F.desc("line_no"))
-    return rows.mapInArrow(fold, f"{kinds}, cluster int")
+    order = ["qstart", "qend", F.desc("line_no")]
+    short = F.col("qend") - F.col("qstart") < min_overlap
+    running = Window.partitionBy("qname").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parted = aln.withColumn("_part", F.sum(short.cast("int")).over(running))
+    reach = F.max("qend").over(Window.partitionBy("qname", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    opens = short | F.coalesce(reach - F.col("qstart") < min_overlap, F.lit(True))
+    opened = parted.withColumn("_opens", opens.cast("int"))
+    return opened.withColumn("cluster", (F.sum("_opens").over(running) - 1).cast("int")).drop("_part", "_opens")
 
 
 def multimap_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
@@ -51,26 +34,42 @@ def multimap_intervals(aln: DataFrame, min_overlap: int = 100, max_dist: int = 1
     """qname, cluster, istart, iend, line_no, ori, rname, rstart, rend, n_aln: the grid between canonical breakpoints of each
     cluster of two or more alignments, with the alignments that reach into each cell and their projected coordinates;
     a cluster of one alignment is its own cell.
+
+    Breakpoints of a cluster are numbered in order, and cell k lies between k and k + 1. Each alignment is sent to its cells, each
+    breakpoint to the two cells it bounds, and they meet in a window: all windows are within reads, so reads are shuffled once.
     """
     keys = ["qname", "cluster"]
-    placed = with_clusters(aln.select("qname", "line_no", "qstart", "qend", "ori", "rname", "rstart", "rend"), min_overlap)
-    # Used several times below: written once.
-    sized = materialize(placed.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))))
-    alone = sized.where("_n = 1").select(*keys, F.col("qstart").alias("istart"), F.col("qend").alias("iend"), "line_no", "ori", "rname", "rstart", "rend")
-    shared = sized.where("_n > 1")
-    ends = shared.select(*keys, F.explode(F.array("qstart", "qend")).alias("value"))
-    canon = value_clusters(ends, keys, "value", max_dist)
-    cells = canon.select(*keys, F.col("canonical").alias("istart")).distinct()
-    cells = cells.withColumn("iend", F.lead("istart").over(Window.partitionBy(*keys).orderBy("istart"))).where("iend is not null")
-    a, b = canon.withColumnsRenamed({"value": "qstart", "canonical": "_cs"}), canon.withColumnsRenamed({"value": "qend", "canonical": "_ce"})
-    snapped = shared.join(a, [*keys, "qstart"]).join(b, [*keys, "qend"])
-    met = snapped.join(cells, keys).where(overlap(F.col("_cs"), F.col("_ce"), F.col("istart"), F.col("iend")) > 0)
-
-    def at(x: str) -> Column:
-        return rescale(F.col("rstart"), F.col("rend"), F.col("qstart"), F.col("qend"), F.col(x))
-
-    grid = met.select(*keys, "istart", "iend", "line_no", "ori", "rname", at("istart").alias("rstart"), at("iend").alias("rend"))
-    return alone.unionByName(grid).withColumn("n_aln", F.count("*").over(Window.partitionBy(*keys, "istart", "iend")))
+    own = ["line_no", "qstart", "qend", "ori", "rname", "rstart", "rend"]
+    placed = with_clusters(aln.select("qname", *own), min_overlap)
+    sized = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    ends = F.explode(F.array(F.struct(F.col("qstart").alias("value"), F.lit(True).alias("first")), F.struct(F.col("qend").alias("value"), F.lit(False).alias("first"))))
+    points = sized.withColumn("_p", ends).select(*keys, *own, "_n", "_p.*")
+    # Breakpoints by single linkage, as value_clusters has them.
+    order = Window.partitionBy(*keys).orderBy("value")
+    apart = F.coalesce(F.col("value") - F.lag("value").over(order) > max_dist, F.lit(True))
+    linked = points.withColumn("_new", apart.cast("int"))
+    linked = linked.withColumn("_k", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = Window.partitionBy(*keys, "_k")
+    mean = (F.sum(F.col("value").cast("bigint")).over(whole) / F.count("*").over(whole)).cast("int")
+    known = linked.withColumn("_canonical", mean)
+    alignment = Window.partitionBy(*keys, "line_no")
+    known = known.withColumns({"_from": F.min(F.when(F.col("first"), F.col("_k"))).over(alignment), "_to": F.max(F.when(~F.col("first"), F.col("_k"))).over(alignment)})
+    one = F.struct(*own)
+    nothing = F.lit(None).cast("bigint")
+    none = F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in aln.select(*own).schema) + ">")
+    point = F.col("_canonical").cast("bigint")
+    bounds = F.when(F.col("_new") == 1, F.array(F.struct(F.col("_k").alias("k"), point.alias("at"), nothing.alias("end"), none.alias("a")), F.struct((F.col("_k") - 1).alias("k"), nothing.alias("at"), point.alias("end"), none.alias("a"))))
+    cells = F.when(F.col("first") & (F.col("_from") < F.col("_to")), F.transform(F.sequence(F.col("_from"), F.col("_to") - 1), lambda k: F.struct(k.alias("k"), nothing.alias("at"), nothing.alias("end"), one.alias("a"))))
+    alone = F.when((F.col("_n") == 1) & F.col("first"), F.array(F.struct(F.lit(0).cast("bigint").alias("k"), F.col("qstart").cast("bigint").alias("at"), F.col("qend").cast("bigint").alias("end"), one.alias("a"))))
+    parts = F.when(F.col("_n") == 1, F.array(alone)).otherwise(F.array(bounds, cells))
+    sent = known.select(*keys, "_n", F.explode(F.flatten(F.filter(parts, lambda x: x.isNotNull()))).alias("_c")).select(*keys, "_n", "_c.*")
+    cell = Window.partitionBy(*keys, "k")
+    met = sent.withColumns({"istart": F.max("at").over(cell).cast("int"), "iend": F.max("end").over(cell).cast("int"), "n_aln": F.count("a").over(cell)}).where("a is not null").select(*keys, "_n", "istart", "iend", "n_aln", "a.*")
+
+    def at(x: str, whole: str) -> Column:
+        return F.when(F.col("_n") == 1, F.col(whole)).otherwise(rescale(F.col("rstart"), F.col("rend"), F.col("qstart"), F.col("qend"), F.col(x))).alias(whole)
+
+    return met.select(*keys, "istart", "iend", "line_no", "ori", "rname", at("istart", "rstart"), at("iend", "rend"), "n_aln")
 
 
 def _turned(first: bool) -> Column:
@@ -138,18 +137,23 @@ def multimap_runs(aln: DataFrame, min_fraction: float = 0.5) -> DataFrame:
     return numbered.withColumn("_n", F.count("*").over(Window.partitionBy("qname", "run"))).where("_n > 1").select("qname", "run", "line_no")
 
 
-def canonical_regions(aln: DataFrame, key: str = "rname", start: str = "rstart", end: str = "rend") -> DataFrame:
+def canonical_regions(aln: DataFrame, key: str = "rname", start: str = "rstart", end: str = "rend", width: int = 1 << 14) -> DataFrame:
     """key, start, end: alignments of a reference in order, chained while they share more than their ends, each chain merged.
 
-    Within a chain the largest end so far decides, and a row that starts at or beyond it starts a new chain.
+    Chains are first made among the alignments that start in the same ``width`` positions, so that no task holds all of a
+    reference's; what they leave is chained again. An alignment without a position of its own shares nothing.
     """
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # A row that is shorter than what it shares cannot be: sharing is min(ends) - start, positive iff both ends lie beyond start.
-    shares = reach.isNotNull() & (F.least(reach, F.col(end)) - F.col(start) > 0)
-    marked = aln.select(key, start, end, F.when(shares, 0).otherwise(1).alias("_new"))
-    numbered = marked.withColumn("_chain", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(key, "_chain").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_chain")
+
+    def chained(rows: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(start, end)
+        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        marked = rows.withColumn("_new", F.when(reach > F.col(start), 0).otherwise(1))
+        numbered = marked.withColumn("_chain", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        return numbered.groupBy(*by, "_chain").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_chain")
+
+    rows = aln.select(key, start, end)
+    near = chained(rows.where(F.col(start) < F.col(end)).withColumn("_bin", F.floor(F.col(start) / width)), [key, "_bin"])
+    return chained(near.drop("_bin"), [key]).unionByName(rows.where(F.col(start) >= F.col(end)).distinct())
 
 
 def read_groups(aln: DataFrame, consecutive: bool = False) -> DataFrame:

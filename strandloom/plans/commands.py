@@ -55,10 +55,22 @@ def graph_alignment(aln: DataFrame, genes: DataFrame, *, min_mapq: int = 10, min
     return _graph(J.oriented_steps(J.boundary_filter(projected, by, "rstart", "_end", min_alignment_cov)), directed=True)
 
 
-def graph_family(pairs: DataFrame, genes: DataFrame, *, min_cov: float = 0.75, min_eval: float = 1e-6, min_bitscore: float = 50.0, protein: bool = True, split_ori: bool = False) -> Graph:
-    """The undirected graph of gene families along each reference."""
-    kept = G.across_references(G.homology_pairs(pairs, min_cov=min_cov, max_eval=min_eval if protein else None, min_bitscore=min_bitscore if protein else None), genes, split_ori)
-    return _graph(G.genome_steps(genes, G.families(kept)), directed=False)
+def homologous(pairs: DataFrame, genes: DataFrame, *, min_cov: float = 0.75, min_eval: float = 1e-6, min_bitscore: float = 50.0, protein: bool = True, split_ori: bool = False, orientations: DataFrame | None = None) -> DataFrame:
+    """The pairs that make families. orientations (q, r, ori), of DNA alignments, stand for those of protein alignments where split_ori asks."""
+    kept = G.homology_pairs(pairs, min_cov=min_cov, max_eval=min_eval if protein else None, min_bitscore=min_bitscore if protein else None)
+    if split_ori and orientations is not None:
+        kept = G.pair_orientation(kept, orientations).withColumn("ori", F.col("known")).select(pairs.columns)
+    return G.across_references(kept, genes, split_ori)
+
+
+def family_graph(genes: DataFrame, members: DataFrame) -> Graph:
+    """The undirected graph of families (id, canonical) along each reference."""
+    return _graph(G.genome_steps(genes, members), directed=False)
+
+
+def graph_family(pairs: DataFrame, genes: DataFrame, **options) -> Graph:
+    """The undirected graph of gene families along each reference; options as homologous has them."""
+    return family_graph(genes, G.families(homologous(pairs, genes, **options)))
 
 
 def path_metrics(paths: DataFrame, *, min_length: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import projection as J
 from ..operators import residues as Q
 from ..operators import text as T
+from ..operators.numbering import number_rows
 from ..sources import formats, writers
 from ..storage import materialize
 from . import commands
@@ -46,35 +47,70 @@ def gff2descriptions(spark: SparkSession, gffs: list[str], out: str, genes: Data
     writers.write_lines(lines, f"{out}/gene_description", "id")
 
 
-def graph_family(spark: SparkSession, descriptions: str, blast: str, out: str, **options) -> commands.Graph:
-    """out/graph.gfa, out/gene_families and out/homology_connectivity; paths have size -1."""
-    genes, pairs = _descriptions(spark, descriptions), formats.parse_blast(formats.read_lines(spark, blast))
-    kept = G.across_references(G.homology_pairs(pairs), genes)
-    members = G.families(kept)
-    graph = commands.graph_family(pairs, genes, **options)
+def _alignments_of_genes(spark: SparkSession, path: str, blast: bool, genes: DataFrame, local_ids: bool) -> DataFrame:
+    """q, r, qlength, rlength, ori, eval, bitscore, file, at: lines of a BLAST table or PAF file of genes named by id or, if local, by gene_id."""
+    lines = formats.read_lines(spark, path)
+    if blast:
+        rows = formats.parse_blast(lines, local_ids)
+    else:
+        end = F.col if local_ids else (lambda name: F.col(name).cast("int"))
+        rows = formats.parse_paf(lines).select("file", "at", end("qname").alias("q"), end("rname").alias("r"), F.col("query_length").alias("qlength"), F.col("ref_length").alias("rlength"), "ori", F.lit(None).cast("double").alias("eval"), F.lit(None).cast("double").alias("bitscore"))
+    cells = rows.select("q", "r", "qlength", "rlength", "ori", "eval", "bitscore", "file", "at")
+    if not local_ids:
+        return cells
+    ids = genes.groupBy("gene_id").agg(F.max("id").alias("_id"))  # a name that comes again means the later gene
+    for side in ("q", "r"):
+        cells = cells.join(ids.withColumnRenamed("gene_id", side), side).drop(side).withColumnRenamed("_id", side)
+    return cells
+
+
+def graph_family(spark: SparkSession, descriptions: str, alignments: str, out: str, *, blast: bool = True, local_ids: bool = False, protein: bool = True, split_ori: bool = False, dna: str | None = None, dna_blast: bool = False, dna_local_ids: bool = False, metrics: bool = True, **thresholds) -> commands.Graph:
+    """out/graph.gfa, out/gene_families and, with metrics, out/homology_connectivity; paths have size -1.
+
+    Alignments are a BLAST table or PAF; PAF lines have no scores to judge. Protein alignments have no orientation of their
+    own: split_ori takes it from dna, where a pair's first alignment decides.
+    """
+    if split_ori and protein and blast and dna is None:
+        raise ValueError("split_ori needs DNA alignments beside protein alignments")
+    genes = _descriptions(spark, descriptions)
+    pairs = _alignments_of_genes(spark, alignments, blast, genes, local_ids)
+    known = None
+    if split_ori and protein and blast:
+        known = G.first_orientation(_alignments_of_genes(spark, dna, dna_blast, genes, dna_local_ids).withColumn("order", F.struct("file", "at")), "order")
+    kept = materialize(commands.homologous(pairs.drop("file", "at"), genes, protein=protein and blast, split_ori=split_ori, orientations=known, **thresholds))
+    members = materialize(G.families(kept))
+    graph = commands.family_graph(genes, members)
     paths = R.gathered(graph.steps).withColumn("size", F.lit(-1))
     writers.write_lines(graph.gfa(paths=paths), f"{out}/graph.gfa", "section", "rank")
     writers.write_table(members, f"{out}/gene_families")
-    writers.write_table(G.homology_connectivity(kept, members).select("n_degree", "cc_size"), f"{out}/homology_connectivity")
+    if metrics:
+        writers.write_table(G.homology_connectivity(kept, members).select("n_degree", "cc_size"), f"{out}/homology_connectivity")
     return graph
 
 
+def _aligned(spark: SparkSession, msas: dict[int, str]) -> DataFrame:
+    """gene_id, seqname, aligned of the FASTA files (or folders of them) of all families, read at once."""
+    known = spark.createDataFrame([(formats.uri_of(spark, p).rstrip("/"), int(k)) for k, p in msas.items()], "_place string, gene_id int")
+    file = formats.file_of()
+    here = F.explode(F.array(file, F.regexp_replace(file, "/[^/]*$", "")))
+    return formats.read_fasta(spark, list(msas.values()), with_file=True).withColumn("_place", here).join(known, "_place").select("gene_id", F.col("name").alias("seqname"), F.col("seq").alias("aligned"))
+
+
 def sequence_graph(spark: SparkSession, msas: dict[int, str], out: str) -> None:
     """out/graph.gfa of aligned families (family id -> FASTA of gapped sequences)."""
-    rows = None
-    for family, path in msas.items():
-        one = formats.read_fasta(spark, path).select(F.lit(family).alias("gene_id"), F.col("name").alias("seqname"), F.col("seq").alias("aligned"))
-        rows = one if rows is None else rows.unionByName(one)
+    rows = _aligned(spark, msas)
     nodes = Q.msa_nodes(rows)
 
     def name(column: str, aa: str):
         return F.concat_ws("_", F.col("gene_id").cast("string"), F.col(column).cast("string"), aa)
 
-    covered, edges = Q.seq_node_coverage(nodes), Q.seq_edge_coverage(nodes)
-    segments = writers.gfa_segments(covered.select(name("seq_id", "aa").alias("id"), "coverage")).join(covered.select(name("seq_id", "aa").alias("rank"), F.concat_ws(" ", F.lpad(F.col("seq_id").cast("string"), 12, "0"), F.lpad(F.col("gene_id").cast("string"), 12, "0"), "aa").alias("_by")), "rank").select("value", F.col("_by").alias("rank"))
+    covered, edges = Q.seq_node_coverage(nodes), Q.msa_edge_coverage(rows)
+    by = F.concat_ws(" ", F.lpad(F.col("seq_id").cast("string"), 12, "0"), F.lpad(F.col("gene_id").cast("string"), 12, "0"), "aa")
+    segments = covered.select(F.concat_ws("\t", F.lit("S"), name("seq_id", "aa"), F.lit(""), F.concat(F.lit("FC:i:"), F.col("coverage").cast("string"))).alias("value"), by.alias("rank"))
     links = writers.gfa_links(edges.select(name("src", "src_aa").alias("src"), name("dst", "dst_aa").alias("dst"), "coverage"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq_id", F.concat(name("seq_id", "aa"), F.lit("+")).alias("n"))))
-    paths = nodes.groupBy("gene_id", "seqname").agg(ordered.alias("s")).select(F.concat_ws("\t", F.lit("P"), "seqname", F.array_join("s.n", ","), F.size("s").cast("string")).alias("value"), F.col("seqname").alias("rank"))
+    cells = F.filter(F.transform(F.split("aligned", ""), lambda x, i: F.struct(i.alias("i"), x.alias("aa"))), lambda c: (c["aa"] != "-") & (c["aa"] != ""))
+    steps = F.transform(cells, lambda c: F.concat(F.col("gene_id").cast("string"), F.lit("_"), c["i"].cast("string"), F.lit("_"), c["aa"], F.lit("+")))
+    paths = rows.select(F.concat_ws("\t", F.lit("P"), "seqname", F.array_join(steps, ","), F.size(steps).cast("string")).alias("value"), F.col("seqname").alias("rank"))
     header = spark.createDataFrame([("H\tSequence-graph", "")], "value string, rank string")
     lines = header.withColumn("section", F.lit(0))
     for k, part in enumerate((segments, links, paths), 1):
@@ -82,10 +118,11 @@ def sequence_graph(spark: SparkSession, msas: dict[int, str], out: str) -> None:
     writers.write_lines(lines, f"{out}/graph.gfa", "section", "rank")
 
 
-def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1, directed: bool = False) -> None:
-    """out/architectures: ID, Path, SingleOri, Count, and the first name; out/architecture_names: ID and Name of all paths.
+def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1, directed: bool = False, names_per_line: int = 10_000) -> None:
+    """out/architectures: ID, Path, SingleOri, Count, and the Names of all its paths, joined by commas.
 
-    An undirected graph must have every edge both ways.
+    An architecture of more than names_per_line paths goes on in further lines of the same ID, so that no line grows without
+    bound. An undirected graph must have every edge both ways.
     """
     lines = formats.read_lines(spark, gfa)
     faults = formats.graph_faults(formats.gfa_node_table(lines), formats.gfa_edge_table(lines), directed)
@@ -93,10 +130,11 @@ def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1
         raise ValueError(f"not a proper graph: {faults.limit(3).collect()}")
     paths = formats.parse_gfa_paths(lines)
     found = materialize(commands.path_metrics(paths, min_length=min_length))
-    table = found.select(F.col("id").alias("ID"), F.col("path").alias("Path"), F.col("single_ori").alias("SingleOri"), F.col("n").alias("Count"), F.col("first_name").alias("Name")).orderBy("ID")
+    named = number_rows(commands.path_names(paths, found, min_length=min_length), ["name"], "k", within=("id",))
+    line = F.floor(F.col("k") / names_per_line).alias("line")
+    names = named.groupBy("id", line).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("Names"))
+    table = found.join(names, "id").orderBy("id", "line").select(F.col("id").alias("ID"), F.col("path").alias("Path"), F.col("single_ori").alias("SingleOri"), F.col("n").alias("Count"), "Names")
     writers.write_table(table, f"{out}/architectures", header=True)
-    names = commands.path_names(paths, found, min_length=min_length).select(F.col("id").alias("ID"), F.col("name").alias("Name"))
-    writers.write_table(names.orderBy("ID", "Name"), f"{out}/architecture_names", header=True)
 
 
 def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, **options) -> None:
@@ -107,15 +145,17 @@ def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, **opt
 
 
 def gfa_converter(spark: SparkSession, gfa: str, out: str, labels: str | None = None) -> None:
-    """out/nodes (Id;Weight;Label) and out/edges (Source;Target;Weight)."""
+    """out/nodes (Id;Weight and, with labels, ;Label in quotes) and out/edges (Source;Target;Weight), each with a header line."""
     lines = formats.read_lines(spark, gfa)
     named = None
     if labels:
         named = formats.last_wins(formats.parse_pairs(formats.read_lines(spark, labels), "id", "label"), "id", "label").withColumn("id", F.col("id").cast("int"))
-    nodes = formats.gfa_node_table(lines, named).select(F.col("id").alias("Id"), F.col("weight").alias("Weight"), F.col("label").alias("Label"))
-    edges = formats.gfa_edge_table(lines).select(F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("weight").alias("Weight"))
-    writers.write_table(nodes, f"{out}/nodes", sep=";", header=True)
-    writers.write_table(edges, f"{out}/edges", sep=";", header=True)
+    label = F.concat(F.lit('"'), F.col("label"), F.lit('"')) if labels else F.lit(None).cast("string")
+    nodes = formats.gfa_node_table(lines, named).select(F.concat_ws(";", F.col("id").cast("string"), F.col("weight").cast("string"), label).alias("value"), F.col("id").alias("rank"))
+    edges = formats.gfa_edge_table(lines).select(F.concat_ws(";", F.col("source").cast("string"), F.col("target").cast("string"), F.col("weight").cast("string")).alias("value"), F.struct("source", "target").alias("rank"))
+    for name, header, rows in (("nodes", "Id;Weight;Label" if labels else "Id;Weight", nodes), ("edges", "Source;Target;Weight", edges)):
+        head = spark.range(1).select(F.lit(header).alias("value"), F.lit(None).cast(rows.schema["rank"].dataType).alias("rank"), F.lit(0).alias("section"))
+        writers.write_lines(head.unionByName(rows.withColumn("section", F.lit(1))), f"{out}/{name}", "section", "rank")
 
 
 def generate_labels(spark: SparkSession, gfa: str, names: list[str], strip_last: bool = False) -> DataFrame:
@@ -156,7 +196,9 @@ def fetch_keys(spark: SparkSession, descriptions: str, keys: list[str], out: str
 
 
 def fetch_subsequences(spark: SparkSession, fasta: str, config: str, out: str, gff: str | None = None, normalize: bool = False) -> None:
-    """out/subsequences.fa of whole sequences and windows (going round past the end); out/subsequences.gff of what lies inside."""
+    """out/subsequences.fa of whole sequences and windows (going round past the end); out/subsequences.gff, the lines of what lies
+    inside a window, or on a sequence that is wanted as a whole only. An annotation in several windows has a line for each.
+    """
     wanted = formats.parse_fetch_config(formats.read_lines(spark, config))
     named = formats.read_fasta(spark, fasta).join(wanted, F.col("name") == F.col("id"))
     whole = F.col("start").isNull()
@@ -165,14 +207,16 @@ def fetch_subsequences(spark: SparkSession, fasta: str, config: str, out: str, g
     writers.fasta_lines(named.select(label.alias("label"), piece.alias("piece")), "label", "piece").write.text(f"{out}/subsequences.fa")
     if gff is None:
         return
-    genes = formats.parse_gff(formats.read_lines(spark, gff))
-    windows = wanted.where(~whole).select(F.col("id").alias("ref"), F.col("start").alias("wstart"), F.col("end").alias("wend"))
-    inside = J.contained(genes, windows)
+    # Whole lines of every feature, by their columns as they stand (starts from 1).
+    c = F.split("value", "\t")
+    lines = formats.read_lines(spark, gff).where(~F.col("value").startswith("#") & (F.size(c) >= 5)).select("value", F.get(c, F.lit(0)).alias("ref"), F.get(c, F.lit(3)).cast("int").alias("gstart"), F.get(c, F.lit(4)).cast("int").alias("gend"))
+    windows = wanted.where(~whole).select(F.col("id").alias("ref"), F.col("start").alias("wstart"), F.col("end").alias("wend")).distinct()
+    inside = J.contained(lines, windows)
     if normalize:
-        inside = inside.withColumns({"ref": F.concat_ws("_", "ref", F.col("wstart").cast("string"), F.col("wend").cast("string")), "gstart": F.col("gstart") - F.col("wstart"), "gend": F.col("gend") - F.col("wstart")})
-    entire = genes.join(wanted.where(whole).select(F.col("id").alias("ref")).distinct(), "ref", "left_semi")
-    kept = ["ref", "gstart", "gend", "ori", "description", "gene_id"]
-    writers.gff_lines(inside.select(kept).unionByName(entire.select(kept))).write.text(f"{out}/subsequences.gff")
+        moved = F.transform(c, lambda x, i: F.when(i == 0, F.concat_ws("_", x, F.col("wstart").cast("string"), F.col("wend").cast("string"))).when(i.isin(3, 4), (F.when(i == 3, F.col("gstart")).otherwise(F.col("gend")) - F.col("wstart")).cast("string")).otherwise(x))
+        inside = inside.withColumn("value", F.array_join(moved, "\t"))
+    entire = lines.join(wanted.where(whole).select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").join(windows.select("ref").distinct(), "ref", "left_anti")
+    inside.select("value").unionByName(entire.select("value")).write.text(f"{out}/subsequences.gff")
 
 
 def genbank_converter(spark: SparkSession, genbank: str, out: str) -> None:

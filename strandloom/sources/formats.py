@@ -20,6 +20,18 @@ def read_lines(spark: SparkSession, path: str | list[str], skip_comments: bool =
     return out.where(~F.col("value").startswith("#")) if skip_comments else out
 
 
+def uri_of(spark: SparkSession, path: str) -> str:
+    """A path as ``file_of`` shows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    return re.sub("^([a-zA-Z0-9]+):/+", r"\1:/", whole)
+
+
+def file_of(column: str = "file") -> Column:
+    """The file of read_lines with one slash after its scheme, so that files can be compared with uri_of."""
+    return F.regexp_replace(column, "^([a-zA-Z0-9]+):/+", "$1:/")
+
+
 def _columns(value: str = "value") -> Column:
     return F.split(value, "\t")
 
@@ -55,11 +67,12 @@ def parse_paf(lines: DataFrame) -> DataFrame:
     return lines.select(*_kept(lines), F.regexp_extract(_text(c, 0), r"^(\S*)", 1).alias("qname"), _int(c, 1).alias("query_length"), _int(c, 2).alias("qstart"), _int(c, 3).alias("qend"), _text(c, 4).alias("ori"), _text(c, 5).alias("rname"), _int(c, 6).alias("ref_length"), _int(c, 7).alias("rstart"), _int(c, 8).alias("rend"), _int(c, 10).alias("align_length"), _int(c, 11).alias("mapq"))
 
 
-def parse_blast(lines: DataFrame) -> DataFrame:
-    """Pairs of ten-column BLAST table lines; '+' iff the subject's start lies before its end."""
+def parse_blast(lines: DataFrame, local_ids: bool = False) -> DataFrame:
+    """Pairs of ten-column BLAST table lines, q and r being numbers or, as local ids, names; '+' iff the subject's start lies before its end."""
     c = _columns()
+    name = _text if local_ids else _int
     ori = F.when(_int(c, 4) < _int(c, 5), "+").otherwise("-")
-    return lines.select(*_kept(lines), _int(c, 0).alias("q"), _int(c, 1).alias("qlength"), _int(c, 2).alias("r"), _int(c, 3).alias("rlength"), ori.alias("ori"), _int(c, 6).alias("alength"), *(_text(c, i).cast("double").alias(n) for i, n in ((7, "identity"), (8, "eval"), (9, "bitscore"))))
+    return lines.select(*_kept(lines), name(c, 0).alias("q"), _int(c, 1).alias("qlength"), name(c, 2).alias("r"), _int(c, 3).alias("rlength"), ori.alias("ori"), _int(c, 6).alias("alength"), *(_text(c, i).cast("double").alias(n) for i, n in ((7, "identity"), (8, "eval"), (9, "bitscore"))))
 
 
 def attribute(attributes: Column, tag: str) -> Column:
@@ -84,7 +97,9 @@ def read_gff(spark: SparkSession, paths: list[str], **tags) -> DataFrame:
     """Genes of one or several GFF3 files with running ids, by file in the order given, then by line."""
     from ..operators.numbering import number_rows
 
-    rank = F.coalesce(*[F.when(F.col("file").endswith(p.rsplit("/", 1)[-1]), F.lit(k)) for k, p in enumerate(paths)], F.lit(len(paths)))
+    # A path is a file, or a folder of files.
+    known = [(uri_of(spark, p), k) for k, p in enumerate(paths)]
+    rank = F.coalesce(*[F.when((file_of() == u) | file_of().startswith(u.rstrip("/") + "/"), F.lit(k)) for u, k in known], F.lit(len(paths)))
     rows = parse_gff(read_lines(spark, paths), **tags).withColumn("_file", rank)
     return number_rows(rows, ["_file", "file", "at"], "id").select(F.col("id").cast("int").alias("id"), "ref", "gstart", "gend", "ori", "description", "gene_id")
 
@@ -107,6 +122,18 @@ def last_wins(pairs: DataFrame, key: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.max_by(value, F.struct("file", "at")).alias(value))
 
 
+def parse_gene_families(lines: DataFrame) -> DataFrame:
+    """family, gene: the different genes of each family, a row each. A line of more or fewer than two columns is an error."""
+    pairs = parse_pairs(lines, "gene", "family")
+    return pairs.select(F.col("family").cast("int").alias("family"), F.col("gene").cast("int").alias("gene")).distinct()
+
+
+def parse_labels(lines: DataFrame) -> DataFrame:
+    """id, label: the different labels of each node, a row each; further columns of a line are left out."""
+    c = _columns()
+    return lines.select(_int(c, 0).alias("id"), _text(c, 1).alias("label")).distinct()
+
+
 def parse_fetch_config(lines: DataFrame) -> DataFrame:
     """id, start, end: windows to fetch; both null for a whole sequence. Two columns are an error."""
     c = F.split("value", r"\s+")
@@ -115,17 +142,21 @@ def parse_fetch_config(lines: DataFrame) -> DataFrame:
 
 
 def parse_gfa_paths(lines: DataFrame) -> DataFrame:
-    """name, path, size of P lines with a path."""
+    """name, path, size of P lines with a path. Of paths of one name, the last in lines of read_lines stays."""
     from ..functions.paths import parsed
 
     c = _columns()
     rows = lines.where(_text(c, 0) == "P")
     name = F.when(F.size(c) == 4, _text(c, 1)).otherwise(F.raise_error(F.concat(F.lit("expected four columns: "), "value")))
-    return rows.select(name.alias("name"), parsed(_text(c, 2)).alias("path"), _int(c, 3).alias("size")).where(F.size("path") > 0)
+    found = rows.select(name.alias("name"), parsed(_text(c, 2)).alias("path"), _int(c, 3).alias("size"), *_kept(lines)).where(F.size("path") > 0)
+    if "at" not in found.columns:
+        return found.select("name", "path", "size")
+    last = found.groupBy("name").agg(F.max_by(F.struct("path", "size"), F.struct("file", "at")).alias("_p"))
+    return last.select("name", "_p.path", "_p.size")
 
 
 def _weight() -> Column:
-    return F.regexp_extract("value", r"FC:i:(\d+)", 1).cast("int")
+    return F.nullif(F.regexp_extract("value", r"\tFC:i:(\d+)", 1), F.lit("")).cast("int")
 
 
 def gfa_node_table(lines: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -153,13 +184,13 @@ def graph_faults(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> D
     return out.distinct()
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, seq: one row per record, split at '>' after a line break, so files are read in parallel."""
+def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """name, seq[, file]: one row per record, split at '>' after a line break, so files are read in parallel."""
     records = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
     body = F.regexp_replace("value", "^>", "")
     name = F.regexp_extract(body, r"^(\S*)", 1)
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"\s", "")
-    return records.select(name.alias("name"), seq.alias("seq"))
+    return records.select(name.alias("name"), seq.alias("seq"), *([F.col("_metadata.file_path").alias("file")] if with_file else []))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -187,32 +218,46 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 GENBANK = "seqname string, kind string, start int, end int, ori string, product string, protein_id string, sequence string"
 
 
+def genbank_extent(location: str) -> tuple[int, int, str]:
+    """Start (from 0), end and orientation of a location: from its first exon to its last. Exons that begin again at the start of a
+    circular sequence are counted on from the end; exons on other sequences are left out.
+    """
+    own = re.sub(r"[\w.]+:[<>\d.^]+", "", location)
+    exons = [(int(a), int(b or a)) for a, b in re.findall(r"(\d+)(?:[.^]+[<>]?(\d+))?", own)]
+    if not exons:
+        raise ValueError(f"no place on this sequence: {location}")
+    turned, last = 0, exons[0][0]
+    for a, b in exons:
+        if turned + a < last:
+            turned = last
+        last = turned + b
+    return exons[0][0] - 1, last, "-" if "complement" in own else "+"
+
+
 def read_genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of kind 'gene' (CDS with extent, product and protein) and 'sequence' (the record's bases) of GenBank files."""
+    """Rows of kind 'gene' (CDS with extent, product and protein) and 'sequence' (the record's bases) of GenBank files.
 
-    def place(text: str) -> tuple[int, int, str]:
-        numbers = [int(x) for x in re.findall(r"\d+", text)]
-        end = numbers[1] if len(numbers) == 2 else numbers[1] + numbers[3]
-        return numbers[0] - 1, end, "-" if "complement" in text else "+"
+    Files are split between records; a record is read in one task.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in GENBANK.split(", ")]
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows = []
-                for record in re.split(r"(?m)^//\s*$", text):
-                    head = re.search(r"(?m)^LOCUS\s+(\S+)", record)
-                    if not head:
-                        continue
-                    features, _, bases = record.partition("\nORIGIN")
-                    for m in re.finditer(r"(?m)^     CDS\s+(\S+(?:\n {21}[^/\s]\S*)*)((?:\n {21}.*)*)", features):
-                        notes = re.sub(r"\n {21}(?!/)", " ", m[2])
-                        found = {k: v for k, v in re.findall(r'/(product|translation|protein_id)="([^"]*)"', notes)}
-                        start, end, ori = place(re.sub(r"\s", "", m[1]))
-                        rows.append((head[1], "gene", start, end, ori, found.get("product", "null"), found.get("protein_id", f"{head[1]}_{len(rows)}"), found.get("translation", "").replace(" ", "")))
-                    rows.append((head[1], "sequence", None, None, None, None, None, re.sub(r"[^a-zA-Z]", "", bases)))
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return spark.read.text(path, wholetext=True).mapInArrow(records, GENBANK)
+            rows = []
+            for record in batch.column(0).to_pylist():
+                head = re.search(r"(?m)^LOCUS\s+(\S+)", record)
+                if not head:
+                    continue
+                features, _, bases = record.partition("\nORIGIN")
+                found = []
+                for m in re.finditer(r"(?m)^     CDS\s+(\S+(?:\n {21}[^/\s]\S*)*)((?:\n {21}.*)*)", features):
+                    notes = re.sub(r"\n {21}(?!/)", " ", m[2])
+                    marks = {k: v for k, v in re.findall(r'/(product|translation|protein_id)="([^"]*)"', notes)}
+                    start, end, ori = genbank_extent(re.sub(r"\s", "", m[1]))
+                    found.append((head[1], "gene", start, end, ori, marks.get("product", "null"), marks.get("protein_id", f"{head[1]}_{len(found)}"), marks.get("translation", "").replace(" ", "")))
+                rows += [*found, (head[1], "sequence", None, None, None, None, None, re.sub(r"[^a-zA-Z]", "", bases))]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return spark.read.option("lineSep", "\n//").text(path).mapInArrow(records, GENBANK)

@@ -29,6 +29,15 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; what is written there is removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors.
 

@@ -32,11 +32,17 @@ def test_graph_of_alignments_and_its_reports(spark, inputs, tmp_path):
     assert written(f"{p}/out/graph.gfa") == ["H\tGene-graph", "S\t0\t\tFC:i:1", "S\t1\t\tFC:i:2", "S\t2\t\tFC:i:2", "L\t0\t+\t1\t+\t\tFC:i:1", "L\t1\t+\t2\t+\t\tFC:i:1", "L\t2\t+\t1\t+\t\tFC:i:1", "P\tr1\t0+,1-,2+\t600", "P\tr2\t2-,1+\t400", "P\tr4\t\t300", "P\tr5\t\t300"]
     assert written(f"{p}/out/gene_description")[1] == "1\trefA\t151\t300\t-\tx\tP1"
     files.path_metrics(spark, f"{p}/out/graph.gfa", f"{p}/out", directed=True)
-    assert sorted(x.split("\t")[1:4] for x in written(f"{p}/out/architectures") if x[0].isdigit()) == [["0+,1-,2+", "1", "1"], ["1-,2+", "1", "1"]]
+    assert written(f"{p}/out/architectures") == ["ID\tPath\tSingleOri\tCount\tNames", "0\t0+,1-,2+\t1\t1\tr1", "1\t1-,2+\t1\t1\tr2"]
     with pytest.raises(ValueError, match="not a proper graph"):
         files.path_metrics(spark, f"{p}/out/graph.gfa", f"{p}/again")
     files.gfa_converter(spark, f"{p}/out/graph.gfa", f"{p}/csv")
-    assert "1;2;None" in written(f"{p}/csv/nodes") and "2;1;1" in written(f"{p}/csv/edges")
+    assert written(f"{p}/csv/nodes") == ["Id;Weight", "0;1", "1;2", "2;2"] and written(f"{p}/csv/edges") == ["Source;Target;Weight", "0;1;1", "1;2;1", "2;1;1"]
+    (tmp_path / "labels.tsv").write_text("1\tx\n1\tkinase\n9\tz\n")
+    files.gfa_converter(spark, f"{p}/out/graph.gfa", f"{p}/csv2", labels=f"{p}/labels.tsv")
+    assert written(f"{p}/csv2/nodes") == ["Id;Weight;Label", '0;1;"None"', '1;2;"kinase"', '2;2;"None"']
+    (tmp_path / "odd.gfa").write_text("S\t7\t\nS\t8\tACGT\tFC:i:3\nL\t7\t+\t8\t+\t\n")
+    files.gfa_converter(spark, f"{p}/odd.gfa", f"{p}/csv3")
+    assert written(f"{p}/csv3/nodes") == ["Id;Weight", "7", "8;3"] and written(f"{p}/csv3/edges") == ["Source;Target;Weight", "7;8"]
     assert sorted((r.Source, r.Target) for r in files.generate_labels(spark, f"{p}/out/graph.gfa", ["r1"]).collect()) == [("0", "1"), ("1", "2+")]
 
 
@@ -57,6 +63,10 @@ def test_other_commands(spark, inputs, tmp_path):
     files.fetch_subsequences(spark, f"{p}/x.fa", f"{p}/want.tsv", f"{p}/sub", gff=f"{p}/x.gff", normalize=True)
     assert {r.name: len(r.seq) for r in formats.read_fasta(spark, f"{p}/sub/subsequences.fa").collect()} == {"refB": 108, "refA_100_320": 220}
     assert sorted(x.split("\t")[0] + x.split("\t")[3] for x in written(f"{p}/sub/subsequences.gff")) == ["refA_100_32051", "refB1"]
+    (tmp_path / "own.gff").write_text("##gff\nrefA\tx\ttRNA\t100\t321\t0.5\t-\t2\tID=t\nrefA\tx\tCDS\t99\t120\t.\t+\t0\tID=u\nrefA\tx\texon\t200\t322\t.\t?\t0\tID=v\nrefC\tx\tCDS\t1\t9\t.\t+\t0\tID=w\n")
+    for normalize, line in ((False, "refA\tx\ttRNA\t100\t321\t0.5\t-\t2\tID=t"), (True, "refA_100_320\tx\ttRNA\t0\t221\t0.5\t-\t2\tID=t")):
+        files.fetch_subsequences(spark, f"{p}/x.fa", f"{p}/want.tsv", f"{p}/own{normalize}", gff=f"{p}/own.gff", normalize=normalize)
+        assert written(f"{p}/own{normalize}/subsequences.gff") == [line]
     files.sequence_store(spark, f"{p}/genes/genes.fna", f"{p}/db")
     assert spark.read.parquet(f"{p}/db/sequences").count() == 4
     (tmp_path / "m.fa").write_text(">x\nA-C\n>y\nA-C\n")
@@ -67,3 +77,37 @@ def test_other_commands(spark, inputs, tmp_path):
     assert written(f"{p}/gb/genes.gff") == ["N1\t.\tCDS\t1\t6\t.\t+\t.\tprotein_id=N1_0;product=k"] and written(f"{p}/gb/proteins.fasta") == [">N1_0", "MK"]
     (tmp_path / "list.txt").write_text("a.gff\nb.gff\n\n")
     assert formats.read_file_list(spark, f"{p}/list.txt") == ["a.gff", "b.gff"]
+
+
+def test_families_by_options_local_names_paf_and_dna_orientations(spark, inputs, tmp_path):
+    p = str(tmp_path)
+    files.gff2descriptions(spark, [f"{p}/x.gff"], p)
+    blast = "{}\t{}\t{}\t{}\t1\t9\t50\t90\t1e-20\t99\n"
+    (tmp_path / "near.blast").write_text(blast.format(1, 100, 3, 60))
+    for k, (cov, want) in enumerate(((0.75, []), (0.5, ["1\t1", "3\t1"]))):
+        files.graph_family(spark, f"{p}/gene_description", f"{p}/near.blast", f"{p}/f{k}", min_cov=cov)
+        assert sorted(written(f"{p}/f{k}/gene_families")) == want and len(written(f"{p}/f{k}/homology_connectivity")) == len(want)
+    (tmp_path / "local.blast").write_text(blast.format("P2", 100, "P3", 90))
+    files.graph_family(spark, f"{p}/gene_description", f"{p}/local.blast", f"{p}/local", local_ids=True, metrics=False)
+    assert sorted(written(f"{p}/local/gene_families")) == ["2\t2", "3\t2"] and not glob.glob(f"{p}/local/homology_connectivity")
+    paf = "{}\t100\t0\t90\t{}\t{}\t100\t0\t90\t80\t90\t60\n"
+    (tmp_path / "x2.paf").write_text(paf.format(0, "+", 3) + paf.format(1, "+", 1))
+    files.graph_family(spark, f"{p}/gene_description", f"{p}/x2.paf", f"{p}/paf", blast=False)
+    assert sorted(written(f"{p}/paf/gene_families")) == ["0\t0", "3\t0"]
+    # Genes 1 (-) and 3 (+) agree only if their DNA aligns on -; the first of a pair's alignments counts, in either direction.
+    (tmp_path / "pair.blast").write_text(blast.format(1, 100, 3, 100) + blast.format(0, 100, 3, 100))
+    (tmp_path / "dna.paf").write_text(paf.format("P3", "-", "P1") + paf.format("P3", "+", "P1"))
+    files.graph_family(spark, f"{p}/gene_description", f"{p}/pair.blast", f"{p}/split", split_ori=True, dna=f"{p}/dna.paf", dna_local_ids=True)
+    assert sorted(written(f"{p}/split/gene_families")) == ["0\t0", "1\t0", "3\t0"]
+    (tmp_path / "dna2.paf").write_text(paf.format("P3", "+", "P1"))
+    files.graph_family(spark, f"{p}/gene_description", f"{p}/pair.blast", f"{p}/split2", split_ori=True, dna=f"{p}/dna2.paf", dna_local_ids=True)
+    assert sorted(written(f"{p}/split2/gene_families")) == ["0\t0", "3\t0"]
+    with pytest.raises(ValueError, match="DNA alignments"):
+        files.graph_family(spark, f"{p}/gene_description", f"{p}/pair.blast", f"{p}/none", split_ori=True)
+
+
+def test_names_of_an_architecture_in_several_lines(spark, tmp_path):
+    p = str(tmp_path)
+    (tmp_path / "g.gfa").write_text("S\t1\t\tFC:i:1\nS\t2\t\tFC:i:1\nL\t1\t+\t2\t+\t\tFC:i:1\n" + "".join(f"P\tr{i}\t1+,2+\t9\n" for i in range(5)) + "P\tz\t2+\t9\nP\tr0\t2+\t9\n")
+    files.path_metrics(spark, f"{p}/g.gfa", f"{p}/out", directed=True, names_per_line=3)
+    assert written(f"{p}/out/architectures")[1:] == ["0\t1+,2+\t0\t4\tr1,r2,r3", "0\t1+,2+\t0\t4\tr4", "1\t2+\t0\t2\tr0,z"]

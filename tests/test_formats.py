@@ -25,6 +25,14 @@ def test_gff_files_get_running_ids(spark, tmp_path):
         formats.parse_gff(lines(spark, "s\t.\tCDS\t9\t8\t.\t+\t.\tx")).collect()
 
 
+def test_gff_files_of_one_name_keep_the_order_given(spark, tmp_path):
+    for folder, row in (("b", "s1\t.\tCDS\t1\t9\t.\t+\t.\tprotein_id=first\n"), ("a", "s2\t.\tCDS\t5\t9\t.\t-\t.\tprotein_id=second\n"), ("xa", "s3\t.\tCDS\t5\t9\t.\t-\t.\tprotein_id=third\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "genes file.gff").write_text(row)
+    got = formats.read_gff(spark, [str(tmp_path / "b" / "genes file.gff"), str(tmp_path / "a" / "genes file.gff"), str(tmp_path / "xa")])
+    assert rows(got, "id", "gene_id") == [(0, "first"), (1, "second"), (2, "third")]
+
+
 def test_paf_and_blast(spark):
     paf = formats.parse_paf(lines(spark, "q x\t10\t1\t9\t+\tr\t20\t2\t8\t5\t6\t60\ttp:A:P"))
     assert rows(paf) == [("q", 10, 1, 9, "+", "r", 20, 2, 8, 6, 60)]
@@ -75,11 +83,35 @@ def test_genbank(spark, tmp_path):
     assert rows(got.where("kind = 'sequence'"), "sequence") == [("acgtacgtac" + "gtacgtacgt" + "acgtacgtac",)]
 
 
+def test_genbank_locations():
+    assert formats.genbank_extent("7") == (6, 7, "+") and formats.genbank_extent("<3..>9") == (2, 9, "+")
+    assert formats.genbank_extent("join(1..6,20..25,40..45)") == (0, 45, "+")
+    assert formats.genbank_extent("complement(join(25..30,1..3))") == (24, 33, "-")
+    assert formats.genbank_extent("join(complement(20..25),complement(28..30),complement(1..3))") == (19, 33, "-")
+    assert formats.genbank_extent("join(J00194.1:100..202,1..245)") == (0, 245, "+")
+    with pytest.raises(ValueError, match="no place"):
+        formats.genbank_extent("J00194.1:100..202")
+
+
+def test_genbank_files_are_split_between_records(spark, tmp_path):
+    one = "LOCUS       N{0}   6 bp\nFEATURES\n     CDS             1..6\n                     /product=\"p{0}\"\nORIGIN\n        1 acgta{1}\n//\n"
+    (tmp_path / "x.gb").write_text("".join(one.format(i, "acgt"[i % 4]) for i in range(40)))
+    got = formats.read_genbank(spark, str(tmp_path / "x.gb"))
+    assert rows(got.where("kind = 'gene'"), "seqname", "product") == sorted((f"N{i}", f"p{i}") for i in range(40))
+    assert rows(got.where("kind = 'sequence'"), "seqname", "sequence") == sorted((f"N{i}", "acgta" + "acgt"[i % 4]) for i in range(40))
+
+
 def test_small_tables(spark, tmp_path):
     (tmp_path / "labels.tsv").write_text("1\ta\n2\tb\n1\tc\n")
     pairs = formats.parse_pairs(formats.read_lines(spark, str(tmp_path / "labels.tsv")), "id", "label")
     assert rows(formats.last_wins(pairs, "id", "label")) == [("1", "c"), ("2", "b")]
     assert rows(formats.parse_fetch_config(lines(spark, "a", "b\t1\t9")).fillna(-1)) == [("a", -1, -1), ("b", 1, 9)]
+    (tmp_path / "families.tsv").write_text("1\t7\n2\t7\n1\t7\n3\t3\n")
+    assert rows(formats.parse_gene_families(formats.read_lines(spark, str(tmp_path / "families.tsv")))) == [(3, 3), (7, 1), (7, 2)]
+    assert rows(formats.parse_labels(lines(spark, "1\ta", "1\tb\tx", "1\ta"))) == [(1, "a"), (1, "b")]
+    repeated = "".join(f"P\tx\t{k}+\t1\n" for k in (1, 2)) + "P\tx\t\t1\n"
+    (tmp_path / "paths.gfa").write_text(repeated)
+    assert rows(formats.parse_gfa_paths(formats.read_lines(spark, str(tmp_path / "paths.gfa"))).select("name", P.rendered(F.col("path")))) == [("x", "2+")]
     with pytest.raises(Exception, match="start and end"):
         formats.parse_fetch_config(lines(spark, "b\t1")).collect()
     with pytest.raises(Exception, match="two columns"):
