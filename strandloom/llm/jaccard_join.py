@@ -32,7 +32,7 @@ from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -363,13 +363,14 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", t
     classes = materialize(heads.select("key", F.col("h.doc_id").alias("rep"), F.col("h.tkey").alias("tkey"), "weight", "sig", "n"))
     edges = materialize(candidate_edges(classes, threshold=threshold, tolerance=tolerance, widest=widest, narrowest=2 * narrowest))
     near = materialize(connected_components(edges).withColumnRenamed("id", "rep"))
-    found = near.join(classes.drop("key"), "rep")
+    found = materialize(near.join(classes.drop("key", "sig"), "rep"))  # ids only, to be sent rather than the texts while they are few
     blocks = _n_blocks(docs.sparkSession, F.col("rows"), F.col("bytes"), widest, narrowest)
     sized = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("bigint") * 8).alias("bytes")).select("component", blocks.alias("m"))
     texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
-    with_text = found.join(sized, "component").select("component", "m", "rep", "tkey", "weight", "sig").join(texts, ["rep", "tkey"])
-    sets = with_text.select("component", "m", "rep", "tkey", "weight", "sig", "text").mapInArrow(_sets, "component bigint, m int, rep bigint, tkey bigint, weight bigint, sig binary, grams binary")
-    members = materialize(sets.dropDuplicates(["rep", "tkey"]))  # rows of docs may be repeated
+    chosen = texts.join(found.select("rep", "tkey"), ["rep", "tkey"], "left_semi").mapInArrow(_sets, "rep bigint, tkey bigint, grams binary")
+    once = chosen.dropDuplicates(["rep", "tkey"])  # rows of docs may be repeated
+    about = found.join(sized, "component").select("rep", "tkey", "component", "m", "weight")
+    members = materialize(once.join(about, ["rep", "tkey"]).join(classes.select("rep", "tkey", "sig"), ["rep", "tkey"]))
     checked = materialize(verified(_blocked(members), threshold=threshold, tolerance=tolerance, count=count))
     linked = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
     if not members.where("m > 1").isEmpty():  # components over several blocks: join what their blocks found
@@ -398,13 +399,15 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     Only ids and hashes decide, and only rows that are repeated and stay are grouped as wholes.
     """
     rows = classified(docs, doc_id=doc_id, text=text, count=False, **options).where("doc_id is not null")
-    each = materialize(rows.groupBy("doc_id", "tkey", "class_id").agg(F.count("*").alias("n")))
-    first = each.groupBy("class_id").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
-    flags = each.join(first, "class_id").select("doc_id", "tkey", (F.struct("doc_id", "tkey") == F.col("first")).alias("stays"), (F.col("n") > 1).alias("again"))
+    each = rows.groupBy("doc_id", "tkey", "class_id").agg(F.count("*").alias("n"))
+    least = F.min("tkey").over(Window.partitionBy("doc_id", "class_id"))
+    flags = each.select("doc_id", "tkey", ((F.col("doc_id") == F.col("class_id")) & (F.col("tkey") == least)).alias("stays"), (F.col("n") > 1).alias("again"))
     touched = materialize(flags.where("not stays or again"))
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("tkey"))
-    alone = named.join(touched, ["doc_id", "tkey"], "left_anti").select("row.*")
-    again = named.join(touched.where("stays"), ["doc_id", "tkey"], "left_semi").groupBy("doc_id", "tkey").agg(F.first("row").alias("row")).select("row.*")
+    alone = named.join(touched.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti").select("row.*")
+    if touched.where("stays").isEmpty():
+        return alone
+    again = named.join(touched.where("stays").select("doc_id", "tkey"), ["doc_id", "tkey"], "left_semi").groupBy("doc_id", "tkey").agg(F.first("row").alias("row")).select("row.*")
     return alone.unionByName(again)
 
 
