@@ -92,29 +92,41 @@ def _block_distances(a: list, b: list, same: bool):
         yield i + at, j, rank[i] > b_rank[j], edits[i, j], distance[i, j]
 
 
-def path_distances(named: DataFrame) -> DataFrame:
-    """a, b, edits, distance over all pairs of rows (id, ids: array) with a < b.
+def path_distances(named: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """a, b, edits, distance over all pairs of rows (id, ids: array) with a < b; or, with queries (rows of named), of each of these, as a, with all others.
 
-    As all_pairwise, quadratic in what it returns. Rows are numbered by length and cut into blocks; each pair of blocks is
-    one group of an equi-join on the two blocks' numbers, so every row is sent once per block.
+    As all_pairwise, quadratic in what it returns, or the product of both sizes. Rows are numbered by length and cut into blocks; each
+    pair of blocks is one group of an equi-join on the two blocks' numbers, so every row is sent once per block of the other side.
     """
     kind = named.schema["id"].dataType.simpleString()
-    rows = number_rows(named.select("id", "ids").withColumn("_n", F.size("ids")), ["_n", "id"], "_at")
-    blocks = -(-rows.count() // BLOCK)
-    own = F.floor(F.col("_at") / BLOCK).cast("int")
-    each = rows.select("id", "ids", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("other"))
-    sent = each.select("id", "ids", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+        rows = number_rows(df.select("id", "ids").withColumn("_n", F.size("ids")), ["_n", "id"], "_at")
+        return rows.select("id", "ids", F.floor(F.col("_at") / BLOCK).cast("int").alias("own")), max(1, -(-rows.count() // BLOCK))
+
+    rows, blocks = numbered(named)
+    if queries is None:
+        others = blocks
+        each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sent = each.select("id", "ids", (F.col("own") != F.least("own", "other")).alias("right"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    else:
+        asked, others = numbered(queries)
+        left = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "ids", F.lit(False).alias("right"), F.col("own").alias("i"), "j")
+        sent = left.unionByName(rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("id", "ids", F.lit(True).alias("right"), "i", F.col("own").alias("j")))
+    whole = queries is None
 
     def pairs(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, own = list(zip(table.column("id").to_pylist(), table.column("ids").to_pylist(), strict=True)), table.column("own").to_pylist()
-        left, right = ([x for x, o in zip(ids, own, strict=True) if o == k] for k in (i, j))
+        same = whole and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        ids = list(zip(table.column("id").to_pylist(), table.column("ids").to_pylist(), table.column("right").to_pylist(), strict=True))
+        first = [(x, v) for x, v, r in ids if same or not r]
+        second = first if same else [(x, v) for x, v, r in ids if r]
         a, b, edits, distance = [], [], [], []
         typ = table.schema.field("id").type
-        names = [pa.array([x for x, _ in side], typ) for side in (left, right)]
-        both = pa.concat_arrays(names)
-        for x, y, swap, e, d in _block_distances(left, right, i == j):
-            y = y + len(left)
+        both = pa.concat_arrays([pa.array([x for x, _ in side], typ) for side in (first, second)])
+        for x, y, swap, e, d in _block_distances(first, second, same):
+            y = y + len(first)
+            if not whole:
+                swap = np.zeros(len(x), bool)
             a.append(both.take(pa.array(np.where(swap, y, x))))
             b.append(both.take(pa.array(np.where(swap, x, y))))
             edits.append(pa.array(e, pa.int32()))
@@ -122,7 +134,7 @@ def path_distances(named: DataFrame) -> DataFrame:
         return pa.table({"a": pa.chunked_array(a, typ), "b": pa.chunked_array(b, typ), "edits": pa.chunked_array(edits, pa.int32()), "distance": pa.chunked_array(distance, pa.float64())})
 
     cores = named.sparkSession.sparkContext.defaultParallelism
-    dealt = sent.repartition(max(cores, blocks * (blocks + 1) // 16), "i", "j")
+    dealt = sent.repartition(max(cores, blocks * (others + 1) // 16), "i", "j")
     return dealt.groupBy("i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, edits int, distance double")
 
 

@@ -21,6 +21,7 @@ from ..operators.components import connected_components
 from ..operators.numbering import number_rows
 from ..sources import adapters as D
 from ..sources import formats, writers
+from ..storage import materialize
 from . import commands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,25 +410,35 @@ def canonical_path(s, d):
 
 
 def _id_paths(s: SparkSession, d: str) -> DataFrame:
-    """Distinct id sequences, named by their rendering."""
+    """Distinct id sequences, numbered by their rendering."""
     ids = R.gathered(D.read_steps(s, d)).select(P.ids(F.col("path")).alias("ids")).distinct()
-    return ids.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("id"), "ids")
+    named = ids.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("rendered"), "ids")
+    return materialize(number_rows(named, ["rendered"], "id").select("id", "ids"))
+
+
+def _distances(s: SparkSession, d: str) -> DataFrame:
+    """Every twentieth id sequence against all others."""
+    named = _id_paths(s, d)
+    return R.path_distances(named, named.where("id % 20 = 0"))
 
 
 @query
 def path_edit_distance(s, d):
-    return R.path_distances(_id_paths(s, d)).select("a", "b", "edits")
+    return _distances(s, d).select("a", "b", "edits")
 
 
 @query
 def path_norm_distance(s, d):
-    return R.path_distances(_id_paths(s, d)).select("a", "b", F.round("distance", 6).alias("distance"))
+    return _distances(s, d).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query
 def path_distance_matrix(s, d):
+    """The matrix's rows of every twentieth id sequence."""
     named = _id_paths(s, d)
-    return R.distance_matrix(R.path_distances(named), named).withColumn("distance", F.round("distance", 6))
+    asked = named.where("id % 20 = 0")
+    rows = R.path_distances(named, asked).select("a", "b", F.round("distance", 6).alias("distance"))
+    return rows.unionByName(asked.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")))
 
 
 @query
