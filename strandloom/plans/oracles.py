@@ -219,3 +219,76 @@ _DISTANCE = f"""SELECT a.id AS a, b.id AS b, CAST(levenshtein(a.s, b.s) AS INT)
 ORACLES["path_edit_distance"] = _sql(f"SELECT a, b, edits FROM ({_DISTANCE})", "lists")
 ORACLES["path_norm_distance"] = _sql(f"SELECT a, b, distance FROM ({_DISTANCE})", "lists")
 ORACLES["path_distance_matrix"] = _sql(f"SELECT a, b, distance FROM ({_DISTANCE}) UNION ALL SELECT id, id, 0.0 FROM ({_NUMBERED}) WHERE id % 20 = 0", "lists")
+
+# Files written and read back, or put through commands.
+_MORE = {
+    "alike_dna": "SELECT * FROM homology WHERE q <> r AND least(qlength / rlength::DOUBLE, rlength / qlength::DOUBLE) > 0.75",
+    "pairs_dna": "SELECT s.* FROM alike_dna s JOIN genes a ON a.id = s.q JOIN genes b ON b.id = s.r WHERE a.ref <> b.ref",
+    "alike_split": "SELECT s.q, s.r, coalesce(k.ori, '+') AS known FROM alike s LEFT JOIN homology k ON k.q = s.q AND k.r = s.r AND k.bitscore < 80",
+    "pairs_split": "SELECT s.* FROM alike_split s JOIN genes a ON a.id = s.q JOIN genes b ON b.id = s.r WHERE a.ref <> b.ref AND (known = '+') = (a.ori = b.ori)",
+}
+VIEWS |= _MORE
+NEEDS |= {"alike_dna": ["homology"], "pairs_dna": ["alike_dna", "genes"], "alike_split": ["alike"], "pairs_split": ["alike_split", "genes"]}
+for _kind in ("dna", "split"):
+    VIEWS |= {k + "_" + _kind: VIEWS[k].replace("FROM pairs", f"FROM pairs_{_kind}").replace("sym", f"sym_{_kind}").replace("reach", f"reach_{_kind}") for k in ("sym", "reach", "fam")}
+    NEEDS |= {f"sym_{_kind}": [f"pairs_{_kind}"], f"reach_{_kind}": [f"sym_{_kind}"], f"fam_{_kind}": [f"reach_{_kind}"]}
+
+
+def _table(name: str) -> str:
+    """The SQL of another query, as a table."""
+    return f"({ORACLES[name]})"
+
+
+_RANKED = "SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM genes"
+_DNA = "(SELECT id, coalesce(seq, '') AS seq FROM dna)"
+_TAB = "chr(9)"
+
+
+def _row(*columns: str) -> str:
+    return f"concat_ws({_TAB}, {', '.join(columns)})"
+
+
+_GFF_LINE = _row("{0}", "'x'", "{1}", "{2}", "{3}", "'0.5'", "'+'", "'2'", "concat('ID=', id)")
+_FEATURES = "(VALUES ('tRNA', 11, 50), ('CDS', 5, 40), ('exon', 10, 56)) f(feature, a, b)"
+_REPORTS = {
+    "read_length": ("(SELECT concat('r', o_orderkey) AS qname FROM orders)", ["qname", "1300"]),
+    "alignment_sizes": (_table("alignment_sizes"), ["qname", "rname", "rstart", "rend", "size", "mapq", "align_cov"]),
+    "breakpoints": (_table("alignment_breakpoints"), ["qname", "ref", "position"]),
+    "multimapping": (_table("multimapping_report"), ["qname", "ostart", "oend", "ref", "rstart", "rend", "osize"]),
+    "unmapped_reads": (_table("unmapped_reads"), ["qname", "1300"]),
+    "unaligned": (_table("unaligned_regions"), ["qname", "qstart", "qend", "size"]),
+}
+ORACLES |= {
+    "text_lines_numbered": _sql("SELECT row_number() OVER (ORDER BY id) AS line_no, gene_id AS value FROM genes", "genes"),
+    "fasta_files": _sql(f"SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA}", "dna"),
+    "fastq_files": _sql(f"SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA}", "dna"),
+    "gff_file_list": _sql("SELECT CAST(row_number() OVER (ORDER BY id % 2, id) - 1 AS INT) AS id, ref, gstart, gend, ori, description, gene_id FROM genes", "genes"),
+    "description_files": _sql("SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS id, ref, CAST(gstart + 1 AS INT) AS gstart, gend, ori, description, gene_id FROM genes", "genes"),
+    "gene_family_files": _sql("SELECT CAST(id % 7 AS INT) AS family, id AS gene FROM genes", "genes"),
+    "label_files": _sql("SELECT DISTINCT CAST(id % 50 AS INT) AS id, description AS label FROM genes", "genes"),
+    "mapping_files": _sql("SELECT CAST(id AS VARCHAR) AS old, concat('new', id) AS new FROM genes", "genes"),
+    "family_files": _sql("SELECT id, canonical FROM fam", "fam"),
+    "family_graph_files": _sql("SELECT src AS source, dst AS target, CAST(coverage AS INT) AS weight FROM (" + _BOTH.format("SELECT * FROM (SELECT id AS src, lead(id) OVER (PARTITION BY name ORDER BY pos) AS dst FROM gsteps) WHERE dst IS NOT NULL") + ")", "gsteps"),
+    "family_connectivity_files": f"SELECT n_degree, cc_size FROM {_table('homology_connectivity')}",
+    "family_paf_files": _sql("SELECT id, canonical FROM fam_dna", "fam_dna"),
+    "family_split_files": _sql("SELECT id, canonical FROM fam_split", "fam_split"),
+    "graph_files": _sql(f"""SELECT CAST(a.k AS INT) AS source, CAST(b.k AS INT) AS target, CAST(coverage AS INT) AS weight FROM {_table('graph_alignment_edges')} e JOIN ({_RANKED}) a ON a.id = e.src JOIN ({_RANKED}) b ON b.id = e.dst WHERE src <> dst""", "genes"),
+    "path_metrics_files": _sql(f"""SELECT CAST(row_number() OVER (ORDER BY n DESC, path) - 1 AS INT) AS "ID", path AS "Path", single_ori AS "SingleOri", CAST(n AS INT) AS "Count", names AS "Names" FROM
+ (SELECT {_FWD} AS path, CAST(len(list_distinct(oris)) - 1 AS INT) AS single_ori, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM canon GROUP BY 1, 2)""", "canon"),
+    "gfa_converter_files": _sql("""SELECT 'nodes' AS file, 'Id;Weight;Label' AS value UNION ALL SELECT 'edges', 'Source;Target;Weight'
+ UNION ALL SELECT 'nodes', concat(id, ';', count(*), ';"', CASE WHEN id % 2 = 0 THEN concat('label ', id) ELSE 'None' END, '"') FROM read_steps GROUP BY id
+ UNION ALL SELECT 'edges', concat(src, ';', dst, ';', count(*)) FROM pe GROUP BY src, dst""", "pe"),
+    "extract_gene_files": _sql(f"""SELECT CAST(n AS VARCHAR) AS id, fna, {_PROTEIN} AS faa FROM (SELECT n, fna, CASE WHEN k % 2 = 0 THEN fna ELSE {_RC.format('fna')} END AS seq FROM (SELECT *, row_number() OVER (ORDER BY k, s) - 1 AS n FROM ({_SPANS})))""", "dna"),
+    "fetch_sequence_files": _sql(f"SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA} WHERE id % 3 = 0 UNION ALL SELECT concat(id, '_10_55'), substr(seq, 11, 45) FROM {_DNA} WHERE id % 3 = 1 AND length(seq) >= 60", "dna"),
+    "fetch_gff_files": _sql(f"""SELECT {_GFF_LINE.format("CAST(id AS VARCHAR)", "feature", "a", "b")} AS value FROM {_DNA}, {_FEATURES} WHERE id % 3 = 0
+ UNION ALL SELECT {_GFF_LINE.format("concat(id, '_10_55')", "feature", "a - 10", "b - 10")} FROM {_DNA}, {_FEATURES} WHERE id % 3 = 1 AND length(seq) >= 60 AND a >= 10 AND b <= 56""", "dna"),
+    "fetch_key_files": _sql(f"SELECT DISTINCT id FROM ({_MATCH})", "genes"),
+    "sequence_store_files": _sql(f"SELECT id, seq FROM {_DNA}", "dna"),
+    "sequence_graph_files": _sql(f"""SELECT DISTINCT concat('S', {_TAB}, gene_id, '_', seq_id, '_', aa, {_TAB}, {_TAB}, 'FC:i:1') AS value FROM residues
+ UNION ALL SELECT concat('L', {_TAB}, gene_id, '_', src, '_', src_aa, {_TAB}, '+', {_TAB}, gene_id, '_', dst, '_', dst_aa, {_TAB}, '+', {_TAB}, {_TAB}, 'FC:i:', coverage) FROM {_table('seq_edge_coverage')}""", "residues"),
+    "alignment_metrics_files": " UNION ALL ".join(f"SELECT '{name}' AS report, {_row(*columns)} AS value FROM {table}" for name, (table, columns) in _REPORTS.items()),
+    "genbank_gene_files": _sql(f"""SELECT {_row("concat('D', id)", "'.'", "'CDS'", "CASE id % 4 WHEN 2 THEN length(seq) - 10 WHEN 3 THEN 1 ELSE 4 END", "CASE id % 4 WHEN 2 THEN length(seq) + 9 WHEN 3 THEN 45 ELSE 50 END", "'.'", "CASE id % 4 WHEN 1 THEN '-' ELSE '+' END", "'.'", "concat('protein_id=D', id, '_0;product=p ', id)")} AS value
+ FROM {_DNA} WHERE length(seq) >= 60""", "dna"),
+    "genbank_sequence_files": _sql(f"SELECT concat('D', id) AS name, seq FROM {_DNA} WHERE length(seq) >= 60", "dna"),
+    "genbank_protein_files": _sql(f"SELECT concat('D', id, '_0') AS name, 'MKL' AS seq FROM {_DNA} WHERE length(seq) >= 60", "dna"),
+}

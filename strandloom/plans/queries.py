@@ -23,6 +23,7 @@ from ..sources import adapters as D
 from ..sources import formats, writers
 from ..storage import materialize
 from . import commands
+from .round_trips import ROUND_TRIPS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY_LINES = ["red", "small,ring", "blue bolt"]
@@ -461,14 +462,9 @@ def fetch_subsequences(s, d):
 
 @query
 def extract_genes(s, d):
-    """Genes of 90 bases, end to end over the whole of every sequence, with shorter ones before the first and at the end."""
-    spans = D.dna(s, d).select(F.col("id").alias("seq_key"), "seq")
-    n, first = F.length("seq"), (F.col("seq_key") % 40).cast("int")
-    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.sequence(first, F.greatest(first, n - 1), F.lit(90))))
-    placed = spans.where(n > 0).select("seq_key", n.alias("n"), first.alias("first"), F.explode(starts).alias("gstart")).where("gstart < n")
-    gend = F.least(F.when(F.col("gstart") < F.col("first"), F.col("first")).otherwise(F.col("gstart") + 90), F.col("n"))
-    wanted = placed.select(F.concat_ws("_", F.col("seq_key").cast("string"), F.col("gstart").cast("string")).alias("id"), "seq_key", "gstart", gend.alias("gend"), F.when(F.col("seq_key") % 2 == 0, "+").otherwise("-").alias("ori"))
-    return Q.extract_genes(wanted, spans)
+    """Genes end to end over the whole of every sequence."""
+    wanted = D.gene_spans(s, d).select(F.concat_ws("_", F.col("seq_key").cast("string"), F.col("gstart").cast("string")).alias("id"), "seq_key", "gstart", "gend", "ori")
+    return Q.extract_genes(wanted, D.dna(s, d).select(F.col("id").alias("seq_key"), "seq"))
 
 
 @query
@@ -521,3 +517,6 @@ def whole_genome_graph(s, d):
 @query
 def native_gene_graph(s, d):
     return commands.native_graph(D.genes(s, d))
+
+
+QUERIES.update(ROUND_TRIPS)

@@ -101,3 +101,13 @@ def msa(spark: SparkSession, folder: str) -> DataFrame:
 def fetch_windows(spark: SparkSession, folder: str) -> DataFrame:
     """ref, wstart, wend: a window of 300 at every gene."""
     return genes(spark, folder).select("ref", F.col("gstart").alias("wstart"), (F.col("gstart") + 300).cast("int").alias("wend"))
+
+
+def gene_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """seq_key, seq, gstart, gend, ori: genes of 90 bases, end to end over the whole of every sequence, with shorter ones before the first and at the end."""
+    spans = dna(spark, folder).select(F.col("id").alias("seq_key"), "seq")
+    n, first = F.length("seq"), (F.col("seq_key") % 40).cast("int")
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.sequence(first, F.greatest(first, n - 1), F.lit(90))))
+    placed = spans.where(n > 0).select("seq_key", "seq", n.alias("n"), first.alias("first"), F.explode(starts).alias("gstart")).where("gstart < n")
+    gend = F.least(F.when(F.col("gstart") < F.col("first"), F.col("first")).otherwise(F.col("gstart") + 90), F.col("n"))
+    return placed.select("seq_key", "seq", "gstart", gend.alias("gend"), F.when(F.col("seq_key") % 2 == 0, "+").otherwise("-").alias("ori"))
