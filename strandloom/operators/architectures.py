@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from .numbering import number_rows
 
-# Rows of a block of path_distances, and numbers a task holds at once.
+# Rows of a block of path_distances and all_pairwise, and numbers a task holds at once.
 BLOCK, CELLS = 256, 1 << 21
 
 
@@ -42,9 +42,15 @@ def architecture_names(canonical: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def all_pairwise(ids: DataFrame, column: str) -> DataFrame:
-    """a, b: every pair of distinct ids with a < b. The result is quadratic; meant for summaries such as architectures."""
-    one = ids.select(F.col(column).alias("a")).distinct()
-    return one.join(one.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
+    """a, b: every pair of distinct ids with a < b. The result is quadratic; meant for summaries such as architectures.
+
+    Ids are numbered and cut into blocks; every id is sent to every block, and they meet by an equi-join on the block.
+    """
+    one = number_rows(ids.select(F.col(column).alias("b")).distinct(), ["b"], "_at").withColumn("_block", F.floor(F.col("_at") / BLOCK).cast("int"))
+    blocks = max(1, -(-one.count() // BLOCK))
+    # Those from a's own block on: ids before it are no larger.
+    sent = one.select(F.col("b").alias("a"), F.explode(F.sequence(F.col("_block"), F.lit(blocks - 1))).alias("_block"))
+    return sent.join(one.select("b", "_block"), "_block").where("a < b").select("a", "b")
 
 
 def _edits(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,10 +9,13 @@ from ..functions.intervals import coverage, rescale
 from .intervals import overlap_join
 
 
-def project_genes(aln: DataFrame, genes: DataFrame) -> DataFrame:
-    """Alignment columns with g_id, g_start, g_end, g_ori of every gene that overlaps [rstart, rend + 1) on its reference."""
+def project_genes(aln: DataFrame, genes: DataFrame, width: int = 512) -> DataFrame:
+    """Alignment columns with g_id, g_start, g_end, g_ori of every gene that overlaps [rstart, rend + 1) on its reference.
+
+    ``width``, that of a bin, is best near the size of a gene: an alignment is then sent about as often as it has genes.
+    """
     g = genes.select(F.col("ref").alias("g_ref"), F.col("id").alias("g_id"), F.col("gstart").alias("g_start"), F.col("gend").alias("g_end"), F.col("ori").alias("g_ori"))
-    joined = overlap_join(aln, g, ("rname", "g_ref"), (F.col("rstart"), F.col("rend") + 1), (F.col("g_start"), F.col("g_end")))
+    joined = overlap_join(aln, g, ("rname", "g_ref"), (F.col("rstart"), F.col("rend") + 1), (F.col("g_start"), F.col("g_end")), width)
     return joined.drop("g_ref")
 
 
@@ -25,9 +28,9 @@ def boundary_filter(projected: DataFrame, by: list[str], start: str, end: str, m
     return ranked.where(~(at_end & (F.col("_share") < min_coverage))).drop("_before", "_after", "_share")
 
 
-def project_genes_filtered(aln: DataFrame, genes: DataFrame, min_coverage: float = 0.5, by: str = "line_no") -> DataFrame:
+def project_genes_filtered(aln: DataFrame, genes: DataFrame, min_coverage: float = 0.5, by: str = "line_no", width: int = 512) -> DataFrame:
     """project_genes, then boundary_filter over the window [rstart, rend + 1)."""
-    projected = project_genes(aln, genes).withColumn("_end", F.col("rend") + 1)
+    projected = project_genes(aln, genes, width).withColumn("_end", F.col("rend") + 1)
     return boundary_filter(projected, [by], "rstart", "_end", min_coverage).drop("_end")
 
 

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Patterns that part descriptions and rendered paths (fixed values).
+WORD_BREAK, STEP_BREAK = r"[\s+\|\W+]", "[+|-],"
+
+
 def tokens(description: Column) -> Column:
     """Lower-cased pieces between single characters that are no word characters, or + or |."""
-    return F.array_distinct(F.filter(F.split(F.lower(description), r"[\s+\|\W+]"), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(description), WORD_BREAK), lambda x: x != ""))
 
 
 def keyword_match(genes: DataFrame, lines: list[str], key: str = "id", description: str = "description") -> DataFrame:
@@ -30,7 +34,7 @@ def remapped(ids: DataFrame, mapping: DataFrame, key: str = "id") -> DataFrame:
 
 def label_edges(paths: DataFrame, strip_last: bool = False) -> DataFrame:
     """name, source, target: adjacent ids of rendered paths; the last id keeps its sign unless stripped."""
-    ids = F.split("path", "[+|-],")
+    ids = F.split("path", STEP_BREAK)
     if strip_last:
         ids = F.transform(ids, lambda x: F.regexp_replace(x, "[+-]$", ""))
     pair = F.explode(F.filter(F.arrays_zip(ids.alias("source"), F.slice(ids, F.lit(2), F.size(ids)).alias("target")), lambda p: p["target"].isNotNull()))
