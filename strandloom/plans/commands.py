@@ -97,6 +97,12 @@ def alignment_metrics(aln: DataFrame, reads: DataFrame, *, min_mapq: int = 10, m
     }
 
 
+def mapped_pct(aln: DataFrame, reads: DataFrame, *, min_mapq: int = 10) -> DataFrame:
+    """pct: how many in a hundred of the reads have an alignment that is kept; one row."""
+    mapped = aln.where(F.col("mapq") >= min_mapq).agg(F.countDistinct("qname").alias("m"))
+    return reads.agg(F.count("*").alias("n")).crossJoin(mapped).select(F.round(F.col("m") / F.col("n") * 100, 6).alias("pct"))  # one row each
+
+
 def sequence_graph(msa: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the residue graph of aligned families."""
     nodes = Q.msa_nodes(msa)

@@ -137,11 +137,13 @@ def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1
     writers.write_table(table, f"{out}/architectures", header=True)
 
 
-def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, **options) -> None:
-    """A folder under out for each of the six reports."""
+def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, *, min_mapq: int = 10, min_clipping: int = 300) -> DataFrame:
+    """A folder under out for each of the six reports; returns the percentage of mapped reads."""
     lengths = formats.read_sequences(spark, reads).groupBy(F.col("name").alias("qname")).agg(F.max(F.length("seq")).alias("length"))
-    for name, report in commands.alignment_metrics(_paf(spark, paf), lengths, **options).items():
+    aln = _paf(spark, paf)
+    for name, report in commands.alignment_metrics(aln, lengths, min_mapq=min_mapq, min_clipping=min_clipping).items():
         writers.write_table(report, f"{out}/{name}", header=True)
+    return commands.mapped_pct(aln, lengths, min_mapq=min_mapq)
 
 
 def gfa_converter(spark: SparkSession, gfa: str, out: str, labels: str | None = None) -> None:

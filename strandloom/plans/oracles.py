@@ -259,6 +259,7 @@ _REPORTS = {
     "unaligned": (_table("unaligned_regions"), ["qname", "qstart", "qend", "size"]),
 }
 ORACLES |= {
+    "path_architecture_names": _sql(f"SELECT a.id, c.name FROM {_table('path_architectures')} a JOIN (SELECT name, {_FWD} AS path FROM canon) c ON c.path = a.path", "canon"),
     "text_lines_numbered": _sql("SELECT row_number() OVER (ORDER BY id) AS line_no, gene_id AS value FROM genes", "genes"),
     "fasta_files": _sql(f"SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA}", "dna"),
     "fastq_files": _sql(f"SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA}", "dna"),

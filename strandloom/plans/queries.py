@@ -319,9 +319,8 @@ def genome_sizes(s, d):
 
 @query
 def mapped_pct(s, d):
-    reads = s.read.parquet(f"{d}/orders.parquet").agg(F.count("*").alias("n"))
-    mapped = _kept(s, d).agg(F.countDistinct("qname").alias("m"))
-    return reads.crossJoin(mapped).select(F.round(F.col("m") / F.col("n") * 100, 6).alias("pct"))  # one row each
+    reads = s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("qname"))
+    return commands.mapped_pct(D.alignments(s, d), reads)
 
 
 # Ordered sequences

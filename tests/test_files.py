@@ -52,7 +52,7 @@ def test_other_commands(spark, inputs, tmp_path):
     (tmp_path / "x.blast").write_text("1\t150\t3\t150\t1\t150\t150\t90\t1e-20\t99\n2\t150\t3\t40\t1\t40\t40\t90\t1e-20\t99\n")
     files.graph_family(spark, f"{p}/gene_description", f"{p}/x.blast", f"{p}/fam")
     assert sorted(written(f"{p}/fam/gene_families")) == ["1\t1", "3\t1"] and "P\trefB\t1+\t-1" in written(f"{p}/fam/graph.gfa")
-    files.alignment_metrics(spark, f"{p}/x.fa", f"{p}/x.paf", f"{p}/met")
+    assert files.alignment_metrics(spark, f"{p}/x.fa", f"{p}/x.paf", f"{p}/met").first().pct == 200.0  # four mapped reads by two sequences
     assert set(written(f"{p}/met/unmapped_reads")) == {"qname\tlength", "refA\t600", "refB\t108"}
     files.extract_genes(spark, [f"{p}/x.gff"], f"{p}/x.fa", f"{p}/genes")
     got = {r.name: r.seq for r in formats.read_fasta(spark, f"{p}/genes/genes.fna").collect()}
