@@ -27,12 +27,11 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import spread
-from .text import Texts, slices, spans_hash
+from .text import Texts, members, slices, spans_hash
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 CACHE_SLICES, CACHE_BYTES, SHORT = 300_000, 48, 64
@@ -42,12 +41,8 @@ CACHE_SLICES, CACHE_BYTES, SHORT = 300_000, 48, 64
 def point_classes() -> np.ndarray:
     """The class of every code point, by the Unicode tables of the regex module."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(m[0][0]), ord(m[0][-1])
-            out[a : b + 1] = kind
-    out[0xD800:0xE000] = OTHER
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        out[members(pattern)] = kind
     return out
 
 

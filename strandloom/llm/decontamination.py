@@ -29,13 +29,12 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..storage import materialize, spread
-from .text import mix, powers, slices, windows
+from .text import members, mix, powers, slices, windows
 
 LEAST_BITS, MOST_BITS, BITS_PER_SEED, PROBES = 1 << 10, 1 << 28, 32, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,11 +44,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 @lru_cache(1)
 def _points() -> tuple[np.ndarray, np.ndarray]:
     """Of code points: are they part of a word, and a hash value of each."""
-    word = np.zeros(0x110000, bool)
-    for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))):
-        word[ord(m[0][0]) : ord(m[0][-1]) + 1] = True
-    word[0xD800:0xE000] = False
-    return word, mix(np.arange(1, 0x110001, dtype=np.uint64))
+    return members(r"[\p{L}\p{M}\p{N}]"), mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
 class Words:

@@ -21,12 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import spread
-from .text import code_points, slices, sums
+from .text import code_points, members, slices, sums
 
 BLANK = 0x20
 
@@ -35,11 +34,7 @@ def _fold_table() -> tuple[np.ndarray, np.ndarray]:
     """Of code points: the lower-cased letter, or a blank; and whether it is a letter."""
     global _fold
     if _fold is None:
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        letter = np.zeros(0x110000, bool)
-        for m in regex.finditer(r"\p{L}+", every):
-            letter[ord(m[0][0]) : ord(m[0][-1]) + 1] = True
-        letter[0xD800:0xE000] = False
+        letter = members(r"\p{L}")
         fold = np.full(0x110000, BLANK, np.uint32)
         at = np.flatnonzero(letter)
         fold[at] = at

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 SLICE_BYTES = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -18,6 +19,15 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def members(pattern: str) -> np.ndarray:
+    """Which code points a character class of the regex module holds; in parts, as all of them as one text would fill a worker's memory."""
+    out, part = np.zeros(0x110000, bool), 1 << 12
+    for base in range(0, len(out), part):
+        for m in regex.finditer(f"{pattern}+", "".join(map(chr, range(base, base + part)))):
+            out[base + m.start() : base + m.end()] = True
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit integers."""
     h = h.astype(np.uint64, copy=True)
