@@ -7,7 +7,7 @@ compared word by word, marked on both sides, and again, until no match of ``shor
 any order, so passages with their sentences moved about are caught. A document is contaminated by an item when the
 tiles cover at least ``coverage`` of the item's words.
 
-1. The items' seeds are written, and set in a Bloom filter of at most ``MOST_BITS`` bits, the only thing sent to all tasks.
+1. The items' seeds are written, and set in a Bloom filter of bounded size, the only thing sent to all tasks.
 2. One pass over the documents leaves of each the words of runs that the filter lets through, its fragment.
    Tiles lie within fragments. Most documents have none; equal fragments, as of one passage in very many
    documents, are one row from here on.
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..storage import materialize, spread
+from . import bloom
 from .text import members, mix, powers, slices, windows
 
-LEAST_BITS, MOST_BITS, BITS_PER_SEED, PROBES = 1 << 10, 1 << 28, 32, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -152,24 +152,6 @@ def tile_pair(item: str, fragment: str, shortest: int, coverage: float) -> tuple
     return (total / len(pattern), len(found), total) if total >= coverage * len(pattern) else None
 
 
-def _probes(seeds: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES x seeds: the bits of each seed."""
-    step = (seeds >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(seeds + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)])
-
-
-def _inside(seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which seeds the filter lets through."""
-    bits, left = len(table) * 64, np.arange(len(seeds))
-    for i in range(PROBES):
-        s = seeds[left]
-        at = (s + np.uint64(i) * ((s >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
-        left = left[(table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-    out = np.zeros(len(seeds), bool)
-    out[left] = True
-    return out
-
-
 def _contents(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """item_id, words, n (words of it), content (a digest of them) of items with a word."""
 
@@ -204,29 +186,13 @@ def _item_seeds(contents: DataFrame, shortest: int) -> DataFrame:
     return materialize(one.mapInArrow(run, "content string, n int, k int, pos int, seed bigint"))
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """A Bloom filter of the seeds as words of 64 bits, at most MOST_BITS bits in all."""
-    wanted = BITS_PER_SEED * seeds.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(wanted - 1, 1).bit_length()))
-
-    def run(batches):
-        for batch in batches:
-            at = np.unique(_probes(batch.column(0).to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["at", "mask"])
-
-    found = seeds.select("seed").mapInArrow(run, "at int, mask bigint").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return table
-
-
 def _fragments(texts: list[str | None], lengths: list[int], table: np.ndarray) -> list[str | None]:
     """Of each text, the words of the runs that the filter lets through: blanks between words, line breaks between runs; null without one."""
     words = Words(texts)
     edge = np.zeros(len(words.start) + 1, np.int64)
     for k in lengths:
         h, at = words.seeds(k)
-        hit = at[_inside(h, table)]
+        hit = at[bloom.inside(h, table)]
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + k, -1)
     covered = np.cumsum(edge[:-1]) > 0
@@ -252,7 +218,7 @@ class Index:
         self.contents = _contents(benchmark, item_id, text)
         self.seeds = _item_seeds(self.contents, shortest)
         self.lengths = sorted(r.k for r in self.seeds.select("k").distinct().collect())  # at most ``shortest``
-        self.table = benchmark.sparkSession.sparkContext.broadcast(_filter(self.seeds))
+        self.table = benchmark.sparkSession.sparkContext.broadcast(bloom.built(self.seeds.select("seed")))
 
     def marked(self, docs: DataFrame, text: str, hit: bool) -> tuple[DataFrame, str]:
         """The rows of docs that have a fragment, with it in a further column; or, without that, the others. And the column's name."""
@@ -286,7 +252,7 @@ class Index:
                     words, owner = Words([r for _, r in runs]), np.array([i for i, _ in runs], np.int64)
                     for k in lengths:
                         h, at = words.seeds(k)
-                        ok = _inside(h, table.value)
+                        ok = bloom.inside(h, table.value)
                         pair = np.unique(np.stack([owner[words.doc[at[ok]]].astype(np.uint64), h[ok]]), axis=1)
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64))], ["key", "seed"])
 

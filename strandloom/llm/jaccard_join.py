@@ -8,7 +8,8 @@
    pair goes as soon as the posterior probability (uniform prior) that its similarity reaches the threshold
    falls below ``tolerance``. What leaves a group is a spanning forest of its surviving pairs, never the pairs; in a
    large group, a node is compared with nodes that no pair has joined yet, so that n near copies cost about n comparisons.
-5. Components of the forests hold all pairs left to verify. The set of each class, made once, meets the others of its
+5. Components of the forests hold all pairs left to verify. A Bloom filter of their ids, of bounded size, goes to all tasks, so
+   that no other text is turned into a set or shuffled. The set of each class, made once, meets the others of its
    component in blocks; pairs are pruned as before, and those that survive are verified exactly, on the sets themselves. What
    leaves is each node's number of linked documents and the least node it is linked to.
 
@@ -32,11 +33,13 @@ from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialize, spread
+from . import bloom
 from .text import Texts, Words, mix, repeated, slices
 
 K, THRESHOLD = 5, 0.8
@@ -327,16 +330,23 @@ def verified(members: DataFrame, *, threshold: float = THRESHOLD, tolerance: flo
                     a, b = a[ok], b[ok]
                     links[lo:hi] = np.bincount(a, weight[lo:hi][b], hi - lo) + np.bincount(b, weight[lo:hi][a], hi - lo)
                 else:
+                    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+                    ends, has = np.cumsum(size), np.zeros(int(at.max()) + 1, bool)
 
-                    def linked(x, rows, sets=sets, sig=sig, size=size):
+                    def linked(x, rows, sig=sig, size=size, at=at, ends=ends, has=has):
                         rows = _pruned(sig, np.full(len(rows), x), rows, steps)[1]
-                        both = np.array([np.isin(sets[x], sets[y], assume_unique=True).sum() for y in rows.tolist()], np.int64)
+                        if not len(rows):
+                            return rows
+                        own = at[ends[x] - size[x] : ends[x]]
+                        has[own] = True
+                        both = np.add.reduceat(has[at].astype(np.int32), ends - size)[rows]
+                        has[own] = False
                         return rows[_similar(both, size[x], size[rows], threshold)]
 
                     a, b = joined(hi - lo, linked)
                 order = np.argsort(rep[lo:hi], kind="stable")
-                at = np.argsort(order)
-                least[lo:hi][order] = rep[lo:hi][order][_forest(hi - lo, at[a], at[b])]
+                place = np.argsort(order)
+                least[lo:hi][order] = rep[lo:hi][order][_forest(hi - lo, place[a], place[b])]
             yield pa.RecordBatch.from_arrays([pa.array(component), pa.array(rep), pa.array(links), pa.array(least)], [c.split()[0] for c in kinds.split(", ")])
 
     # The pairs of blocks of a component go to tasks next to each other, so that none gets many of them.
@@ -346,13 +356,22 @@ def verified(members: DataFrame, *, threshold: float = THRESHOLD, tolerance: flo
     return members.select(*sort, "block", "rep", "weight", "sig", "grams").repartitionById(tasks, task).sortWithinPartitions(*sort).mapInArrow(check, kinds)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text, which is the last column, turned into its set of shingle hashes."""
-    for batch in batches:
-        for a, b, texts in slices(batch.column(batch.num_columns - 1), 1 << 20):
-            grams, offsets = shingle_sets(texts)
-            part = [c.slice(a, b - a) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*part, pa.array([grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], [*batch.schema.names[:-1], "grams"])
+def _sets(table: Broadcast):
+    """(h, rep, tkey, text) to (rep, tkey, grams), the set of shingle hashes, of rows whose h the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(bloom.inside(batch.column(0).to_numpy().view(np.uint64), table.value)))
+            for a, b, texts in slices(batch.column(3), 1 << 20):
+                grams, offsets = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["rep", "tkey", "grams"])
+
+    return run
+
+
+def _filter(keys: DataFrame, doc_id: str) -> Broadcast:
+    """A Bloom filter of (doc_id, tkey), sent to all tasks."""
+    return keys.sparkSession.sparkContext.broadcast(bloom.built(keys.select(F.xxhash64(doc_id, "tkey").alias("h"))))
 
 
 def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5, widest: int = WIDEST, narrowest: int = NARROWEST, count: bool = True) -> DataFrame:
@@ -363,12 +382,12 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", t
     classes = materialize(heads.select("key", F.col("h.doc_id").alias("rep"), F.col("h.tkey").alias("tkey"), "weight", "sig", "n"))
     edges = materialize(candidate_edges(classes, threshold=threshold, tolerance=tolerance, widest=widest, narrowest=2 * narrowest))
     near = materialize(connected_components(edges).withColumnRenamed("id", "rep"))
-    found = materialize(near.join(classes.drop("key", "sig"), "rep"))  # ids only, to be sent rather than the texts while they are few
+    found = materialize(near.join(classes.drop("key", "sig"), "rep"))
     blocks = _n_blocks(docs.sparkSession, F.col("rows"), F.col("bytes"), widest, narrowest)
     sized = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("bigint") * 8).alias("bytes")).select("component", blocks.alias("m"))
     texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
-    chosen = texts.join(found.select("rep", "tkey"), ["rep", "tkey"], "left_semi").mapInArrow(_sets, "rep bigint, tkey bigint, grams binary")
-    once = chosen.dropDuplicates(["rep", "tkey"])  # rows of docs may be repeated
+    wanted = texts.select(F.xxhash64("rep", "tkey").alias("h"), "rep", "tkey", "text").where("rep is not null")
+    once = wanted.mapInArrow(_sets(_filter(found, "rep")), "rep bigint, tkey bigint, grams binary").dropDuplicates(["rep", "tkey"])  # rows of docs may be repeated
     about = found.join(sized, "component").select("rep", "tkey", "component", "m", "weight")
     members = materialize(once.join(about, ["rep", "tkey"]).join(classes.select("rep", "tkey", "sig"), ["rep", "tkey"]))
     checked = materialize(verified(_blocked(members), threshold=threshold, tolerance=tolerance, count=count))
@@ -396,19 +415,32 @@ def join_classes(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, one of each class: the one with the class's doc_id (of repeated rows, one). Rows without a doc_id all stay.
 
-    Only ids and hashes decide, and only rows that are repeated and stay are grouped as wholes.
+    Only ids and hashes decide. Rows that a Bloom filter of those that go knows nothing of are not shuffled; only rows that are
+    repeated and stay are grouped as wholes.
     """
     rows = classified(docs, doc_id=doc_id, text=text, count=False, **options).where("doc_id is not null")
     each = rows.groupBy("doc_id", "tkey", "class_id").agg(F.count("*").alias("n"))
     least = F.min("tkey").over(Window.partitionBy("doc_id", "class_id"))
     flags = each.select("doc_id", "tkey", ((F.col("doc_id") == F.col("class_id")) & (F.col("tkey") == least)).alias("stays"), (F.col("n") > 1).alias("again"))
     touched = materialize(flags.where("not stays or again"))
-    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("tkey"))
-    alone = named.join(touched.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti").select("row.*")
+    table = _filter(touched, "doc_id")
+    named = docs.select(F.xxhash64(docs[doc_id].cast("bigint"), F.xxhash64(docs[text])).alias("h"), docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("tkey"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+    def passed(through: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = bloom.inside(batch.column(0).to_numpy().view(np.uint64), table.value)
+                yield batch.filter(pa.array(hit == through))
+
+        return named.mapInArrow(run, named.schema)
+
+    # Rows that the filter holds back stay where they are; the others meet the ids.
+    alone, met = passed(False), passed(True).join(touched.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti")
+    out = alone.select("row.*").unionByName(met.select("row.*"))
     if touched.where("stays").isEmpty():
-        return alone
-    again = named.join(touched.where("stays").select("doc_id", "tkey"), ["doc_id", "tkey"], "left_semi").groupBy("doc_id", "tkey").agg(F.first("row").alias("row")).select("row.*")
-    return alone.unionByName(again)
+        return out
+    again = passed(True).join(touched.where("stays").select("doc_id", "tkey"), ["doc_id", "tkey"], "left_semi").groupBy("doc_id", "tkey").agg(F.first("row").alias("row"))
+    return out.unionByName(again.select("row.*"))
 
 
 def op1_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
