@@ -431,6 +431,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
             for batch in batches:
                 hit = bloom.inside(batch.column(0).to_numpy().view(np.uint64), table.value)
                 yield batch.filter(pa.array(hit == through))
+                pa.default_memory_pool().release_unused()
 
         return named.mapInArrow(run, named.schema)
 
