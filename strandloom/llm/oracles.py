@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from .chat import CONTROL, END, PROBE, START
 from .quality_rules import N_CLASSES
 from .sharding import Tree, tree_of
@@ -118,4 +120,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum({len(START) + len(END) + 2} + {_escaped.format("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped.format("text")}) AS BIGINT) AS formatted_chars, false AS rewrites
 FROM t GROUP BY conv_id"""
 
-ORACLES = {"op1_bayes_jaccard": JACCARD, "op6_divergence_rules": RULES, "op8_hash_tree_shards": SHARDS, "op9_incremental_chat": CHAT}
+_STEPS_OF_ORDERS = ", ".join(f"('{''.join(o)}', {k + 1}, {1 << 'ABCDE'.index(o[k])}, {sum(1 << 'ABCDE'.index(x) for x in o[:k])})" for o in permutations("ABCDE") for k in range(5))
+AUDIT = f"""WITH l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{WHITE}'), lambda x: x <> '') AS ws FROM documents),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+ (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT + 4 * (100 * ({_count("[A-Z]")}) > 10 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS failed FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+o AS (SELECT * FROM (VALUES {_STEPS_OF_ORDERS}) o(filter_order, step, own, run)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN failed & (run | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN failed & run = 0 AND failed & own > 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN failed & run > 0 AND failed & own > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN failed & run = 0 AND failed & own > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failed & run = 0 AND failed & own > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c CROSS JOIN o GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op1_bayes_jaccard": JACCARD, "op6_divergence_rules": RULES, "op8_hash_tree_shards": SHARDS, "op9_incremental_chat": CHAT, "op13_failing_ids": AUDIT}

@@ -1,0 +1,86 @@
+import random
+import re
+from itertools import permutations
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.llm import filter_audit
+
+DOCS = "doc_id long, text string, lang string"
+
+
+def audited(docs, labels):
+    """The audit by lists of rows, order by order."""
+    least, fails, marks = {}, [], {}
+    for i, text, _ in docs:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    for i, good, toxic in labels:
+        if i is not None:
+            old = marks.get(i, (0, 0))
+            marks[i] = (max(old[0], int(good == 1)), max(old[1], int(toxic == 1)))
+    for i, text, _ in docs:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        failed = {"A": len(words) < 100, "B": 100 * len(set(words)) < 80 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and i > least[t]}
+        fails.append({x for x, v in failed.items() if v})
+    out = {}
+    for part in {lang or "" for _, _, lang in docs}:
+        own = [k for k, d in enumerate(docs) if (d[2] or "") == part]
+        values = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = own
+            for step, f in enumerate(order, 1):
+                gone = [k for k in left if f in fails[k]]
+                left = [k for k in left if f not in fails[k]]
+                values[f] += len(gone)
+                all_failed = [k for k in own if f in fails[k]]
+                lost = [sum(marks.get(docs[k][0], (0, 0))[m] for k in gone) for m in (0, 1)]
+                out[part, "".join(order), step] = [len(left), len(gone), len(all_failed) - len(gone), sum(fails[k] == {f} for k in own), *lost]
+        for (p, order, step), v in out.items():
+            if p == part:
+                v.append(values[order[step - 1]])
+    return out
+
+
+def got(frame):
+    rows = frame.collect()
+    out = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley] for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs():
+    rnd = random.Random(3)
+    plain = " ".join(f"word{i}" for i in range(100))
+    pool = [plain, plain.upper(), plain + " #", "few words", "", None, "\x0b", "a b " * 60, "Ä " + plain, plain.replace(" ", " "), "x" * 300_000, plain + " " + " ".join(["word1"] * 25), plain + " " + " ".join(["word1"] * 26)]
+    rows = [(rnd.randrange(150), rnd.choice(pool), rnd.choice(["en", "de", None, ""])) for _ in range(400)]
+    return rows + [(None, plain, "en"), (None, plain, None), (3, plain, "en"), (3, plain, "en"), (-5, "few words", "fr")]
+
+
+def test_against_lists_of_rows(spark, docs):
+    labels = [(i, i % 3 % 2, i % 5 // 4) for i in range(0, 150, 2)] + [(3, 1, 1), (3, 0, 0), (None, 1, 1), (4, None, None), (9999, 1, 1)]
+    d = spark.createDataFrame(docs, DOCS).withColumns({"n": F.lit("x"), "key": F.lit(1), "good": F.lit(None).cast("int")})
+    found = filter_audit.audit_documents(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert got(found) == audited(docs, labels)
+
+
+def test_one_text_in_most_rows(spark):
+    rows = [(i, "same text" if i % 3 else f"text {i} " * 60, "en") for i in range(900)]
+    found = filter_audit.audit_documents(spark.createDataFrame(rows, DOCS).repartition(7), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert got(found) == audited(rows, [])
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert filter_audit.audit_documents(empty, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_other_filters(spark):
+    """Any relations of failing ids: three filters, one of which nothing fails."""
+    base = spark.createDataFrame([(i, 0, "p", 1) for i in range(60)], "id long, key long, part string, n long")
+    failing = {x: spark.range(60).where(cond).select("id", F.lit(0).cast("bigint").alias("key")) for x, cond in {"x": "id % 2 = 0", "y": "id % 3 = 0", "z": "false"}.items()}
+    rows = {(r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) for r in filter_audit.audit(base, failing, []).collect()}
+    assert len(rows) == 18 and rows["yxz", 1] == (40, 20, 0, 10, 3 * 20 + 3 * 10) and rows["yxz", 2] == (20, 20, 10, 20, 3 * 30 + 3 * 20) and rows["yxz", 3] == (20, 0, 0, 0, 0)
