@@ -1,9 +1,9 @@
 """Filter interaction audit: what each filter of a chain removes, in every order of the filters.
 
 Every filter stores one table of the ids that fail it. The survivors of a prefix are the base rows left-anti joined with the
-tables of its filters; they depend on which filters have run, not on their order, so k filters have 2^k of them, all
-in one query whose shuffles of the base and of each id table are shared. The base left-semi joined with one table gives all
-that fail it. Only counts leave a join, per part and set of filters; the rest is arithmetic on sets:
+tables of its filters; they depend on which filters have run, not on their order, so k filters have 2^k of them. They are one table with
+the set of filters as a column, and k joins make it: each adds the survivors of all sets so far with one more filter. The base left-semi joined with
+one table gives all that fail it. What is counted are rows per part and set of filters; the rest is arithmetic on sets:
 a filter removes the survivors before it less those after it, what fails it and was removed earlier is redundant for it,
 and what only it catches is what survives all the others but not it.
 
@@ -70,7 +70,7 @@ def described(docs: DataFrame, filters: Callable[[Texts], dict[str, np.ndarray]]
 
 def copies(rows: DataFrame) -> DataFrame:
     """The rows whose text a smaller doc_id has too."""
-    several = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    several = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     return rows.join(several, "digest").where("doc_id > first").select(rows.columns)
 
 
@@ -81,13 +81,15 @@ def labelled(rows: DataFrame, labels: DataFrame, losses: dict[str, Column], doc_
     return known.unionByName(rows.where("doc_id is null").withColumns({name: F.lit(0).cast("bigint") for name in losses}))
 
 
-def survivors(base: DataFrame, failing: dict[str, DataFrame]) -> list[DataFrame]:
-    """Of each set of filters (bit k for the k-th of failing), the rows of base that none of them fails, by left-anti joins."""
-    tables = list(failing.values())
-    out = [base]
-    for run in range(1, 1 << len(tables)):
-        last = run.bit_length() - 1
-        out.append(out[run ^ (1 << last)].join(tables[last], KEYS, "left_anti"))
+def survivors(base: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
+    """The rows of base once for each set of filters that they survive, told by ``run`` (bit k: the k-th of failing has run).
+
+    What has survived the sets of the filters so far is left-anti joined with the next filter's table; that gives their survivors with it.
+    """
+    out = base.withColumn("run", F.lit(0))
+    for k, table in enumerate(failing.values()):
+        without = out if k == 0 else materialize(out)
+        out = without.unionByName(without.join(table, KEYS, "left_anti").withColumn("run", F.col("run") + (1 << k)))
     return out
 
 
@@ -99,14 +101,13 @@ def audit(base: DataFrame, failing: dict[str, DataFrame], losses: list[str]) ->
     letters, every = list(failing), (1 << len(failing)) - 1
     counts = ["n", *losses]
 
-    def counted(rows: DataFrame, run: int, failed: int) -> DataFrame:
-        return rows.groupBy("part").agg(*[F.sum(c).alias(c) for c in counts]).withColumns({"run": F.lit(run), "failed": F.lit(failed)})
+    def counted(rows: DataFrame, run: Column, failed: int) -> DataFrame:
+        return rows.groupBy("part", run.alias("run")).agg(*[F.sum(c).alias(c) for c in counts]).withColumn("failed", F.lit(failed))
 
-    found = [counted(rows, run, -1) for run, rows in enumerate(survivors(base, failing))]
-    found += [counted(base.join(table, KEYS, "left_semi"), -1, k) for k, table in enumerate(failing.values())]
-    table = found[0]
-    for one in found[1:]:
-        table = table.unionByName(one)
+    table = counted(survivors(base, failing), F.col("run"), -1)
+    for k, ids in enumerate(failing.values()):
+        table = table.unionByName(counted(base.join(ids, KEYS, "left_semi"), F.lit(-1), k))
+    table = materialize(table)
 
     def by(column: str, among: str, size: int, name: str) -> Column:
         entries = F.map_from_entries(F.collect_list(F.when(F.col(among) >= 0, F.struct(F.col(among), F.col(column)))))
