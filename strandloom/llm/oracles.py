@@ -134,4 +134,20 @@ r AS (SELECT part, filter_order, step, own, sum(CASE WHEN failed & (run | own) =
 SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
 
-ORACLES = {"op1_bayes_jaccard": JACCARD, "op6_divergence_rules": RULES, "op8_hash_tree_shards": SHARDS, "op9_incremental_chat": CHAT, "op13_failing_ids": AUDIT}
+_FIVE = "('0x' || substr(h, 1 + 5 * i, 5))::INT"
+_BASE32 = "list_aggregate(list_transform(range(8), lambda i: " + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_FIVE} >> {bits}) & 31), 1)" for bits in (15, 10, 5, 0)) + "), 'string_agg', '')"
+WARC = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), q AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to, true AS intact FROM q"""
+
+NEGATIVES = """WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q FROM u QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, coalesce(CAST(list_sum(list_transform(list_zip(a.q, b.q, true), lambda z: z[1] * z[2])) AS BIGINT), 0) AS score
+ FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5"""
+
+ORACLES = {"op1_bayes_jaccard": JACCARD, "op6_divergence_rules": RULES, "op8_hash_tree_shards": SHARDS, "op9_incremental_chat": CHAT, "op11_shared_lists": NEGATIVES, "op12_zip_warc": WARC, "op13_failing_ids": AUDIT}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, filter_audit, jaccard_join, language_id, quality_gam, quality_rules, sharding, toxicity, url_rules
+from . import bpe, chat, decontamination, filter_audit, hard_negatives, jaccard_join, language_id, quality_gam, quality_rules, sharding, toxicity, url_rules, warc_archives
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_hash_tree_shards": sharding.op8_hash_tree_shards,
     "op9_incremental_chat": chat.op9_incremental_chat,
     "op10_string_tiling": decontamination.op10_string_tiling,
+    "op11_shared_lists": hard_negatives.op11_shared_lists,
+    "op12_zip_warc": warc_archives.op12_zip_warc,
     "op13_failing_ids": filter_audit.op13_failing_ids,
 }
 
