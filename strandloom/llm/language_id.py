@@ -37,10 +37,7 @@ def _fold_table() -> tuple[np.ndarray, np.ndarray]:
         letter = members(r"\p{L}")
         fold = np.full(0x110000, BLANK, np.uint32)
         at = np.flatnonzero(letter)
-        fold[at] = at
-        for p in at[at < 0x2FFF]:
-            low = chr(p).lower()
-            fold[p] = ord(low[0])
+        fold[at] = [ord(chr(p).lower()[0]) for p in at.tolist()]
         _fold = fold, letter
     return _fold
 

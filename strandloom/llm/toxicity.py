@@ -8,14 +8,13 @@ densities of hits, hits near a second-person word, capitals, punctuation and obf
 
 The lexicon, the trees and the calibration are each fitted on a part of their own (two fifths, two fifths, one
 fifth) of one bounded sample, at most ``per_class`` toxic and ``per_class`` other documents, weighted back to the shares of
-all labelled ones.
+all labelled ones. A step whose part has no document of a label, as there are fewer than five of it, takes all of that label in the sample.
 
 Defined results: null counts as empty; empty texts are scored as texts without a hit; very long texts are read
 whole; rows without a label, or with a null one, are scored but not learned from; repeated rows are scored each on
 its own, but a document is learned from once, with each label it has; of terms that hit one word, the strongest counts;
-texts of equal features get equal scores; other columns are ignored; an empty table gives no rows. Unless every part
-has a document of both labels (five of each are enough), the score is the share of label 1 among the labelled
-documents (0 without any).
+texts of equal features get equal scores; other columns are ignored; an empty table gives no rows. Where one of the labels has no
+document at all, the score is the share of label 1 among the labelled documents (0 without any).
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import char_histograms
@@ -197,13 +196,18 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id
         one = least_drawn(known.where(F.col("y") == y), n, per_class, seed).select("doc_id", "y", ((rank - 1) % PARTS).alias("part"), F.lit(n / max(1, min(n, per_class))).alias("weight"))
         drawn = one if drawn is None else drawn.unionByName(one)
     sample = materialize(texts_of(docs, materialize(drawn), "doc_id", "text"))
-    if sample.select("y", "part").distinct().count() < 2 * PARTS:
+    there = {(r.y, r.part) for r in sample.select("y", "part").distinct().collect()}
+    if len({y for y, _ in there}) < 2:
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
         return docs.select("doc_id", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    lexicon = learn_lexicon(sample.where("part < 2").coalesce(cores(sample)))
+
+    def step(*parts: int) -> Column:
+        return F.col("part").isin(*parts) | F.col("y").isin([y for y in (0, 1) if not any((y, p) in there for p in parts)])
+
+    lexicon = learn_lexicon(sample.where(step(0, 1)).coalesce(cores(sample)))
     rows = materialize(features(sample.coalesce(cores(sample)), lexicon, ["y int", "part int", "weight double"])).coalesce(cores(sample)).withColumn("features", array_to_vector("x")).persist()
-    boosted = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(rows.where("part between 2 and 3"))
-    calibrated = IsotonicRegression(labelCol="y", weightCol="weight", featuresCol="margin", predictionCol="score").fit(_margin(boosted, rows.where("part = 4").drop("features")).select("y", "weight", "margin"))
+    boosted = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(rows.where(step(2, 3)))
+    calibrated = IsotonicRegression(labelCol="y", weightCol="weight", featuresCol="margin", predictionCol="score").fit(_margin(boosted, rows.where(step(4)).drop("features")).select("y", "weight", "margin"))
     rows.unpersist()
     scored = _margin(boosted, features(docs, lexicon, ["doc_id bigint"])).select("doc_id", "margin")
     return calibrated.transform(scored).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -12,8 +12,9 @@ fits are not learned from: the mined rules judge them.
 
 Two steps that lose no rule keep FP-growth small. Tokens that are in the same rows (as those of one long URL) are one
 item; a URL has the item if it has any of them. A token that comes with one label only is a rule as it
-stands, which makes every longer one redundant, and is not mined further. FP-growth has no bound on the length of a set;
-rules of more than ``longest`` items are dropped after it. Nothing of this reaches the driver but two counts.
+stands, which makes every longer one redundant, and is not mined further. Sets of any length are mined: whether a rule is redundant is
+carried upward through the frequent sets, from each to those of one item more, so that no set's subsets are listed. The number of sets grows as 2 to the
+number of tokens that are frequent together; README has figures. Nothing of this reaches the driver but counts.
 
 Defined results: a null URL, or one without ``://``, has empty host, path and token set, fits no rule, and
 is allowed, as is any URL that no rule fits; a very long URL is matched by all of its tokens; equal URLs get equal
@@ -31,7 +32,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 
 HOT = 1000
 # (verdict, host, path) of the listed rules.
@@ -94,20 +95,32 @@ class Rules:
 _BLOCK, _ALLOW = "block", "allow"  # no tokens: these have a kind
 
 
-def _parts(items: Column, longest: int) -> Column:
-    """All subsets of an array of at most ``longest`` items that are neither empty nor whole."""
-    n = F.size(items)
-    masks = F.filter(F.array(*[F.lit(m) for m in range(1, 1 << longest)]), lambda m: m < F.shiftleft(F.lit(1), longest) - 1)
-    masks = F.filter(masks, lambda m: m < F.pow(F.lit(2), n).cast("int") - 1)
-    return F.transform(masks, lambda m: F.filter(items, lambda _, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
+def _redundant(sets: DataFrame, sure: DataFrame, gain: float) -> DataFrame | None:
+    """(items, blocked) of the sure rules that one on fewer of their items makes redundant.
 
-
-def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: float = 0.8, min_lift: float = 1.5, longest: int = 4, gain: float = 0.02) -> Rules:
+    sets: (items, blocked) of all frequent sets with a label, among which are all subsets of each.
+    """
+    sized = sure.select("items", "blocked", "confidence", F.size("items").alias("size"))
+    longest = sized.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    best = sized.where("size = 1").select(F.col("items").alias("part"), "blocked", F.col("confidence").alias("best"))
+    out = None
+    for size in range(2, longest + 1):
+        parts = sets.where(F.size("items") == size).select("items", "blocked", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
+        below = parts.join(best, ["part", "blocked"]).groupBy("items", "blocked").agg(F.max("best").alias("below"))
+        level = materialize(below.join(sized.where(F.col("size") == size), ["items", "blocked"], "full"))
+        needless = level.where(F.col("below") + gain >= F.col("confidence")).select("items", "blocked")
+        out = needless if out is None else out.unionByName(needless)
+        best = level.select(F.col("items").alias("part"), "blocked", F.greatest("below", "confidence").alias("best"))
+    return out
+
+
+def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: float = 0.8, min_lift: float = 1.5, longest: int | None = None, gain: float = 0.02) -> Rules:
     """labelled: tokens, blocked (null: not learned from).
 
     A rule holds for at least ``min_support`` of the rows. Its label is ``min_lift`` times as frequent among its rows as
     among all, or the other label ``min_lift`` times as seldom: the first is out of reach where most rows have one label.
-    It is redundant if such a rule for the same label on fewer of its items is at most ``gain`` less sure.
+    It is redundant if such a rule for the same label on fewer of its items is at most ``gain`` less sure. ``longest`` leaves out
+    rules on more items, for those who want short rules only.
     """
     spark = labelled.sparkSession
     known = labelled.where("blocked is not null").select(F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"), F.col("blocked").cast("int").alias("b"))
@@ -129,7 +142,7 @@ def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: floa
     rows = known.join(held, "tokens", "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(F.when(F.col("b") == 1, _BLOCK).otherwise(_ALLOW))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets
     marked = sets.select(F.array_sort(F.array_except("items", F.array(F.lit(_BLOCK), F.lit(_ALLOW)))).alias("items"), F.array_contains("items", _BLOCK).alias("blocks"), F.array_contains("items", _ALLOW).alias("allows"), "freq")
-    marked = materialize(marked.where(F.size("items").between(1, longest)))
+    marked = materialize(marked.where(F.size("items").between(1, longest or 1 << 30)))
     with_label = marked.where("blocks or allows").select("items", F.col("blocks").alias("blocked"), F.col("freq").alias("hits"))
     found = with_label.join(marked.where("not blocks and not allows").select("items", F.col("freq").alias("rows")), "items")
     pure = items.where("b = 0 or b = n").select(F.array("item").alias("items"), (F.col("b") > 0).alias("blocked"), F.col("n").alias("hits"), F.col("n").alias("rows")).distinct()
@@ -137,12 +150,11 @@ def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: floa
     confidence, prior = F.col("hits") / F.col("rows"), F.when(F.col("blocked"), total / n).otherwise(1 - total / n)
     lifted = (confidence >= min_lift * prior) | (1 - prior >= min_lift * (1 - confidence))
     sure = materialize(found.unionByName(pure).withColumn("confidence", confidence).where((F.col("hits") >= least) & (F.col("confidence") >= min_confidence) & lifted))
-    shorter = sure.select(F.col("items").alias("part"), "blocked", F.col("confidence").alias("there"))
-    parts = sure.where(F.size("items") > 1).select("items", "blocked", "confidence", F.explode(_parts(F.col("items"), longest)).alias("part"))
-    needless = parts.join(shorter, ["part", "blocked"]).where(F.col("there") + gain >= F.col("confidence")).select("items", "blocked").distinct()
+    needless = _redundant(with_label.select("items", "blocked"), sure, gain)
     rarest = sure.select("items", F.explode("items").alias("item")).distinct().join(items.select("item", "n").distinct(), "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("filed"))
-    kept = sure.join(needless, ["items", "blocked"], "left_anti").join(rarest, "items")
-    rules = materialize(kept.select("items", "filed", "blocked", "confidence", (F.col("hits") / n).alias("support")))
+    kept = sure if needless is None else sure.join(needless, ["items", "blocked"], "left_anti")
+    rules = materialize(kept.join(rarest, "items").select("items", "filed", "blocked", "confidence", (F.col("hits") / n).alias("support")))
+    release(baskets, marked, sure)
     return Rules(items.select("token", "item"), rules)
 
 
@@ -160,6 +172,7 @@ def match(urls: DataFrame, mined: Rules, tokens: str = "tokens") -> DataFrame:
     order = F.struct(F.negate("confidence"), F.negate("support"), ~F.col("blocked"), "items")
     best = met.groupBy("_own").agg(F.min_by(F.struct(F.array_join("items", " ").alias("mined"), F.col("blocked").alias("mined_blocks"), "confidence"), order).alias("_best"))
     judged = materialize(sets.join(best, "_own", "left"))
+    release(sets)
     hot = F.broadcast(judged.where(F.col("_n") * HOT > total).drop("_n"))
     cold = judged.where(F.col("_n") * HOT <= total).drop("_n")
     found = rows.join(hot, "_own").unionByName(rows.join(hot.select("_own"), "_own", "left_anti").join(cold, "_own", "left"))

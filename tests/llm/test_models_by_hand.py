@@ -158,7 +158,54 @@ def test_samples_are_bounded_by_documents_not_by_rows(spark):
     assert sorted(map(tuple, samples.texts_of(docs, some, "doc_id", "text").select("doc_id", "y", "text").collect())) == [(3, 1, ""), (7, 0, "a"), (7, 1, "a")]
 
 
-def test_a_label_with_few_documents_gives_its_share(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(30)], "doc_id long, toxic int")
-    assert {(r.score, r.predicted) for r in toxicity.classify(docs, labels).collect()} == {(0.1, 0)}
+@pytest.mark.parametrize("toxic", [1, 2, 4, 6])
+def test_a_label_with_few_documents_still_gives_a_model(spark, toxic):
+    """Fewer toxic documents than parts: what they say in capitals is learned; the calibrated scores are no constant."""
+    docs = spark.createDataFrame([(i, f"SHOUT {i} AT THEM ALL!!" if i < toxic or i >= 45 else f"text {i} about the river") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(40)], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert min(score[i] for i in [*range(toxic), *range(45, 50)]) > 0.5 > max(score[i] for i in range(toxic, 45))
+
+
+@pytest.mark.parametrize("known", [[], [(1, 1)], [(1, 0), (2, 0)], [(1, 1), (2, 1), (3, 1)]])
+def test_without_one_of_the_labels_the_score_is_a_share(spark, known):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    share = sum(y for _, y in known) / max(1, len(known))
+    assert {(r.score, r.predicted) for r in toxicity.classify(docs, spark.createDataFrame(known, "doc_id long, toxic int")).collect()} == {(share, int(share >= 0.5))}
+
+
+def test_every_capital_is_folded():
+    for upper in "A\u0186\u1e9e\ua680\uff21\U00010400\U0001e900\u13a0":
+        low = upper.lower()[0]
+        counts, _ = language_id.bin_counts(texts([upper, low]), 1 << 12)
+        assert upper != low and (counts[0] == counts[1]).all()
+
+
+def isotonic_by_hand(margin, y, weight):
+    """Pool adjacent violators over margins in order, equal margins pooled first."""
+    pools = []
+    for m in sorted(set(margin)):
+        own = [(b, w) for a, b, w in zip(margin, y, weight, strict=True) if a == m]
+        pools.append([sum(b * w for b, w in own), sum(w for _, w in own), [m]])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            top = pools.pop()
+            pools[-1] = [pools[-1][0] + top[0], pools[-1][1] + top[1], pools[-1][2] + top[2]]
+    return {m: a / b for a, b, ms in pools for m in ms}
+
+
+def test_calibration_by_pooling(spark):
+    rng = np.random.default_rng(4)
+    margin = np.round(rng.normal(size=80), 1).tolist()
+    y = [int(rng.random() < 1 / (1 + math.exp(-2 * m))) for m in margin]
+    weight = [1.0 if v else 2.5 for v in y]
+    model = toxicity.IsotonicRegression(labelCol="y", weightCol="weight", featuresCol="margin", predictionCol="score").fit(spark.createDataFrame(list(zip(margin, y, weight, strict=True)), "margin double, y int, weight double"))
+    want = isotonic_by_hand(margin, y, weight)
+    got = {r.margin: r.score for r in model.transform(spark.createDataFrame([(m,) for m in want], "margin double")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_equal_features_tie_and_equal_references_tie(spark):
+    """Texts of equal features get equal scores, wherever they stand."""
+    docs = spark.createDataFrame([(i, "YOU FOOL!!" if i % 2 else "a calm river") for i in range(40)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert len({(r.doc_id % 2, r.score) for r in toxicity.classify(docs, labels).collect()}) == 2

@@ -143,3 +143,35 @@ def test_a_very_long_url(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, "http://example.com/en/1"), (3, "http://example.net/de/1")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.path, r.verdict) for r in u.op5_association_urls(spark, str(tmp_path)).collect()}
     assert got[1][0] == long.removeprefix("http://example.com") and got[2][1] == "block" and got[3][1] == "allow"
+
+
+def test_a_rule_on_five_tokens(spark):
+    """All five tokens are blocked, any four of them allowed: only the longest rule says so."""
+    names = [f"x{i}" for i in range(5)]
+    rows = [(names, True)] * 50 + [([x for x in names if x != out], False) for out in names for _ in range(10)]
+    mined = u.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    assert rules_of(mined) == mined_by_hand(rows, 0.02, longest=5)
+    urls = spark.createDataFrame([(1, names), (2, names[:4])], "id long, tokens array<string>")
+    assert sorted((r.id, r.mined_blocks) for r in u.match(urls, mined).collect())[0] == (1, True)
+
+
+def test_long_rules_against_brute_force(spark):
+    """Rules of all lengths, redundant ones over gaps of several lengths among them."""
+    rng = random.Random(9)
+    names = [f"t{i}" for i in range(8)]
+    rows = []
+    for _ in range(400):
+        own = [t for t in names if rng.random() < 0.8]
+        rows.append((own, rng.random() < (0.98 if {"t0", "t1", "t2", "t3", "t4", "t5"} <= set(own) else 0.85 if {"t6", "t7"} <= set(own) else 0.1)))
+    for gain in (0.0, 0.02, 0.2):
+        mined = u.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_lift=1.1, gain=gain)
+        want = mined_by_hand(rows, 0.02, min_lift=1.1, gain=gain, longest=8)
+        assert rules_of(mined) == want and (gain or max(len(t) for t, _ in want) > 4)
+
+
+def test_equally_sure_rules(spark):
+    """A tie goes to the greater support, then to block, then to the rule that sorts first."""
+    rules = spark.createDataFrame([(["a"], "a", True, 0.9, 0.2), (["b"], "b", False, 0.9, 0.3), (["c"], "c", False, 0.9, 0.2), (["d"], "d", True, 0.9, 0.2)], "items array<string>, filed string, blocked boolean, confidence double, support double")
+    items = spark.createDataFrame([(x, x) for x in "abcd"], "token string, item string")
+    urls = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "a"]), (3, ["d", "a"]), (4, ["c", "d"])], "id long, tokens array<string>")
+    assert sorted((r.id, r.mined) for r in u.match(urls, u.Rules(items, rules)).collect()) == [(1, "b"), (2, "a"), (3, "a"), (4, "d")]
