@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap, rescale, size
+from .intervals import chained_islands
 
 
 def with_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
@@ -140,20 +141,10 @@ def multimap_runs(aln: DataFrame, min_fraction: float = 0.5) -> DataFrame:
 def canonical_regions(aln: DataFrame, key: str = "rname", start: str = "rstart", end: str = "rend", width: int = 1 << 14) -> DataFrame:
     """key, start, end: alignments of a reference in order, chained while they share more than their ends, each chain merged.
 
-    Chains are first made among the alignments that start in the same ``width`` positions, so that no task holds all of a
-    reference's; what they leave is chained again. An alignment without a position of its own shares nothing.
+    Bins of ``width`` positions, not references, are what a task holds. An alignment without a position of its own shares nothing.
     """
-
-    def chained(rows: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(start, end)
-        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        marked = rows.withColumn("_new", F.when(reach > F.col(start), 0).otherwise(1))
-        numbered = marked.withColumn("_chain", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-        return numbered.groupBy(*by, "_chain").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_chain")
-
     rows = aln.select(key, start, end)
-    near = chained(rows.where(F.col(start) < F.col(end)).withColumn("_bin", F.floor(F.col(start) / width)), [key, "_bin"])
-    return chained(near.drop("_bin"), [key]).unionByName(rows.where(F.col(start) >= F.col(end)).distinct())
+    return chained_islands(rows, key, start, end, width).select(key, start, end).unionByName(rows.where(F.col(start) >= F.col(end)).distinct())
 
 
 def read_groups(aln: DataFrame, consecutive: bool = False) -> DataFrame:

@@ -44,19 +44,55 @@ def value_clusters(df: DataFrame, keys: list[str], value: str, reach: int) -> Da
     return numbered.select(*keys, value, mean.cast("int").alias("canonical")).distinct()
 
 
+def chained_islands(df: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
+    """key, start, end of chains of intervals that share more than their ends, however many a key has.
+
+    Intervals of one start are one row, so that a bin of ``width`` starts holds at most as many rows. What lies before a bin reaches it as one
+    number, the greatest end of all earlier bins of its key: a prefix maximum over one row per bin. Whether an interval opens a chain is then known inside
+    its bin; the last opening start of the earlier bins, again a prefix maximum, names the chain that goes on there. No window holds a key's intervals.
+    """
+    rows = df.where(F.col(start) < F.col(end)).groupBy(key, start).agg(F.max(end).alias(end)).withColumn("_bin", F.floor(F.col(start) / width))
+    inside = Window.partitionBy(key, "_bin").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """Adds the greatest value of the earlier rows of the key: of earlier bins, and of the own one."""
+        earlier = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        tops = rows.groupBy(key, "_bin").agg(F.max(value).alias("_top")).select(F.col(key).alias("_k"), F.col("_bin").alias("_b"), F.max("_top").over(earlier).alias("_top"))
+        own = rows.withColumn("_own", F.max(value).over(inside))
+        return own.join(tops, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bin") == F.col("_b"))).withColumn(name, F.greatest("_top", "_own")).drop("_top", "_own", "_k", "_b")
+
+    opened = before(rows, F.col(end), "_reach").withColumn("_opens", F.when(F.coalesce(F.col("_reach") <= F.col(start), F.lit(True)), F.col(start)))
+    named = before(opened, F.col("_opens"), "_chain")
+    return named.groupBy(key, F.coalesce("_opens", "_chain").alias(start)).agg(F.max(end).alias(end))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: tuple[str, str], left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: int = 512) -> DataFrame:
     """Rows of equal key whose spans share more than their ends: l.start < r.end and r.start < l.end.
 
-    Both sides are dealt to bins of ``width``, and the join is on (key, bin); a pair that shares several bins is
-    kept in the first one only. Columns of the two sides must differ.
+    Bins have levels, of ``width``, 4 x ``width``, 16 x ``width`` .. positions. A span's own level is the one whose bins are as long as it is, so that it lies in
+    one or two of them. A pair meets in a bin of the longer span's level: each row is dealt to bins of its own level and of
+    the higher ones that the other side has. So a very long span makes two rows, not one for each bin of ``width``.
+    A pair that shares two bins is kept in the first only. Columns of the two sides must differ.
     """
     (ls, le), (rs, re) = left_span, right_span
 
-    def binned(df: DataFrame, s: Column, e: Column, p: str) -> DataFrame:
-        first, last = F.floor(s / width), F.floor(F.greatest(s, e - 1) / width)
-        return df.withColumns({f"_{p}s": s, f"_{p}e": e, f"_{p}f": first}).withColumn(f"_{p}b", F.explode(F.sequence(first, last)))
+    def levelled(df: DataFrame, s: Column, e: Column, p: str) -> DataFrame:
+        own = F.ceil(F.log2(F.greatest(e - s, F.lit(1)) / F.lit(width)) / 2)
+        return df.withColumns({f"_{p}s": s, f"_{p}e": e, f"_{p}o": F.greatest(F.lit(0), own).cast("int")})
+
+    def first(p: str, level: Column) -> Column:
+        return F.floor(F.col(f"_{p}s") / (width * F.pow(F.lit(4), level)))
+
+    def dealt(df: DataFrame, other: DataFrame, p: str, q: str) -> DataFrame:
+        there = other.agg(F.collect_set(f"_{q}o").alias(f"_{p}h"))  # one row of a few levels
+        levels = F.array_union(F.array(f"_{p}o"), F.filter(f"_{p}h", lambda x: x > F.col(f"_{p}o")))
+        last = lambda level: F.floor(F.greatest(F.col(f"_{p}s"), F.col(f"_{p}e") - 1) / (width * F.pow(F.lit(4), level)))
+        bins = F.flatten(F.transform(levels, lambda level: F.transform(F.sequence(first(p, level), last(level)), lambda b: F.struct(level.alias("l"), b.alias("b")))))
+        placed = df.crossJoin(F.broadcast(there)).withColumn(f"_{p}x", F.explode(bins))
+        return placed.withColumns({f"_{p}l": F.col(f"_{p}x.l"), f"_{p}b": F.col(f"_{p}x.b")}).drop(f"_{p}x", f"_{p}h")
 
-    a, b = binned(left, ls, le, "l"), binned(right, rs, re, "r")
-    near = a.join(b, (a[on[0]] == b[on[1]]) & (F.col("_lb") == F.col("_rb")))
-    real = (F.col("_ls") < F.col("_re")) & (F.col("_rs") < F.col("_le")) & (F.col("_lb") == F.greatest("_lf", "_rf"))
-    return near.where(real).drop(*(f"_{p}{c}" for p in "lr" for c in "sefb"))
+    a, b = levelled(left, ls, le, "l"), levelled(right, rs, re, "r")
+    x, y = dealt(a, b, "l", "r"), dealt(b, a, "r", "l")
+    near = x.join(y, (x[on[0]] == y[on[1]]) & (F.col("_ll") == F.col("_rl")) & (F.col("_lb") == F.col("_rb")))
+    real = (F.col("_ls") < F.col("_re")) & (F.col("_rs") < F.col("_le")) & (F.col("_ll") == F.greatest("_lo", "_ro")) & (F.col("_lb") == F.greatest(first("l", F.col("_ll")), first("r", F.col("_ll"))))
+    return near.where(real).drop(*(f"_{p}{c}" for p in "lr" for c in "seolb"))

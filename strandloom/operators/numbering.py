@@ -1,34 +1,55 @@
-"""Consecutive numbers over a whole table or within its groups, without one task that sorts them all."""
+"""Consecutive numbers over a whole table or within its groups, by prefix sums over ranges: no task sorts or counts them all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows with ``_at``: which task wrote a row, and as which of its rows; written, so that counting and numbering see the same."""
+    return materialize(rows.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _shifted(kept: DataFrame, ranges: list[Column], within: tuple[str, ...], name: str, first: int, ranks: DataFrame | None = None) -> DataFrame:
+    """Adds ``name``: rows of a range lie next to each other in ``_at``; ranges follow each other by their columns, or by ``ranks`` of the first of these before.
+
+    One row per range (and group) says how far its rows' ``_at`` are from their numbers; that table is written, so that Spark
+    sees whether it is small enough to be broadcast.
+    """
+    groups, own = [f"_w{k}" for k in range(len(within))], [f"_r{k}" for k in range(len(ranges))]
+    cells = dict(zip([*groups, *own], [*map(F.col, within), *ranges], strict=True))
+    sizes = kept.select(*(c.alias(n) for n, c in cells.items()), "_at").groupBy(*cells).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    order = [F.col(n) for n in own]
+    if ranks is not None:
+        sizes = sizes.join(F.broadcast(ranks.select(F.col("file").alias("_f"), "rank")), F.col("_r0") == F.col("_f"), "left")  # a row per file that the driver has listed
+        order = [F.asc_nulls_last("rank"), *order]
+    before = F.sum("_n").over(Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    shifts = materialize(sizes.select(*cells, (F.coalesce(before, F.lit(0)) - F.col("_from") + first).alias("_shift")))
+    same = F.lit(True)
+    for n, c in cells.items():
+        same = same & c.eqNullSafe(F.col(n))
+    return kept.join(shifts, same).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_shift", *cells)
+
+
 def number_rows(df: DataFrame, order: list, name: str, first: int = 0, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``name``: first, first + 1, ... in the given order; anew in every group of the columns ``within``.
 
-    Rows are sorted into ranges; the sizes of the ranges give each its first number (one row per range, and one more per
-    group). Ranges are written before they are counted, so that counting and numbering see the same ones.
+    Rows are dealt to ranges of the order and sorted there, in one shuffle.
     Rows that are equal in every column of the order are told apart by a running id, so that many of them do not
     meet in one range; which of them comes first is left open.
     """
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = materialize(tied.repartitionByRange(*within, *order, "_tie").withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*within, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*order, "_tie"))
-    numbered = ranged.withColumn("_k", inside)
-    if within:  # null-safe, as groups may be null
-        there = starts.select(*(F.col(c).alias(f"_{c}") for c in within), F.col("_range").alias("_at"), "_before")
-        same = F.col("_range") == F.col("_at")
-        for c in within:
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        numbered = numbered.join(there, same).drop("_at", *(f"_{c}" for c in within))
-    else:
-        numbered = numbered.join(F.broadcast(starts), "_range")
-    return numbered.withColumn(name, F.col("_before") + F.col("_k") - 1 + first).drop("_range", "_k", "_before", "_tie")
+    by = [*within, *order, "_tie"]
+    kept = _written(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie"))
+    return _shifted(kept, [F.shiftright("_at", 33)], within, name, first)
+
+
+def number_in_place(rows: DataFrame, name: str, first: int = 0, ranks: DataFrame | None = None) -> DataFrame:
+    """Adds ``name`` to rows of read_lines (columns file, at) that were filtered and projected, but not shuffled since: by file, then as they stand in it.
+
+    Nothing is sorted or shuffled but one row per split of a file. With ranks (file, rank), files come by rank, then by name, and those without one last.
+    """
+    return _shifted(_written(rows), [F.col("file"), F.col("at._block")], (), name, first, ranks)

@@ -249,7 +249,9 @@ def _row(*columns: str) -> str:
 
 
 _GFF_LINE = _row("{0}", "'x'", "{1}", "{2}", "{3}", "'0.5'", "'+'", "'2'", "concat('ID=', id)")
-_FEATURES = "(VALUES ('tRNA', 11, 50), ('CDS', 5, 40), ('exon', 10, 56)) f(feature, a, b)"
+_PLACED = f"""(SELECT *, length(seq) AS n, unnest([{{'feature': 'tRNA', 'a': length(seq) // 3 + 1, 'b': length(seq) // 2 + 1}}, {{'feature': 'CDS', 'a': 1, 'b': length(seq) // 3 + 1}}, {{'feature': 'exon', 'a': length(seq) - length(seq) // 5, 'b': length(seq)}}], recursive := true) FROM {_DNA})"""
+_WINDOWS = f"""(SELECT id, seq, n, w.s AS s, w.e AS e FROM (SELECT id, seq, n, unnest(CASE WHEN id % 3 = 1 THEN [{{'s': n // 4, 'e': n // 4 + n // 2 + 1}}]
+ ELSE [{{'s': 0, 'e': (n + 1) // 2}}, {{'s': n - greatest(1, n // 3), 'e': n + n // 4}}] END) AS w FROM (SELECT *, length(seq) AS n FROM {_DNA}) WHERE id % 3 > 0 AND n > 0))"""
 _REPORTS = {
     "read_length": ("(SELECT concat('r', o_orderkey) AS qname FROM orders)", ["qname", "1300"]),
     "alignment_sizes": (_table("alignment_sizes"), ["qname", "rname", "rstart", "rend", "size", "mapq", "align_cov"]),
@@ -280,16 +282,17 @@ ORACLES |= {
  UNION ALL SELECT 'nodes', concat(id, ';', count(*), ';"', CASE WHEN id % 2 = 0 THEN concat('label ', id) ELSE 'None' END, '"') FROM read_steps GROUP BY id
  UNION ALL SELECT 'edges', concat(src, ';', dst, ';', count(*)) FROM pe GROUP BY src, dst""", "pe"),
     "extract_gene_files": _sql(f"""SELECT CAST(n AS VARCHAR) AS id, fna, {_PROTEIN} AS faa FROM (SELECT n, fna, CASE WHEN k % 2 = 0 THEN fna ELSE {_RC.format('fna')} END AS seq FROM (SELECT *, row_number() OVER (ORDER BY k, s) - 1 AS n FROM ({_SPANS})))""", "dna"),
-    "fetch_sequence_files": _sql(f"SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA} WHERE id % 3 = 0 UNION ALL SELECT concat(id, '_10_55'), substr(seq, 11, 45) FROM {_DNA} WHERE id % 3 = 1 AND length(seq) >= 60", "dna"),
-    "fetch_gff_files": _sql(f"""SELECT {_GFF_LINE.format("CAST(id AS VARCHAR)", "feature", "a", "b")} AS value FROM {_DNA}, {_FEATURES} WHERE id % 3 = 0
- UNION ALL SELECT {_GFF_LINE.format("concat(id, '_10_55')", "feature", "a - 10", "b - 10")} FROM {_DNA}, {_FEATURES} WHERE id % 3 = 1 AND length(seq) >= 60 AND a >= 10 AND b <= 56""", "dna"),
+    "fetch_sequence_files": _sql(f"""SELECT CAST(id AS VARCHAR) AS name, seq FROM {_DNA} WHERE id % 3 = 0 OR seq = ''
+ UNION ALL SELECT concat_ws('_', id, s, e), concat(substr(seq, s + 1, least(e, n) - s), substr(seq, 1, greatest(e - n, 0))) FROM {_WINDOWS}""", "dna"),
+    "fetch_gff_files": _sql(f"""SELECT {_GFF_LINE.format("CAST(id AS VARCHAR)", "feature", "a", "b")} AS value FROM {_PLACED} WHERE id % 3 = 0 OR n = 0
+ UNION ALL SELECT {_GFF_LINE.format("concat_ws('_', p.id, s, e)", "feature", "a - s", "b - s").replace("concat('ID=', id)", "concat('ID=', p.id)")} FROM {_PLACED} p JOIN {_WINDOWS} w ON w.id = p.id WHERE a >= s AND b <= e + 1""", "dna"),
     "fetch_key_files": _sql(f"SELECT DISTINCT id FROM ({_MATCH})", "genes"),
     "sequence_store_files": _sql(f"SELECT id, seq FROM {_DNA}", "dna"),
     "sequence_graph_files": _sql(f"""SELECT DISTINCT concat('S', {_TAB}, gene_id, '_', seq_id, '_', aa, {_TAB}, {_TAB}, 'FC:i:1') AS value FROM residues
  UNION ALL SELECT concat('L', {_TAB}, gene_id, '_', src, '_', src_aa, {_TAB}, '+', {_TAB}, gene_id, '_', dst, '_', dst_aa, {_TAB}, '+', {_TAB}, {_TAB}, 'FC:i:', coverage) FROM {_table('seq_edge_coverage')}""", "residues"),
     "alignment_metrics_files": " UNION ALL ".join(f"SELECT '{name}' AS report, {_row(*columns)} AS value FROM {table}" for name, (table, columns) in _REPORTS.items()),
-    "genbank_gene_files": _sql(f"""SELECT {_row("concat('D', id)", "'.'", "'CDS'", "CASE id % 4 WHEN 2 THEN length(seq) - 10 WHEN 3 THEN 1 ELSE 4 END", "CASE id % 4 WHEN 2 THEN length(seq) + 9 WHEN 3 THEN 45 ELSE 50 END", "'.'", "CASE id % 4 WHEN 1 THEN '-' ELSE '+' END", "'.'", "concat('protein_id=D', id, '_0;product=p ', id)")} AS value
- FROM {_DNA} WHERE length(seq) >= 60""", "dna"),
-    "genbank_sequence_files": _sql(f"SELECT concat('D', id) AS name, seq FROM {_DNA} WHERE length(seq) >= 60", "dna"),
-    "genbank_protein_files": _sql(f"SELECT concat('D', id, '_0') AS name, 'MKL' AS seq FROM {_DNA} WHERE length(seq) >= 60", "dna"),
+    "genbank_gene_files": _sql(f"""SELECT {_row("concat('D', id)", "'.'", "'CDS'", "CASE WHEN n < 4 THEN 1 WHEN id % 8 = 2 THEN 1 + 3 * n // 4 ELSE 1 + n // 4 END", "CASE WHEN n < 4 THEN n WHEN id % 8 IN (0, 1, 5) THEN 1 + 3 * n // 4 WHEN id % 8 = 2 THEN n + 1 + n // 4 ELSE n END", "'.'", "CASE WHEN n >= 4 AND id % 8 IN (1, 3, 4) THEN '-' ELSE '+' END", "'.'", "concat('protein_id=D', id, '_0;product=p ', id)")} AS value
+ FROM (SELECT *, length(seq) AS n FROM {_DNA}) WHERE n > 0""", "dna"),
+    "genbank_sequence_files": _sql(f"SELECT concat('D', id) AS name, seq FROM {_DNA}", "dna"),
+    "genbank_protein_files": _sql(f"SELECT concat('D', id, '_0') AS name, 'MKL' AS seq FROM {_DNA} WHERE seq <> ''", "dna"),
 }

@@ -196,12 +196,17 @@ def extract_gene_files(s, d):
 
 
 def _fetched(s: SparkSession, d: str) -> str:
-    """A third of the sequences wanted whole, windows of another third."""
+    """Every sequence: a third whole, a third by a window inside, a third by one at the start and one that goes round; empty ones whole."""
     out, dna = scratch(s), _dna(s, d)
-    whole = dna.where("id % 3 = 0").select(F.col("id").cast("string").alias("value"))
-    windows = dna.where("id % 3 = 1 and length(seq) >= 60").select(_tabbed("id", F.lit("10"), F.lit("55")))
-    feature = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, a, b in (("tRNA", 11, 50), ("CDS", 5, 40), ("exon", 10, 56))]))
-    lines = dna.select("id", feature.alias("x")).select(_tabbed("id", F.lit("x"), "x.f", "x.a", "x.b", F.lit("0.5"), F.lit("+"), F.lit("2"), F.concat(F.lit("ID="), F.col("id").cast("string"))))
+    n = F.length("seq")
+    whole = dna.where((F.col("id") % 3 == 0) | (n == 0)).select(F.concat(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, F.lit("\t")).otherwise(F.lit(""))).alias("value"))
+    part = lambda k: F.floor(n / k)
+    inside = F.array(F.struct(part(4).alias("a"), (part(4) + part(2) + 1).alias("b")))
+    ends = F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.ceil(n / 2).alias("b")), F.struct((n - F.greatest(F.lit(1), part(3))).alias("a"), (n + part(4)).alias("b")))
+    asked = dna.where((F.col("id") % 3 > 0) & (n > 0)).select("id", F.explode(F.when(F.col("id") % 3 == 1, inside).otherwise(ends)).alias("w"))
+    windows = asked.select(_tabbed("id", "w.a", "w.b", F.lit("further column")))
+    spans = F.array(*[F.struct(F.lit(f).alias("f"), a.alias("a"), b.alias("b")) for f, a, b in (("tRNA", part(3) + 1, part(2) + 1), ("CDS", F.lit(1).cast("bigint"), part(3) + 1), ("exon", n - part(5), n.cast("bigint")))])
+    lines = dna.select("id", F.explode(spans).alias("x")).select(_tabbed("id", F.lit("x"), "x.f", "x.a", "x.b", F.lit("0.5"), F.lit("+"), F.lit("2"), F.concat(F.lit("ID="), F.col("id").cast("string"))))
     config, gff = _put(whole.unionByName(windows), f"{out}/config"), _put(lines, f"{out}/x.gff")
     files.fetch_subsequences(s, _fasta(s, d, f"{out}/x.fa"), config, out, gff=gff, normalize=True)
     return out
@@ -261,13 +266,20 @@ def alignment_metrics_files(s, d):
 
 
 def _genbank(s: SparkSession, d: str) -> str:
-    """Records with a gene each: plain, reversed, round the end, or of three exons."""
+    """A record of every sequence, with a gene at a place of one of eight forms; shorter than four bases: all of it; none on an empty one."""
     out, n, name = scratch(s), F.length("seq"), F.col("id").cast("string")
-    round_ = F.concat(F.lit("join("), (n - 10).cast("string"), F.lit(".."), n.cast("string"), F.lit(",1..9)"))
-    place = F.when(F.col("id") % 4 == 0, F.lit("4..50")).when(F.col("id") % 4 == 1, F.lit("complement(4..50)")).when(F.col("id") % 4 == 2, round_).otherwise(F.lit("join(1..6,20..25,40..45)"))
+    a, b, c = ((1 + F.floor(n * k / 4)).cast("string") for k in (1, 2, 3))
+    end = n.cast("string")
+    forms = [[a, "..", c], ["complement(", a, "..", c, ")"], ["join(", c, "..", end, ",1..", a, ")"], ["complement(join(", a, "..", b, ",order(", c, "..", end, ")))"]]
+    forms += [["join(complement(", c, "..", end, "),complement(", a, "..", b, "))"], ["join(X00001.1:5..9,", a, "..", c, ")"], ["join(<", a, "..(", b, ".", c, "),", c, "..>", end, ")"], ["order(one-of(", a, ",", b, ")..", b, ",complement(", c, "^", end, "))"]]
+    place = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        place = F.when(F.col("id") % 8 == k, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in form])).otherwise(place)
+    place = F.when(n < 4, F.concat(F.lit("1.."), end)).otherwise(place)
     mark = "\n" + " " * 21
-    record = F.concat(F.lit("LOCUS       D"), name, F.lit("   "), n.cast("string"), F.lit(" bp\nFEATURES             Location/Qualifiers\n     CDS             "), place, F.lit(mark + '/product="p '), name, F.lit('"' + mark + '/translation="MK' + mark + 'L"\nORIGIN\n        1 '), F.col("seq"), F.lit("\n//"))
-    files.genbank_converter(s, _put(_dna(s, d).where(n >= 60).select(record.alias("value")), f"{out}/x.gb"), out)
+    gene = F.when(n > 0, F.concat(F.lit("     CDS             "), place, F.lit(mark + '/product="p '), name, F.lit('"' + mark + '/translation="MK' + mark + 'L"\n'))).otherwise(F.lit(""))
+    record = F.concat(F.lit("LOCUS       D"), name, F.lit("   "), end, F.lit(" bp\nFEATURES             Location/Qualifiers\n"), gene, F.lit("ORIGIN\n        1 "), F.col("seq"), F.lit("\n//"))
+    files.genbank_converter(s, _put(_dna(s, d).select(record.alias("value")), f"{out}/x.gb"), out)
     return out
 
 

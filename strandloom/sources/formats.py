@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_in_place
+from .genbank import record_of
+
 
 def read_lines(spark: SparkSession, path: str | list[str], skip_comments: bool = False) -> DataFrame:
     """value, file, at: lines of text files; (file, at) sorts them as they stand in the files.
@@ -43,9 +46,7 @@ def _kept(lines: DataFrame) -> list[str]:
 
 def number_lines(lines: DataFrame) -> DataFrame:
     """Lines of read_lines with ``line_no``, from 1 over all files."""
-    from ..operators.numbering import number_rows
-
-    return number_rows(lines, ["file", "at"], "line_no", first=1).drop("file", "at")
+    return number_in_place(lines, "line_no", first=1).drop("file", "at")
 
 
 def read_file_list(spark: SparkSession, path: str) -> list[str]:
@@ -95,13 +96,18 @@ def parse_gff(lines: DataFrame, features: list[str] | None = None, name_tag: str
 
 def read_gff(spark: SparkSession, paths: list[str], **tags) -> DataFrame:
     """Genes of one or several GFF3 files with running ids, by file in the order given, then by line."""
-    from ..operators.numbering import number_rows
-
+    lines = read_lines(spark, paths)
     # A path is a file, or a folder of files.
-    known = [(uri_of(spark, p), k) for k, p in enumerate(paths)]
-    rank = F.coalesce(*[F.when((file_of() == u) | file_of().startswith(u.rstrip("/") + "/"), F.lit(k)) for u, k in known], F.lit(len(paths)))
-    rows = parse_gff(read_lines(spark, paths), **tags).withColumn("_file", rank)
-    return number_rows(rows, ["_file", "file", "at"], "id").select(F.col("id").cast("int").alias("id"), "ref", "gstart", "gend", "ori", "description", "gene_id")
+    known = {uri_of(spark, p).rstrip("/"): k for k, p in reversed(list(enumerate(paths)))}
+
+    def rank(file: str) -> int:
+        place = re.sub("^([a-zA-Z0-9]+):/+", r"\1:/", file)
+        return min((k for p in [place, *(place[:i] for i, c in enumerate(place) if c == "/")] if (k := known.get(p)) is not None), default=len(paths))
+
+    ranks = spark.createDataFrame([(f, rank(f)) for f in set(lines.inputFiles())], "file string, rank int")
+    rows = parse_gff(lines, **tags).withColumn("file", file_of())
+    numbered = number_in_place(rows, "id", ranks=ranks.withColumn("file", file_of()))
+    return numbered.select(F.col("id").cast("int").alias("id"), "ref", "gstart", "gend", "ori", "description", "gene_id")
 
 
 def parse_descriptions(lines: DataFrame) -> DataFrame:
@@ -135,9 +141,9 @@ def parse_labels(lines: DataFrame) -> DataFrame:
 
 
 def parse_fetch_config(lines: DataFrame) -> DataFrame:
-    """id, start, end: windows to fetch; both null for a whole sequence. Two columns are an error."""
-    c = F.split("value", r"\s+")
-    name = F.when(F.size(c).isin(1, 3), _text(c, 0)).otherwise(F.raise_error(F.concat(F.lit("expected a name, or name, start and end: "), "value")))
+    """id, start, end: windows to fetch; both null for a whole sequence. Tab-separated; two columns are an error, further ones are left out, empty ones at the end too."""
+    c = F.split(F.regexp_replace("value", r"\t+$", ""), "\t")
+    name = F.when(F.size(c) != 2, _text(c, 0)).otherwise(F.raise_error(F.concat(F.lit("expected a name, or name, start and end: "), "value")))
     return lines.select(name.alias("id"), _int(c, 1).alias("start"), _int(c, 2).alias("end"))
 
 
@@ -194,15 +200,11 @@ def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = Fal
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, seq: a row per four lines. Lines are numbered within their file, whatever splits they were read in."""
-    from ..operators.numbering import number_rows
+    """name, seq: a row per four lines, read by the data source ``fastq``."""
+    from .records import register
 
-    numbered = number_rows(read_lines(spark, path), ["file", "at"], "n")
-    first = numbered.groupBy("file").agg(F.min("n").alias("_first"))
-    placed = numbered.join(first, "file").withColumn("_k", F.col("n") - F.col("_first"))
-    pairs = placed.where("_k % 4 < 2").groupBy("file", F.floor(F.col("_k") / 4).alias("_r"))
-    cells = pairs.agg(F.max(F.when(F.col("_k") % 4 == 0, F.col("value"))).alias("head"), F.max(F.when(F.col("_k") % 4 == 1, F.col("value"))).alias("seq"))
-    return cells.where("seq is not null").select(F.regexp_extract("head", r"^.(\S*)", 1).alias("name"), "seq")
+    register(spark)
+    return spark.read.format("fastq").load(path).select("name", "seq")
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -215,49 +217,33 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"neither FASTA nor FASTQ: {path}")
 
 
-GENBANK = "seqname string, kind string, start int, end int, ori string, product string, protein_id string, sequence string"
+GENBANK = "seqname string, kind string, start int, end int, ori string, product string, protein_id string, sequence string, exons array<struct<seqname:string,start:int,end:int,ori:string>>"
 
 
-def genbank_extent(location: str) -> tuple[int, int, str]:
-    """Start (from 0), end and orientation of a location: from its first exon to its last. Exons that begin again at the start of a
-    circular sequence are counted on from the end; exons on other sequences are left out.
-    """
-    own = re.sub(r"[\w.]+:[<>\d.^]+", "", location)
-    exons = [(int(a), int(b or a)) for a, b in re.findall(r"(\d+)(?:[.^]+[<>]?(\d+))?", own)]
-    if not exons:
-        raise ValueError(f"no place on this sequence: {location}")
-    turned, last = 0, exons[0][0]
-    for a, b in exons:
-        if turned + a < last:
-            turned = last
-        last = turned + b
-    return exons[0][0] - 1, last, "-" if "complement" in own else "+"
+def genbank_rows(text: str) -> list[dict]:
+    """The rows (GENBANK) of one record."""
+    record = record_of(text)
+    if record is None:
+        return []
+    name, genes, bases = record
+    rows = [{"seqname": name, "kind": "gene", "start": g.start, "end": g.end, "ori": g.ori, "product": g.product, "protein_id": g.protein_id, "sequence": g.protein, "exons": [{"seqname": e.remote or name, "start": e.start, "end": e.end, "ori": e.ori} for e in g.exons]} for g in genes]
+    return [*rows, {"seqname": name, "kind": "sequence", "sequence": bases}]
+
+
+GENBANK_ARROW = pa.schema([("seqname", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ori", pa.string()), ("product", pa.string()), ("protein_id", pa.string()), ("sequence", pa.string()), ("exons", pa.list_(pa.struct([("seqname", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ori", pa.string())])))])
 
 
 def read_genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of kind 'gene' (CDS with extent, product and protein) and 'sequence' (the record's bases) of GenBank files.
+    """Rows of kind 'gene' (CDS with extent, product, protein and exons in reading order) and 'sequence' (the record's bases) of GenBank files.
 
-    Files are split between records; a record is read in one task.
+    Files are split between records; a record is read in one task. A location that does not follow the grammar, or lies on other sequences
+    only, is an error.
     """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in GENBANK.split(", ")]
         for batch in batches:
-            rows = []
             for record in batch.column(0).to_pylist():
-                head = re.search(r"(?m)^LOCUS\s+(\S+)", record)
-                if not head:
-                    continue
-                features, _, bases = record.partition("\nORIGIN")
-                found = []
-                for m in re.finditer(r"(?m)^     CDS\s+(\S+(?:\n {21}[^/\s]\S*)*)((?:\n {21}.*)*)", features):
-                    notes = re.sub(r"\n {21}(?!/)", " ", m[2])
-                    marks = {k: v for k, v in re.findall(r'/(product|translation|protein_id)="([^"]*)"', notes)}
-                    start, end, ori = genbank_extent(re.sub(r"\s", "", m[1]))
-                    found.append((head[1], "gene", start, end, ori, marks.get("product", "null"), marks.get("protein_id", f"{head[1]}_{len(found)}"), marks.get("translation", "").replace(" ", "")))
-                rows += [*found, (head[1], "sequence", None, None, None, None, None, re.sub(r"[^a-zA-Z]", "", bases))]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                if rows := genbank_rows(record):
+                    yield pa.RecordBatch.from_pylist(rows, GENBANK_ARROW)
 
     return spark.read.option("lineSep", "\n//").text(path).mapInArrow(records, GENBANK)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import paths as P
 from strandloom.operators import architectures as R
 from strandloom.operators import graph as G
-from strandloom.sources import formats, writers
+from strandloom.sources import formats, genbank, writers
 from strandloom.streaming import coverage
 
 
@@ -84,13 +84,44 @@ def test_genbank(spark, tmp_path):
 
 
 def test_genbank_locations():
-    assert formats.genbank_extent("7") == (6, 7, "+") and formats.genbank_extent("<3..>9") == (2, 9, "+")
-    assert formats.genbank_extent("join(1..6,20..25,40..45)") == (0, 45, "+")
-    assert formats.genbank_extent("complement(join(25..30,1..3))") == (24, 33, "-")
-    assert formats.genbank_extent("join(complement(20..25),complement(28..30),complement(1..3))") == (19, 33, "-")
-    assert formats.genbank_extent("join(J00194.1:100..202,1..245)") == (0, 245, "+")
+    assert genbank.genbank_extent("7") == (6, 7, "+") and genbank.genbank_extent("<3..>9") == (2, 9, "+")
+    assert genbank.genbank_extent("join(1..6,20..25,40..45)") == (0, 45, "+")
+    assert genbank.genbank_extent("complement(join(25..30,1..3))") == (24, 33, "-")
+    assert genbank.genbank_extent("join(complement(20..25),complement(28..30),complement(1..3))") == (19, 33, "-")
+    assert genbank.genbank_extent("join(J00194.1:100..202,1..245)") == (0, 245, "+")
     with pytest.raises(ValueError, match="no place"):
-        formats.genbank_extent("J00194.1:100..202")
+        genbank.genbank_extent("J00194.1:100..202")
+
+
+def test_genbank_grammar():
+    place = lambda text: [(e.start, e.end, e.ori, e.remote) for e in genbank.exons(text)]
+    assert place("complement(join(2691..4571,4918..5163))") == place("join(complement(4918..5163),complement(2691..4571))") == [(4917, 5163, "-", None), (2690, 4571, "-", None)]
+    assert place("order( 1..2 , complement(AB_1.2:7..9) )") == [(0, 2, "+", None), (6, 9, "-", "AB_1.2")]
+    assert place("join(complement(order(1,3)),complement(complement(5^6)))") == [(2, 3, "-", None), (0, 1, "-", None), (4, 6, "+", None)]
+    assert place("(5.9)..(12.20)") == [(4, 20, "+", None)] and place("one-of(3,<5,8)..>11") == [(2, 11, "+", None)] and place("102.110") == [(101, 110, "+", None)]
+    for text in ("", "9..3", "0..4", "join(1..2", "join(1..2))", "complement()", "1..2,3..4", "gap(5)", "bond(1,2)", "..5", "x", "1..2 junk", "join(1..2,)", "12-14"):
+        with pytest.raises(ValueError, match="not a location"):
+            genbank.exons(text)
+
+
+def test_genbank_extents_by_length():
+    """Circular only where an exon ends with the sequence and the next begins with it."""
+    at = genbank.genbank_extent
+    assert at("join(complement(4918..5163),complement(2691..4571))", 6000) == (2690, 5163, "-")
+    assert at("join(25..30,1..3)", 40) == (0, 30, "+") and at("join(25..30,1..3)", 30) == (24, 33, "+")
+    assert at("complement(join(25..30,1..3))", 30) == at("join(complement(1..3),complement(25..30))", 30) == (24, 33, "-")
+    assert at("join(20..22,25..30,1..3,5..6)", 30) == (19, 36, "+") and at("join(5..6,1..3)", 30) == (0, 6, "+")
+    assert at("join(1..3,complement(8..9))", 30) == (0, 9, "+")
+
+
+def test_genbank_exons(spark, tmp_path):
+    (tmp_path / "x.gb").write_text("LOCUS       N   30 bp\n     CDS             complement(join(4..9,\n                     Z.1:2..3,12..20))\nORIGIN\n        1 acgt\n//\nLOCUS       M   9 bp\n     CDS             7-9\nORIGIN\n//\n")
+    got = formats.read_genbank(spark, str(tmp_path / "x.gb"))
+    with pytest.raises(Exception, match="not a location: 7-9"):
+        got.collect()
+    (tmp_path / "y.gb").write_text((tmp_path / "x.gb").read_text().split("LOCUS       M")[0])
+    (gene,) = formats.read_genbank(spark, str(tmp_path / "y.gb")).where("kind = 'gene'").collect()
+    assert (gene.start, gene.end, gene.ori) == (3, 20, "-") and list(map(tuple, gene.exons)) == [("N", 11, 20, "-"), ("Z.1", 1, 3, "-"), ("N", 3, 9, "-")]
 
 
 def test_genbank_files_are_split_between_records(spark, tmp_path):
@@ -106,6 +137,7 @@ def test_small_tables(spark, tmp_path):
     pairs = formats.parse_pairs(formats.read_lines(spark, str(tmp_path / "labels.tsv")), "id", "label")
     assert rows(formats.last_wins(pairs, "id", "label")) == [("1", "c"), ("2", "b")]
     assert rows(formats.parse_fetch_config(lines(spark, "a", "b\t1\t9")).fillna(-1)) == [("a", -1, -1), ("b", 1, 9)]
+    assert rows(formats.parse_fetch_config(lines(spark, "a b\t", "b\t1\t9\tname\t", "c\t\t")).fillna(-1)) == [("a b", -1, -1), ("b", 1, 9), ("c", -1, -1)]
     (tmp_path / "families.tsv").write_text("1\t7\n2\t7\n1\t7\n3\t3\n")
     assert rows(formats.parse_gene_families(formats.read_lines(spark, str(tmp_path / "families.tsv")))) == [(3, 3), (7, 1), (7, 2)]
     assert rows(formats.parse_labels(lines(spark, "1\ta", "1\tb\tx", "1\ta"))) == [(1, "a"), (1, "b")]

@@ -1,0 +1,92 @@
+import gzip
+import random
+
+import pytest
+
+from strandloom.sources import formats, records
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    records.register(spark)
+    return spark
+
+
+def load(spark, form, path, **options):
+    return spark.read.format(form).options(**options).load(path)
+
+
+def reads(n, seed=1):
+    """Qualities that begin with @ or +, empty reads, names with descriptions."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        size = rnd.choice([0, 1, 5, 40])
+        out.append((f"r{i}", "".join(rnd.choice("ACGT") for _ in range(size)), "".join(rnd.choice("@+I#") for _ in range(size))))
+    return out
+
+
+def fastq(rows):
+    return "".join(f"@{name} some words\n{seq}\n+{name}\n{quality}\n" for name, seq, quality in rows)
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 1 << 20])
+def test_fastq_records_across_borders(known, tmp_path, size):
+    rows = reads(60 if size < 10 else 400)
+    path = tmp_path / "x.fq"
+    path.write_text(fastq(rows))
+    got = load(known, "fastq", str(path), splitSize=size)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("size", [1, 5, 33, 1 << 20])
+def test_fasta_records_across_borders(known, tmp_path, size):
+    rnd = random.Random(2)
+    rows = [(f"s{i}", "".join(rnd.choice("ACGT") for _ in range(rnd.choice([0, 3, 70])))) for i in range(50)]
+    path = tmp_path / "x.fa"
+    path.write_text("; a comment\n" + "".join(f">{n} text > more\n" + "".join(seq[i : i + 20] + "\n" for i in range(0, len(seq), 20)) for n, seq in rows))
+    assert sorted(map(tuple, load(known, "fasta", str(path), splitSize=size).collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("size", [11, 200, 1 << 20])
+def test_genbank_records_across_borders(known, tmp_path, size):
+    text = "".join(f"LOCUS       N{i}   {8 + i} bp\nFEATURES\n     CDS             join(2..4,6..7)\n                     /product=\"p{i}\"\nORIGIN\n        1 {'acgt' * 2}{'a' * i}\n//\n" for i in range(25))
+    (tmp_path / "x.gb").write_text(text)
+    here, there = load(known, "genbank", str(tmp_path / "x.gb"), splitSize=size), formats.read_genbank(known, str(tmp_path / "x.gb"))
+    assert sorted(map(str, here.collect())) == sorted(map(str, there.collect())) and here.count() == 50
+
+
+def test_names_are_pushed_down(known, tmp_path):
+    rows = reads(200)
+    (tmp_path / "a.fq").write_text(fastq(rows[:100]))
+    (tmp_path / "b.fq").write_text(fastq(rows[100:]))
+    df = load(known, "fastq", str(tmp_path), splitSize=500)
+    for condition, names in (("name = 'r7'", {"r7"}), ("name in ('r7', 'r150', 'none')", {"r7", "r150"}), ("name in ('r1', 'r2') and name = 'r2' and length(seq) >= 0", {"r2"})):
+        found = df.where(condition)
+        assert {r.name for r in found.collect()} == names
+    plan = df.where("name = 'r7'")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan.replace("PushedFilters", "") or "r7" in plan
+    reader = records.FastqReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([records.EqualTo(("name",), "r7"), records.EqualTo(("seq",), "A")])) == [records.EqualTo(("seq",), "A")] and reader.names == {"r7"}
+    assert [r["name"] for split in reader.partitions() for batch in reader.read(split) for r in batch.to_pylist()] == ["r7"]
+
+
+def test_other_files(known, tmp_path):
+    rows = reads(30)
+    (tmp_path / "x.fastq.gz").write_bytes(gzip.compress(fastq(rows).encode()))
+    assert sorted(map(tuple, load(known, "fastq", str(tmp_path / "x.fastq.gz"), splitSize=10).collect())) == sorted(rows)
+    (tmp_path / "cut.fq").write_text("@a\r\nAC\r\n+\r\nII\r\n@b\nA")
+    assert sorted(map(tuple, load(known, "fastq", str(tmp_path / "cut.fq")).collect())) == [("a", "AC", "II"), ("b", "A", "")]
+    for form in ("fastq", "fasta", "genbank"):
+        (tmp_path / "empty").write_text("")
+        assert load(known, form, str(tmp_path / "empty")).count() == 0
+    two = known.read.format("fastq").load([str(tmp_path / "x.fastq.gz"), str(tmp_path / "cut.fq")])
+    assert two.count() == 32
+    with pytest.raises(Exception, match="FileNotFound"):
+        load(known, "fasta", str(tmp_path / "missing")).count()
+
+
+def test_fastq_is_not_shuffled(known, tmp_path):
+    (tmp_path / "x.fq").write_text(fastq(reads(20)))
+    plan = formats.read_fastq(known, str(tmp_path / "x.fq"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
