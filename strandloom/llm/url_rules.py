@@ -107,7 +107,8 @@ def _redundant(sets: DataFrame, sure: DataFrame, gain: float) -> DataFrame | Non
     for size in range(2, longest + 1):
         parts = sets.where(F.size("items") == size).select("items", "blocked", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
         below = parts.join(best, ["part", "blocked"]).groupBy("items", "blocked").agg(F.max("best").alias("below"))
-        level = materialize(below.join(sized.where(F.col("size") == size), ["items", "blocked"], "full"))
+        level = below.join(sized.where(F.col("size") == size), ["items", "blocked"], "full")
+        level = materialize(level) if size % 4 == 0 else level  # else plans would grow with the length
         needless = level.where(F.col("below") + gain >= F.col("confidence")).select("items", "blocked")
         out = needless if out is None else out.unionByName(needless)
         best = level.select(F.col("items").alias("part"), "blocked", F.greatest("below", "confidence").alias("best"))
