@@ -69,30 +69,43 @@ def chained_islands(df: DataFrame, key: str, start: str, end: str, width: int) -
 def overlap_join(left: DataFrame, right: DataFrame, on: tuple[str, str], left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: int = 512) -> DataFrame:
     """Rows of equal key whose spans share more than their ends: l.start < r.end and r.start < l.end.
 
-    Bins have levels, of ``width``, 4 x ``width``, 16 x ``width`` .. positions. A span's own level is the one whose bins are as long as it is, so that it lies in
-    one or two of them. A pair meets in a bin of the longer span's level: each row is dealt to bins of its own level and of
-    the higher ones that the other side has. So a very long span makes two rows, not one for each bin of ``width``.
-    A pair that shares two bins is kept in the first only. Columns of the two sides must differ.
+    Bins have levels, of ``width``, 64 x ``width``, 4096 x ``width`` .. positions. A span's own level is the first whose bins are a 64th of it or longer, so that it
+    lies in 65 of them at most. A pair meets in a bin of the longer span's level: each row is dealt to bins of its own level and of
+    the higher ones that the other side has, which one pass over both sides finds. A very long span so makes a few rows, not one for each bin of ``width``.
+    A pair that shares several bins is kept in the first only. Columns of the two sides must differ.
     """
     (ls, le), (rs, re) = left_span, right_span
-
-    def levelled(df: DataFrame, s: Column, e: Column, p: str) -> DataFrame:
-        own = F.ceil(F.log2(F.greatest(e - s, F.lit(1)) / F.lit(width)) / 2)
-        return df.withColumns({f"_{p}s": s, f"_{p}e": e, f"_{p}o": F.greatest(F.lit(0), own).cast("int")})
-
-    def first(p: str, level: Column) -> Column:
-        return F.floor(F.col(f"_{p}s") / (width * F.pow(F.lit(4), level)))
-
-    def dealt(df: DataFrame, other: DataFrame, p: str, q: str) -> DataFrame:
-        there = other.agg(F.collect_set(f"_{q}o").alias(f"_{p}h"))  # one row of a few levels
-        levels = F.array_union(F.array(f"_{p}o"), F.filter(f"_{p}h", lambda x: x > F.col(f"_{p}o")))
-        last = lambda level: F.floor(F.greatest(F.col(f"_{p}s"), F.col(f"_{p}e") - 1) / (width * F.pow(F.lit(4), level)))
-        bins = F.flatten(F.transform(levels, lambda level: F.transform(F.sequence(first(p, level), last(level)), lambda b: F.struct(level.alias("l"), b.alias("b")))))
-        placed = df.crossJoin(F.broadcast(there)).withColumn(f"_{p}x", F.explode(bins))
-        return placed.withColumns({f"_{p}l": F.col(f"_{p}x.l"), f"_{p}b": F.col(f"_{p}x.b")}).drop(f"_{p}x", f"_{p}h")
-
-    a, b = levelled(left, ls, le, "l"), levelled(right, rs, re, "r")
-    x, y = dealt(a, b, "l", "r"), dealt(b, a, "r", "l")
-    near = x.join(y, (x[on[0]] == y[on[1]]) & (F.col("_ll") == F.col("_rl")) & (F.col("_lb") == F.col("_rb")))
-    real = (F.col("_ls") < F.col("_re")) & (F.col("_rs") < F.col("_le")) & (F.col("_ll") == F.greatest("_lo", "_ro")) & (F.col("_lb") == F.greatest(first("l", F.col("_ll")), first("r", F.col("_ll"))))
-    return near.where(real).drop(*(f"_{p}{c}" for p in "lr" for c in "seolb"))
+    factor = 64
+
+    def levelled(df: DataFrame, s: Column, e: Column, p: str) -> tuple[DataFrame, list[int]]:
+        own = F.lit(0)
+        for level in range(1, 6):  # as far as positions go
+            own = F.when(e - s > width * factor**level, F.lit(level)).otherwise(own)
+        out = df.withColumns({f"_{p}s": s, f"_{p}e": e, f"_{p}o": own})
+        found = out.agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(6)]), F.col(f"_{p}o") + 1))).first()[0] or 0
+        return out, [k for k in range(6) if found >> k & 1]
+
+    def dealt(df: DataFrame, p: str, there: list[int]) -> DataFrame:
+        def bins(level: int) -> Column:
+            w = width * factor**level
+            every = F.sequence(F.floor(F.col(f"_{p}s") / w), F.floor(F.greatest(F.col(f"_{p}s"), F.col(f"_{p}e") - 1) / w))
+            return every if most == 0 else F.transform(every, lambda b: F.struct(F.lit(level).alias("l"), b.alias("b")))
+
+        if most == 0:
+            return df.withColumn(f"_{p}b", F.explode(bins(0)))
+        own = [F.when((F.col(f"_{p}o") == k) | ((F.col(f"_{p}o") < k) & F.lit(k in there)), bins(k)) for k in range(most + 1)]
+        placed = df.withColumn(f"_{p}x", F.explode(F.flatten(F.filter(F.array(*own), lambda x: x.isNotNull()))))
+        return placed.withColumns({f"_{p}l": F.col(f"_{p}x.l"), f"_{p}b": F.col(f"_{p}x.b")}).drop(f"_{p}x")
+
+    (a, lefts), (b, rights) = levelled(left, ls, le, "l"), levelled(right, rs, re, "r")
+    most = max([0, *lefts, *rights])
+    x, y = dealt(a, "l", rights), dealt(b, "r", lefts)
+    meet = (x[on[0]] == y[on[1]]) & (F.col("_lb") == F.col("_rb"))
+    level = F.lit(0)
+    if most:
+        meet, level = meet & (F.col("_ll") == F.col("_rl")), F.col("_ll")
+    bin_width = F.element_at(F.array(*[F.lit(width * factor**k) for k in range(most + 1)]), level + 1) if most else F.lit(width)
+    real = (F.col("_ls") < F.col("_re")) & (F.col("_rs") < F.col("_le")) & (F.col("_lb") == F.floor(F.greatest("_ls", "_rs") / bin_width))
+    if most:
+        real = real & (level == F.greatest("_lo", "_ro"))
+    return x.join(y, meet).where(real).drop(*(f"_{p}{c}" for p in "lr" for c in "seolb"))
