@@ -51,7 +51,9 @@ def adjacent_residues(gene: np.ndarray, points: np.ndarray, ends: np.ndarray) ->
     same = np.flatnonzero(row[1:] == row[:-1])
     src, dst, a, b = column[same], column[same + 1], points[at[same]].astype(np.int64), points[at[same + 1]].astype(np.int64)
     own, out = gene[row[same]], []
-    bounds = np.flatnonzero(np.diff(own, prepend=own[:1] - 1)) if len(own) else np.zeros(0, np.int64)
+    if not len(own):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    bounds = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
     for low, high in zip(bounds, np.append(bounds[1:], len(own)), strict=True):
         s, gap, x, y = src[low:high], (dst - src)[low:high], a[low:high], b[low:high]
         if gap.max() < 1 << 16 and max(x.max(), y.max()) < 1 << 8:  # column, gap and both letters are one number
@@ -61,7 +63,7 @@ def adjacent_residues(gene: np.ndarray, points: np.ndarray, ends: np.ndarray) ->
             keys, n = np.unique(np.stack([s, gap, x, y], 1), axis=0, return_counts=True)
             found = tuple(keys.T)
         out.append((np.full(len(n), own[low]), found[0], found[0] + found[1], found[2], found[3], n))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def msa_edge_coverage(msa: DataFrame) -> DataFrame:
