@@ -1,10 +1,10 @@
-"""Bloom filters of 64-bit hashes, of bounded size, built by Spark and tested inside tasks."""
+"""Bloom filters of 64-bit hashes, of bounded size, built by Spark and tested inside tasks or by column expressions."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_BITS, MOST_BITS, BITS_EACH, PROBES = 1 << 10, 1 << 28, 32, 6
@@ -40,3 +40,21 @@ def inside(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     out = np.zeros(len(hashes), bool)
     out[left] = True
     return out
+
+
+def passing(rows: DataFrame, hashes: Column, table: np.ndarray, through: bool = True) -> DataFrame:
+    """The rows whose hash the filter lets through, or the others; without a Python worker. The filter goes to all tasks as one row."""
+    name = "_bloom"
+    while name in rows.columns:
+        name += "_"
+    words = pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table.view(np.int64)))})
+    mask = F.lit(len(table) * 64 - 1).cast("bigint")
+    step = F.shiftrightunsigned(hashes, 32).bitwiseOR(F.lit(1).cast("bigint")).bitwiseAND(mask)
+    hit = F.lit(True)
+    for i in range(PROBES):  # as _probe, in parts that stay within a long
+        at = (hashes.bitwiseAND(mask) + F.lit(i).cast("bigint") * step).bitwiseAND(mask)
+        word = F.get(F.col(name), F.shiftright(at, 6).cast("int"))
+        bit = F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)]), at.bitwiseAND(F.lit(63).cast("bigint")).cast("int") + 1)
+        hit = hit & (word.bitwiseAND(bit) != 0)
+    one = rows.sparkSession.createDataFrame(words)
+    return rows.crossJoin(F.broadcast(one)).where(F.coalesce(hit, F.lit(False)) if through else ~F.coalesce(hit, F.lit(False))).drop(name)

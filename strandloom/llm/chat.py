@@ -42,7 +42,6 @@ PRIVATE = "\ue000"
 _ROLE = re.compile(r"(?:[^\\\n]|\\[\s\S])*")
 
 
-@lru_cache(4096)
 def escape(text: str) -> str:
     """Doubles backslashes and puts one behind the first character of every control string."""
     return _SPECIAL.sub(lambda m: m[0] + "\\", text)
@@ -60,10 +59,16 @@ def unescape(text: str) -> str:
     return "".join(out)
 
 
-def marked(turns: Turns) -> str:
+def marked(turns: Turns, escaped: Callable[[str], str] = escape) -> str:
     """A line break in a role gets a backslash before it."""
-    named = [(escape(role).replace("\n", "\\\n"), text) for role, text in turns]
-    return "".join(f"{START}{role}\n{escape(text)}{END}\n" for role, text in named)
+    named = [(escaped(role).replace("\n", "\\\n"), text) for role, text in turns]
+    return "".join(f"{START}{role}\n{escaped(text)}{END}\n" for role, text in named)
+
+
+def marking() -> Callable[[Turns], str]:
+    """``marked`` for one conversation: what it has escaped is kept from one prefix to the next, and let go with it."""
+    escaped = lru_cache(None)(escape)
+    return lambda turns: marked(turns, escaped)
 
 
 @dataclass
@@ -131,7 +136,7 @@ def format_chats(rows: DataFrame, template: Callable[[Turns], str] = marked, lea
             size = 0
             for i in range(batch.num_rows):
                 roles, texts = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                out = render(template, list(zip(roles, texts, strict=True)))
+                out = render(marking() if template is marked else template, list(zip(roles, texts, strict=True)))
                 starts, ends = [a for a, _ in out.spans], [b for _, b in out.spans]
                 cells.append((batch.column(0)[i].as_py(), len(roles), out.output, starts, ends, [a for a, _ in out.text_spans], [b for _, b in out.text_spans], [r in learn_from for r in roles[: len(out.spans)]], out.rewrites))
                 size += len(out.output)

@@ -220,8 +220,8 @@ class Index:
         self.lengths = sorted(r.k for r in self.seeds.select("k").distinct().collect())  # at most ``shortest``
         self.table = benchmark.sparkSession.sparkContext.broadcast(bloom.built(self.seeds.select("seed")))
 
-    def marked(self, docs: DataFrame, text: str, hit: bool) -> tuple[DataFrame, str]:
-        """The rows of docs that have a fragment, with it in a further column; or, without that, the others. And the column's name."""
+    def marked(self, docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+        """The rows of docs with their fragment (null without one) in a further column, and that column's name."""
         at, lengths, table = docs.columns.index(text), self.lengths, self.table
         name = "_fragment"
         while name in docs.columns:
@@ -232,13 +232,9 @@ class Index:
                 for a, b, _ in slices(batch.column(at)):
                     part = batch.slice(a, b - a)
                     found = pa.array(_fragments(part.column(at).to_pylist(), lengths, table.value), pa.string())
-                    if hit:
-                        part = pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
-                    keep = found.is_valid() if hit else found.is_null()
-                    yield part.filter(keep)
+                    yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
 
-        schema = StructType([*docs.schema.fields, *([StructField(name, StringType())] if hit else [])])
-        return docs.mapInArrow(run, schema), name
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())])), name
 
     def matched(self, fragments: DataFrame) -> DataFrame:
         """key, content, coverage, n_tiles, matched_words of the contaminated ones of fragments (key, fragment), which are distinct."""
@@ -282,20 +278,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, co
     """doc_id, item_id, coverage, n_tiles, matched_words: a row for each document and item that contaminates it."""
     index = Index(benchmark, shortest, coverage)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    marked, name = index.marked(rows, "text", True)
-    suspects = materialize(marked.select("doc_id", F.col(name).alias("fragment"), F.md5(name).alias("key")))
+    marked, name = index.marked(rows, "text")
+    suspects = materialize(marked.where(F.col(name).isNotNull()).select("doc_id", F.col(name).alias("fragment"), F.md5(name).alias("key")))
     found = index.matched(_distinct(suspects, F.col("fragment"))).join(index.contents.select("content", "item_id"), "content")
     return suspects.select("doc_id", "key").join(found, "key").select("doc_id", "item_id", "coverage", "n_tiles", "matched_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, shortest: int = 5, coverage: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns; only rows with a fragment are shuffled."""
+    """The rows of docs that no item contaminates, with all their columns; only rows with a fragment are shuffled.
+
+    Texts are cut into words once: rows are written with their fragments before these are looked at.
+    """
     index = Index(benchmark, shortest, coverage)
-    marked, name = index.marked(docs, text, True)
-    suspects = materialize(marked)
-    bad = index.matched(_distinct(suspects, F.col(name))).select("key").distinct()
-    kept = suspects.join(bad, F.md5(suspects[name]) == bad["key"], "left_anti").drop(name)
-    return index.marked(docs, text, False)[0].unionByName(kept)
+    marked, name = index.marked(docs, text)
+    rows = materialize(marked)
+    some = rows.where(F.col(name).isNotNull())
+    bad = index.matched(_distinct(some, F.col(name))).select("key").distinct()
+    return rows.where(F.col(name).isNull()).unionByName(some.join(bad, F.md5(some[name]) == bad["key"], "left_anti")).drop(name)
 
 
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

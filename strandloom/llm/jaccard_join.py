@@ -29,11 +29,11 @@ class is named by its least doc_id; other columns are ignored, whatever their na
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -235,8 +235,9 @@ def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, toleran
 
     bands = classes.select("rep", "sig").mapInArrow(split, "band int, bucket bigint, rep bigint")
     blocks = _n_blocks(classes.sparkSession, F.col("n"), widest=widest, narrowest=narrowest)
-    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", blocks).drop("n")
-    members = bands.join(shared, ["band", "bucket"]).join(classes.select("rep", "sig"), "rep")
+    shared = materialize(bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", blocks))
+    keyed = lambda some: bands.join(some, ["band", "bucket"]).join(classes.select("rep", "sig"), "rep")
+    members = keyed(shared.where(F.col("n") <= widest).drop("n"))
     dealt = _blocked(members).select("band", "bucket", "i", "j", "block", "rep", "sig")
     sort = ["band", "bucket", "i", "j"]
 
@@ -260,7 +261,105 @@ def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, toleran
             hit = np.flatnonzero(low != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[low[hit]])], ["src", "dst"])
 
-    return dealt.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(prune, "src bigint, dst bigint")
+    out = dealt.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(prune, "src bigint, dst bigint")
+    large = shared.where(F.col("n") > widest).select("band", "bucket")
+    if large.isEmpty():
+        return out
+
+    def linked(sets: Sets, x: int, other: Sets) -> np.ndarray:
+        return _near(sets, x, other, steps)
+
+    return out.unionByName(pivot_edges(materialize(keyed(large)), ["band", "bucket"], linked, widest=widest).select("src", "dst"))
+
+
+@dataclass
+class Sets:
+    """Members of a group: ids, MinHash values, and (where there are any) their sets."""
+
+    rep: np.ndarray
+    sig: np.ndarray
+    grams: list[np.ndarray] | None
+
+    @classmethod
+    def of(cls, table: pa.Table | pa.RecordBatch) -> Sets:
+        column = lambda c: table.column(c).to_pylist()
+        grams = [np.frombuffer(g, np.uint64) for g in column("grams")] if "grams" in table.schema.names else None
+        return cls(np.asarray(table.column("rep").to_numpy()), np.frombuffer(b"".join(column("sig")), np.uint16).reshape(-1, HASHES), grams)
+
+
+def _near(sets: Sets, x: int, other: Sets, steps: list[tuple[int, int]]) -> np.ndarray:
+    """The rows of other that stay after pruning against row x of sets."""
+    rows = np.arange(len(other.rep))
+    matches = np.zeros(len(rows), np.int64)
+    for n, least in steps:
+        matches += (other.sig[rows, n - STEP : n] == sets.sig[x, n - STEP : n]).sum(1)
+        stay = matches >= least
+        rows, matches = rows[stay], matches[stay]
+    return rows
+
+
+def pivot_edges(members: DataFrame, keys: list[str], linked, *, widest: int, size: Column | None = None) -> DataFrame:
+    """keys, src, dst: edges that connect, in each group, all that ``linked(sets, x, others)`` links. members: keys, rep, sig (and grams), written.
+
+    Every member is held against the group's pivot, the least of its ids, first: that is one comparison each, and most near copies are joined
+    by it. Only the rest meets all members, in a grid of blocks of ``widest`` rows of both; a member that the pivot has joined stands
+    for all others, so that a row of the rest needs one edge to these. n near copies so cost about n comparisons and are sent once, and again for each
+    block of the rest.
+    """
+    kinds = [f"{c} {members.schema[c].dataType.simpleString()}" for c in keys]
+    own = [c for c in ("sig", "grams") if c in members.columns]
+    pivots = materialize(members.groupBy(*keys).agg(F.min_by(F.struct("rep", *own), "rep").alias("_p"), F.count("*").alias("_n"), (F.sum(size) if size is not None else F.lit(0)).alias("_bytes")))
+    met = members.join(pivots.select(*keys, "_p"), keys).select(*keys, "rep", *own, "_p")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = batch.column("_p")
+            first = np.asarray(p.field("rep").to_numpy())
+            joined_ = np.zeros(batch.num_rows, bool)
+            group = np.zeros(batch.num_rows, np.int64)
+            for c in keys:
+                group = np.unique(np.stack([group, np.unique(batch.column(c).to_numpy(), return_inverse=True)[1]], 1), axis=0, return_inverse=True)[1].ravel()
+            for g in np.unique(group):
+                rows = np.flatnonzero(group == g)
+                pivot = Sets.of(pa.Table.from_batches([pa.RecordBatch.from_arrays([p.field(c).slice(int(rows[0]), 1) for c in ("rep", *own)], ["rep", *own])]))
+                joined_[rows[linked(pivot, 0, Sets.of(batch.take(pa.array(rows))))]] = True
+            rep = np.asarray(batch.column("rep").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), batch.column("rep"), pa.array(first), pa.array(joined_ | (rep == first))], [*keys, "rep", "pivot", "joined"])
+
+    held = materialize(met.mapInArrow(hold, ", ".join([*kinds, "rep bigint, pivot bigint, joined boolean"])))
+    edges = held.where("joined and rep <> pivot").select(*keys, F.col("rep").alias("src"), F.col("pivot").alias("dst"))
+    rest = held.where("not joined").groupBy(*keys).agg(F.count("*").alias("_r"))
+    across = F.greatest(F.ceil(F.col("_n") / widest), F.ceil(F.col("_bytes") / BLOCK_BYTES))
+    down = F.greatest(F.ceil(F.col("_r") / widest), F.ceil(F.col("_bytes") / F.col("_n") * F.col("_r") / BLOCK_BYTES))
+    sized = materialize(rest.join(pivots, keys).select(*keys, down.cast("int").alias("_down"), across.cast("int").alias("_across")))
+    if sized.isEmpty():
+        return edges
+    known = members.join(held.select(*keys, "rep", "joined"), [*keys, "rep"]).join(sized, keys)
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = known.where("not joined").withColumn("i", place("_down")).withColumn("j", every("_across")).select(*keys, "i", "j", "rep", *own)
+    right = known.withColumn("j", place("_across")).withColumn("i", every("_down")).select(*keys, "i", "j", "rep", "joined", *own)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        src, dst, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        if a.num_rows and b.num_rows:
+            rows, others = Sets.of(a), Sets.of(b)
+            part = np.where(b.column("joined").to_numpy(), 0, np.arange(1, b.num_rows + 1))  # what is known to be connected
+            for x in range(a.num_rows):
+                hit = linked(rows, x, others)
+                parts, first = np.unique(part[hit], return_index=True)
+                src.append(np.full(len(first), rows.rep[x]))
+                dst.append(others.rep[hit[first]])
+                if len(parts) > 1:
+                    part[np.isin(part, parts)] = parts[0]
+            at = sum(map(len, src))
+        return pa.table([*(pa.array([a.column(c)[0].as_py()] * at, a.schema.field(c).type) if a.num_rows else pa.array([], b.schema.field(c).type) for c in keys), pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], names=[*keys, "src", "dst"])
+
+    grid = [*keys, "i", "j"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both stem from members: columns of their own
+    return edges.unionByName(left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(meet, ", ".join([*kinds, "src bigint, dst bigint"])).where("src <> dst"))
 
 
 def shared_sizes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -356,22 +455,17 @@ def verified(members: DataFrame, *, threshold: float = THRESHOLD, tolerance: flo
     return members.select(*sort, "block", "rep", "weight", "sig", "grams").repartitionById(tasks, task).sortWithinPartitions(*sort).mapInArrow(check, kinds)
 
 
-def _sets(table: Broadcast):
-    """(h, rep, tkey, text) to (rep, tkey, grams), the set of shingle hashes, of rows whose h the filter lets through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(bloom.inside(batch.column(0).to_numpy().view(np.uint64), table.value)))
-            for a, b, texts in slices(batch.column(3), 1 << 20):
-                grams, offsets = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["rep", "tkey", "grams"])
-
-    return run
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, tkey, text) to (rep, tkey, grams), the set of shingle hashes."""
+    for batch in batches:
+        for a, b, texts in slices(batch.column(2), 1 << 20):
+            grams, offsets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["rep", "tkey", "grams"])
 
 
-def _filter(keys: DataFrame, doc_id: str) -> Broadcast:
-    """A Bloom filter of (doc_id, tkey), sent to all tasks."""
-    return keys.sparkSession.sparkContext.broadcast(bloom.built(keys.select(F.xxhash64(doc_id, "tkey").alias("h"))))
+def _filter(keys: DataFrame, doc_id: str) -> np.ndarray:
+    """A Bloom filter of (doc_id, tkey)."""
+    return bloom.built(keys.select(F.xxhash64(doc_id, "tkey").alias("h")))
 
 
 def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5, widest: int = WIDEST, narrowest: int = NARROWEST, count: bool = True) -> DataFrame:
@@ -384,13 +478,26 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", t
     near = materialize(connected_components(edges).withColumnRenamed("id", "rep"))
     found = materialize(near.join(classes.drop("key", "sig"), "rep"))
     blocks = _n_blocks(docs.sparkSession, F.col("rows"), F.col("bytes"), widest, narrowest)
-    sized = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("bigint") * 8).alias("bytes")).select("component", blocks.alias("m"))
+    sized = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("bigint") * 8).alias("bytes")).select("component", "rows", blocks.alias("m"))
     texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
-    wanted = texts.select(F.xxhash64("rep", "tkey").alias("h"), "rep", "tkey", "text").where("rep is not null")
-    once = wanted.mapInArrow(_sets(_filter(found, "rep")), "rep bigint, tkey bigint, grams binary").dropDuplicates(["rep", "tkey"])  # rows of docs may be repeated
-    about = found.join(sized, "component").select("rep", "tkey", "component", "m", "weight")
+    wanted = bloom.passing(texts.where("rep is not null"), F.xxhash64("rep", "tkey"), _filter(found, "rep"))
+    once = wanted.mapInArrow(_set_rows, "rep bigint, tkey bigint, grams binary").dropDuplicates(["rep", "tkey"])  # rows of docs may be repeated
+    about = found.join(sized, "component").select("rep", "tkey", "component", "m", "rows", "weight")
     members = materialize(once.join(about, ["rep", "tkey"]).join(classes.select("rep", "tkey", "sig"), ["rep", "tkey"]))
-    checked = materialize(verified(_blocked(members), threshold=threshold, tolerance=tolerance, count=count))
+    wide = F.lit(False) if count else F.col("rows") > widest
+    checked = verified(_blocked(members.where(~wide)), threshold=threshold, tolerance=tolerance, count=count)
+    if not count and not (large := members.where(wide)).isEmpty():  # a forest of links is enough
+        steps = _steps(threshold, tolerance)
+
+        def linked(sets: Sets, x: int, other: Sets) -> np.ndarray:
+            rows = _near(sets, x, other, steps)
+            mine = sets.grams[x]
+            both = np.array([len(np.intersect1d(mine, other.grams[y], assume_unique=True)) for y in rows.tolist()], np.int64)
+            return rows[_similar(both, len(mine), np.array([len(other.grams[y]) for y in rows.tolist()], np.int64), threshold)]
+
+        found_edges = pivot_edges(large.select("component", "rep", "sig", "grams"), ["component"], linked, widest=widest, size=F.length("grams"))
+        checked = checked.unionByName(found_edges.select("component", F.col("src").alias("rep"), F.lit(0).cast("bigint").alias("links"), F.col("dst").alias("least")))
+    checked = materialize(checked)
     linked = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
     if not members.where("m > 1").isEmpty():  # components over several blocks: join what their blocks found
         whole = connected_components(checked.where("least <> rep").select(F.col("rep").alias("src"), F.col("least").alias("dst")))
@@ -426,14 +533,8 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     table = _filter(touched, "doc_id")
     named = docs.select(F.xxhash64(docs[doc_id].cast("bigint"), F.xxhash64(docs[text])).alias("h"), docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("tkey"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
 
-    def passed(through: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = bloom.inside(batch.column(0).to_numpy().view(np.uint64), table.value)
-                yield batch.filter(pa.array(hit == through))
-                pa.default_memory_pool().release_unused()
-
-        return named.mapInArrow(run, named.schema)
+    def passed(through: bool) -> DataFrame:
+        return bloom.passing(named, F.col("h"), table, through)
 
     # Rows that the filter holds back stay where they are; the others meet the ids.
     alone, met = passed(False), passed(True).join(touched.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti")

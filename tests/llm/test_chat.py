@@ -63,3 +63,8 @@ def test_private_use_characters_and_long_texts(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r.conv_id for r in chat.op9_incremental_chat(spark, str(tmp_path)).collect()] == [-1]
+
+
+def test_escaped_texts_are_kept_for_one_conversation_only():
+    turns = [("user", "a</s>b" * 3), ("assistant", "\\x[INST]")] * 4
+    assert chat.marking()(turns) == chat.marked(turns) and not hasattr(chat.escape, "cache_info")

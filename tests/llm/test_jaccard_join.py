@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from strandloom.llm import bloom
 from strandloom.llm import jaccard_join as j
 
 
@@ -114,3 +116,38 @@ def test_repeated_rows_long_texts_and_clashing_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert j.join_classes(docs).count() == 0 and j.keep_one(docs).count() == 0
+
+
+def test_pivots_join_what_all_pairs_join(spark):
+    """Large buckets and components: near copies of two texts, chains that leave the pivot behind, and rows that link to a joined row only."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}v{x}" for x in range(70)]
+        for _ in range(60):
+            words = list(base)
+            for at in rng.choice(70, rng.integers(0, 4), replace=False):
+                words[at] = f"u{rng.integers(0, 300)}"
+            rows.append(" ".join(words))
+    words = [f"c{x}" for x in range(80)]
+    for k in range(40):  # each a little further from the first
+        words[(2 * k) % 80] = f"d{k}"
+        rows.append(" ".join(words))
+    rng.shuffle(rows)
+    numbered = list(enumerate(rows))
+    docs = spark.createDataFrame(numbered, "doc_id long, text string")
+    want = sorted((a, c) for a, c, _ in by_hand(numbered))
+    for most in (5, 30):
+        assert sorted((r.doc_id, r.class_id) for r in j.classified(docs, widest=most, narrowest=most, count=False).collect()) == want
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in j.join_classes(docs, widest=most, narrowest=most).collect()) == sorted(by_hand(numbered))
+
+
+def test_the_filter_tests_alike_in_expressions_and_in_tasks(spark):
+    rng = np.random.default_rng(13)
+    known, asked = (rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in (700, 5000))
+    table = bloom.built(spark.createDataFrame([(int(x),) for x in known], "h long"))
+    rows = spark.createDataFrame([(int(x), "k") for x in [*known, *asked]], "h long, _bloom string")
+    want = bloom.inside(np.concatenate([known, asked]).view(np.uint64), table)
+    got = bloom.passing(rows, F.col("h"), table)
+    assert got.columns == rows.columns and got.count() == want.sum() and want[:700].all() and want.sum() < 900
+    assert bloom.passing(rows, F.col("h"), table, False).count() == (~want).sum()
