@@ -95,7 +95,7 @@ def homology_graph(pairs: DataFrame) -> DataFrame:
 
 def families(pairs: DataFrame) -> DataFrame:
     """id, canonical: members of homology components and the least member of each."""
-    return connected_components(pairs, "q", "r").withColumnRenamed("component", "canonical")
+    return connected_components(pairs, "q", "r", contract=True).withColumnRenamed("component", "canonical")
 
 
 def homology_connectivity(pairs: DataFrame, members: DataFrame) -> DataFrame:

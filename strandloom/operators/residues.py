@@ -26,13 +26,6 @@ def seq_node_coverage(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("gene_id", "seq_id", "aa").agg(F.lit(1).alias("coverage"), F.count("*").alias("n_sequences"))
 
 
-def seq_edge_coverage(nodes: DataFrame) -> DataFrame:
-    """gene_id, src, src_aa, dst, dst_aa, coverage of adjacent residues."""
-    order = Window.partitionBy("gene_id", "seqname").orderBy("seq_id")
-    after = nodes.select("gene_id", F.col("seq_id").alias("src"), F.col("aa").alias("src_aa"), F.lead("seq_id").over(order).alias("dst"), F.lead("aa").over(order).alias("dst_aa"))
-    return after.where("dst is not null").groupBy("gene_id", "src", "src_aa", "dst", "dst_aa").agg(F.count("*").alias("coverage"))
-
-
 def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, and where each text ends."""
     column = column.fill_null("").cast(pa.large_string())
@@ -67,7 +60,7 @@ def adjacent_residues(gene: np.ndarray, points: np.ndarray, ends: np.ndarray) ->
 
 
 def msa_edge_coverage(msa: DataFrame) -> DataFrame:
-    """seq_edge_coverage(msa_nodes(msa)), with the neighbours paired and counted within slices of rows: residues are not shuffled, only counts."""
+    """gene_id, src, src_aa, dst, dst_aa, coverage of adjacent residues. They are paired and counted within slices of rows: only counts are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths as P
 from ..functions.intervals import size
 from ..operators import alignments as A
 from ..operators import architectures as R
@@ -86,7 +85,7 @@ def path_names(paths: DataFrame, metrics: DataFrame, *, min_length: int = 1) ->
 def alignment_metrics(aln: DataFrame, reads: DataFrame, *, min_mapq: int = 10, min_clipping: int = 300) -> dict[str, DataFrame]:
     """The six reports. reads: qname, length."""
     kept = aln.where(F.col("mapq") >= min_mapq).drop("query_length").join(reads.withColumnRenamed("length", "query_length"), "qname")
-    share = size(F.col("qstart"), F.col("qend")) / F.col("query_length").cast("double")
+    share = size(F.col("qstart"), F.col("qend")) / F.nullif(F.col("query_length"), F.lit(0)).cast("double")
     return {
         "read_length": reads,
         "alignment_sizes": kept.select("qname", "rname", "rstart", "rend", size(F.col("rstart"), F.col("rend")).alias("size"), "mapq", F.round(share, 2).alias("align_cov")),
@@ -98,15 +97,14 @@ def alignment_metrics(aln: DataFrame, reads: DataFrame, *, min_mapq: int = 10, m
 
 
 def mapped_pct(aln: DataFrame, reads: DataFrame, *, min_mapq: int = 10) -> DataFrame:
-    """pct: how many in a hundred of the reads have an alignment that is kept; one row."""
+    """pct: how many in a hundred of the reads have an alignment that is kept; one row, null without reads."""
     mapped = aln.where(F.col("mapq") >= min_mapq).agg(F.countDistinct("qname").alias("m"))
-    return reads.agg(F.count("*").alias("n")).crossJoin(mapped).select(F.round(F.col("m") / F.col("n") * 100, 6).alias("pct"))  # one row each
+    return reads.agg(F.count("*").alias("n")).crossJoin(mapped).select(F.round(F.col("m") / F.nullif(F.col("n"), F.lit(0)) * 100, 6).alias("pct"))  # one row each
 
 
 def sequence_graph(msa: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the residue graph of aligned families."""
-    nodes = Q.msa_nodes(msa)
-    return Q.seq_node_coverage(nodes), Q.seq_edge_coverage(nodes)
+    return Q.seq_node_coverage(Q.msa_nodes(msa)), Q.msa_edge_coverage(msa)
 
 
 def whole_genome_graph(genes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -122,7 +120,3 @@ def native_graph(genes: DataFrame) -> DataFrame:
     order = Window.partitionBy("ref").orderBy("gstart", "gend", "id")
     steps = genes.select(F.col("ref").alias("name"), (F.row_number().over(order) - 1).alias("pos"), "id", "ori")
     return G.graph_edges(steps, directed=False)
-
-
-def rendered_paths(steps: DataFrame) -> DataFrame:
-    return R.gathered(steps).select("name", P.rendered(F.col("path")).alias("path"))

@@ -25,8 +25,8 @@ def _descriptions(spark: SparkSession, path: str) -> DataFrame:
     return formats.parse_descriptions(formats.read_lines(spark, path))
 
 
-def graph_alignment(spark: SparkSession, gffs: list[str], paf: str, out: str, *, exclude: str | None = None, features: list[str] | None = None, name_tag: str = "product=", id_tag: str = "protein_id=", **options) -> commands.Graph:
-    """out/graph.gfa (with a P line for every read that is not excluded) and out/gene_description."""
+def graph_alignment(spark: SparkSession, gffs: list[str], paf: str, out: str, *, exclude: str | None = None, features: list[str] | None = None, name_tag: str = "product=", id_tag: str = "protein_id=", single: bool = False, **options) -> commands.Graph:
+    """out/graph.gfa (with a P line for every read that is not excluded) and out/gene_description: folders, or files with ``single``."""
     genes = formats.read_gff(spark, gffs, features=features, name_tag=name_tag, id_tag=id_tag)
     aln = _paf(spark, paf)
     gone = formats.read_lines(spark, exclude).select(F.col("value").alias("qname")) if exclude else None
@@ -35,16 +35,16 @@ def graph_alignment(spark: SparkSession, gffs: list[str], paf: str, out: str, *,
     reads = (reads.join(gone, "qname", "left_anti") if gone is not None else reads).groupBy(F.col("qname").alias("name")).agg(F.max("query_length").alias("size"))
     empty = F.array().cast("array<struct<id:int,ori:string>>")
     paths = reads.join(R.gathered(graph.steps), "name", "left").select("name", F.coalesce("path", empty).alias("path"), "size")
-    writers.write_lines(graph.gfa(paths=paths), f"{out}/graph.gfa", "section", "rank")
-    gff2descriptions(spark, gffs, out, genes=genes)
+    writers.write_lines(graph.gfa(paths=paths), f"{out}/graph.gfa", "section", "rank", single=single)
+    gff2descriptions(spark, gffs, out, genes=genes, single=single)
     return graph
 
 
-def gff2descriptions(spark: SparkSession, gffs: list[str], out: str, genes: DataFrame | None = None) -> None:
+def gff2descriptions(spark: SparkSession, gffs: list[str], out: str, genes: DataFrame | None = None, single: bool = False) -> None:
     """out/gene_description, by id."""
     genes = formats.read_gff(spark, gffs) if genes is None else genes
     lines = writers.description_lines(genes).withColumn("id", F.substring_index("value", "\t", 1).cast("int"))
-    writers.write_lines(lines, f"{out}/gene_description", "id")
+    writers.write_lines(lines, f"{out}/gene_description", "id", single=single)
 
 
 def _alignments_of_genes(spark: SparkSession, path: str, blast: bool, genes: DataFrame, local_ids: bool) -> DataFrame:
@@ -64,7 +64,7 @@ def _alignments_of_genes(spark: SparkSession, path: str, blast: bool, genes: Dat
     return cells
 
 
-def graph_family(spark: SparkSession, descriptions: str, alignments: str, out: str, *, blast: bool = True, local_ids: bool = False, protein: bool = True, split_ori: bool = False, dna: str | None = None, dna_blast: bool = False, dna_local_ids: bool = False, metrics: bool = True, **thresholds) -> commands.Graph:
+def graph_family(spark: SparkSession, descriptions: str, alignments: str, out: str, *, blast: bool = True, local_ids: bool = False, protein: bool = True, split_ori: bool = False, dna: str | None = None, dna_blast: bool = False, dna_local_ids: bool = False, metrics: bool = True, single: bool = False, **thresholds) -> commands.Graph:
     """out/graph.gfa, out/gene_families and, with metrics, out/homology_connectivity; paths have size -1.
 
     Alignments are a BLAST table or PAF; PAF lines have no scores to judge. Protein alignments have no orientation of their
@@ -81,10 +81,10 @@ def graph_family(spark: SparkSession, descriptions: str, alignments: str, out: s
     members = materialize(G.families(kept))
     graph = commands.family_graph(genes, members)
     paths = R.gathered(graph.steps).withColumn("size", F.lit(-1))
-    writers.write_lines(graph.gfa(paths=paths), f"{out}/graph.gfa", "section", "rank")
-    writers.write_table(members, f"{out}/gene_families")
+    writers.write_lines(graph.gfa(paths=paths), f"{out}/graph.gfa", "section", "rank", single=single)
+    writers.write_table(members, f"{out}/gene_families", single=single)
     if metrics:
-        writers.write_table(G.homology_connectivity(kept, members).select("n_degree", "cc_size"), f"{out}/homology_connectivity")
+        writers.write_table(G.homology_connectivity(kept, members).select("n_degree", "cc_size"), f"{out}/homology_connectivity", single=single)
     return graph
 
 
@@ -96,7 +96,7 @@ def _aligned(spark: SparkSession, msas: dict[int, str]) -> DataFrame:
     return formats.read_fasta(spark, list(msas.values()), with_file=True).withColumn("_place", here).join(known, "_place").select("gene_id", F.col("name").alias("seqname"), F.col("seq").alias("aligned"))
 
 
-def sequence_graph(spark: SparkSession, msas: dict[int, str], out: str) -> None:
+def sequence_graph(spark: SparkSession, msas: dict[int, str], out: str, single: bool = False) -> None:
     """out/graph.gfa of aligned families (family id -> FASTA of gapped sequences)."""
     rows = _aligned(spark, msas)
     nodes = Q.msa_nodes(rows)
@@ -115,10 +115,10 @@ def sequence_graph(spark: SparkSession, msas: dict[int, str], out: str) -> None:
     lines = header.withColumn("section", F.lit(0))
     for k, part in enumerate((segments, links, paths), 1):
         lines = lines.unionByName(part.withColumn("section", F.lit(k)))
-    writers.write_lines(lines, f"{out}/graph.gfa", "section", "rank")
+    writers.write_lines(lines, f"{out}/graph.gfa", "section", "rank", single=single)
 
 
-def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1, directed: bool = False, names_per_line: int = 10_000) -> None:
+def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1, directed: bool = False, names_per_line: int = 10_000, single: bool = False) -> None:
     """out/architectures: ID, Path, SingleOri, Count, and the Names of all its paths, joined by commas.
 
     An architecture of more than names_per_line paths goes on in further lines of the same ID, so that no line grows without
@@ -134,19 +134,19 @@ def path_metrics(spark: SparkSession, gfa: str, out: str, *, min_length: int = 1
     line = F.floor(F.col("k") / names_per_line).alias("line")
     names = named.groupBy("id", line).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("Names"))
     table = found.join(names, "id").orderBy("id", "line").select(F.col("id").alias("ID"), F.col("path").alias("Path"), F.col("single_ori").alias("SingleOri"), F.col("n").alias("Count"), "Names")
-    writers.write_table(table, f"{out}/architectures", header=True)
+    writers.write_table(table, f"{out}/architectures", header=True, single=single)
 
 
-def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, *, min_mapq: int = 10, min_clipping: int = 300) -> DataFrame:
-    """A folder under out for each of the six reports; returns the percentage of mapped reads."""
+def alignment_metrics(spark: SparkSession, reads: str, paf: str, out: str, *, min_mapq: int = 10, min_clipping: int = 300, single: bool = False) -> DataFrame:
+    """A folder (or file) under out for each of the six reports; returns the percentage of mapped reads."""
     lengths = formats.read_sequences(spark, reads).groupBy(F.col("name").alias("qname")).agg(F.max(F.length("seq")).alias("length"))
     aln = _paf(spark, paf)
     for name, report in commands.alignment_metrics(aln, lengths, min_mapq=min_mapq, min_clipping=min_clipping).items():
-        writers.write_table(report, f"{out}/{name}", header=True)
+        writers.write_table(report, f"{out}/{name}", header=True, single=single)
     return commands.mapped_pct(aln, lengths, min_mapq=min_mapq)
 
 
-def gfa_converter(spark: SparkSession, gfa: str, out: str, labels: str | None = None) -> None:
+def gfa_converter(spark: SparkSession, gfa: str, out: str, labels: str | None = None, single: bool = False) -> None:
     """out/nodes (Id;Weight and, with labels, ;Label in quotes) and out/edges (Source;Target;Weight), each with a header line."""
     lines = formats.read_lines(spark, gfa)
     named = None
@@ -157,14 +157,15 @@ def gfa_converter(spark: SparkSession, gfa: str, out: str, labels: str | None =
     edges = formats.gfa_edge_table(lines).select(F.concat_ws(";", F.col("source").cast("string"), F.col("target").cast("string"), F.col("weight").cast("string")).alias("value"), F.struct("source", "target").alias("rank"))
     for name, header, rows in (("nodes", "Id;Weight;Label" if labels else "Id;Weight", nodes), ("edges", "Source;Target;Weight", edges)):
         head = spark.range(1).select(F.lit(header).alias("value"), F.lit(None).cast(rows.schema["rank"].dataType).alias("rank"), F.lit(0).alias("section"))
-        writers.write_lines(head.unionByName(rows.withColumn("section", F.lit(1))), f"{out}/{name}", "section", "rank")
+        writers.write_lines(head.unionByName(rows.withColumn("section", F.lit(1))), f"{out}/{name}", "section", "rank", single=single)
 
 
 def generate_labels(spark: SparkSession, gfa: str, names: list[str], strip_last: bool = False) -> DataFrame:
     """Source, Target, Type of the named paths."""
     c = F.split("value", "\t")
-    paths = formats.read_lines(spark, gfa).where(F.get(c, F.lit(0)) == "P").select(F.get(c, F.lit(1)).alias("name"), F.get(c, F.lit(2)).alias("path")).where(F.col("name").isin(names))
-    return T.label_edges(paths, strip_last).select(F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("name").alias("Type"))
+    paths = formats.read_lines(spark, gfa).where(F.get(c, F.lit(0)) == "P").select(F.get(c, F.lit(1)).alias("name"), F.get(c, F.lit(2)).alias("path"))
+    named = paths.join(spark.createDataFrame([(n,) for n in set(names)], "name string"), "name", "left_semi")
+    return T.label_edges(named, strip_last).select(F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("name").alias("Type"))
 
 
 def sequence_store(spark: SparkSession, fasta: str, out: str, descriptions: str | None = None) -> None:

@@ -296,3 +296,4 @@ ORACLES |= {
     "genbank_sequence_files": _sql(f"SELECT concat('D', id) AS name, seq FROM {_DNA}", "dna"),
     "genbank_protein_files": _sql(f"SELECT concat('D', id, '_0') AS name, 'MKL' AS seq FROM {_DNA} WHERE seq <> ''", "dna"),
 }
+ORACLES |= {"graph_single_file": ORACLES["graph_files"], "spilled_edge_coverage": ORACLES["edge_coverage_directed"], "fasta_source_files": ORACLES["fasta_files"]}

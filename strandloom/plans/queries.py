@@ -251,7 +251,7 @@ def homology_graph(s, d):
 
 @query
 def connected_components_sizes(s, d):
-    found = connected_components(_pairs(s, d), "q", "r")
+    found = connected_components(_pairs(s, d), "q", "r", contract=True)
     return found.groupBy("component").agg(F.count("*").alias("n"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import architectures as R
 from ..operators import graph as G
 from ..sources import adapters as D
-from ..sources import formats, writers
-from ..storage import scratch
+from ..sources import formats, records, writers
+from ..storage import materialize, scratch
 from . import files
 
 ROUND_TRIPS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,27 @@ def graph_files(s, d):
     return formats.gfa_edge_table(formats.read_lines(s, f"{out}/graph.gfa"))
 
 
+@round_trip
+def graph_single_file(s, d):
+    """The links of the graph in one file."""
+    out = scratch(s)
+    files.graph_alignment(s, [_gff(s, d, f"{out}/x.gff")], _paf(s, d, f"{out}/x.paf"), out, single=True)
+    return formats.gfa_edge_table(formats.read_lines(s, f"{out}/graph.gfa"))
+
+
+@round_trip
+def spilled_edge_coverage(s, d):
+    """Edge coverage of path steps that were written to the shared folder and read again."""
+    return G.edge_coverage(materialize(D.read_steps(s, d)))
+
+
+@round_trip
+def fasta_source_files(s, d):
+    """FASTA files through the data source, in small splits."""
+    records.register(s)
+    return s.read.format("fasta").option("splitSize", 1 << 16).load(_fasta(s, d, f"{scratch(s)}/x.fasta"))
+
+
 def _gfa(s: SparkSession, d: str, out: str) -> str:
     steps = D.read_steps(s, d)
     paths = R.gathered(steps).select("name", "path", F.size("path").alias("size"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rendered
+from ..storage import one_file
 
 
 def _s(name: str) -> Column:
@@ -41,9 +42,11 @@ def gfa_graph(header: str, nodes: DataFrame, edges: DataFrame, paths: DataFrame)
     return out
 
 
-def write_lines(lines: DataFrame, path: str, *order: str) -> None:
-    """Text files whose names sort as their lines do; each holds a range of the order."""
-    (lines.orderBy(*order) if order else lines).select("value").write.text(path)
+def write_lines(lines: DataFrame, path: str, *order: str, single: bool = False) -> None:
+    """Text files whose names sort as their lines do; each holds a range of the order. With ``single`` one file at path, of the same lines in the same order."""
+    (lines.orderBy(*order) if order else lines).select("value").write.text(f"{path}.parts" if single else path)
+    if single:
+        one_file(lines.sparkSession, f"{path}.parts", path)
 
 
 def gff_lines(genes: DataFrame, feature: Column | None = None) -> DataFrame:
@@ -73,10 +76,24 @@ def fasta_lines(sequences: DataFrame, name: str, seq: str) -> DataFrame:
     return sequences.select(F.concat(F.lit(">"), _s(name), F.lit("\n"), F.col(seq)).alias("value"))
 
 
-def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = False, quote_all: bool = False) -> None:
-    df.write.option("sep", sep).option("header", header).option("quoteAll", quote_all).option("emptyValue", "").csv(path)
+def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = False, quote_all: bool = False, single: bool = False) -> None:
+    """A folder of delimited text, or with ``single`` one file at path, its header once."""
+    out = df.write.option("sep", sep).option("quoteAll", quote_all).option("emptyValue", "")
+    if not single:
+        out.option("header", header).csv(path)
+        return
+    out.csv(f"{path}.parts")
+    quoted = [f'"{c}"' if quote_all else c for c in df.columns]
+    one_file(df.sparkSession, f"{path}.parts", path, sep.join(quoted) if header else None)
 
 
-def write_store(sequences: DataFrame, path: str) -> None:
-    """The id -> sequence store: Parquet, to be joined on id."""
-    sequences.write.parquet(path)
+def write_store(sequences: DataFrame, path: str, table: str | None = None, buckets: int = 64) -> None:
+    """The id -> sequence store: Parquet in ranges of ids, sorted, so that a look-up of ids skips files and row groups.
+
+    With ``table``, the catalog knows it under that name, bucketed and sorted by id: joins on id read it without a shuffle, and look-ups
+    one bucket of ``buckets``.
+    """
+    if table is None:
+        sequences.repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.block.size", 8 << 20).parquet(path)
+        return
+    sequences.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", path).saveAsTable(table)

@@ -60,6 +60,36 @@ def release(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
+def one_file(spark: SparkSession, folder: str, path: str, head: str | None = None) -> None:
+    """The text files of a folder, in the order of their names, as one file at path (after the line ``head``); the folder goes.
+
+    HDFS appends the files to each other without copying them. Elsewhere the driver's JVM copies them from stream to stream, a few megabytes at
+    a time, as one file can only be written by one writer.
+    """
+    place, files = _place(spark, folder)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    parts = sorted((s.getPath() for s in files.listStatus(place) if s.getPath().getName().startswith("part-") and s.getLen() > 0), key=lambda p: p.getName())
+    out = files.create(target)
+    try:
+        if head is not None:
+            out.write(bytearray(f"{head}\n".encode()))
+        if files.getScheme() != "hdfs":
+            for part in parts:
+                source = files.open(part)
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 4 << 20, False)
+                finally:
+                    source.close()
+    finally:
+        out.close()
+    if files.getScheme() == "hdfs" and parts:
+        every = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+        for k, part in enumerate(parts):
+            every[k] = part
+        files.concat(target, every)
+    files.delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small df over at least as many partitions as there are cores: a few large row groups would keep most of them idle.
 

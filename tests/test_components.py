@@ -22,6 +22,9 @@ def by_hand(edges):
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200), (None, 1), (300, 301), (301, 300)]
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
-    assert {r.id: r.component for r in got.collect()} == by_hand(edges)
+    for contract in (False, True):
+        for kind in ("long", "int"):
+            got = connected_components(spark.createDataFrame(edges, f"src {kind}, dst {kind}").repartition(3), contract=contract)
+            assert {r.id: r.component for r in got.collect()} == by_hand(edges) and got.schema["id"].dataType.simpleString() in ("bigint", "int")
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), contract=True).count() == 0
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0

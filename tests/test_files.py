@@ -3,9 +3,10 @@
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
-from strandloom.plans import files
-from strandloom.sources import formats
+from strandloom.plans import commands, files
+from strandloom.sources import formats, writers
 
 
 def written(folder):
@@ -111,3 +112,52 @@ def test_names_of_an_architecture_in_several_lines(spark, tmp_path):
     (tmp_path / "g.gfa").write_text("S\t1\t\tFC:i:1\nS\t2\t\tFC:i:1\nL\t1\t+\t2\t+\t\tFC:i:1\n" + "".join(f"P\tr{i}\t1+,2+\t9\n" for i in range(5)) + "P\tz\t2+\t9\nP\tr0\t2+\t9\n")
     files.path_metrics(spark, f"{p}/g.gfa", f"{p}/out", directed=True, names_per_line=3)
     assert written(f"{p}/out/architectures")[1:] == ["0\t1+,2+\t0\t4\tr1,r2,r3", "0\t1+,2+\t0\t4\tr4", "1\t2+\t0\t2\tr0,z"]
+
+
+def test_single_files_hold_the_folders_lines_in_order(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"line {i} é") for i in range(500)], "id int, value string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_lines(lines, f"{tmp_path}/folder", "id")
+        writers.write_lines(lines, f"{tmp_path}/one.txt", "id", single=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted(p for p in (tmp_path / "folder").iterdir() if p.name.startswith("part-"))
+    assert len(parts) > 1 and (tmp_path / "one.txt").is_file() and not (tmp_path / "one.txt.parts").exists()
+    assert (tmp_path / "one.txt").read_text() == "".join(p.read_text() for p in parts) == "".join(f"line {i} é\n" for i in range(500))
+    table = spark.createDataFrame([(2, "b\tc"), (1, None)], "x int, y string").orderBy("x")
+    writers.write_table(table, f"{tmp_path}/t.tsv", header=True, single=True)
+    assert (tmp_path / "t.tsv").read_text() == 'x\ty\n1\t\n2\t"b\tc"\n'
+    writers.write_table(table.limit(0), f"{tmp_path}/none.tsv", header=True, quote_all=True, single=True)
+    assert (tmp_path / "none.tsv").read_text() == '"x"\t"y"\n'
+
+
+def test_a_store_is_pruned_and_joined_without_a_shuffle(spark, tmp_path):
+    seqs = spark.range(5000).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("ACGT"), F.col("id").cast("string")).alias("seq"))
+    writers.write_store(seqs, f"{tmp_path}/ranges")
+    files_read = spark.read.parquet(f"{tmp_path}/ranges").where("id = 7").select(F.input_file_name()).distinct().collect()
+    assert len(files_read) == 1
+    bounds = [(min(b), max(b)) for b in ([r.id for r in spark.read.parquet(str(p)).collect()] for p in (tmp_path / "ranges").glob("part-*")) if b]
+    assert all(a[1] < b[0] for a, b in zip(sorted(bounds), sorted(bounds)[1:]))
+    writers.write_store(seqs, f"{tmp_path}/buckets", table="store_of_test", buckets=4)
+    try:
+        store = spark.table("store_of_test")
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan shows the buckets
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(store.where("id = 7")._jdf.queryExecution(), "formatted")
+        assert "SelectedBucketsCount: 1 out of 4" in plan
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        asked = spark.createDataFrame([(i,) for i in range(0, 5000, 9)], "id int")
+        joined = asked.join(store, "id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and joined.count() == 556
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.sql("drop table store_of_test")
+
+
+def test_reports_without_reads(spark):
+    aln = spark.createDataFrame([("r", 5, 0, 4, "+", "x", 9, 0, 4, 4, 60, 1)], "qname string, query_length int, qstart int, qend int, ori string, rname string, ref_length int, rstart int, rend int, align_length int, mapq int, line_no long")
+    none = spark.createDataFrame([], "qname string, length int")
+    assert [r.pct for r in commands.mapped_pct(aln, none).collect()] == [None]
+    assert [r.align_cov for r in commands.alignment_metrics(aln, spark.createDataFrame([("r", 0)], "qname string, length int"))["alignment_sizes"].collect()] == [None]
