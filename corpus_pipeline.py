@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontamination, jaccard_join, language_id, quality_gam
-from strandloom.llm.text import slices
+from strandloom.llm.text import give_back, slices
 from strandloom.storage import materialize, spread
 
 
@@ -38,6 +38,7 @@ def _filter(docs: DataFrame, keep, limit: int, rows: int) -> DataFrame:
         for batch in batches:
             ok = [np.zeros(0, bool), *(keep(texts) for _, _, texts in slices(batch.column(at), limit, rows))]
             yield batch.filter(pa.array(np.concatenate(ok)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import spread
-from .text import Texts, members, slices, spans_hash
+from .text import Texts, give_back, members, slices, spans_hash
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 CACHE_SLICES, CACHE_BYTES, SHORT = 200_000, 48, 64
@@ -190,7 +190,7 @@ def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, ids, ends): ids of a text's tokens, and where each ends in the text's bytes."""
+    """(doc_id, text) to (doc_id, ids, ends): ids of a text's tokens, and where each ends in the text's bytes. The cache lives as long as a task."""
     cache, _, _, size = _coder(path)
     for batch in batches:
         for a, b, texts in slices(batch.column(1), 1 << 20):
@@ -207,7 +207,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
             ends = np.cumsum(size[ids]) - np.repeat(texts.offsets[:-1], per_doc)
             off = pa.array(offsets.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(off, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(off, pa.array(ends, pa.int32()))], ["doc_id", "ids", "ends"])
-        pa.default_memory_pool().release_unused()  # to the system, as other stages' workers stand beside
+    cache.clear()
+    give_back()
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..storage import materialize, spread
 from . import bloom
-from .text import members, mix, powers, slices, windows
+from .text import give_back, members, mix, powers, slices, windows
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -233,6 +233,7 @@ class Index:
                     part = batch.slice(a, b - a)
                     found = pa.array(_fragments(part.column(at).to_pylist(), lengths, table.value), pa.string())
                     yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
+            give_back()
 
         return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())])), name
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..storage import materialize, spread
 from . import bloom
-from .text import Texts, Words, mix, repeated, slices
+from .text import Texts, Words, give_back, mix, repeated, slices
 
 K, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP = 4, 20, 16
@@ -99,6 +99,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     for j, r in enumerate(some):
                         keys[r], sigs[r] = one[j].tobytes() + two[j].tobytes(), sig[j].tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(keys.tolist(), pa.binary()), pa.array(sigs.tolist(), pa.binary())], [c.split()[0] for c in SKETCH.split(", ")])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
@@ -461,6 +462,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, texts in slices(batch.column(2), 1 << 20):
             grams, offsets = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["rep", "tkey", "grams"])
+    give_back()
 
 
 def _filter(keys: DataFrame, doc_id: str) -> np.ndarray:
