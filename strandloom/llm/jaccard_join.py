@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize, spread
+from ..storage import materialize, release, spread
 from . import bloom
 from .text import Texts, Words, give_back, mix, repeated, slices
 
@@ -263,7 +263,7 @@ def candidate_edges(classes: DataFrame, *, threshold: float = THRESHOLD, toleran
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[low[hit]])], ["src", "dst"])
 
     out = dealt.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(prune, "src bigint, dst bigint")
-    large = shared.where(F.col("n") > widest).select("band", "bucket")
+    large = materialize(shared.where(F.col("n") > widest).select("band", "bucket"))  # few: found without a shuffle of all bands
     if large.isEmpty():
         return out
 
@@ -500,8 +500,10 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", t
         found_edges = pivot_edges(large.select("component", "rep", "sig", "grams"), ["component"], linked, widest=widest, size=F.length("grams"))
         checked = checked.unionByName(found_edges.select("component", F.col("src").alias("rep"), F.lit(0).cast("bigint").alias("links"), F.col("dst").alias("least")))
     checked = materialize(checked)
+    several = not members.where("m > 1").isEmpty()
+    release(edges, near, found, members)
     linked = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
-    if not members.where("m > 1").isEmpty():  # components over several blocks: join what their blocks found
+    if several:  # components over several blocks: join what their blocks found
         whole = connected_components(checked.where("least <> rep").select(F.col("rep").alias("src"), F.col("least").alias("dst")))
         linked = linked.join(whole.withColumnRenamed("id", "rep"), "rep", "left").withColumn("least", F.coalesce("component", "least")).drop("component")
     named = classes.select("key", "rep", "weight").join(linked, "rep", "left")
