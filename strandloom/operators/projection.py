@@ -58,9 +58,9 @@ def syntenic_anchors(aln: DataFrame, genes: DataFrame, min_coverage: float = 0.5
 def contained(genes: DataFrame, windows: DataFrame, width: int = 4096) -> DataFrame:
     """Genes that lie inside a window of their sequence (the window's end plus one counts), with wstart and wend.
 
-    Windows are dealt to every bin they touch, genes to the bin of their start.
+    Windows are dealt to every bin they touch with that end, genes to the bin of their start.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("wstart") / width), F.floor(F.col("wend") / width)))
+    bins = F.explode(F.sequence(F.floor(F.col("wstart") / width), F.floor((F.col("wend") + 1) / width)))
     w = windows.select(F.col("ref").alias("w_ref"), "wstart", "wend", bins.alias("_bin"))
     g = genes.withColumn("_gbin", F.floor(F.col("gstart") / width))
     inside = (F.col("wstart") <= F.col("gstart")) & (F.col("wend") + 1 >= F.col("gend"))
