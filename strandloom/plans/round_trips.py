@@ -195,7 +195,7 @@ def _gfa(s: SparkSession, d: str, out: str) -> str:
 def path_metrics_files(s, d):
     out = scratch(s)
     files.path_metrics(s, _gfa(s, d, out), out, directed=True)
-    return s.read.option("sep", "\t").option("header", True).schema("ID int, Path string, SingleOri int, Count int, Names string").csv(f"{out}/architectures")
+    return files.read_architectures(s, out)
 
 
 @round_trip
