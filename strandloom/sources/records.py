@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .formats import GENBANK, GENBANK_ARROW, genbank_rows
 
 SPLIT, CHUNK, BATCH = 64 << 20, 4 << 20, 8 << 20
+MOST = 1024  # tasks that read one load; where there are more splits, a task reads several in a row
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -35,6 +36,11 @@ class Split(InputPartition):
     end: int | None  # None: the whole of a compressed file
 
 
+@dataclass
+class Splits(InputPartition):
+    splits: list[Split]
+
+
 class Bytes:
     """The bytes of a file from an offset on, kept from the record at hand."""
 
@@ -139,7 +145,12 @@ class RecordReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[InputPartition]:
+        found = self.splits()
+        n = -(-len(found) // MOST)
+        return [Splits(found[k : k + n]) for k in range(0, len(found), n)] if n > 1 else found
+
+    def splits(self) -> list[Split]:
         out = []
         for path in self.paths:
             where, at = _opened(path)
@@ -155,7 +166,11 @@ class RecordReader(DataSourceReader):
                     out += [Split(lead + f.path, a, min(a + self.size, f.size)) for a in range(0, f.size, self.size)]
         return out
 
-    def read(self, split: Split | None) -> Iterator[pa.RecordBatch]:
+    def read(self, split: Split | Splits | None) -> Iterator[pa.RecordBatch]:
+        if isinstance(split, Splits):
+            for one in split.splits:
+                yield from self.read(one)
+            return
         if split is None:  # Spark's way to say that there are no splits
             return
         where, at = _opened(split.path)
