@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap, rescale, size
+from ..storage import deal_by
 from .intervals import chained_islands
 
 
@@ -19,7 +20,7 @@ def with_clusters(aln: DataFrame, min_overlap: int = 100) -> DataFrame:
     order = ["qstart", "qend", F.desc("line_no")]
     short = F.col("qend") - F.col("qstart") < min_overlap
     running = Window.partitionBy("qname").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parted = aln.withColumn("_part", F.sum(short.cast("int")).over(running))
+    parted = deal_by(aln, "qname").withColumn("_part", F.sum(short.cast("int")).over(running))
     reach = F.max("qend").over(Window.partitionBy("qname", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     opens = short | F.coalesce(reach - F.col("qstart") < min_overlap, F.lit(True))
     opened = parted.withColumn("_opens", opens.cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import size
+from ..storage import deal_by
 
 
 def merged_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -36,7 +37,7 @@ def value_clusters(df: DataFrame, keys: list[str], value: str, reach: int) -> Da
     """keys, value, canonical: values closer than or at ``reach`` to the one before share a cluster; its mean, cut towards 0, stands for it."""
     order = Window.partitionBy(*keys).orderBy(value)
     gap = F.col(value) - F.lag(value).over(order)
-    marked = df.select(*keys, value, F.when(gap <= reach, 0).otherwise(1).alias("_new"))
+    marked = deal_by(df.select(*keys, value), *keys).select(*keys, value, F.when(gap <= reach, 0).otherwise(1).alias("_new"))
     # By range: equal values are in one cluster, whichever of them opened it.
     numbered = marked.withColumn("_cluster", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy(*keys, "_cluster")
