@@ -15,31 +15,41 @@ from ..operators import intervals as N
 from ..operators import projection as J
 from ..operators import residues as Q
 from ..sources import writers
+from ..storage import deal_by, materialize
 
 
 @dataclass
 class Graph:
-    """steps: name, pos, id, ori; nodes: id, coverage; edges: src, dst, coverage; links: src, dst (without what a graph leaves out)."""
+    """steps: name, pos, id, ori; nodes: id, coverage; edges: src, dst, coverage; links: the edges without what a graph leaves out."""
 
     steps: DataFrame
     nodes: DataFrame
     edges: DataFrame
     links: DataFrame
+    paths: DataFrame | None = None  # name, path, where they are at hand
 
     def gfa(self, header: str = "Gene-graph", paths: DataFrame | None = None) -> DataFrame:
         """The graph's GFA lines with ``section`` and ``rank`` to order them by."""
-        links = self.edges.join(self.links, ["src", "dst"], "left_semi")
-        return writers.gfa_graph(header, self.nodes, links, paths if paths is not None else R.gathered(self.steps).select("name", "path", F.size("path").alias("size")))
+        return writers.gfa_graph(header, self.nodes, self.links, paths if paths is not None else R.gathered(self.steps).select("name", "path", F.size("path").alias("size")))
 
 
 def _graph(steps: DataFrame, directed: bool) -> Graph:
-    return Graph(steps, G.node_coverage(steps), G.edge_coverage(steps, directed), G.graph_edges(steps, directed))
+    edges = G.edge_coverage(steps, directed)
+    return Graph(steps, G.node_coverage(steps), edges, edges.where("src <> dst") if directed else edges)
+
+
+def _graph_of_paths(paths: DataFrame) -> Graph:
+    """The directed graph of gathered paths (name, path)."""
+    steps = paths.select("name", F.posexplode("path").alias("pos", "_s")).select("name", "pos", "_s.id", "_s.ori")
+    edges = G.edge_coverage_of_paths(paths)
+    return Graph(steps, G.node_coverage(steps), edges, edges.where("src <> dst"), paths)
 
 
 def graph_alignment(aln: DataFrame, genes: DataFrame, *, min_mapq: int = 10, min_multimap: int = 100, min_dist: int = 100, min_alignment_cov: float = 0.5, exclude: DataFrame | None = None) -> Graph:
     """The directed gene graph of reads: genes projected onto uniquely mapped intervals, in read order.
 
-    min_multimap below 1 takes alignments as they are. exclude: qname.
+    min_multimap below 1 takes alignments as they are. exclude: qname. The intervals are written, as the join with genes looks at them
+    twice; and the paths, that nodes, edges and paths are read from.
     """
     kept = aln.where(F.col("mapq") >= min_mapq)
     if exclude is not None:
@@ -49,9 +59,11 @@ def graph_alignment(aln: DataFrame, genes: DataFrame, *, min_mapq: int = 10, min
         kept = cells.select("qname", F.col("istart").alias("qstart"), F.col("iend").alias("qend"), "line_no", "ori", "rname", "rstart", "rend")
         by = ["qname", "line_no", "qstart"]
     else:
-        by = ["line_no"]
-    projected = J.project_genes(kept, genes).withColumn("_end", F.col("rend") + 1)
-    return _graph(J.oriented_steps(J.boundary_filter(projected, by, "rstart", "_end", min_alignment_cov)), directed=True)
+        by = ["qname", "line_no"]
+    kept = materialize(kept.select("qname", "line_no", "qstart", "qend", "ori", "rname", "rstart", "rend"))
+    # Dealt by read once: the windows over its alignments, over its steps and the paths follow from there.
+    projected = deal_by(J.project_genes(kept, genes), "qname").withColumn("_end", F.col("rend") + 1)
+    return _graph_of_paths(materialize(R.gathered(J.oriented_steps(J.boundary_filter(projected, by, "rstart", "_end", min_alignment_cov)))))
 
 
 def homologous(pairs: DataFrame, genes: DataFrame, *, min_cov: float = 0.75, min_eval: float = 1e-6, min_bitscore: float = 50.0, protein: bool = True, split_ori: bool = False, orientations: DataFrame | None = None) -> DataFrame:
