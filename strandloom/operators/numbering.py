@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, tasks_for
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -37,13 +37,13 @@ def _shifted(kept: DataFrame, ranges: list[Column], within: tuple[str, ...], nam
 def number_rows(df: DataFrame, order: list, name: str, first: int = 0, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``name``: first, first + 1, ... in the given order; anew in every group of the columns ``within``.
 
-    Rows are dealt to ranges of the order and sorted there, in one shuffle.
+    Rows are dealt to ranges of the order and sorted there, in one shuffle; there are more ranges where the input is larger.
     Rows that are equal in every column of the order are told apart by a running id, so that many of them do not
     meet in one range; which of them comes first is left open.
     """
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     by = [*within, *order, "_tie"]
-    kept = _written(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie"))
+    kept = _written(tied.repartitionByRange(tasks_for(df), *by).sortWithinPartitions(*by).drop("_tie"))
     return _shifted(kept, [F.shiftright("_written_at", 33)], within, name, first)
 
 
