@@ -215,7 +215,7 @@ def gfa_converter_files(s, d):
 @round_trip
 def extract_gene_files(s, d):
     out = scratch(s)
-    spans = D.gene_spans(s, d).orderBy("seq_key", "gstart").select(F.col("seq_key").cast("string").alias("ref"), "gstart", "gend", "ori", F.lit("x").alias("description"), F.lit("y").alias("gene_id"))
+    spans = D.gene_spans(s, d, ordered=True).select(F.col("seq_key").cast("string").alias("ref"), "gstart", "gend", "ori", F.lit("x").alias("description"), F.lit("y").alias("gene_id"))
     files.extract_genes(s, [_put(writers.gff_lines(spans), f"{out}/x.gff")], _fasta(s, d, f"{out}/x.fa"), out)
     fna, faa = (formats.read_fasta(s, f"{out}/genes.{k}").select(F.col("name").alias("id"), F.col("seq").alias(k)) for k in ("fna", "faa"))
     return fna.join(faa, "id")
