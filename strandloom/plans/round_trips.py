@@ -11,7 +11,7 @@ from ..operators import architectures as R
 from ..operators import graph as G
 from ..sources import adapters as D
 from ..sources import formats, records, writers
-from ..storage import cleaned, materialize, remove, scratch
+from ..storage import cleaned, materialize, passing, remove, scratch
 from . import files
 
 ROUND_TRIPS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,9 +22,10 @@ def round_trip(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return f
 
 
-def _put(lines: DataFrame, path: str, compression: str = "none") -> str:
+def _put(lines: DataFrame, path: str, compression: str = "none", most: int = 0) -> str:
+    """Compressed files are read whole by a task: ``most`` lines go into one, if there is no other bound."""
     with cleaned(lines.sparkSession):
-        lines.write.option("compression", compression).text(path)
+        lines.write.option("compression", compression).option("maxRecordsPerFile", most).text(path)
     return path
 
 
@@ -164,7 +165,8 @@ def family_split_files(s, d):
 
 
 def _paf(s: SparkSession, d: str, path: str) -> str:
-    return _put(writers.paf_lines(D.alignments(s, d).orderBy("line_no")), path)
+    with passing():
+        return _put(writers.paf_lines(D.alignments(s, d).orderBy("line_no")), path, "lz4", 1 << 21)
 
 
 @round_trip
@@ -278,9 +280,10 @@ def sequence_graph_files(s, d):
     out = scratch(s)
     rows = D.msa(s, d)
     line = F.concat(F.lit(">"), F.col("seqname").cast("string"), F.lit("\n"), F.coalesce("aligned", F.lit("")))
-    rows.select("gene_id", line.alias("value")).write.partitionBy("gene_id").text(f"{out}/msa")
+    with cleaned(s):
+        rows.select("gene_id", line.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 1 << 13).partitionBy("gene_id").text(f"{out}/msa")
     families = [r.gene_id for r in s.read.text(f"{out}/msa").select("gene_id").distinct().collect()]
-    files.sequence_graph(s, {k: f"{out}/msa/gene_id={k}" for k in families}, out)
+    files.sequence_graph(s, {k: f"{out}/msa/gene_id={k}" for k in families}, out, compression="gzip")
     return formats.read_lines(s, f"{out}/graph.gfa").where(F.substring("value", 1, 1).isin("S", "L")).select("value")
 
 
@@ -289,7 +292,7 @@ def alignment_metrics_files(s, d):
     """The lines of the six reports."""
     out = scratch(s)
     reads = s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"), F.repeat(F.lit("A"), F.lit(1300)).alias("seq"))
-    files.alignment_metrics(s, _put(writers.fasta_lines(reads, "name", "seq"), f"{out}/reads.fa"), _paf(s, d, f"{out}/x.paf"), f"{out}/reports")
+    files.alignment_metrics(s, _put(writers.fasta_lines(reads, "name", "seq"), f"{out}/reads.fa", "lz4", 1 << 17), _paf(s, d, f"{out}/x.paf"), f"{out}/reports", compression="lz4")
     found = None
     for name in ("read_length", "alignment_sizes", "breakpoints", "multimapping", "unmapped_reads", "unaligned"):
         table = s.read.option("sep", "\t").option("header", True).csv(f"{out}/reports/{name}")

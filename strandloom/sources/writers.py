@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rendered
-from ..storage import one_file
+from ..storage import cleaned, one_file
 
 
 def _s(name: str) -> Column:
@@ -42,9 +42,10 @@ def gfa_graph(header: str, nodes: DataFrame, edges: DataFrame, paths: DataFrame)
     return out
 
 
-def write_lines(lines: DataFrame, path: str, *order: str, single: bool = False) -> None:
-    """Text files whose names sort as their lines do; each holds a range of the order. With ``single`` one file at path, of the same lines in the same order."""
-    (lines.orderBy(*order) if order else lines).select("value").write.text(f"{path}.parts" if single else path)
+def write_lines(lines: DataFrame, path: str, *order: str, single: bool = False, compression: str = "none") -> None:
+    """Text files whose names sort as their lines do; each holds a range of the order. With ``single`` one file at path, of the same lines in the same order, and not compressed."""
+    with cleaned(lines.sparkSession):
+        (lines.orderBy(*order) if order else lines).select("value").write.option("compression", "none" if single else compression).text(f"{path}.parts" if single else path)
     if single:
         one_file(lines.sparkSession, f"{path}.parts", path)
 
@@ -76,13 +77,14 @@ def fasta_lines(sequences: DataFrame, name: str, seq: str) -> DataFrame:
     return sequences.select(F.concat(F.lit(">"), _s(name), F.lit("\n"), F.col(seq)).alias("value"))
 
 
-def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = False, quote_all: bool = False, single: bool = False) -> None:
-    """A folder of delimited text, or with ``single`` one file at path, its header once."""
+def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = False, quote_all: bool = False, single: bool = False, compression: str = "none") -> None:
+    """A folder of delimited text, or with ``single`` one file at path, its header once and not compressed."""
     out = df.write.option("sep", sep).option("quoteAll", quote_all).option("emptyValue", "")
-    if not single:
-        out.option("header", header).csv(path)
-        return
-    out.csv(f"{path}.parts")
+    with cleaned(df.sparkSession):
+        if not single:
+            out.option("header", header).option("compression", compression).csv(path)
+            return
+        out.csv(f"{path}.parts")
     quoted = [f'"{c}"' if quote_all else c for c in df.columns]
     one_file(df.sparkSession, f"{path}.parts", path, sep.join(quoted) if header else None)
 
